@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from querysieve.llm import bpe
+from querysieve.llm import bpe, langid, mpegts
 from querysieve.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
+MANY_LANGUAGES = "byte_bpe_multi_50k.tiktoken"
+
+
+def crc_is(modulus: int, remainder: int) -> Column:
+    """Whether crc32 of doc_id as text leaves the remainder; a null doc_id doesn't."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +23,21 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op4_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.digests(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, vocabulary = table(spark, sf_dir, "documents"), public_tokenizers.path(MANY_LANGUAGES)
+    model = langid.fit(docs, vocabulary, use=~crc_is(3, 1))
+    found = langid.predict(docs, model, vocabulary)
+    return found.select("doc_id", crc_is(3, 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op3_bpe_codec": op3_bpe_codec,
+    "op4_mpegts": op4_mpegts,
+    "op5_language_id": op5_language_id,
 }
 
 #: DuckDB SQL for the results that SQL can express.
