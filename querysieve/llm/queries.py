@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querysieve.llm import bpe, langid, mpegts
+from querysieve.llm import bpe, langid, mpegts, simhash
 from querysieve.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -34,10 +34,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", crc_is(3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_bpe_codec": op3_bpe_codec,
     "op4_mpegts": op4_mpegts,
     "op5_language_id": op5_language_id,
+    "op6_simhash": op6_simhash,
 }
 
 #: DuckDB SQL for the results that SQL can express.
