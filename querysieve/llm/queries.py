@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querysieve.llm import bpe, langid, mpegts, simhash
+from querysieve.llm import bpe, debruijn, langid, mpegts, simhash
 from querysieve.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -18,6 +18,10 @@ def crc_is(modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
 
+def op2_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -39,6 +43,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_debruijn": op2_debruijn,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_mpegts": op4_mpegts,
     "op5_language_id": op5_language_id,
