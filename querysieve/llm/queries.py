@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querysieve.llm import bpe, debruijn, langid, mpegts, simhash
+from querysieve.llm import bpe, debruijn, langid, mpegts, runindex, simhash
 from querysieve.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -42,12 +42,17 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_runindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_debruijn": op2_debruijn,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_mpegts": op4_mpegts,
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
+    "op7_runindex": op7_runindex,
 }
 
 #: DuckDB SQL for the results that SQL can express.
