@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querysieve.llm import bpe, debruijn, langid, mpegts, runindex, simhash
+from querysieve.llm import bpe, debruijn, decontaminate, langid, mpegts, runindex, simhash
 from querysieve.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -46,6 +46,10 @@ def op7_runindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runindex.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_debruijn": op2_debruijn,
     "op3_bpe_codec": op3_bpe_codec,
@@ -53,6 +57,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
     "op7_runindex": op7_runindex,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 #: DuckDB SQL for the results that SQL can express.
