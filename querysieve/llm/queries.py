@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querysieve.llm import bpe, debruijn, decontaminate, langid, mpegts, runindex, simhash
+from querysieve.llm import bpe, debruijn, decontaminate, langid, mpegts, packing, quality, runindex, simhash
 from querysieve.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -18,6 +18,10 @@ def crc_is(modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
+
+
 def op2_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.digests(table(spark, sf_dir, "documents"))
 
@@ -46,17 +50,25 @@ def op7_runindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runindex.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~crc_is(4, 2)).select("doc_id", F.col("quality").alias("label"))
+    found = quality.quality_scores(table(spark, sf_dir, "documents"), labels)
+    return found.select("doc_id", crc_is(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_debruijn": op2_debruijn,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_mpegts": op4_mpegts,
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
     "op7_runindex": op7_runindex,
+    "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
 }
 
