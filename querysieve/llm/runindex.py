@@ -37,7 +37,7 @@ from querysieve.llm.common import as_bytes, cut, shuffle_partitions
 
 LENGTH, ANCHOR = 200, 32
 SLICE = 1 << 19  # bytes hashed at once
-INDEX_BYTES = 2 << 20
+INDEX_BYTES = 1 << 20
 CROWDED = 8000
 LAST = (1 << 63) - 1
 PLACE_BITS = 40  # a place: 23 bits of the text's hash (tells apart rows of one doc_id) and a byte number
@@ -100,6 +100,25 @@ def window_runs(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tupl
     return least[starts], starts, sizes, np.isin(least[starts], np.concatenate(twice)) | (sizes > width)
 
 
+def _ranked(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Order by two keys of 0..n, then by position; ranks of the pairs, and how many pairs there are."""
+    n = len(first)
+    bits = int(n + 1).bit_length()
+    if 3 * bits <= 64:  # one number holds both keys and the position, and plain numbers sort fastest
+        packed = first.astype(np.uint64) << np.uint64(2 * bits) | second.astype(np.uint64) << np.uint64(bits) | np.arange(n, dtype=np.uint64)
+        packed.sort()
+        order = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+        pair = packed >> np.uint64(bits)
+    else:
+        pair = first * (n + 2) + second
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+    dense = np.cumsum(np.concatenate(([0], (pair[1:] != pair[:-1]).astype(np.int64))))
+    rank = np.empty(n, np.int64)
+    rank[order] = dense
+    return order, rank, int(dense[-1]) + 1
+
+
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of byte strings, with text positions sampled at run ends."""
 
@@ -133,29 +152,21 @@ class RunIndex:
         n = self.n
         if not n:
             return np.empty(0, np.int64)
-        order = np.argsort(self.eight, kind="stable")
+        order = np.argsort(self.eight)
         key = self.eight[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).astype(np.int64))))
         # Zero padding isn't zero bytes: fewer bytes sort first.
-        ranks = np.empty(n, np.int64)
-        ranks[order] = np.cumsum(np.concatenate(([1], (key[1:] != key[:-1]).astype(np.int64))))
-        ranks = ranks * 9 + short.astype(np.int64)
-        span, distinct = 8, -1
-        while True:
-            order = np.argsort(ranks, kind="stable")
-            key = ranks[order]
-            dense = np.cumsum(np.concatenate(([1], (key[1:] != key[:-1]).astype(np.int64))))
-            if dense[-1] == distinct or dense[-1] == n:
-                return order
-            distinct = dense[-1]
-            rank = np.empty(n, np.int64)
-            rank[order] = dense
+        order, rank, distinct = _ranked(rank, short.astype(np.int64))
+        span, before = 8, 0
+        while before < distinct < n and span <= 2 * n:
+            before = distinct
             later = np.zeros(n, np.int64)
-            later[:-span] = rank[span:]
+            later[:-span] = rank[span:] + 1
             later[self.left <= span] = 0
-            ranks = rank * (n + 1) + later
+            order, rank, distinct = _ranked(rank, later)
             span *= 2
-            if span > 2 * n:
-                return order
+        return order
 
     def _common(self, p: np.ndarray, q: np.ndarray, real: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the suffixes at p and q."""
@@ -217,9 +228,12 @@ def windows(rows: DataFrame, length: int, anchor: int) -> DataFrame:
 
 
 def _with_found(rows: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
-    """All rows, each with the list of what was found in its document (null: nothing)."""
+    """All rows, each with the list of what was found in its document (null: nothing).
+
+    Every use keeps the same columns of the documents, so that the shuffled texts are reused.
+    """
     lists = found.groupBy("id").agg(F.collect_list(F.struct(*columns)).alias("found"))
-    return rows.join(lists, "id", "left")
+    return rows.join(lists.hint("shuffle_hash"), "id", "left").select("doc_id", "text", "found")
 
 
 def _contents(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -239,7 +253,7 @@ def _contents(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["anchor", "content", "bytes"])
 
-    joined = _with_found(rows, wanted, ["anchor", "content", "place", "n"]).select("text", "found")
+    joined = _with_found(rows, wanted, ["anchor", "content", "place", "n"])
     return joined.mapInArrow(run, "anchor long, content long, bytes binary")
 
 
@@ -343,7 +357,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, **parameters) -> DataFram
                 [batch["doc_id"], pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, _MARKS)], ["doc_id", "n_bytes", "n_removed", "kept", "spans"]
             )
 
-    joined = _with_found(rows, found, ["place", "marks"]).select("doc_id", "text", "found")
+    joined = _with_found(rows, found, ["place", "marks"])
     return joined.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, kept binary, spans {MARKS}")
 
 
