@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querysieve.llm import bpe, debruijn, decontaminate, langid, mpegts, packing, quality, runindex, simhash
+from querysieve.llm import bpe, debruijn, decontaminate, langid, mpegts, packing, quality, runindex, simhash, toxicity
 from querysieve.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -60,6 +60,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~crc_is(4, 2)).select("doc_id", F.col("toxic").alias("label"))
+    found = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), labels)
+    return found.select("doc_id", crc_is(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "neighbours", "terms")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_debruijn": op2_debruijn,
@@ -70,6 +76,7 @@ QUERIES = {
     "op7_runindex": op7_runindex,
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: DuckDB SQL for the results that SQL can express.
