@@ -368,8 +368,8 @@ def _stream(tables: DecodeTables, ids: np.ndarray) -> Iterator[str]:
     yield decoder.finish()
 
 
-def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Encode, decode again and hash both: doc_id, n_tokens, ids_sha256, decoded_sha256.
+def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Encode, decode again and hash both: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids if asked for.
 
     The same encoder and decoder as ``encode`` and ``decode``, in one pass so that ids never leave the worker.
     """
@@ -378,15 +378,18 @@ def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFr
         encoder, tables = _encoder(ranks_path, pattern), _tables(ranks_path)
         decimal = np.array([str(i) for i in range(len(tables.length))], object)
         for batch in batches:
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, all_ids = [], [], [], []
             for text in _texts(batch["text"]):
                 ids = encoder.ids(text)
+                if with_ids:
+                    all_ids.append(ids)
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(" ".join(decimal[ids].tolist()).encode()).hexdigest())
                 h = hashlib.sha256()
                 for part in _stream(tables, ids):
                     h.update(part.encode())
                 text_sha.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [_id_lists(all_ids)] * with_ids, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

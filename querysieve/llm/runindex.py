@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from querysieve.llm.common import as_bytes, cut, shuffle_partitions
 
@@ -332,6 +333,18 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowded
     return kept.join(marks, ["anchor", "content"]).select("id", "place", "marks")
 
 
+def _gone(text: bytes, found: list[dict] | None, length: int) -> np.ndarray:
+    """Which bytes the marked windows cover."""
+    tag, steps = _tag(text), np.zeros(len(text) + 1, np.int32)
+    for f in found or []:
+        if f["place"] >> PLACE_BITS << PLACE_BITS == tag:
+            at = f["place"] - tag
+            for m in f["marks"]:
+                steps[at + m["start"]] += 1
+                steps[at + m["stop"] - 1 + length] -= 1
+    return np.cumsum(steps)[: len(text)] > 0
+
+
 def deduplicate(docs: DataFrame, length: int = LENGTH, **parameters) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, n_bytes, n_removed, kept binary, spans (maximal removed runs: start, stop)."""
     rows = _rows(docs)
@@ -341,14 +354,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, **parameters) -> DataFram
         for batch in batches:
             n_bytes, n_removed, kept, spans = [], [], [], []
             for text, found in zip(as_bytes(batch["text"]), batch["found"]):
-                tag, steps = _tag(text), np.zeros(len(text) + 1, np.int32)
-                for f in found.as_py() or []:
-                    if f["place"] >> PLACE_BITS << PLACE_BITS == tag:
-                        at = f["place"] - tag
-                        for m in f["marks"]:
-                            steps[at + m["start"]] += 1
-                            steps[at + m["stop"] - 1 + length] -= 1
-                gone = np.cumsum(steps)[: len(text)] > 0
+                gone = _gone(text, found.as_py(), length)
                 spans.append(_intervals(gone))
                 n_bytes.append(len(text))
                 n_removed.append(int(gone.sum()))
@@ -361,6 +367,30 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, **parameters) -> DataFram
     return joined.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, kept binary, spans {MARKS}")
 
 
+def strip_repeats(docs: DataFrame, length: int = LENGTH, **parameters) -> DataFrame:
+    """``docs`` with repeated bytes taken out of ``text``; all rows and columns stay, ``n_chars`` follows the text.
+
+    Bytes of a character that was cut are dropped with it.  A text that repeats elsewhere throughout becomes empty; a
+    null text stays null.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"))
+    lists = repeats(docs, length, **parameters).groupBy("id").agg(F.collect_list(F.struct("place", "marks")).alias("found"))
+    joined = rows.join(lists.hint("shuffle_hash"), "id", "left").select("doc", "text", "found")
+
+    def run(batches):
+        for batch in batches:
+            kept = []
+            for text, there, found in zip(as_bytes(batch["text"]), batch["text"].is_valid().to_pylist(), batch["found"]):
+                gone = _gone(text, found.as_py(), length)
+                left = np.frombuffer(text, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") if gone.any() else text.decode("utf-8", "replace")
+                kept.append(left if there else None)
+            yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(kept, pa.string())], ["doc", "kept"])
+
+    out = joined.mapInArrow(run, T.StructType([T.StructField("doc", rows.schema["doc"].dataType), T.StructField("kept", T.StringType())]))
+    changed = {"text": F.col("kept"), "n_chars": F.length("kept")}
+    return out.select(*[changed.get(f.name, F.col("doc")[f.name]).cast(f.dataType).alias(f.name) for f in docs.schema])
+
+
 def digests(docs: DataFrame) -> DataFrame:
     return deduplicate(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
