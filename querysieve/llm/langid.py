@@ -30,13 +30,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querysieve.llm.common import id_and_text, slices
+
 UNKNOWN = "und"
 PER_LANGUAGE = 1500
 ROUNDS = 3
 PRIOR_WEIGHT = 200.0  # pieces' worth of background in each language's counts
 LONGEST_PIECE = 24  # longer vocabulary entries are runs of one sign
+LEAST = 1e-9  # of a piece's probability
 SCALE = 1e120
+CELLS = 200_000
 REMEMBERED = 400_000
+ROWS = 1000  # texts scored together
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -57,39 +62,85 @@ def read_pieces(path: str) -> dict[bytes, int]:
 
 
 class Lattice:
-    """All cuts of one word into vocabulary pieces."""
+    """All cuts of words into vocabulary pieces."""
 
     def __init__(self, pieces: dict[bytes, int]):
-        self.pieces = pieces
-        self.longest = max(map(len, pieces))
+        self.size = len(pieces)
+        self.arrays = None
+        self.root: dict = {}  # byte -> node; at -1 the piece that ends here
+        for piece, k in pieces.items():
+            node = self.root
+            for byte in piece:
+                node = node.setdefault(byte, {})
+            node[-1] = k
 
     def arcs(self, word: str) -> tuple[int, list[tuple[int, int, int]]]:
-        """Length, and (start, end, piece) in order of start."""
-        b, find = b" " + word.encode("utf-8", "replace"), self.pieces.get
-        n = len(b)
-        return n, [(i, j, p) for i in range(n) for j in range(i + 1, min(n, i + self.longest) + 1) if (p := find(b[i:j])) is not None]
-
-    def log_likelihoods(self, word: str, rows: list[list[float]]) -> list[float]:
-        """Forward algorithm for every language at once; rows: by piece, the probabilities by language."""
-        n, arcs = self.arcs(word)
-        languages = range(len(rows[0]))
-        ways = [[0.0] * len(rows[0]) for _ in range(n + 1)]
-        ways[0] = [1.0] * len(rows[0])
-        lifted = [0] * len(rows[0])
-        at = 0
-        for i, j, p in arcs:
-            if i > at:
-                at = i
-                if at % 8 == 0:  # long words: keep the numbers in range
-                    for k in languages:
-                        if 0.0 < ways[at][k] < 1.0 / SCALE:
-                            for later in range(at, min(n, at + self.longest) + 1):
-                                ways[later][k] *= SCALE
-                            lifted[k] += 1
-            here, there, row = ways[i], ways[j], rows[p]
-            for k in languages:
-                there[k] += here[k] * row[k]
-        return [math.log(ways[n][k]) - lifted[k] * math.log(SCALE) if ways[n][k] > 0 else -1e9 for k in languages]
+        """Length in bytes, and (start, end, piece) in order of start."""
+        b, found, root = b" " + word.encode("utf-8", "replace"), [], self.root
+        for i in range(len(b)):
+            node, j = root, i
+            for byte in b[i:]:
+                node = node.get(byte)
+                if node is None:
+                    break
+                j += 1
+                if -1 in node:
+                    found.append((i, j, node[-1]))
+        return len(b), found
+
+    def _arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same trie as sorted (node, byte) keys, the nodes they lead to, and by node the piece that ends there."""
+        keys, nodes, pieces, queue = [], [], [self.root.get(-1, -1)], [(0, self.root)]
+        for number, node in queue:
+            for byte, below in node.items():
+                if byte >= 0:
+                    keys.append(number << 8 | byte)
+                    nodes.append(len(pieces))
+                    queue.append((len(pieces), below))
+                    pieces.append(below.get(-1, -1))
+        order = np.argsort(keys)
+        return np.array(keys, np.int64)[order], np.array(nodes, np.int64)[order], np.array(pieces, np.int64)
+
+    def log_likelihoods(self, words: list[str], probabilities: np.ndarray) -> np.ndarray:
+        """Forward algorithm for many words and every language at once: words x languages."""
+        out = np.zeros((len(words), probabilities.shape[1]))
+        spelled = [b" " + w.encode("utf-8", "replace") for w in words]
+        by_length: dict[int, list[int]] = {}
+        for k, b in enumerate(spelled):
+            by_length.setdefault(len(b), []).append(k)
+        for n, group in by_length.items():
+            for at in range(0, len(group), max(1, CELLS // n)):
+                part = group[at : at + max(1, CELLS // n)]
+                out[part] = self._forward(np.frombuffer(b"".join(spelled[k] for k in part), np.uint8).reshape(-1, n), probabilities)
+        return out
+
+    def _forward(self, letters: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
+        """For words of one length, in step: ways to reach each byte, weighted by their probability."""
+        if self.arrays is None:
+            self.arrays = self._arrays()
+        keys, nodes, piece_at = self.arrays
+        count, n = letters.shape
+        ways = np.zeros((n + 1, count, probabilities.shape[1]))
+        ways[0] = 1.0
+        lifted = np.zeros(ways.shape[1:])
+        for start in range(n):
+            if start % 8 == 7:  # keep long words in range
+                small = (ways[start] > 0) & (ways[start] < 1 / SCALE)
+                if small.any():
+                    lifted += small
+                    ways[start : start + LONGEST_PIECE + 1] *= np.where(small, SCALE, 1.0)
+            word, node = np.arange(count), np.zeros(count, np.int64)
+            for at in range(start, min(n, start + LONGEST_PIECE)):
+                key = node << 8 | letters[word, at]
+                found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                alive = keys[found] == key
+                word, node = word[alive], nodes[found[alive]]
+                if not len(word):
+                    break
+                ends = piece_at[node] >= 0
+                own = word[ends]
+                ways[at + 1, own] += ways[start, own] * probabilities[piece_at[node[ends]]]
+        return np.log(np.maximum(ways[n], 1e-300)) - lifted * math.log(SCALE)
 
     def expected_counts(self, word: str, p: np.ndarray) -> list[tuple[int, float]]:
         """(piece, expected uses) under one language's probabilities."""
@@ -154,7 +205,7 @@ def fit(docs: DataFrame, vocabulary_path: str, use: Column | None = None, per_la
             def expect(batches, sent=sent):
                 lattice = Lattice(read_pieces(vocabulary_path))
                 by_language = {lang: sent.value[:, k].tolist() for k, lang in enumerate(languages)}
-                sums = {lang: np.zeros(len(lattice.pieces)) for lang in languages}
+                sums = {lang: np.zeros(lattice.size) for lang in languages}
                 for batch in batches:
                     for lang, word, n in zip(*(batch[c].to_pylist() for c in ("lang", "word", "n"))):
                         for piece, uses in lattice.expected_counts(word, by_language[lang]):
@@ -169,7 +220,7 @@ def fit(docs: DataFrame, vocabulary_path: str, use: Column | None = None, per_la
             c[found["piece"].to_numpy(), found["lang"].to_numpy()] = found["uses"].to_numpy()
             background = (c.sum(axis=1) + 0.01) / (c.sum() + 0.01 * len(pieces))
             c += PRIOR_WEIGHT * background[:, None]
-            p = c / c.sum(axis=0)
+            p = np.maximum(c / c.sum(axis=0), LEAST)
     finally:
         counts.unpersist()
     return Model(tuple(languages), p)
@@ -179,34 +230,39 @@ class Scorer:
     """Texts in, (language, score) out; the likelihoods of recent words are remembered."""
 
     def __init__(self, model: Model, pieces: dict[bytes, int]):
-        self.languages, self.lattice = model.languages, Lattice(pieces)
-        self.rows = model.probabilities.tolist()
-        self.table = np.zeros((1024, len(model.languages)))
-        scorer = self
-
-        class Known(dict):
-            def __missing__(self, word: str) -> int:
-                at = len(self) + 1
-                if at >= len(scorer.table):
-                    scorer.table = np.concatenate([scorer.table, np.zeros_like(scorer.table)])
-                scorer.table[at] = scorer.lattice.log_likelihoods(word, scorer.rows) if has_letter(word) else 0.0
-                self[word] = at
-                return at
-
-        self.known = Known()
-
-    def score(self, text: str | None) -> tuple[str, float]:
-        found = words(text)
-        if not self.languages or not any(map(has_letter, found)):
-            return UNKNOWN, 0.0
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        at = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
-        total = self.table[at].sum(axis=0)
-        total = (total - total.max()) / math.sqrt(len(found))
-        odds = np.exp(total)
-        best = int(odds.argmax())
-        return self.languages[best], float(odds[best] / odds.sum())
+        self.model, self.lattice = model, Lattice(pieces)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((1 << 12, len(self.model.languages)))
+
+    def _learn(self, new: list[str]) -> None:
+        at = len(self.known)
+        while at + len(new) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        spelled = [w for w in new if has_letter(w)]
+        other = [w for w in new if not has_letter(w)]
+        self.table[at : at + len(spelled)] = self.lattice.log_likelihoods(spelled, self.model.probabilities)
+        self.known.update(zip(spelled + other, range(at, at + len(new))))
+
+    def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        found = [words(t) for t in texts]
+        new = set().union(*found) - self.known.keys()
+        if len(self.known) + len(new) > REMEMBERED:
+            self._forget()
+            new = set().union(*found)
+        self._learn(list(new))
+        out = []
+        for own in found:
+            if not self.model.languages or not any(map(has_letter, own)):
+                out.append((UNKNOWN, 0.0))
+                continue
+            total = self.table[np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))].sum(axis=0)
+            odds = np.exp((total - total.max()) / math.sqrt(len(own)))
+            best = int(odds.argmax())
+            out.append((self.model.languages[best], float(odds[best] / odds.sum())))
+        return out
 
 
 def predict(docs: DataFrame, model: Model, vocabulary_path: str) -> DataFrame:
@@ -215,8 +271,22 @@ def predict(docs: DataFrame, model: Model, vocabulary_path: str) -> DataFrame:
 
     def run(batches):
         scorer = Scorer(sent.value, read_pieces(vocabulary_path))
-        for batch in batches:
-            found = [scorer.score(t) for t in batch["text"].to_pylist()]
+        for batch in slices(batches, ROWS):
+            found = scorer.score(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: Model, vocabulary_path: str, least_score: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose language is ``und`` or scores below ``least_score``; all columns stay."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        scorer = Scorer(sent.value, read_pieces(vocabulary_path))
+        for batch in slices(batches, ROWS):
+            found = scorer.score(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
