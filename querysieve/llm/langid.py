@@ -247,6 +247,8 @@ class Scorer:
         self.known.update(zip(spelled + other, range(at, at + len(new))))
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.model.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
         found = [words(t) for t in texts]
         new = set().union(*found) - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
@@ -255,7 +257,7 @@ class Scorer:
         self._learn(list(new))
         out = []
         for own in found:
-            if not self.model.languages or not any(map(has_letter, own)):
+            if not any(map(has_letter, own)):
                 out.append((UNKNOWN, 0.0))
                 continue
             total = self.table[np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))].sum(axis=0)

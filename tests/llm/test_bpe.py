@@ -1,0 +1,95 @@
+import base64
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from querysieve.llm import bpe
+
+PATH = P.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def parts():
+    ranks = bpe.read_ranks(PATH)
+    return ranks, bpe.TextEncoder(ranks, P.PATTERN), bpe.DecodeTables(ranks), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@settings(max_examples=150, deadline=None)
+@given(text=st.text(max_size=60))
+def test_encodes_like_the_library(parts, text):
+    _, encoder, tables, library = parts
+    text = text.encode("utf-8", "replace").decode()
+    ids = encoder.ids(text)
+    assert ids.tolist() == library.encode_ordinary(text)
+    assert "".join(bpe._stream(tables, ids)) == text
+
+
+def test_transducer_equals_merging(parts):
+    ranks, _, _, _ = parts
+    machine, draw = bpe.MergeTransducer(ranks, max_states=500), random.Random(1)
+    for _ in range(400):
+        piece = bytes(draw.choice(b"aehinorst -'\xc3\xa9\xe2\x82\xac") for _ in range(draw.randint(1, 40)))
+        assert machine.encode(piece) == machine.merge(piece)
+
+
+def test_long_pieces_leave_early_and_whole(parts):
+    ranks, encoder, _, library = parts
+    for text in ("ab" * 2000, "!" * 1999, "the" * 700 + "x"):
+        assert encoder.ids(text).tolist() == library.encode_ordinary(text)
+
+
+def test_forgetting_changes_nothing(parts):
+    ranks, _, _, library = parts
+    small = bpe.TextEncoder(ranks, P.PATTERN, max_remembered=3)
+    text = "one two three four five six one two three four five"
+    assert small.ids(text).tolist() == small.ids(text).tolist() == library.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("cut", range(1, 8))
+def test_streaming_in_any_steps(parts, cut):
+    _, encoder, tables, _ = parts
+    ids = encoder.ids("né 😀 漢字 end")
+    decoder = bpe.StreamingDecoder(tables)
+    assert "".join(decoder.feed(ids[at : at + cut]) for at in range(0, len(ids), cut)) + decoder.finish() == "né 😀 漢字 end"
+
+
+def test_malformed_bytes_are_replaced(parts):
+    ranks, _, tables, _ = parts
+    draw = random.Random(2)
+    for _ in range(300):
+        data = bytes(draw.choice([0x41, 0xC3, 0xA9, 0xE2, 0x82, 0xAC, 0xF0, 0x9F, 0x98, 0x80, 0xFF, 0xED, 0xA0]) for _ in range(draw.randint(1, 9)))
+        ids = np.array([ranks[bytes([b])] for b in data])
+        decoder = bpe.StreamingDecoder(tables)
+        step = draw.randint(1, 4)
+        got = "".join(decoder.feed(ids[at : at + step]) for at in range(0, len(ids), step)) + decoder.finish()
+        assert got == data.decode("utf-8", "replace"), data
+
+
+def test_unknown_id(parts):
+    with pytest.raises(ValueError):
+        parts[2].gather(np.array([10**6]))
+
+
+def test_frames(spark, odd, none, parts):
+    library = parts[3]
+    got = sorted(map(tuple, bpe.round_trip_digests(odd, PATH, P.PATTERN).collect()), key=repr)
+    want = []
+    for r in odd.collect():
+        ids = library.encode_ordinary(r.text or "")
+        want.append((r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+    assert got == sorted(want, key=repr)
+    back = bpe.decode(bpe.encode(odd, PATH, P.PATTERN), PATH)
+    assert sorted(r.text for r in back.collect()) == sorted(r.text or "" for r in odd.collect())
+    assert bpe.round_trip_digests(none, PATH, P.PATTERN, with_ids=True).count() == 0
+
+
+def test_ranks_file_is_plain_text():
+    with open(PATH, "rb") as f:
+        token, rank = f.readline().split()
+    assert bpe.read_ranks(PATH)[base64.b64decode(token)] == int(rank)
