@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querysieve.llm.common import id_and_text
+from querysieve.llm.common import cut, id_and_text
 
 SAMPLE = 20_000
-LEAST_DOCUMENTS, LEAST_Z = 5, 6.0
+LEAST_DOCUMENTS, LEAST_Z, LEAST_SHARE = 5, 6.0, 0.5  # of a term: toxic documents, significance, toxic part of its documents
 NEIGHBOURS, BLOCK = 15, 64
 PRIOR_WEIGHT = 0.5  # of the base rate among the votes
 NEAR = 0.05  # distances below this weigh alike
@@ -127,12 +127,13 @@ def monotone(x: np.ndarray, y: np.ndarray, weight: float = 1.0) -> tuple[np.ndar
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """doc_id, text, label of about ``sample`` labelled rows at most."""
+    """doc_id, text, label of about ``sample`` labelled rows at most; equal texts teach once, by their smallest doc_id."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     n = own.count()
     share = min(1.0, sample / n) if n else 0.0
     own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    return id_and_text(docs).join(F.broadcast(own), "doc_id")
+    rows = id_and_text(docs).join(F.broadcast(own), "doc_id").where("text is not null")
+    return rows.groupBy("text").agg(F.min(F.struct("doc_id", "label")).alias("one")).select("one.doc_id", "text", "one.label")
 
 
 def _term_counts(rows: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def _term_counts(rows: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """``docs`` (doc_id, text), ``labels`` (doc_id, label 0/1; those that may teach)."""
-    rows = _sampled(docs, labels, sample).select("doc_id", "text", "label")
+    rows = cut(_sampled(docs, labels, sample))
     totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     n = toxic + clean
@@ -161,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return nothing
     df = F.col("toxic") + F.col("clean")
     z = (F.col("toxic") / toxic - F.col("clean") / clean) / F.sqrt(df / n * (1 - df / n) * (1 / toxic + 1 / clean))
-    kept = sorted(map(tuple, _term_counts(rows).where((F.col("toxic") >= LEAST_DOCUMENTS) & (df < n) & (z >= LEAST_Z)).select("term", df).collect()))
+    kept = sorted(map(tuple, _term_counts(rows).where((F.col("toxic") >= LEAST_DOCUMENTS) & (df < n) & (z >= LEAST_Z) & (F.col("toxic") >= LEAST_SHARE * df)).select("term", df).collect()))
     if not kept:
         return nothing
     terms = {t: k for k, (t, _) in enumerate(kept)}
