@@ -8,14 +8,19 @@ coordinates are then compared, and the later copy of every confirmed path is rem
 
 How it runs:
 
-1. ``seeds``: windows are cut into runs that share their least 4-word hash (a minimiser).  Equal windows share it,
-   so only runs whose seed occurs again can hold a repeated edge; counts are combined before the shuffle.
-2. Edges are hashed for those runs only, aggregated to a source each, and joined back on the edge.
-3. Compaction works within each document on its joined edges; paths go to the source document and back for the
-   comparison by coordinates.
-
-No key carries more rows than it has partial counts; the joins on seed and edge are plain ones, which the skew
-join may split.  A hash collision can only keep words: what isn't confirmed at its source stays.
+1. ``segments``: the edges of a document are cut into runs that share their least 4-word hash (a minimiser).  Such a
+   segment is a stretch of the graph that is compact from the start.  Equal edges share the minimiser, so segments
+   meet by it.  Of equal segments the one of smallest id is the source of the others.
+2. Segments go to their document.  Those with a source compact where the sources go on in step.  Where one minimiser
+   has different segments, the first copy of each is spelled out into single edges, which meet by edge; each gets
+   the source of smallest id.
+3. Within each document, segments and edges whose sources go on in step compact into paths.
+4. The words of every path are compared with those at its source coordinates (a join on the source document).
+
+Skew: before rows leave a batch of documents, of equal segments and of equal edges one goes on and the others have
+their source at once; of a minimiser with more than ``VARIANTS`` different segments one row goes on to tell the
+others.  So what very many documents share sends a few rows per batch, and no group grows with it.  The text is
+shuffled once, compressed.  A hash collision can only keep words: what isn't confirmed at its source stays.
 
 Edge cases: a null text has no words; fewer words than a window are all kept; words are split at the six ASCII
 blanks; a null doc_id ranks after every other, so such rows lose what others have and take nothing; rows that
@@ -24,15 +29,20 @@ repeat a doc_id are separate texts neither of which is smaller; equal rows get e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from querysieve.llm.common import as_bytes
 
 K, SEED_WORDS = 13, 4
+VARIANTS = 4
 REMEMBERED = 300_000
 LAST = (1 << 63) - 1  # in place of a null doc_id
 PLACE_BITS = 40  # a place: 23 bits of the text's hash (tells apart rows of one doc_id) and a word number
@@ -98,99 +108,164 @@ def _rows(docs: DataFrame) -> DataFrame:
     )
 
 
+def _compressed(rows: DataFrame) -> DataFrame:
+    """The text as zstd: it is shuffled, and read three times from there."""
+
+    def run(batches):
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = pa.array([packer.compress(t) for t in as_bytes(batch["text"])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["id"], packed], ["doc_id", "id", "text"])
+
+    return rows.mapInArrow(run, "doc_id long, id long, text binary")
+
+
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    unpacker = zstandard.ZstdDecompressor()
+    return (unpacker.decompress(t) for t in column.to_pylist())
+
+
 def _tag(text: bytes) -> int:
     return (xxhash.xxh3_64_intdigest(text) & 0x7FFFFF) << PLACE_BITS
 
 
-def seeds(rows: DataFrame, k: int) -> DataFrame:
-    """seed, id, place, n (windows), fresh (1 for a seed's first run in its document)."""
+ASKS, PATH, OPEN = 0, 1, 2  # what a segment row is: looks for equals; has its source; needs its edges spelled out
+SEGMENT_COLUMNS = ["key", "content", "id", "place", "n", "variants", "kind", "source", "source_place"]
+
+
+def segments(rows: DataFrame, k: int) -> DataFrame:
+    """The segments of all documents (``SEGMENT_COLUMNS``), those of a batch compared with each other already.
+
+    ``key`` is the minimiser, or a hash of its own for a row that needn't meet others; ``content`` a hash of the
+    segment's edges; ``variants`` 1 if the batch holds more different segments of the minimiser than it sends.
+    """
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            seed, ids, place, n, fresh = [], [], [], [], []
+            parts = []
             for i, text in zip(batch["id"].to_pylist(), as_bytes(batch["text"])):
-                s, at, m = seed_runs(hashes.of(words_of(text)), k)
-                if not len(s):
-                    continue
-                seed.append(s)
-                ids.append(np.full(len(s), i, np.int64))
-                place.append(at + _tag(text))
-                n.append(m)
-                f = np.zeros(len(s), np.int32)
-                f[np.unique(s, return_index=True)[1]] = 1
-                fresh.append(f)
-            if seed:
-                columns = [np.concatenate(c) for c in (seed, ids, place, n, fresh)]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), pa.array(columns[1]), pa.array(columns[2]), pa.array(columns[3].astype(np.int32)), pa.array(columns[4])], ["seed", "id", "place", "n", "fresh"])
-
-    return rows.select("id", "text").mapInArrow(run, "seed long, id long, place long, n int, fresh int")
-
-
-def _ranges(places: list[int], sizes: list[int], tag: int) -> list[tuple[int, int]]:
-    """The (start, size) pairs that belong to the text with this tag."""
-    low = (1 << PLACE_BITS) - 1
-    return [(p & low, n) for p, n in zip(places, sizes) if p & ~low == tag]
-
+                h = hashes.of(words_of(text))
+                seed, at, n = seed_runs(h, k)
+                if len(seed):
+                    content = np.add.reduceat(edges_of(h, k), at) * _MIX + n.astype(np.uint64)
+                    parts.append((seed, content, np.full(len(seed), i, np.int64), at + _tag(text), n))
+            if parts:
+                yield _compared(*(np.concatenate(c) for c in zip(*parts)))
+
+    return rows.select("id", "text").mapInArrow(run, ", ".join(f"{c} {'int' if c in ('n', 'variants', 'kind') else 'long'}" for c in SEGMENT_COLUMNS))
+
+
+def _compared(seed: np.ndarray, content: np.ndarray, ids: np.ndarray, place: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((place, ids, content, seed))
+    seed, content, ids, place, n = seed[order], content[order], ids[order], place[order], n[order]
+    new_seed = np.concatenate(([True], seed[1:] != seed[:-1]))
+    new_content = new_seed | np.concatenate(([True], content[1:] != content[:-1]))
+    first = np.maximum.accumulate(np.where(new_content, np.arange(len(seed)), 0))  # of equal segments
+    group = np.cumsum(new_seed) - 1
+    variant = np.cumsum(new_content) - np.cumsum(new_content)[np.flatnonzero(new_seed)][group]  # 0, 1, .. within the seed
+    crowded = (np.maximum.reduceat(variant, np.flatnonzero(new_seed)) >= VARIANTS)[group]
+    later = ids > ids[first]
+    kind = np.where(later, PATH, np.where(crowded & (variant > 0), OPEN, ASKS)).astype(np.int32)
+    key = np.where(kind == ASKS, seed, (ids * 31 + place).astype(np.uint64) * _MIX).view(np.int64)
+    source, there = (pa.array(c[first], mask=~later) for c in (ids, place))
+    columns = [pa.array(key), pa.array(content.view(np.int64)), pa.array(ids), pa.array(place), pa.array(n.astype(np.int32)), pa.array((crowded & (kind == ASKS)).astype(np.int32)), pa.array(kind), source, there]
+    return pa.RecordBatch.from_arrays(columns, SEGMENT_COLUMNS)
+
+
+def _with_found(rows: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    """All rows, each with the list of what was found in its document (null: nothing).
+
+    Every use keeps the same columns of the documents, so that the shuffled texts are reused.
+    """
+    lists = found.groupBy("id").agg(F.collect_list(F.struct(*columns)).alias("found"))
+    return rows.join(lists.hint("shuffle_hash"), "id", "left").select("doc_id", "id", "text", "found")
 
-def _with_ranges(rows: DataFrame, found: DataFrame, *extra: str) -> DataFrame:
-    """All rows, each with the lists of what was found in its document (null: nothing)."""
-    lists = found.groupBy("id").agg(F.collect_list(F.struct("place", "n", *extra)).alias("found"))
-    return rows.join(lists, "id", "left")
 
+def _spelled_out(texts: DataFrame, met: DataFrame, k: int) -> DataFrame:
+    """Segments that met -> id, place, n and a source (compacted paths), or the edge (those that are still open).
 
-def _candidate_edges(rows: DataFrame, runs: DataFrame, k: int) -> DataFrame:
-    """edge, id, place for the windows of the given runs."""
+    Of equal edges in a batch the first one stays open, the others have it as their source.
+    """
 
     def run(batches):
-        hashes = WordHashes()
+        hashes, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            edge, ids, place = [], [], []
-            for i, text, found in zip(batch["id"].to_pylist(), as_bytes(batch["text"]), batch["found"]):
-                if not found.is_valid:
+            order = np.argsort(batch["id"].to_numpy(), kind="stable")
+            edge, ids, place, paths = [], [], [], []
+            lists, all_ids, texts = batch["found"], batch["id"].to_pylist(), batch["text"]
+            for row in order.tolist():
+                if not lists[row].is_valid:
                     continue
+                text = unpack(texts[row].as_py())
                 tag = _tag(text)
-                ranges = _ranges(found.values.field("place").to_pylist(), found.values.field("n").to_pylist(), tag)
-                e = edges_of(hashes.of(words_of(text)), k)
-                at = np.unique(np.concatenate([np.arange(s, s + n) for s, n in ranges])) if ranges else np.empty(0, np.int64)
-                edge.append(e[at])
-                ids.append(np.full(len(at), i, np.int64))
-                place.append(at + tag)
+                found = lists[row].values
+                at, n = found.field("place").to_numpy(), found.field("n").to_numpy().astype(np.int64)
+                is_open = found.field("source").is_null().to_numpy(zero_copy_only=False)
+                own = at >> PLACE_BITS << PLACE_BITS == tag
+                if (known := own & ~is_open).any():
+                    source, there = (found.field(c).fill_null(0).to_numpy()[known] for c in ("source", "source_place"))
+                    turn = np.argsort(at[known], kind="stable")
+                    paths.append(_runs(np.full(len(turn), all_ids[row]), at[known][turn], source[turn], there[turn], n[known][turn]))
+                if (left := own & is_open).any():
+                    e = edges_of(hashes.of(words_of(text)), k)
+                    single = np.concatenate([np.arange(a, a + m) for a, m in zip((at[left] - tag).tolist(), n[left].tolist())])
+                    edge.append(e[single])
+                    ids.append(np.full(len(single), all_ids[row], np.int64))
+                    place.append(single + tag)
             if edge:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(edge).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(place))], ["edge", "id", "place"])
+                edge, ids, place = np.concatenate(edge), np.concatenate(ids), np.concatenate(place)
+                first, inverse = np.unique(edge, return_index=True, return_inverse=True)[1:]
+                source = first[inverse]  # ids ascend within the batch
+                opened = ids[source] == ids
+                none = pa.nulls(int(opened.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(edge[opened].view(np.int64)), pa.array(ids[opened]), pa.array(place[opened]), pa.array(np.ones(len(none), np.int64)), none, none], EDGE_COLUMNS)
+                turn = np.lexsort((place[~opened], ids[~opened]))
+                paths.append(_runs(*(c[~opened][turn] for c in (ids, place, ids[source], place[source]))))
+            if paths:
+                columns = [np.concatenate(c) for c in zip(*paths)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), pa.int64()), *map(pa.array, columns)], EDGE_COLUMNS)
 
-    return _with_ranges(rows, runs).select("id", "text", "found").mapInArrow(run, "edge long, id long, place long")
+    return _with_found(texts, met, "place", "n", "source", "source_place").mapInArrow(run, ", ".join(f"{c} long" for c in EDGE_COLUMNS))
 
 
-def _compact(joined: DataFrame) -> DataFrame:
-    """Edges of later documents with their sources -> paths: id, place, n (edges), source, source_place."""
-    lists = joined.groupBy("id").agg(F.collect_list(F.struct("place", "source", "source_place")).alias("edges"))
+EDGE_COLUMNS = ["edge", "id", "place", "n", "source", "source_place"]
+
+
+def _runs(ids: np.ndarray, place: np.ndarray, source: np.ndarray, there: np.ndarray, n: np.ndarray | None = None) -> list[np.ndarray]:
+    """Edges (or paths of n) in order of id and place, compacted where the walk and its source go on in step."""
+    n = np.ones(len(ids), np.int64) if n is None else n
+    if not len(ids):
+        return [ids, place, n, source, there]
+    goes_on = (ids[1:] == ids[:-1]) & (place[1:] == place[:-1] + n[:-1]) & (source[1:] == source[:-1]) & (there[1:] == there[:-1] + n[:-1])
+    starts = np.concatenate(([0], np.flatnonzero(~goes_on) + 1))
+    return [ids[starts], place[starts], np.add.reduceat(n, starts), source[starts], there[starts]]
+
+
+def _compact(sourced: DataFrame) -> DataFrame:
+    """Edges and paths of later documents with their sources -> paths: id, place, n (edges), source, source_place."""
+    columns = ["place", "n", "source", "source_place"]
+    lists = sourced.groupBy("id").agg(F.collect_list(F.struct(*columns)).alias("edges"))
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
             for i, edges in zip(batch["id"].to_pylist(), batch["edges"]):
-                place, source, there = (edges.values.field(c).to_numpy() for c in ("place", "source", "source_place"))
+                place, n, source, there = (edges.values.field(c).to_numpy() for c in columns)
                 order = np.argsort(place, kind="stable")
-                place, source, there = place[order], source[order], there[order]
-                breaks = (np.diff(place) != 1) | (np.diff(source) != 0) | (np.diff(there) != 1)
-                starts = np.concatenate(([0], np.flatnonzero(breaks) + 1))
-                for column, values in zip(out, (np.full(len(starts), i), place[starts], np.diff(np.concatenate((starts, [len(place)]))), source[starts], there[starts])):
-                    column.append(values)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], ["id", "place", "n", "source", "source_place"])
+                paths = _runs(np.full(len(order), i), place[order], source[order], there[order], n[order])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in paths], ["id", *columns])
 
     return lists.mapInArrow(run, "id long, place long, n long, source long, source_place long")
 
 
-def _spelled(rows: DataFrame, paths: DataFrame, k: int) -> DataFrame:
+def _spelled(texts: DataFrame, paths: DataFrame, k: int) -> DataFrame:
     """The paths with a strong hash of the words that stand at their source coordinates."""
     at_source = paths.select(F.col("source").alias("id"), F.col("source_place").alias("place"), "n", F.col("id").alias("later"), F.col("place").alias("later_place"))
 
     def run(batches):
         for batch in batches:
             out = [[], [], [], []]
-            for text, found in zip(as_bytes(batch["text"]), batch["found"]):
+            for text, found in zip(_texts(batch["text"]), batch["found"]):
                 if not found.is_valid:
                     continue
                 words, tag = words_of(text), _tag(text)
@@ -201,8 +276,7 @@ def _spelled(rows: DataFrame, paths: DataFrame, k: int) -> DataFrame:
                             column.append(value)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["id", "place", "n", "spelled"])
 
-    joined = _with_ranges(rows, at_source, "later", "later_place").select("text", "found")
-    return joined.mapInArrow(run, "id long, place long, n long, spelled binary").distinct()
+    return _with_found(texts, at_source, "place", "n", "later", "later_place").mapInArrow(run, "id long, place long, n long, spelled binary")
 
 
 def spelling(words: list[bytes]) -> bytes:
@@ -211,14 +285,23 @@ def spelling(words: list[bytes]) -> bytes:
 
 def repeated_paths(docs: DataFrame, k: int = K) -> DataFrame:
     """``docs`` (doc_id, text) -> the compacted paths of later documents: id, place, n, source, source_place."""
-    rows = _rows(docs)
-    runs = seeds(rows, k)
-    again = runs.groupBy("seed").agg(F.sum("fresh").alias("texts")).where("texts > 1").select("seed")
-    kept = runs.select("seed", "id", "place", "n").join(again, "seed", "left_semi")
-    edges = _candidate_edges(rows, kept.select("id", "place", "n"), k)
-    sources = edges.groupBy("edge").agg(F.min("id").alias("source"), F.min_by("place", "id").alias("source_place"), F.max("id").alias("last")).where("source < last")
-    joined = edges.join(sources.select("edge", "source", "source_place"), "edge").where("id > source")
-    return _compact(joined.select("id", "place", "source", "source_place"))
+    return _paths(_rows(docs), _compressed(_rows(docs)), k)
+
+
+def _paths(rows: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    same_seed, equal = Window.partitionBy("key"), Window.partitionBy("key", "content").orderBy("id", "place")
+    met = segments(rows, k).withColumns({"first": F.first("id").over(equal), "first_place": F.first("place").over(equal)})
+    met = met.withColumn("several", (F.min("content").over(same_seed) < F.max("content").over(same_seed)) | (F.max("variants").over(same_seed) > 0))
+    asks, has_source = F.col("kind") == ASKS, F.col("id") > F.col("first")
+    source = F.when(F.col("kind") == PATH, F.col("source")).when(asks & has_source, F.col("first"))
+    there = F.when(F.col("kind") == PATH, F.col("source_place")).when(asks & has_source, F.col("first_place"))
+    met = met.where(~asks | has_source | F.col("several")).select("id", "place", "n", source.alias("source"), there.alias("source_place"))
+    # Paths that have their source already are alone under a key of their own.
+    meet = Window.partitionBy("key").orderBy("id", "place")
+    edges = _spelled_out(texts, met, k).withColumn("key", F.coalesce("edge", F.xxhash64("id", "place")))
+    edges = edges.withColumns({"first": F.first("id").over(meet), "first_place": F.first("place").over(meet)})
+    sourced = edges.select("id", "place", "n", F.coalesce("source", "first").alias("source"), F.coalesce("source_place", "first_place").alias("source_place"))
+    return _compact(sourced.where("id > source"))
 
 
 def deduplicate(docs: DataFrame, k: int = K) -> DataFrame:
@@ -227,12 +310,13 @@ def deduplicate(docs: DataFrame, k: int = K) -> DataFrame:
     ``spans``: maximal removed runs as (start, n) in words.
     """
     rows = _rows(docs)
-    confirmed = _spelled(rows, repeated_paths(docs, k), k)
+    texts = _compressed(rows)
+    confirmed = _spelled(texts, _paths(rows, texts, k), k)
 
     def run(batches):
         for batch in batches:
             n_words, n_removed, kept, spans = [], [], [], []
-            for text, found in zip(as_bytes(batch["text"]), batch["found"]):
+            for text, found in zip(_texts(batch["text"]), batch["found"]):
                 words, tag = words_of(text), _tag(text)
                 gone = np.zeros(len(words) + 1, np.int8)
                 for f in found.as_py() or []:
@@ -250,8 +334,7 @@ def deduplicate(docs: DataFrame, k: int = K) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept", "spans"],
             )
 
-    joined = _with_ranges(rows, confirmed, "spelled").select("doc_id", "text", "found")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,n:long>>")
+    return _with_found(texts, confirmed, "place", "n", "spelled").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,n:long>>")
 
 
 def digests(docs: DataFrame, k: int = K) -> DataFrame:
