@@ -169,6 +169,7 @@ SQL = {
     "itemsets_s4_10": itemsets(4, 0.1),
     "eclat_s4_05": itemsets(4, 0.05),
     "fpgrowth_s4_05": itemsets(4, 0.05),
+    "itemset_lines": f"{rows_with_items(3)}{mined('tx', 0.1)} SELECT {text_of('items', ' ')} || ' #SUP: ' || freq AS line FROM found",
     "frequent_patterns": f"{rows_with_items(4)}{mined('tx', 0.1)} SELECT {text_of('items')} AS itemset FROM found",
     "rules_s3_05_60": rules(3, 0.05, 0.6),
     "rules_s3_05_80": rules(3, 0.05, 0.8),

@@ -19,7 +19,7 @@ from querysieve.operators.expand import SCENARIOS
 from querysieve.operators.split import split
 from querysieve.plans import oracle, scenarios
 from querysieve.plans.corpus import corpus, featured, transactions
-from querysieve.sources.textfiles import parse_rules, rule_line, transaction_line
+from querysieve.sources.textfiles import itemset_line, parse_rules, rule_line, transaction_line
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,6 +113,10 @@ def itemsets_of(stage, min_support, miner, spark, sf_dir):
     return miner(_tx(spark, sf_dir, stage), min_support).select(_text("items").alias("itemset"), "freq")
 
 
+def itemset_lines(spark, sf_dir):
+    return mining.itemsets(_tx(spark, sf_dir, 3), 0.1).select(itemset_line().alias("line"))
+
+
 def frequent_patterns(spark, sf_dir):
     return mining.patterns(_tx(spark, sf_dir), 0.1).select(_text("items").alias("itemset"))
 
@@ -152,6 +156,11 @@ def model(name, spark, sf_dir, scenario: int = 2):
     return scenarios.run_scenario(scenarios.prepared(corpus(spark, sf_dir)), scenario, [name])
 
 
+def scenario_grid(spark, sf_dir):
+    """All seven scenarios with the quickest model."""
+    return scenarios.run_all(corpus(spark, sf_dir), ["naive_bayes"])
+
+
 def count_rows(label, spark, sf_dir):
     rows = corpus(spark, sf_dir)
     return (rows if label is None else rows.where(F.col("label") == label)).agg(F.count("*").alias("n"))
@@ -186,6 +195,7 @@ QUERIES: dict[str, Query] = {
     "itemsets_s4_10": partial(itemsets_of, 4, 0.1, mining.itemsets),
     "eclat_s4_05": partial(itemsets_of, 4, 0.05, mining.eclat),
     "fpgrowth_s4_05": partial(itemsets_of, 4, 0.05, mining.fp_growth),
+    "itemset_lines": itemset_lines,
     "frequent_patterns": frequent_patterns,
     "rules_s3_05_60": partial(rules_of, 3, 0.05, 0.6, mining.itemsets),
     "rules_s3_05_80": partial(rules_of, 3, 0.05, 0.8, mining.itemsets),
@@ -198,6 +208,7 @@ QUERIES: dict[str, Query] = {
     "confusion_metrics": confusion_metrics,
     "nb_params": nb_params,
     **{f"model_{name}": partial(model, name) for name in models.MODELS},
+    "scenario_grid": scenario_grid,
     "count_all": partial(count_rows, None),
     "count_malicious": partial(count_rows, 1),
     "count_benign": partial(count_rows, 0),

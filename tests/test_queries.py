@@ -33,7 +33,7 @@ def test_against_sql(spark, sf_dir, duck, name):
 
 def test_every_query_has_sql_or_cannot():
     without = set(registry.QUERIES) - set(registry.ORACLE)
-    assert without == {"features_parsed"} | {f"model_{m}" for m in scenarios.MODELS}
+    assert without == {"features_parsed", "scenario_grid"} | {f"model_{m}" for m in scenarios.MODELS}
 
 
 def test_parsed_accepts_statements_only(spark, sf_dir):
@@ -59,6 +59,13 @@ def test_ensembles_learn(spark, sf_dir, name):
     assert row.accuracy > 70
 
 
+def test_grid_covers_all_scenarios(spark, sf_dir):
+    rows = registry.QUERIES["scenario_grid"](spark, sf_dir).collect()
+    assert sorted(r.scenario for r in rows) == list(range(1, 8))
+    same = {r.scenario: r.accuracy for r in rows}
+    assert same[1] == same[6] == same[7]
+
+
 def test_feature_time(spark, sf_dir):
     seconds, dims = scenarios.feature_time(scenarios.prepared(corpus(spark, sf_dir)), 1)
     assert seconds > 0 and dims == 8
