@@ -79,5 +79,17 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-#: DuckDB SQL for the results that SQL can express.
-ORACLE: dict[str, str] = {}
+#: DuckDB SQL for the results that SQL can express on whole tables.
+ORACLE: dict[str, str] = {
+    "op2_debruijn": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13),
+k AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 12), ' ')) AS h FROM p),
+m AS (SELECT h, min(doc_id) AS first FROM k GROUP BY h),
+gone AS (SELECT DISTINCT k.doc_id, k.i + j.j AS at FROM k JOIN m USING (h), (SELECT unnest(range(0, 13)) AS j) j WHERE k.doc_id > m.first),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS at FROM d),
+kept AS (SELECT words.doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY words.at) AS t FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.at = words.at WHERE gone.at IS NULL GROUP BY words.doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, (len(d.ws) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+""",
+}

@@ -57,3 +57,14 @@ def test_paths_follow_their_source(spark):
     assert [(p.n, p.source, p.source_place & ((1 << 40) - 1)) for p in paths] == [(28, 1, 2)]
     spans = {r.doc_id: [tuple(s) for s in r.spans] for r in debruijn.deduplicate(df).collect()}
     assert spans[1] == [] and spans[2] == [(0, 40)] and spans[3][0][0] == 1
+
+
+def test_query_against_sql(spark, sf_dir):
+    import duckdb
+
+    from querysieve.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    theirs = con.execute(queries.ORACLE["op2_debruijn"]).fetchall()
+    assert sorted(map(tuple, queries.op2_debruijn(spark, sf_dir).collect())) == sorted(theirs)
