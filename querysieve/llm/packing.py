@@ -21,10 +21,12 @@ from __future__ import annotations
 
 import base64
 import math
+from collections import deque
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +42,7 @@ class RoomTree:
 
     def __init__(self, most: int):
         self.size = 1 << most.bit_length()
-        self.open: list[list[int]] = [[] for _ in range(most + 1)]
+        self.open: list[deque[int]] = [deque() for _ in range(most + 1)]
         self.any = [False] * (2 * self.size)
 
     def add(self, room: int, sequence: int) -> None:
@@ -63,7 +65,7 @@ class RoomTree:
             while at < self.size:
                 at = 2 * at if self.any[2 * at] else 2 * at + 1
         room = at - self.size
-        sequence = self.open[room].pop(0)
+        sequence = self.open[room].popleft()
         if not self.open[room]:
             self.any[at] = False
             at >>= 1
@@ -123,7 +125,7 @@ PACKED = (
 def pack(cut_pieces: DataFrame, shards: int, length: int = LENGTH, pad_id: int = 0) -> DataFrame:
     """``pieces`` -> one row per sequence (``PACKED``); ids and positions are 16-bit little-endian, ``length`` each."""
 
-    def run(group: pa.Table) -> pa.Table:
+    def one(group: pa.Table) -> pa.RecordBatch:
         n = group["n"].to_numpy()
         doc, start = group["doc_id"].fill_null(-(1 << 63)).to_numpy(), group["start"].to_numpy()
         order = np.lexsort((start, doc, -n))
@@ -141,13 +143,20 @@ def pack(cut_pieces: DataFrame, shards: int, length: int = LENGTH, pad_id: int =
                 column.append(value)
         k = len(sequences)
         types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-        return pa.Table.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(np.full(k, group["shard"][0].as_py(), np.int32)), pa.array(np.arange(k, dtype=np.int32)), *(pa.array(c, t) for c, t in zip(columns, types))],
             ["shard", "sequence", "n_tokens", "n_pieces", "doc_ids", "starts", "cu_seqlens", "input_ids", "position_ids"],
         )
 
+    def run(batches):
+        rows = list(batches)  # one shard, or a few small ones
+        if sum(b.num_rows for b in rows):
+            table = pa.Table.from_batches(rows)
+            for k in pc.unique(table["shard"]).to_pylist():
+                yield one(table.filter(pc.equal(table["shard"], k)))
+
     shard = F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int")
-    return cut_pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(run, PACKED)
+    return cut_pieces.withColumn("shard", shard).repartitionById(shards, "shard").mapInArrow(run, PACKED)
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
