@@ -19,8 +19,9 @@ How it runs:
 
 Skew: before rows leave a batch of documents, of equal segments and of equal edges one goes on and the others have
 their source at once; of a minimiser with more than ``VARIANTS`` different segments one row goes on to tell the
-others.  So what very many documents share sends a few rows per batch, and no group grows with it.  The text is
-shuffled once, compressed.  A hash collision can only keep words: what isn't confirmed at its source stays.
+others.  What a document repeats within itself goes on once; whatever comes of it holds for its other places, which are
+found again in the text at the end.  So what very many documents share sends a few rows per batch, and no group grows
+with it.  The text is shuffled once, compressed.  A hash collision can only keep words: what isn't confirmed at its source stays.
 
 Edge cases: a null text has no words; fewer words than a window are all kept; words are split at the six ASCII
 blanks; a null doc_id ranks after every other, so such rows lose what others have and take nothing; rows that
@@ -159,6 +160,8 @@ def segments(rows: DataFrame, k: int) -> DataFrame:
 def _compared(seed: np.ndarray, content: np.ndarray, ids: np.ndarray, place: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     order = np.lexsort((place, ids, content, seed))
     seed, content, ids, place, n = seed[order], content[order], ids[order], place[order], n[order]
+    again = np.concatenate(([False], (seed[1:] == seed[:-1]) & (content[1:] == content[:-1]) & (ids[1:] == ids[:-1]) & (place[1:] >> PLACE_BITS == place[:-1] >> PLACE_BITS)))
+    seed, content, ids, place, n = seed[~again], content[~again], ids[~again], place[~again], n[~again]
     new_seed = np.concatenate(([True], seed[1:] != seed[:-1]))
     new_content = new_seed | np.concatenate(([True], content[1:] != content[:-1]))
     first = np.maximum.accumulate(np.where(new_content, np.arange(len(seed)), 0))  # of equal segments
@@ -210,6 +213,7 @@ def _spelled_out(texts: DataFrame, met: DataFrame, k: int) -> DataFrame:
                 if (left := own & is_open).any():
                     e = edges_of(hashes.of(words_of(text)), k)
                     single = np.concatenate([np.arange(a, a + m) for a, m in zip((at[left] - tag).tolist(), n[left].tolist())])
+                    single = single[np.sort(np.unique(e[single], return_index=True)[1])]
                     edge.append(e[single])
                     ids.append(np.full(len(single), all_ids[row], np.int64))
                     place.append(single + tag)
@@ -314,16 +318,22 @@ def deduplicate(docs: DataFrame, k: int = K) -> DataFrame:
     confirmed = _spelled(texts, _paths(rows, texts, k), k)
 
     def run(batches):
+        hashes = WordHashes()
         for batch in batches:
             n_words, n_removed, kept, spans = [], [], [], []
             for text, found in zip(_texts(batch["text"]), batch["found"]):
                 words, tag = words_of(text), _tag(text)
-                gone = np.zeros(len(words) + 1, np.int8)
+                windows = np.zeros(max(0, len(words) - k + 1), bool)
                 for f in found.as_py() or []:
                     at = f["place"] - tag
-                    to = at + f["n"] + k - 1
-                    if f["place"] >> PLACE_BITS << PLACE_BITS == tag and spelling(words[at:to]) == f["spelled"]:
-                        gone[at:to] = 1
+                    if f["place"] >> PLACE_BITS << PLACE_BITS == tag and spelling(words[at : at + f["n"] + k - 1]) == f["spelled"]:
+                        windows[at : at + f["n"]] = True
+                gone = np.zeros(len(words) + 1, np.int8)
+                if windows.any():
+                    e = edges_of(hashes.of(words), k)
+                    starts = np.flatnonzero(np.isin(e, e[windows]))  # the same edges at other places too
+                    steps = np.bincount(starts, minlength=len(words) + 1) - np.bincount(starts + k, minlength=len(words) + 1)
+                    gone[:-1] = np.cumsum(steps)[:-1] > 0
                 edges = np.flatnonzero(np.diff(gone, prepend=0))
                 spans.append([{"start": a, "n": b - a} for a, b in edges.reshape(-1, 2).tolist()])
                 n_words.append(len(words))
