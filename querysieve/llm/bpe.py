@@ -29,13 +29,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from querysieve.llm.common import id_and_text
+from querysieve.llm.common import id_and_text, only_one, slices
 
 DECODE_CHUNK = 1 << 16
 LOOKAHEAD = 512
 MAX_STATES = 200_000
 MAX_REMEMBERED = 300_000
 NEVER = 1 << 60
+ROWS = 500  # texts whose ids are held at once
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -311,9 +312,8 @@ class StreamingDecoder:
         return rest
 
 
-@lru_cache(maxsize=4)
 def _encoder(path: str, pattern: str) -> TextEncoder:
-    return TextEncoder(read_ranks(path), pattern)
+    return only_one(("bpe", path, pattern), lambda: TextEncoder(read_ranks(path), pattern))
 
 
 @lru_cache(maxsize=4)
@@ -334,7 +334,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         encoder = _encoder(ranks_path, pattern)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             arrays = [encoder.ids(t) for t in _texts(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], _id_lists(arrays)], ["doc_id", "ids"])
 
@@ -377,7 +377,7 @@ def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str, with_ids:
     def run(batches):
         encoder, tables = _encoder(ranks_path, pattern), _tables(ranks_path)
         decimal = np.array([str(i) for i in range(len(tables.length))], object)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             n, ids_sha, text_sha, all_ids = [], [], [], []
             for text in _texts(batch["text"]):
                 ids = encoder.ids(text)

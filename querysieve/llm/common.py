@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,11 +23,6 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def text_key(text: Column) -> Column:
-    """Tells apart rows that share a doc_id; rows that share both id and text are alike in every result."""
-    return F.xxhash64(text)
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Cluster folder from ``spark.checkpoint.dir``; a folder of our own only where none is configured (tests)."""
     sc = spark.sparkContext
@@ -50,11 +47,29 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+_kept: dict[Hashable, object] = {}
+
+
+def only_one(key: Hashable, make: Callable[[], T]) -> T:
+    """A large helper that a Python worker keeps from task to task; asking for another one lets go of it.
+
+    Workers outlive stages, so without this every operator's caches would add up in them.
+    """
+    if key not in _kept:
+        let_go()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go() -> None:
+    if _kept:
+        _kept.clear()
+        gc.collect()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
-
-__all__ = ["StorageLevel", "as_bytes", "cut", "ensure_checkpoint_dir", "id_and_text", "os", "shuffle_partitions", "slices", "table", "text_key"]

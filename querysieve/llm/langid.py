@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querysieve.llm.common import id_and_text, slices
+from querysieve.llm.common import id_and_text, let_go, slices
 
 UNKNOWN = "und"
 PER_LANGUAGE = 1500
@@ -40,8 +40,8 @@ LONGEST_PIECE = 24  # longer vocabulary entries are runs of one sign
 LEAST = 1e-9  # of a piece's probability
 SCALE = 1e120
 CELLS = 200_000
-REMEMBERED = 400_000
-ROWS = 1000  # texts scored together
+REMEMBERED = 300_000
+ROWS = 500  # texts scored together
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -177,6 +177,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     """lang, word, n: counted in each batch first."""
 
     def run(batches):
+        let_go()
         for batch in batches:
             counts: Counter = Counter()
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
@@ -203,6 +204,7 @@ def fit(docs: DataFrame, vocabulary_path: str, use: Column | None = None, per_la
             sent = spark.sparkContext.broadcast(p)
 
             def expect(batches, sent=sent):
+                let_go()
                 lattice = Lattice(read_pieces(vocabulary_path))
                 by_language = {lang: sent.value[:, k].tolist() for k, lang in enumerate(languages)}
                 sums = {lang: np.zeros(lattice.size) for lang in languages}
@@ -272,6 +274,7 @@ def predict(docs: DataFrame, model: Model, vocabulary_path: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        let_go()
         scorer = Scorer(sent.value, read_pieces(vocabulary_path))
         for batch in slices(batches, ROWS):
             found = scorer.score(batch["text"].to_pylist())
@@ -286,6 +289,7 @@ def keep_known(docs: DataFrame, model: Model, vocabulary_path: str, least_score:
     at = docs.columns.index("text")
 
     def run(batches):
+        let_go()
         scorer = Scorer(sent.value, read_pieces(vocabulary_path))
         for batch in slices(batches, ROWS):
             found = scorer.score(batch.column(at).to_pylist())

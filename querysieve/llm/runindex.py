@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from querysieve.llm.common import as_bytes, cut, shuffle_partitions
+from querysieve.llm.common import as_bytes, cut, let_go, shuffle_partitions, slices
 
 LENGTH, ANCHOR = 200, 32
 SLICE = 1 << 19  # bytes hashed at once
@@ -215,7 +215,8 @@ def windows(rows: DataFrame, length: int, anchor: int) -> DataFrame:
     """anchor, content (64-bit hash), id, place, n, twice for all runs of windows."""
 
     def run(batches):
-        for batch in batches:
+        let_go()
+        for batch in slices(batches, 1000):
             out = [[], [], [], [], [], []]
             for i, text in zip(batch["id"].to_pylist(), as_bytes(batch["text"])):
                 least, at, n, twice = window_runs(text, length, anchor)
@@ -378,7 +379,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, **parameters) -> DataFr
     joined = rows.join(lists.hint("shuffle_hash"), "id", "left").select("doc", "text", "found")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1000):
             kept = []
             for text, there, found in zip(as_bytes(batch["text"]), batch["text"].is_valid().to_pylist(), batch["found"]):
                 gone = _gone(text, found.as_py(), length)

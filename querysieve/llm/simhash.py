@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from querysieve.llm.common import as_bytes, cut, id_and_text
+from querysieve.llm.common import as_bytes, cut, id_and_text, let_go, slices
 from querysieve.llm.components import components
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
@@ -47,14 +47,15 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     """``docs`` (doc_id, text) -> doc_id, fp (64 bits in a long); one row per input row."""
 
     def run(batches):
-        for batch in batches:
+        let_go()
+        for batch in slices(batches, 1000):
             found = np.array([fingerprint(t, shingle, seed) for t in as_bytes(batch["text"])], np.uint64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found.view(np.int64), pa.int64())], ["doc_id", "fp"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def _without_bit(value: Column, width: int, parts: int, bit: Column) -> Column:
+def _without_bit(value: Column, width: int, bit: Column) -> Column:
     """A key from part ``bit // width`` of the value with that bit left out, and from which bit it was."""
     part = F.floor(bit / width).cast("int")
     piece = F.call_function("shiftrightunsigned", value, part * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
@@ -73,13 +74,13 @@ def _linked(filed: DataFrame, keys: list[str], most_bits: int) -> DataFrame:
 def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """``distinct`` (fp) -> a, b: all pairs that differ in at most three bits (a pair may come more than once)."""
     bits = F.explode(F.sequence(F.lit(0), F.lit(63)))
-    filed = distinct.select("fp", bits.alias("bit")).select("fp", "bit", _without_bit(F.col("fp"), 32, 2, F.col("bit")).alias("key"))
+    filed = distinct.select("fp", bits.alias("bit")).select("fp", "bit", _without_bit(F.col("fp"), 32, F.col("bit")).alias("key"))
     filed = filed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     few = _linked(filed.where(F.col("n") <= crowded).select("key", "fp"), ["key"], MOST_BITS)
     # The other half of a crowded key, by its two quarters.
     other = F.call_function("shiftrightunsigned", F.col("fp"), F.when(F.col("bit") < 32, 32).otherwise(0)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
     many = filed.where(F.col("n") > crowded).select("key", "fp", other.alias("other"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit2"))
-    many = many.select("key", "fp", _without_bit(F.col("other"), 16, 2, F.col("bit2")).alias("key2"))
+    many = many.select("key", "fp", _without_bit(F.col("other"), 16, F.col("bit2")).alias("key2"))
     return few.union(_linked(many, ["key", "key2"], MOST_BITS))
 
 
