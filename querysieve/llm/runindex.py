@@ -319,10 +319,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowded
     """``docs`` (doc_id, text) -> id, place, marks: per run of windows, the windows that start elsewhere too."""
     rows = _rows(docs)
     runs = windows(rows, length, anchor)
-    again = runs.groupBy("anchor").agg(F.sum(F.col("twice") + 1).alias("times")).where("times > 1").select("anchor")
+    # Checkpointed, so that the join stands on two plain shuffles, whose large partitions Spark can split.
+    again = cut(runs.groupBy("anchor").agg(F.sum(F.col("twice") + 1).alias("times")).where("times > 1").select("anchor"))
     kept = cut(runs.join(again, "anchor", "left_semi"))
     contents = kept.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.max("twice").alias("twice"), F.min(F.struct("id", "place", "n")).alias("one"))
-    groups = contents.groupBy("anchor").agg(F.count("*").alias("contents"))
+    groups = cut(contents.groupBy("anchor").agg(F.count("*").alias("contents")))
     contents = cut(contents.join(groups, "anchor").select("anchor", "content", "copies", "contents", "twice", "one.*"))
     copied = contents.where("copies > 1").select("anchor", "content", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"))).alias("marks"))
     wanted = contents.where((F.col("contents") > 1) | (F.col("twice") > 0)).withColumn("crowd", F.col("contents") > crowded)
