@@ -375,7 +375,8 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, **parameters) -> DataFr
     Bytes of a character that was cut are dropped with it.  A text that repeats elsewhere throughout becomes empty; a
     null text stays null.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"))
+    others = [f"`{c}`" for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"))
     lists = repeats(docs, length, **parameters).groupBy("id").agg(F.collect_list(F.struct("place", "marks")).alias("found"))
     joined = rows.join(lists.hint("shuffle_hash"), "id", "left").select("doc", "text", "found")
 
@@ -390,7 +391,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, **parameters) -> DataFr
 
     out = joined.mapInArrow(run, T.StructType([T.StructField("doc", rows.schema["doc"].dataType), T.StructField("kept", T.StringType())]))
     changed = {"text": F.col("kept"), "n_chars": F.length("kept")}
-    return out.select(*[changed.get(f.name, F.col("doc")[f.name]).cast(f.dataType).alias(f.name) for f in docs.schema])
+    return out.select(*[(changed[f.name] if f.name in changed else F.col("doc")[f.name]).cast(f.dataType).alias(f.name) for f in docs.schema])
 
 
 def digests(docs: DataFrame) -> DataFrame:
