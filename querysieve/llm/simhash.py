@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from querysieve.llm import nearcopies
 from querysieve.llm.common import as_bytes, cut, id_and_text, let_go, slices
 from querysieve.llm.components import components
 
@@ -96,9 +97,5 @@ def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that have one of smaller id in their component; all columns stay.
-
-    Rows without a doc_id stay.
-    """
-    gone = near_duplicates(docs).where("component_id < doc_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    """What the pipeline keeps: see ``nearcopies``, which has a rule of its own (five words, similarity 0.8)."""
+    return nearcopies.keep_first(docs)
