@@ -1,132 +1,35 @@
-"""Recognising one SQL statement, and its canonical text.
+"""Whether a string looks like one SQL statement, and its canonical text: column expressions only.
 
-The one place where rows pass through Python: no built-in function can say whether a string is a statement.  A
-statement is accepted if its tokens are well formed (quotes and brackets close, no stray signs) and it opens like a
-known kind and holds that kind's parts in order.  The canonical text has single spaces and no comments.
-
-This recogniser covers SELECT (with joins, set operations, sub-queries, LIMIT and TOP), INSERT, UPDATE, DELETE,
-CREATE, DROP and ALTER.  What a full multi-dialect parser accepts cannot be reproduced without it; both branches of
-the features are therefore usable with any accept flag.
+No parser is rebuilt here.  A statement is recognised by how it opens and closes: a known opening, quotes and brackets
+in pairs, no second statement after a semicolon, no operator or clause left open, and no more WHERE than
+SELECT.  What a full multi-dialect parser accepts can't be reproduced so; both branches of the features are therefore
+usable with any accept flag.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"""(?P<blank>\s+|--[^\n]*|/\*.*?\*/)|(?P<text>'(?:[^']|'')*'|"[^"]+"|`[^`]+`|\[[A-Za-z_][^\]]*\])"""
-    r"""|(?P<number>\d+(?:\.\d+)?(?:E[+-]?\d+)?|\.\d+)|(?P<name>[^\W\d]\w*(?:[$@]\w*)*|[@:]\w+|\?)"""
-    r"""|(?P<sign><>|<=|>=|!=|\|\||::|[-+*/%=<>(),.;&|^~])""",
-    re.S,
-)
-_CLAUSES = ["FROM", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "OFFSET", "FETCH", "FOR"]
-_SETS = {"UNION", "INTERSECT", "EXCEPT", "MINUS"}
-_WORDS = {*_CLAUSES, *_SETS, "SELECT", "BY", "ON", "JOIN", "AND", "OR", "NOT", "IN", "LIKE", "BETWEEN", "IS", "AS", "SET", "VALUES", "INTO", "THEN", "ELSE", "WHEN"}
-_AFTER_OPERATOR = {"FROM", "WHERE", "GROUP", "HAVING", "ORDER", "UNION", "AND", "OR", "BY", "THEN", "ELSE", "WHEN", ")", ",", ""}
-_BINARY = {"=", "<", ">", "<=", ">=", "<>", "!=", "||", "+", "/", "%", "AND", "OR", "LIKE", "BETWEEN", ","}
-_OPENINGS = {
-    "INSERT": ["INSERT", "INTO"],
-    "UPDATE": ["UPDATE", None, "SET"],
-    "DELETE": ["DELETE", "FROM"],
-    "CREATE": ["CREATE", None],
-    "DROP": ["DROP", None],
-    "ALTER": ["ALTER", None],
-}
-
-
-def tokens(text: str) -> list[str] | None:
-    """The tokens without comments, or None if some sign starts none."""
-    at, out = 0, []
-    while at < len(text):
-        m = _TOKEN.match(text, at)
-        if m is None or (m.lastgroup == "blank" and text.startswith("/*", at) and not m.group().endswith("*/")):
-            return None
-        if m.lastgroup != "blank":
-            out.append(m.group())
-        at = m.end()
-    return out
-
-
-def _groups(words: list[str]) -> list | None:
-    """Bracketed parts as nested lists, or None if brackets don't pair."""
-    stack: list[list] = [[]]
-    for w in words:
-        if w == "(":
-            stack.append([])
-        elif w == ")":
-            if len(stack) == 1:
-                return None
-            inner = stack.pop()
-            stack[-1].append(inner)
-        else:
-            stack[-1].append(w)
-    return stack[0] if len(stack) == 1 else None
-
-
-def _sound(part: list) -> bool:
-    """No operator without a right side, no two values side by side without a word between; also inside brackets."""
-    for here, after in zip(part, [*part[1:], ""]):
-        if isinstance(here, list):
-            if here and here[0] == "SELECT" and not _select(here) or not (here and here[0] == "SELECT") and not _sound(here):
-                return False
-            if isinstance(after, str) and after[:1] in "'" and after:
-                return False
-        elif here in _BINARY and isinstance(after, str) and after in _AFTER_OPERATOR:
-            return False
-        elif here[:1] in "'0123456789" and here and isinstance(after, str) and after[:1] in "'0123456789" and after:
-            return False
-    return True
-
-
-def _select(part: list) -> bool:
-    """SELECT with its clauses in order; set operations join several."""
-    own: list = []
-    for k, w in enumerate(part):
-        if isinstance(w, str) and w in _SETS:
-            rest = part[k + 1 :]
-            rest = rest[1:] if rest and rest[0] in ("ALL", "DISTINCT") else rest
-            return _select(own) and bool(rest) and (_select(rest) if rest[0] == "SELECT" else isinstance(rest[0], list) and _select(rest[0]))
-        own.append(w)
-    if not own or own[0] != "SELECT":
-        return False
-    seen = -1
-    for here, after in zip(own, [*own[1:], ""]):
-        if isinstance(here, str) and here in _CLAUSES:
-            if _CLAUSES.index(here) <= seen:
-                return False
-            seen = _CLAUSES.index(here)
-            if after == "" or isinstance(after, str) and after in _WORDS - {"BY", "NOT", "SELECT"}:
-                return False
-    body = own[1:]
-    return bool(body) and not (isinstance(body[0], str) and body[0] in _CLAUSES) and _sound(own)
-
+from querysieve.functions.text import blanks_collapsed, trimmed
 
-def canonical(text: str | None) -> str | None:
-    """The statement's text in single spaces, or None if it isn't recognised.  ``text`` is already upper case."""
-    words = tokens(text or "")
-    if words and words[-1] == ";":
-        words = words[:-1]
-    if not words or ";" in words:
-        return None
-    tree = _groups(words)
-    if tree is None:
-        return None
-    if words[0] == "SELECT" or isinstance(tree[0], list):
-        ok = _select(tree if isinstance(tree[0], str) else tree[0])
-    else:
-        opening = _OPENINGS.get(words[0])
-        ok = opening is not None and len(words) > len(opening) and all(o is None or o == w for o, w in zip(opening, words)) and _sound(tree)
-    return " ".join(words) if ok else None
+# What a comment is (texts in quotes are kept), how statements open, and operators and clauses that nothing follows.
+COMMENTS = r"(?s)('[^']*')|--.*|/\*.*?\*/"
+TEXTS = "'[^']*'"
+OPENINGS = r"(?s)^(SELECT .|INSERT INTO .|UPDATE .+ SET .|DELETE FROM .|CREATE .|DROP .|ALTER .)"
+LEFT_OPEN = r"([=<>,+/]|\b(FROM|WHERE|AND|OR|BY|SET|SELECT|UNION|ALL|HAVING|LIKE|IN|JOIN|ON|INTO|VALUES)) ?($|\)|\b(FROM|WHERE|GROUP|ORDER|HAVING|UNION|AND|OR)\b)"
 
 
-def _canonical(texts: pd.Series) -> pd.Series:
-    return texts.map(canonical)
+def canonical(p: Column) -> Column:
+    """The string without comments and without a semicolon at its end, in single spaces."""
+    return F.regexp_replace(trimmed(blanks_collapsed(F.regexp_replace(p, COMMENTS, "$1"))), " ?;$", "")
 
 
 def recognised(p: Column) -> Column:
-    """Canonical text of normalised strings, null where none is recognised; runs on Arrow batches."""
-    return F.pandas_udf(_canonical, "string")(p)
+    """Canonical text of normalised strings, null where none is recognised."""
+    text = canonical(p)
+    bare = F.regexp_replace(text, TEXTS, "?")
+    count = lambda what: F.regexp_count(bare, F.lit(what))
+    closed = ~F.contains(bare, F.lit("'")) & (count(r"\(") == count(r"\)")) & ~F.contains(bare, F.lit(";"))
+    ends = ~bare.rlike(LEFT_OPEN) & (count(r"\bWHERE\b") <= F.greatest(count(r"\bSELECT\b"), F.lit(1)))
+    return F.when(bare.rlike(OPENINGS) & closed & ends, text)

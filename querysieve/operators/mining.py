@@ -13,6 +13,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querysieve.operators.held import held
+
 
 def nonempty(transactions: DataFrame) -> DataFrame:
     return transactions.where(F.size("items") > 0)
@@ -24,8 +26,13 @@ def least_count(min_support: float, n: Column) -> Column:
 
 
 def compressed(transactions: DataFrame) -> DataFrame:
-    """Distinct non-empty transactions (items ascending) with their number: one shuffle, combined before it."""
-    return nonempty(transactions).select(F.array_sort("items").alias("items")).groupBy("items").agg(F.count("*").alias("n"))
+    """Distinct non-empty transactions (items ascending) with their number: one scan and shuffle, combined before it.
+
+    Held, as all miners read it several times.  Empty ones go by their aggregated size: a filter on the items themselves
+    would be pushed down to the scan, with the whole chain that computes them.
+    """
+    rows = transactions.select(F.array_sort("items").alias("items")).groupBy("items").agg(F.count("*").alias("n"), F.max(F.size("items")).alias("size"))
+    return held(rows.where("size > 0").select("items", "n"))
 
 
 def subsets(items: Column) -> Column:
@@ -50,29 +57,26 @@ def itemsets(transactions: DataFrame, min_support: float) -> DataFrame:
 
 def eclat(transactions: DataFrame, min_support: float) -> DataFrame:
     """The same by vertical lists; levels end when an itemset can't grow, after at most the longest transaction."""
-    rows = compressed(transactions).select("items", "n", F.xxhash64("items").alias("tid")).persist()
-    try:
-        sizes = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max(F.size("items")).alias("longest")).first()
-        least = max(1, -(-int(round(min_support * sizes["n"] * 1e9)) // 10**9))
-        weights = rows.select("tid", "n")
-        single = rows.select(F.explode("items").alias("item"), "tid")
-        level = single.select(F.array("item").alias("items"), "tid")
-        found = None
-        for _ in range(sizes["longest"] or 0):
-            counted = level.join(weights, "tid").groupBy("items").agg(F.sum("n").alias("freq")).where(F.col("freq") >= least).persist()
-            if counted.isEmpty():
-                break
-            found = counted if found is None else found.unionByName(counted)
-            alive = level.join(counted.select("items"), "items", "left_semi")
-            level = alive.join(single, "tid").where(F.col("item") > F.element_at("items", -1)).select(F.concat("items", F.array("item")).alias("items"), "tid")
-        return found if found is not None else rows.select("items", F.col("n").alias("freq")).limit(0)
-    finally:
-        rows.unpersist()
+    rows = compressed(transactions).select("items", "n", F.xxhash64("items").alias("tid"))
+    sizes = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max(F.size("items")).alias("longest")).first()
+    least = max(1, -(-int(round(min_support * sizes["n"] * 1e9)) // 10**9))
+    weights = rows.select("tid", "n")
+    single = rows.select(F.explode("items").alias("item"), "tid")
+    level = single.select(F.array("item").alias("items"), "tid")
+    found = rows.select("items", F.col("n").alias("freq")).limit(0)
+    for _ in range(sizes["longest"] or 0):
+        counted = held(level.join(weights, "tid").groupBy("items").agg(F.sum("n").alias("freq")).where(F.col("freq") >= least))
+        if counted.isEmpty():
+            break
+        found = found.unionByName(counted)
+        alive = level.join(counted.select("items"), "items", "left_semi")
+        level = held(alive.join(single, "tid").where(F.col("item") > F.element_at("items", -1)).select(F.concat("items", F.array("item")).alias("items"), "tid"))
+    return found
 
 
 def fp_growth(transactions: DataFrame, min_support: float) -> DataFrame:
     """The same by Spark's FP-Growth, whose own support counts every row: so only non-empty ones go in."""
-    found = FPGrowth(itemsCol="items", minSupport=min_support).fit(nonempty(transactions)).freqItemsets
+    found = FPGrowth(itemsCol="items", minSupport=min_support).fit(nonempty(held(transactions.select("items")))).freqItemsets
     return found.select(F.array_sort("items").alias("items"), "freq")
 
 

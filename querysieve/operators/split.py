@@ -5,38 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 TRAIN_SHARE = 0.8
+DIGITS = 4  # of the hash, counted at once
 
 
 def split(rows: DataFrame, text: str = "raw_sql", key: str = "id", share: float = TRAIN_SHARE) -> DataFrame:
-    """Adds ``is_train``: the ``floor(share x n)`` rows of smallest md5 of their text (ties by key).
+    """Adds ``is_train``: the ``floor(share x n)`` rows of smallest md5 of text and key.
 
-    The order is a fixed shuffle that any engine can repeat.  Rows are counted by the first four hex digits of the hash;
-    only the one group in which the border falls is ranked, so no task ever holds all rows in order.
+    The order is a fixed shuffle that any engine can repeat.  Where it is cut is found by counting rows by the next
+    ``DIGITS`` hex digits of the hash, only within the group in which the border falls; nothing is sorted or ranked, and
+    rows of one text lie all over the order.  Rows that repeat text and key can't be told apart and stay on one side.
     """
-    hashed = rows.withColumn("__h", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).withColumn("__group", F.substring("__h", 1, 4))
-    counts = sorted((r["__group"], r["n"]) for r in hashed.groupBy("__group").agg(F.count("*").alias("n")).collect())  # 65,536 at most
-    wanted, before, border = int(share * sum(n for _, n in counts)), 0, None
-    for group, n in counts:
-        if before + n > wanted:
-            border = group
+    place = F.md5(F.concat_ws("|", F.coalesce(F.col(text), F.lit("")), F.col(key).cast("string")).cast("binary"))
+    hashed = rows.select(place.alias("h"))
+    wanted, border = None, ""
+    while len(border) < 32:
+        group = F.substring("h", 1, len(border) + DIGITS)
+        counts = sorted(map(tuple, hashed.where(F.col("h").startswith(border)).groupBy(group.alias("g")).agg(F.count("*").alias("n")).collect()))  # 65,536 at most
+        wanted = int(share * sum(n for _, n in counts)) if wanted is None else wanted
+        for g, n in counts:
+            if n > wanted:
+                border = g
+                break
+            wanted -= n
+        else:
+            border = "g"  # beyond every digit: all rows are wanted
+            break
+        if not wanted:
             break
-        before += n
-    if border is None:
-        return hashed.withColumn("is_train", F.lit(True)).drop("__h", "__group")
-    inside = hashed.where(F.col("__group") == border)
-    rank = F.row_number().over(Window.partitionBy("__group").orderBy("__h", key))
-    ranked = inside.withColumn("is_train", rank <= wanted - before)
-    outside = hashed.where(F.col("__group") != border).withColumn("is_train", F.col("__group") < border)
-    return outside.unionByName(ranked).drop("__h", "__group")
+    return rows.withColumn("is_train", place < border)
 
 
 def java_shuffled(n: int, seed: int) -> list[int]:
     """The order that a shuffle by the 48-bit linear congruential generator of the JVM gives 0..n-1.
 
     For comparing with runs made elsewhere on small inputs: it is one long chain of draws, so it can't be distributed.
+    A help for tests, which no query uses.
     """
     # Multiplier, increment and mask of that generator.
     multiplier, increment, mask = 0x5DEECE66D, 0xB, (1 << 48) - 1

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from querysieve.functions.features import SLOTS
 from querysieve.functions.items import BENIGN, MALICIOUS
+from querysieve.functions.sqltext import COMMENTS, LEFT_OPEN, OPENINGS, TEXTS
 from querysieve.plans.corpus import corpus_sql
 
 BLANKS = r"[ \t\n\x0B\f\r]+"
@@ -90,7 +91,7 @@ def text_of(items: str, separator: str = ",") -> str:
 
 
 SPLIT = (
-    ", ranked AS (SELECT *, row_number() OVER (ORDER BY md5(raw_sql), id) <= floor(0.8 * (SELECT count(*) FROM tx)) AS is_train FROM tx)"
+    ", ranked AS (SELECT *, row_number() OVER (ORDER BY md5(raw_sql || '|' || id)) <= floor(0.8 * (SELECT count(*) FROM tx)) AS is_train FROM tx)"
     ", train AS (SELECT * FROM ranked WHERE is_train)"
 )
 SHOWN_RULES = f"{text_of('antecedent')} AS antecedent, {text_of('consequent')} AS consequent, support, round(confidence, 6) AS confidence"
@@ -138,6 +139,26 @@ def features_of(table: str, key: str, text: str) -> str:
     return f"WITH normal AS (SELECT {key} AS id, {normalized(text)} AS p FROM {table}), featured AS (SELECT *, {listed(slots())} FROM normal) SELECT id, {ROUNDED} FROM featured"
 
 
+def recognised() -> str:
+    """CTE ``parsed``: the normalised rows with their canonical text (``text``) and whether it is a statement (``accepted``)."""
+    quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    kept = rf"regexp_replace(p, {quoted(COMMENTS)}, '\1', 'g')"
+    text = f"regexp_replace(trim(regexp_replace({kept}, ' +', ' ', 'g'), ' '), ' ?;$', '')"
+    count = lambda what: f"len(regexp_extract_all(bare, {quoted(what)}))"
+    closed = rf"NOT contains(bare, {quoted(chr(39))}) AND {count('[(]')} = {count('[)]')} AND NOT contains(bare, ';')"
+    ends = rf"NOT regexp_matches(bare, {quoted(LEFT_OPEN)}) AND {count(chr(92) + 'bWHERE' + chr(92) + 'b')} <= greatest({count(chr(92) + 'bSELECT' + chr(92) + 'b')}, 1)"
+    return (
+        f"{NORMAL}, plain AS (SELECT *, {text} AS text FROM normal), bared AS (SELECT *, regexp_replace(text, {quoted(TEXTS)}, '?', 'g') AS bare FROM plain)"
+        f", parsed AS (SELECT *, regexp_matches(bare, {quoted(OPENINGS)}) AND {closed} AND {ends} AS accepted FROM bared)"
+    )
+
+
+def features_parsed() -> str:
+    own, known = slots(), {"f1": equals("text"), "f2": "contains(text, 'WHERE')::INT::DOUBLE", "f3": words("text", "SELECT"), "f4": "contains(text, 'UNION')::INT::DOUBLE"}
+    both = {s: f"CASE WHEN accepted THEN {known[s]} ELSE {own[s]} END" if s in known else own[s] for s in SLOTS}
+    return f"{recognised()}, featured AS (SELECT id, accepted, {listed(both)} FROM parsed) SELECT id, accepted, {ROUNDED} FROM featured"
+
+
 _LITERAL = signs("p", literal=True)
 ACCEPTED = "regexp_matches(p, '^SELECT .* FROM ')"
 BAD_LABELS = "CASE id % 5 WHEN 0 THEN label::VARCHAR WHEN 1 THEN ' ' || label WHEN 2 THEN 'x' || label WHEN 3 THEN '+' || label ELSE '' END"
@@ -157,8 +178,9 @@ SQL = {
         f" CASE WHEN {ACCEPTED} THEN contains(p, 'WHERE')::INT::DOUBLE ELSE {words('p', 'WHERE')} END AS f2, {words('p', 'SELECT')} AS f3,"
         f" CASE WHEN {ACCEPTED} THEN contains(p, 'UNION')::INT::DOUBLE ELSE {words('p', 'UNION')} END AS f4 FROM normal"
     ),
+    "features_parsed": features_parsed(),
     "features_literal": f"{NORMAL} SELECT id, {_LITERAL[0]} AS f5, {_LITERAL[1]} AS f6 FROM normal",
-    "vector_codec": f"{FEATURES} SELECT id, {', '.join(SLOTS[:7])} FROM featured",
+    "vector_codec": f"{FEATURES} SELECT id, {ROUNDED} FROM featured",
     "items_stage3": f"{rows_with_items(3)} SELECT id, {text_of('items', ' ')} AS items FROM tx",
     "items_stage4": f"{rows_with_items(4)} SELECT id, {text_of('items', ' ')} AS items FROM tx",
     "transaction_lines": f"{rows_with_items(4)} SELECT id, CASE WHEN len(items) > 0 THEN {text_of('items', ' ')} || ' ' ELSE '' END AS line FROM tx",

@@ -93,8 +93,8 @@ def features_literal(spark, sf_dir):
 
 
 def vector_codec(spark, sf_dir):
-    rows = featured(corpus(spark, sf_dir)).select("id", vector_to_text(F.array(*SLOTS[:7])).alias("text")).select("id", text_to_vector(F.col("text")).alias("v"))
-    return rows.select("id", *[F.col("v")[k].alias(s) for k, s in enumerate(SLOTS[:7])])
+    rows = featured(corpus(spark, sf_dir)).select("id", vector_to_text(F.array(*SLOTS)).alias("text")).select("id", text_to_vector(F.col("text")).alias("v"))
+    return _slots(rows.select("id", *[F.col("v")[k].alias(s) for k, s in enumerate(SLOTS)]), "id")
 
 
 def items_of(stage, spark, sf_dir):
@@ -157,8 +157,8 @@ def model(name, spark, sf_dir, scenario: int = 2):
 
 
 def scenario_grid(spark, sf_dir):
-    """All seven scenarios with the quickest model."""
-    return scenarios.run_all(corpus(spark, sf_dir), ["naive_bayes"])
+    """All seven scenarios with all six models."""
+    return scenarios.run_all(corpus(spark, sf_dir))
 
 
 def count_rows(label, spark, sf_dir):

@@ -8,22 +8,24 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from querysieve.functions.features import SLOTS
 from querysieve.operators.expand import SCENARIOS, expand
+from querysieve.operators.held import held
 from querysieve.operators.metrics import confusion_metrics
-from querysieve.operators.mining import nonempty
 from querysieve.operators.models import MODELS, predictions, vectors
 from querysieve.operators.split import split
 from querysieve.plans.corpus import featured, transactions
 
 
 def prepared(rows: DataFrame, parsed: bool = False) -> DataFrame:
-    """``rows`` (id, raw_sql, label) -> slots, items and is_train."""
-    return split(transactions(featured(rows, parsed=parsed)))
+    """``rows`` (id, raw_sql, label) -> id, label, slots, items and is_train, computed once for all that reads them."""
+    ready = transactions(featured(split(rows), parsed=parsed))
+    return held(ready.select("id", "label", *SLOTS, "items", "is_train"))
 
 
 def expanded(ready: DataFrame, scenario: int) -> DataFrame:
     """``ready`` from ``prepared`` -> ``expanded`` added; patterns and rules come from the training part only."""
-    return expand(ready, nonempty(ready.where("is_train")), scenario)
+    return expand(ready, ready.where("is_train"), scenario)
 
 
 def run_scenario(ready: DataFrame, scenario: int, models: Iterable[str] = MODELS) -> DataFrame:
@@ -52,13 +54,10 @@ def feature_time(ready: DataFrame, scenario: int) -> tuple[float, int]:
 
 
 def run_all(rows: DataFrame, models: Iterable[str] = MODELS) -> DataFrame:
-    """Every scenario with every model."""
-    ready = prepared(rows).persist()
-    try:
-        out = None
-        for number in SCENARIOS:
-            found = run_scenario(ready, number, models)
-            out = found if out is None else out.unionByName(found)
-        return out
-    finally:
-        ready.unpersist()
+    """Every scenario with every model; scenarios that add nothing have the same rows, so they are run once."""
+    ready, out, plain, models = prepared(rows), None, None, list(models)
+    for number, scenario in SCENARIOS.items():
+        found = run_scenario(ready, number, models) if scenario.uses or plain is None else plain.withColumn("scenario", F.lit(number))
+        plain = found if scenario.uses is None and plain is None else plain
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from querysieve.operators.importing import first_of_each, new_only, skip_bad_rows
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
+def read_log(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """``Query`` and ``Label`` of an RFC 4180 file with a header -> raw_sql, label (text) and ``ord`` (file order).
 
     Columns are found by name; quoted fields may hold line breaks and doubled quotes; blank lines are skipped.  ``ord``
     rises within a file in its order, and between files in order of their names.
+
+    A file whose fields may hold line breaks is read by one task; for one large log without any, ``line_breaks=False``
+    lets Spark split it.
     """
-    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8", "enforceSchema": False, "inferSchema": False}
+    options = {"header": True, "multiLine": line_breaks, "quote": '"', "escape": '"', "encoding": "UTF-8", "enforceSchema": False, "inferSchema": False}
     rows = spark.read.options(**options).csv(path)
     order = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
     return rows.select(F.coalesce("Query", F.lit("")).alias("raw_sql"), F.col("Label").alias("label"), order.alias("ord"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from querysieve.operators.held import held
+from querysieve.operators.importing import first_of_each, new_only
+
 TRAINING_DATA = T.StructType(
     [
         T.StructField("id", T.LongType(), False),
@@ -17,10 +21,16 @@ TRAINING_DATA = T.StructType(
 )
 
 
+DEFAULTS = {"is_trained": "0", "created_at": "current_timestamp()"}
+
+
 def create(spark: SparkSession, name: str = "training_data") -> None:
-    """Creates the table unless it is there; running it again changes nothing."""
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TRAINING_DATA)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet")
+    """Creates the table unless it is there; running it again changes nothing.
+
+    ``raw_sql`` is unique because ``append`` is the way in; Spark itself keeps no unique columns.
+    """
+    column = lambda f: f"{f.name} {f.dataType.simpleString()}" + (" NOT NULL" if not f.nullable else "") + (f" DEFAULT {DEFAULTS[f.name]}" if f.name in DEFAULTS else "")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(map(column, TRAINING_DATA))}) USING parquet")
 
 
 def read(spark: SparkSession, name: str = "training_data") -> DataFrame:
@@ -31,10 +41,16 @@ def names(spark: SparkSession) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables())
 
 
-def append(rows: DataFrame, name: str = "training_data") -> int:
-    """Adds rows in one atomic write; returns how many."""
-    ordered = rows.select(*[rows[f.name].cast(f.dataType) for f in TRAINING_DATA])
-    spark = rows.sparkSession
-    before = spark.table(name).count()
-    ordered.write.insertInto(name)
-    return spark.table(name).count() - before
+def append(rows: DataFrame, name: str = "training_data") -> dict[str, int]:
+    """Adds the rows whose ``raw_sql`` the table doesn't have, the first (by id) of equal ones, in one atomic write.
+
+    Missing columns get their defaults.  Returns how many rows were ``attempted`` and how many ``inserted``, both counted
+    by the write itself.
+    """
+    spark, attempted, inserted = rows.sparkSession, Observation(), Observation()
+    absent = {f.name: F.expr(DEFAULTS.get(f.name, "null")) for f in TRAINING_DATA if f.name not in rows.columns}
+    ordered = rows.withColumns(absent).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TRAINING_DATA])
+    ordered = ordered.observe(attempted, F.count("*").alias("n"))
+    fresh = new_only(first_of_each(ordered, "raw_sql", ["id"]).drop("n_dups"), spark.table(name)).select(*TRAINING_DATA.names)
+    held(fresh.observe(inserted, F.count("*").alias("n"))).write.insertInto(name)
+    return {"attempted": attempted.get["n"], "inserted": inserted.get["n"]}

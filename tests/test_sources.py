@@ -29,13 +29,32 @@ def test_table(spark):
     spark.sql("DROP TABLE IF EXISTS training_data")
     tables.create(spark)
     tables.create(spark)
-    rows = spark.createDataFrame([(1, "select 1", 0)], "id long, raw_sql string, label int")
-    rows = rows.withColumns({"feature_vector": F.lit(None), "is_trained": F.lit(0), "created_at": F.current_timestamp()})
-    assert tables.append(rows) == 1 and tables.read(spark).count() == 1
+    rows = spark.createDataFrame([(1, "select 1", 0), (2, "a", 1), (3, "a", 0)], "id long, raw_sql string, label int")
+    assert tables.append(rows) == {"attempted": 3, "inserted": 2}
+    assert tables.append(rows.where("id > 1").unionByName(spark.createDataFrame([(4, "b", 1)], rows.schema))) == {"attempted": 3, "inserted": 1}
+    got = {r.raw_sql: r for r in tables.read(spark).collect()}
+    assert set(got) == {"select 1", "a", "b"} and got["a"].id == 2
+    assert all(r.is_trained == 0 and r.created_at is not None and r.feature_vector is None for r in got.values())
     assert "training_data" in tables.names(spark)
+    spark.sql("INSERT INTO training_data (id, raw_sql, label) VALUES (9, 'c', 1)")
+    assert tables.read(spark).where("id = 9 and is_trained = 0 and created_at is not null").count() == 1
     spark.sql("DROP TABLE training_data")
 
 
+def test_large_logs_can_be_split(spark, tmp_path):
+    lines = ["Query,Label"] + [f'"select {k}, ""x""",{k % 2}' for k in range(3000)]
+    (tmp_path / "log.csv").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        log = csvlog.read_log(spark, str(tmp_path / "log.csv"), line_breaks=False)
+        assert log.rdd.getNumPartitions() > 2 and csvlog.read_log(spark, str(tmp_path / "log.csv")).rdd.getNumPartitions() == 1
+        rows = sorted(log.collect(), key=lambda r: r.ord)
+        assert [r.raw_sql for r in rows] == [f'select {k}, "x"' for k in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_fill_is_idempotent(spark):
     rows = spark.createDataFrame([(1, "select 1"), (2, "a=b")], "id long, raw_sql string")
     none = importing.fill_features(rows, rows.where("false").selectExpr("id", *[f"0d f{k}" for k in range(8)]))
@@ -77,6 +96,13 @@ def test_split_sizes(spark, n):
     assert got.where("is_train").count() == int(0.8 * n) and got.count() == n
 
 
+def test_split_of_one_text(spark):
+    """Rows of one text lie all over the order, so none of them meet in one task."""
+    got = split(spark.range(3000).selectExpr("id", "'same' raw_sql"))
+    assert got.where("is_train").count() == 2400
+    assert split(spark.range(50).selectExpr("id", "cast(null as string) raw_sql"), share=1.0).where("not is_train").count() == 0
+
+
 def test_shuffle_of_the_jvm(spark):
     jvm = spark._jvm
     for n in (10, 64, 1000):
