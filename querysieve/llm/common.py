@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 from collections.abc import Callable, Hashable, Iterator
 from typing import TypeVar
 
@@ -11,6 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querysieve.operators.held import ensure_checkpoint_dir
+from querysieve.operators.held import held as cut
+
+__all__ = ["as_bytes", "cut", "ensure_checkpoint_dir", "id_and_text", "let_go", "only_one", "shuffle_partitions", "slices", "table"]
+
 T = TypeVar("T")
 
 
@@ -23,21 +27,6 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Cluster folder from ``spark.checkpoint.dir``; a folder of our own only where none is configured (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="querysieve-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later steps read shared files instead of recomputing the lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

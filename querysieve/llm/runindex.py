@@ -9,16 +9,17 @@ match of every position streams from the samples.  The more repetitive the strin
 
 How it runs:
 
-1. ``windows``: each document's 200-byte windows are cut into runs of windows with one least 32-byte hash (an
-   anchor).  Equal windows share it.  Anchors that occur once are dropped (counts combined before the shuffle).
-2. The bytes of a run of windows (its *content*) are hashed; equal contents count as one, so exact copies of
-   passages never meet as rows.  A content that occurs twice is removed whole.
-3. Where one anchor has several contents, one copy of each is fetched and indexed together with those of other
-   anchors, a few MB to an index; windows whose longest match reaches 200 bytes are marked.
-4. Marks go back to all copies of the content, and to the documents.
-
-An anchor with more than ``CROWDED`` contents (a passage in very many surroundings) isn't indexed by one task: its
-windows are counted by 128-bit hash instead, which combines before the shuffle.
+1. ``windows``: each text's 200-byte windows are cut into runs of windows with one least 32-byte hash (an anchor), of
+   ``RUN`` windows at most.  Equal windows share it.  Anchors that occur once are dropped (counted before the shuffle).
+2. The bytes of a run of windows (its *content*) are hashed.  Of equal contents two copies from different places are
+   fetched, of any other one; the index of their anchor decides on the bytes which windows start elsewhere too.
+3. An index takes the contents of whole anchors, a few MB of bytes.  Contents of an anchor with more than ``GROUP_BYTES``
+   of them (a line in very many surroundings) are dealt out anew: they are texts of their own, whose windows meet by
+   longer anchors (``ANCHORS``; the last is the whole window), so any number of tasks shares them.
+4. Marks go back to all copies of the content whose 128-bit hash is that of the indexed bytes, and to the texts.
+
+Identity.  A text is known by 88 bits of its SHA-256, whatever its doc_id: equal texts are copies of each other
+throughout, and rows without a doc_id, or with one doc_id, are told apart by what they say.  Nothing is grouped by doc_id.
 
 Edge cases: a null text has no bytes; texts under 200 bytes are kept whole; matches never cross documents; equal
 rows are copies of each other; rows that share a doc_id, or have none, are separate documents.  Removal can cut a
@@ -30,18 +31,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from querysieve.llm.common import as_bytes, cut, let_go, shuffle_partitions, slices
 
-LENGTH, ANCHOR = 200, 32
+LENGTH, ANCHORS = 200, (32, 128, 200)
 SLICE = 1 << 19  # bytes hashed at once
-INDEX_BYTES = 1 << 20
-CROWDED = 8000
-LAST = (1 << 63) - 1
-PLACE_BITS = 40  # a place: 23 bits of the text's hash (tells apart rows of one doc_id) and a byte number
+RUN = 4096  # windows of one content at most
+INDEX_BYTES = GROUP_BYTES = 1 << 20
+PLACE_BITS = 32  # a place: 28 bits of the text's hash and a byte number
 
 
 def _mixed(x: np.ndarray, factor: int) -> np.ndarray:
@@ -50,16 +50,17 @@ def _mixed(x: np.ndarray, factor: int) -> np.ndarray:
     return x
 
 
-def anchor_hashes(b: np.ndarray, anchor: int = ANCHOR) -> np.ndarray:
-    """A hash of the ``anchor`` bytes (a power of two, 8 at least) from each position on."""
+def anchor_hashes(b: np.ndarray, anchor: int = ANCHORS[0]) -> np.ndarray:
+    """A hash of the ``anchor`` bytes (8 at least) from each position on."""
     w = b.astype(np.uint64)
     for step in (1, 2, 4):
         w = w[:-step] << np.uint64(8 * step) | w[step:]
-    step = 8
-    while step < anchor:
+    size = 8
+    while size < anchor:
+        step = min(size, anchor - size)
         w = _mixed(w, 0x9E3779B97F4A7C15)
         w = w[:-step] * np.uint64(0x165667B19E3779F9) + w[step:]
-        step *= 2
+        size += step
     return _mixed(_mixed(w, 0xD6E8FEB86659FD93), 0xA0761D6478BD642F)
 
 
@@ -84,21 +85,24 @@ def _served_twice(h: np.ndarray, least: np.ndarray) -> np.ndarray:
     return served[1:][served[1:] == served[:-1]]
 
 
-def window_runs(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_runs(text: bytes, length: int = LENGTH, anchor: int = ANCHORS[0], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one least anchor: anchor hash, first window, number of windows, whether it may repeat itself."""
     n, width = len(text) - length + 1, length - anchor + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-    b = np.frombuffer(text, np.uint8)
-    parts, twice = [], []
+    b, parts = np.frombuffer(text, np.uint8), []
     for at in range(0, n, SLICE):
         h = anchor_hashes(b[at : at + SLICE + length - 1], anchor)
-        parts.append(sliding_least(h, width))
-        twice.append(_served_twice(h, parts[-1]))
-    least = np.concatenate(parts)
-    starts = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
-    sizes = np.diff(np.concatenate((starts, [n])))
-    return least[starts], starts, sizes, np.isin(least[starts], np.concatenate(twice)) | (sizes > width)
+        least = sliding_least(h, width)
+        starts = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
+        sizes = np.diff(np.concatenate((starts, [len(least)])))
+        twice = np.isin(least[starts], _served_twice(h, least)) | (sizes > width)
+        pieces = -(-sizes // run)
+        which = np.repeat(np.arange(len(sizes)), pieces)
+        skipped = run * (np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        starts, sizes, twice = starts[which] + skipped, np.minimum(sizes[which] - skipped, run), twice[which]
+        parts.append((least[starts], starts + at, sizes, twice))
+    return tuple(np.concatenate(c) for c in zip(*parts))
 
 
 def _ranked(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -199,64 +203,92 @@ class RunIndex:
         return np.minimum(best, self.left)
 
 
-def _tag(text: bytes) -> int:
-    return (xxhash.xxh3_64_intdigest(text) & 0x7FFFFF) << PLACE_BITS
+def _rows(docs: DataFrame, carried: Column) -> DataFrame:
+    """doc (what ``carried`` says), text as bytes, and id and tag: 60 and 28 bits of the text's SHA-256."""
+    docs = docs.select(carried.alias("doc"), F.col("text").cast("string").cast("binary").alias("text"))
+    return _known(docs)
+
+
+def _known(rows: DataFrame) -> DataFrame:
+    digits = rows.select("*", F.sha2(F.coalesce("text", F.lit(b"")), 256).alias("digits"))
+    bits = lambda start, n: F.conv(F.substring("digits", start, n), 16, 10).cast("long")
+    return digits.select("doc", bits(1, 15).alias("id"), F.shiftleft(bits(16, 7), PLACE_BITS).alias("tag"), "text")
+
 
+def _content(text: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text)
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"),
-        F.col("text").cast("string").alias("text"),
-    )
+
+def _check(text: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(text)
+
+
+def anchors_again(rows: DataFrame, length: int, anchor: int) -> DataFrame:
+    """The anchors of several runs of windows, or of one that may repeat itself."""
+
+    def run(batches):
+        let_go()
+        for batch in slices(batches, 1000):
+            out = [window_runs(text, length, anchor) for text in as_bytes(batch["text"])]
+            least, twice = (np.concatenate([np.empty(0, np.uint64), *(o[k].astype(np.uint64) for o in out)]) for k in (0, 3))
+            found, at = np.unique(least, return_inverse=True)
+            times = np.bincount(at, weights=1.0 + twice, minlength=len(found)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], ["anchor", "times"])
+
+    return rows.select("text").mapInArrow(run, "anchor long, times long").groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1").select("anchor")
 
 
 def windows(rows: DataFrame, length: int, anchor: int) -> DataFrame:
     """anchor, content (64-bit hash), id, place, n, twice for all runs of windows."""
+    names = ["anchor", "content", "id", "place", "n", "twice"]
 
     def run(batches):
         let_go()
         for batch in slices(batches, 1000):
             out = [[], [], [], [], [], []]
-            for i, text in zip(batch["id"].to_pylist(), as_bytes(batch["text"])):
+            for i, tag, text in zip(batch["id"].to_pylist(), batch["tag"].to_pylist(), as_bytes(batch["text"])):
                 least, at, n, twice = window_runs(text, length, anchor)
-                content = np.fromiter((xxhash.xxh3_64_intdigest(text[a : a + m + length - 1]) for a, m in zip(at.tolist(), n.tolist())), np.uint64, len(at))
-                for column, values in zip(out, (least.view(np.int64), content.view(np.int64), np.full(len(at), i, np.int64), at + _tag(text), n, twice)):
+                content = np.fromiter((_content(text[a : a + m + length - 1]) for a, m in zip(at.tolist(), n.tolist())), np.uint64, len(at))
+                for column, values in zip(out, (least.view(np.int64), content.view(np.int64), np.full(len(at), i, np.int64), at + tag, n, twice)):
                     column.append(values)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], ["anchor", "content", "id", "place", "n", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names)
 
-    return rows.select("id", "text").mapInArrow(run, "anchor long, content long, id long, place long, n long, twice long")
+    return rows.select("id", "tag", "text").mapInArrow(run, " long, ".join(names) + " long")
 
 
 def _with_found(rows: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
-    """All rows, each with the list of what was found in its document (null: nothing).
+    """All rows, each with the list of what was found in its text (null: nothing).
 
-    Every use keeps the same columns of the documents, so that the shuffled texts are reused.
+    Every use keeps the same columns of the rows, so that the shuffled texts are reused.
     """
     lists = found.groupBy("id").agg(F.collect_list(F.struct(*columns)).alias("found"))
-    return rows.join(lists.hint("shuffle_hash"), "id", "left").select("doc_id", "text", "found")
+    return rows.join(lists.hint("shuffle_hash"), "id", "left").select("doc", "id", "tag", "text", "found")
+
+
+COPY = ["anchor", "content", "id", "place", "bytes"]
 
 
 def _contents(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """anchor, content and the bytes of one copy of each."""
+    """anchor, content, id, place and the bytes there; of equal texts in a task one is read."""
 
     def run(batches):
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            out = [[], [], []]
-            for text, found in zip(as_bytes(batch["text"]), batch["found"]):
-                if not found.is_valid:
+            out = [[], [], [], [], []]
+            for i, tag, text, found in zip(batch["id"].to_pylist(), batch["tag"].to_pylist(), batch["text"], batch["found"]):
+                if not found.is_valid or (i, tag) in seen:
                     continue
-                tag = _tag(text)
+                seen.add((i, tag))
+                text = text.as_py()
                 for f in found.as_py():
-                    if f["place"] >> PLACE_BITS << PLACE_BITS == tag:
-                        at = f["place"] - tag
-                        for column, value in zip(out, (f["anchor"], f["content"], text[at : at + f["n"] + length - 1])):
+                    if (at := f["place"] - tag) >> PLACE_BITS == 0:
+                        for column, value in zip(out, (f["anchor"], f["content"], i, f["place"], text[at : at + f["n"] + length - 1])):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["anchor", "content", "bytes"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], COPY)
 
     joined = _with_found(rows, wanted, ["anchor", "content", "place", "n"])
-    return joined.mapInArrow(run, "anchor long, content long, bytes binary")
+    return joined.mapInArrow(run, "anchor long, content long, id long, place long, bytes binary")
 
 
 def _intervals(marked: np.ndarray) -> list[dict[str, int]]:
@@ -266,107 +298,133 @@ def _intervals(marked: np.ndarray) -> list[dict[str, int]]:
 
 MARKS = "array<struct<start:long,stop:long>>"
 _MARKS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+MARKED = f"anchor long, content long, check binary, marks {MARKS}"
+
 
+def _marked(found: list[tuple[int, int, bytes, list]]) -> pa.RecordBatch:
+    columns = list(zip(*found)) or [[], [], [], []]
+    types = [pa.int64(), pa.int64(), pa.binary(), _MARKS]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["anchor", "content", "check", "marks"])
 
-def _indexed(contents: DataFrame, length: int, index_bytes: int) -> DataFrame:
-    """anchor, content, marks: the windows of each content that match 200 bytes elsewhere in its anchor's contents."""
 
-    def mark(group: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        index = RunIndex([b for _, _, b in group])
-        long = index.longest_matches() >= length
-        marks, at = [], 0
-        for _, _, b in group:
-            marks.append(_intervals(long[at : at + len(b)]))
-            at += len(b)
-        kept = [k for k, m in enumerate(marks) if m]
-        return pa.RecordBatch.from_arrays([pa.array([group[k][0] for k in kept], pa.int64()), pa.array([group[k][1] for k in kept], pa.int64()), pa.array([marks[k] for k in kept], _MARKS)], ["anchor", "content", "marks"])
+def _indexed(copies: DataFrame, length: int, index_bytes: int) -> DataFrame:
+    """anchor, content, check, marks: the windows of each content that match ``length`` bytes of another place."""
+
+    def mark(group: list[tuple]) -> pa.RecordBatch:
+        long = RunIndex([g[-1] for g in group]).longest_matches() >= length
+        ends = np.cumsum([len(g[-1]) for g in group])
+        found, before = [], None
+        for (anchor, content, *_, b), end in zip(group, ends.tolist()):
+            if before != (anchor, content, b) and (marks := _intervals(long[end - len(b) : end])):
+                found.append((anchor, content, _check(b), marks))
+            before = anchor, content, b
+        return _marked(found)
 
     def run(batches):
-        group, size, last = [], 0, None
-        for batch in batches:
-            for anchor, content, b in zip(*(batch[c].to_pylist() for c in ("anchor", "content", "bytes"))):
-                if size >= index_bytes and anchor != last:
+        group, size = [], 0
+        for batch in slices(batches, 1000):
+            for one in zip(*(batch[c].to_pylist() for c in COPY)):
+                if size >= index_bytes and one[0] != group[-1][0]:
                     yield mark(group)
                     group, size = [], 0
-                # The same text read twice (equal rows) offers the same copy twice.
-                if group and group[-1][:2] == (anchor, content):
+                # Equal texts that different tasks read offer the same copy twice.
+                if group and group[-1][:4] == one[:4]:
                     continue
-                group.append((anchor, content, b))
-                size, last = size + len(b), anchor
+                group.append(one)
+                size += len(one[-1])
         if group:
             yield mark(group)
 
-    parts = shuffle_partitions(contents.sparkSession)
-    return contents.repartition(parts, "anchor").sortWithinPartitions("anchor", "content").mapInArrow(run, f"anchor long, content long, marks {MARKS}")
+    parts = shuffle_partitions(copies.sparkSession)
+    return copies.repartition(parts, "anchor").sortWithinPartitions(*COPY[:4]).mapInArrow(run, MARKED)
 
 
-def _hashed(contents: DataFrame, length: int) -> DataFrame:
-    """The same marks for crowded anchors, by counting the hashes of single windows."""
+def _finer(copies: DataFrame, length: int, anchors: tuple[int, ...], **sizes) -> DataFrame:
+    """The same for the contents of large anchors: each is a text, and windows meet by the next longer anchor."""
+    texts = cut(_known(copies.select(F.struct("anchor", "content").alias("doc"), F.col("bytes").alias("text"))))
+    found = repeats(texts, length, anchors, **sizes)
 
     def run(batches):
         for batch in batches:
-            for anchor, content, b in zip(*(batch[c].to_pylist() for c in ("anchor", "content", "bytes"))):
-                n = len(b) - length + 1
-                h = [xxhash.xxh3_128_digest(b[k : k + length]) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor), pa.int64()), pa.array(np.full(n, content), pa.int64()), pa.array(np.arange(n)), pa.array(h, pa.binary())], ["anchor", "content", "k", "h"])
+            out = []
+            for doc, tag, text, found in zip(batch["doc"].to_pylist(), batch["tag"].to_pylist(), as_bytes(batch["text"]), batch["found"]):
+                if marks := _intervals(_repeated(text, tag, found.as_py(), length)):
+                    out.append((doc["anchor"], doc["content"], _check(text), marks))
+            yield _marked(out)
+
+    return _with_found(texts, found, FOUND).mapInArrow(run, MARKED).dropDuplicates(["anchor", "content", "check"])
+
 
-    single = contents.dropDuplicates(["anchor", "content"]).mapInArrow(run, "anchor long, content long, k long, h binary")
-    again = single.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    return single.join(again, "h", "left_semi").groupBy("anchor", "content").agg(F.collect_list(F.struct(F.col("k").alias("start"), (F.col("k") + 1).alias("stop"))).alias("marks"))
+FOUND = ["place", "n", "check", "marks"]
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowded: int = CROWDED, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """``docs`` (doc_id, text) -> id, place, marks: per run of windows, the windows that start elsewhere too."""
-    rows = _rows(docs)
-    runs = windows(rows, length, anchor)
+def repeats(rows: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] = ANCHORS, group_bytes: int = GROUP_BYTES, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """``rows`` -> id, place, n, check, marks: per run of windows, the windows that start elsewhere too.
+
+    ``check`` is the hash of the bytes for which the marks hold; null if all texts with the run are equal.
+    """
     # Checkpointed, so that the join stands on two plain shuffles, whose large partitions Spark can split.
-    again = cut(runs.groupBy("anchor").agg(F.sum(F.col("twice") + 1).alias("times")).where("times > 1").select("anchor"))
-    kept = cut(runs.join(again, "anchor", "left_semi"))
-    contents = kept.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.max("twice").alias("twice"), F.min(F.struct("id", "place", "n")).alias("one"))
-    groups = cut(contents.groupBy("anchor").agg(F.count("*").alias("contents")))
-    contents = cut(contents.join(groups, "anchor").select("anchor", "content", "copies", "contents", "twice", "one.*"))
-    copied = contents.where("copies > 1").select("anchor", "content", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"))).alias("marks"))
-    wanted = contents.where((F.col("contents") > 1) | (F.col("twice") > 0)).withColumn("crowd", F.col("contents") > crowded)
-    few = _indexed(_contents(rows, wanted.where("not crowd"), length), length, index_bytes)
-    marks = few.join(copied.select("anchor", "content"), ["anchor", "content"], "left_anti").union(copied)
-    if wanted.where("crowd").limit(1).count():
-        many = _hashed(_contents(rows, wanted.where("crowd"), length), length)
-        marks = marks.union(many.join(copied.select("anchor", "content"), ["anchor", "content"], "left_anti"))
-    return kept.join(marks, ["anchor", "content"]).select("id", "place", "marks")
-
-
-def _gone(text: bytes, found: list[dict] | None, length: int) -> np.ndarray:
-    """Which bytes the marked windows cover."""
-    tag, steps = _tag(text), np.zeros(len(text) + 1, np.int32)
+    again = cut(anchors_again(rows, length, anchors[0]))
+    kept = cut(windows(rows, length, anchors[0]).join(again, "anchor", "left_semi"))
+    where = F.struct("id", "place", "n")
+    contents = kept.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.max("twice").alias("twice"), F.min(where).alias("one"), F.max(where).alias("two"))
+    contents = contents.withColumn("several", F.col("one") != F.col("two"))
+    size = (F.col("one.n") + length - 1) * F.when(F.col("several"), 2).otherwise(1)
+    groups = cut(contents.groupBy("anchor").agg(F.count("*").alias("contents"), F.sum(size).alias("bytes")))
+    contents = cut(contents.join(groups, "anchor").select("anchor", "content", "copies", "contents", "twice", "several", "one", "two", "bytes"))
+    # In equal texts only: all windows of such a run start elsewhere.
+    equal = contents.where("copies > 1 and not several")
+    whole = equal.select("anchor", "content", F.lit(None).cast("binary").alias("check"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("one.n").alias("stop"))).alias("marks"))
+    wanted = contents.where("contents > 1 or twice > 0 or several").select("anchor", "content", "bytes", F.explode(F.when(F.col("several"), F.array("one", "two")).otherwise(F.array("one"))).alias("at"))
+    wanted = wanted.select("anchor", "content", "bytes", "at.*")
+    # Under the longest anchor, whole windows, an anchor's contents are equal but for what repeats within them.
+    large = (F.col("bytes") > group_bytes) & F.lit(len(anchors) > 1)
+    marks = _indexed(_contents(rows, wanted.where(~large), length), length, index_bytes)
+    if len(anchors) > 1 and wanted.where(large).limit(1).count():
+        marks = marks.union(_finer(_contents(rows, wanted.where(large), length), length, anchors[1:], group_bytes=group_bytes, index_bytes=index_bytes))
+    marks = marks.join(equal.select("anchor", "content"), ["anchor", "content"], "left_anti").union(whole)
+    # Equal texts have equal runs: each is told once.
+    found = kept.select("anchor", "content", "id", "place", "n").join(marks, ["anchor", "content"])
+    return found.groupBy("id", "place", "n", F.coalesce("check", F.lit(b"")).alias("check")).agg(F.first("marks").alias("marks"))
+
+
+def _repeated(text: bytes, tag: int, found: list[dict] | None, length: int) -> np.ndarray:
+    """Which windows are marked."""
+    marked = np.zeros(max(0, len(text) - length + 1), bool)
     for f in found or []:
-        if f["place"] >> PLACE_BITS << PLACE_BITS == tag:
-            at = f["place"] - tag
+        if (at := f["place"] - tag) >> PLACE_BITS == 0 and (not f["check"] or _check(text[at : at + f["n"] + length - 1]) == f["check"]):
             for m in f["marks"]:
-                steps[at + m["start"]] += 1
-                steps[at + m["stop"] - 1 + length] -= 1
-    return np.cumsum(steps)[: len(text)] > 0
+                marked[at + m["start"] : at + m["stop"]] = True
+    return marked
+
+
+def _gone(text: bytes, tag: int, found: list[dict] | None, length: int) -> np.ndarray:
+    """Which bytes the marked windows cover."""
+    gone = np.zeros(len(text), bool)
+    for m in _intervals(_repeated(text, tag, found, length)) if found else []:
+        gone[m["start"] : m["stop"] + length - 1] = True
+    return gone
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, **parameters) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, n_bytes, n_removed, kept binary, spans (maximal removed runs: start, stop)."""
-    rows = _rows(docs)
-    found = repeats(docs, length, **parameters)
+    rows = _rows(docs, F.col("doc_id").cast("long"))
+    found = repeats(rows, length, **parameters)
 
     def run(batches):
         for batch in batches:
             n_bytes, n_removed, kept, spans = [], [], [], []
-            for text, found in zip(as_bytes(batch["text"]), batch["found"]):
-                gone = _gone(text, found.as_py(), length)
+            for tag, text, found in zip(batch["tag"].to_pylist(), as_bytes(batch["text"]), batch["found"]):
+                gone = _gone(text, tag, found.as_py(), length)
                 spans.append(_intervals(gone))
                 n_bytes.append(len(text))
                 n_removed.append(int(gone.sum()))
                 kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes() if n_removed[-1] else text)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, _MARKS)], ["doc_id", "n_bytes", "n_removed", "kept", "spans"]
+                [batch["doc"], pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, _MARKS)], ["doc_id", "n_bytes", "n_removed", "kept", "spans"]
             )
 
-    joined = _with_found(rows, found, ["place", "marks"])
-    return joined.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, kept binary, spans {MARKS}")
+    return _with_found(rows, found, FOUND).mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, kept binary, spans {MARKS}")
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, **parameters) -> DataFrame:
@@ -375,21 +433,19 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, **parameters) -> DataFr
     Bytes of a character that was cut are dropped with it.  A text that repeats elsewhere throughout becomes empty; a
     null text stays null.
     """
-    others = [f"`{c}`" for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(*others).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"))
-    lists = repeats(docs, length, **parameters).groupBy("id").agg(F.collect_list(F.struct("place", "marks")).alias("found"))
-    joined = rows.join(lists.hint("shuffle_hash"), "id", "left").select("doc", "text", "found")
+    rows = _rows(docs, F.struct(*[f"`{c}`" for c in docs.columns if c != "text"]))
+    found = repeats(rows, length, **parameters)
 
     def run(batches):
         for batch in slices(batches, 1000):
             kept = []
-            for text, there, found in zip(as_bytes(batch["text"]), batch["text"].is_valid().to_pylist(), batch["found"]):
-                gone = _gone(text, found.as_py(), length)
+            for tag, text, there, found in zip(batch["tag"].to_pylist(), as_bytes(batch["text"]), batch["text"].is_valid().to_pylist(), batch["found"]):
+                gone = _gone(text, tag, found.as_py(), length)
                 left = np.frombuffer(text, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") if gone.any() else text.decode("utf-8", "replace")
                 kept.append(left if there else None)
             yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(kept, pa.string())], ["doc", "kept"])
 
-    out = joined.mapInArrow(run, T.StructType([T.StructField("doc", rows.schema["doc"].dataType), T.StructField("kept", T.StringType())]))
+    out = _with_found(rows, found, FOUND).mapInArrow(run, T.StructType([T.StructField("doc", rows.schema["doc"].dataType), T.StructField("kept", T.StringType())]))
     changed = {"text": F.col("kept"), "n_chars": F.length("kept")}
     return out.select(*[(changed[f.name] if f.name in changed else F.col("doc")[f.name]).cast(f.dataType).alias(f.name) for f in docs.schema])
 

@@ -5,7 +5,7 @@ import pytest
 
 from querysieve.llm import runindex
 
-SIZE = 40  # window length in tests; anchors of 8 bytes
+SIZE, ANCHORS = 40, (8, 24, 40)  # window length and anchors in tests
 
 
 def by_definition(rows, length):
@@ -25,7 +25,7 @@ def by_definition(rows, length):
 
 
 def ours(df, length, **parameters):
-    found = runindex.deduplicate(df, length, anchor=8, **parameters)
+    found = runindex.deduplicate(df, length, anchors=ANCHORS, **parameters)
     return sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in found.collect()), key=repr)
 
 
@@ -54,11 +54,28 @@ def test_repetitive_texts_have_few_runs():
     assert len(copies.run_sizes) < len(b"the quick brown fox jumps over the lazy dog") * 4
 
 
-@pytest.mark.parametrize("crowded", [8000, 0])
-def test_random_corpora(spark, make, small_batches, crowded):
+@pytest.mark.parametrize("group_bytes", [1 << 20, 300, 0])
+def test_random_corpora(spark, make, small_batches, group_bytes):
+    """Small groups make anchors go through all three lengths."""
     rows = make(4, n=50)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert ours(df, SIZE, crowded=crowded, index_bytes=500) == by_definition(rows, SIZE)
+    assert ours(df, SIZE, group_bytes=group_bytes, index_bytes=500) == by_definition(rows, SIZE)
+
+
+def test_rows_are_known_by_their_text(spark, make, small_batches):
+    """No doc_id, or one for all: copies, shared passages and unique texts are told apart all the same."""
+    texts = [t for _, t in make(7, n=40)] + ["unique " + str(k) * 60 for k in range(5)] + ["copied throughout " * 5] * 7
+    for i in (None, 3):
+        rows = [(i, t) for t in texts]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert ours(df, SIZE) == by_definition(rows, SIZE)
+
+
+def test_long_periodic_texts_are_cut():
+    text = b"-" * 3_000_000
+    least, at, n, twice = runindex.window_runs(text)
+    assert n.sum() == len(text) - 199 and n.max() == runindex.RUN and (at[1:] == (at + n)[:-1]).all() and twice.all()
+    assert len({text[a : a + m + 199] for a, m in zip(at.tolist(), n.tolist())}) <= 2 + len(text) // runindex.SLICE
 
 
 def test_repeats_within_one_document(spark):
