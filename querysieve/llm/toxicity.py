@@ -1,21 +1,27 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-``fit`` takes a sample of the labelled rows, keeps the terms that stand out in toxic ones (they span the vector
-space; every other word would only tell topics apart), and indexes the sampled documents that have such terms.
-Every document is then compared with the examples: the ``NEIGHBOURS`` most similar ones vote, each with the
-inverse of its distance, and a monotone curve fitted on the examples themselves (each without its own vote) turns
-the vote into a probability.  Documents without any such term get the share of toxic ones among sampled rows like
-that.  The neighbours and the terms are returned as evidence.
-
-The index keeps, per term and block of ``BLOCK`` examples, the largest weight.  A query visits blocks in falling
-order of what they could reach and stops once no block can beat the neighbours it has, so the result is exact.
-
-Bounds: at most about ``SAMPLE`` labelled rows (by a hash of doc_id) teach, whatever the corpus; the sample's ids,
-the vocabulary and the index are broadcast, all bounded by it.  Documents are read in place, without a shuffle.
-
-Edge cases: null and empty texts have no terms and get the score of such rows; rows with a null label, or whose
-doc_id has no text, teach nothing; without any label every score is 0; of equally similar examples the one
-with the smaller doc_id counts as nearer.
+``fit`` takes a sample of the labelled rows of both labels as examples.  The vector space holds every word that an
+example has.  A word's weight in a text is (1 + ln times) x idf x relevance: idf counts all documents of the corpus,
+relevance is log2(2 + toxic / max(1, clean)) over the examples that have the word (1 for a word that clean ones have;
+the supervised factor of Lan et al. 2009, without which chance words outweigh the telling ones).  Vectors have length
+one; words that no example has count in a text's length only.
+
+Every document is compared with all examples: the ``NEIGHBOURS`` most similar ones vote, each with the inverse of its
+distance, and a monotone curve fitted on the examples themselves (each without its own vote) turns the vote into a
+probability.  Neighbours and the words that stand out in toxic examples are returned as evidence.
+
+The index.  Postings of rare words are short and read whole.  Those of common words lie in blocks of ``BLOCK``
+examples, with the largest weight per word and block.  A query adds up what each block could reach at most (its best
+sum of rare words, plus the block maxima of the common ones), visits blocks in falling order of that, and stops once
+no block can beat the neighbours it has: exact, however long the query.
+
+Bounds: about ``SAMPLE`` labelled rows (by a hash of doc_id) teach, whatever the corpus; the vocabulary and the index,
+which are broadcast, hold those rows' words.  Documents are read in place; only word counts are shuffled.
+
+Edge cases: null and empty texts have no words and get the toxic share of such examples, drawn to the base rate; so
+do texts that share no word with any example get the base rate's place on the curve; rows with a null label, or whose
+doc_id has no text, teach nothing; of equal texts the row with the smallest doc_id teaches; without any label every
+score is 0; of equally similar examples the one with the smaller doc_id counts as nearer.
 """
 
 from __future__ import annotations
@@ -30,14 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querysieve.llm.common import cut, id_and_text
+from querysieve.llm.common import cut, id_and_text, let_go, slices
 
-SAMPLE = 20_000
-LEAST_DOCUMENTS, LEAST_Z, LEAST_SHARE = 5, 6.0, 0.5  # of a term: toxic documents, significance, toxic part of its documents
+SAMPLE = 6_000
 NEIGHBOURS, BLOCK = 15, 64
+COMMON = 1 / 16  # of the examples: words of more are common
+AT_ONCE = 8  # blocks visited together
 PRIOR_WEIGHT = 0.5  # of the base rate among the votes
 NEAR = 0.05  # distances below this weigh alike
+TELLING = 2.0  # relevance from which a word is evidence
+MOST_TERMS = 10  # words of evidence
 WORD = re.compile(r"[^\W\d_]+")
+DIGITS = 10  # to which similarities are compared
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -45,72 +55,100 @@ def terms_of(text: str | None) -> list[str]:
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples by term and block."""
-
-    def __init__(self, vectors: list[dict[int, float]], terms: int):
-        # Examples with the same strongest term share blocks, which keeps the block maxima tight.
-        self.order = sorted(range(len(vectors)), key=lambda k: (max(vectors[k], key=lambda t: (vectors[k][t], -t), default=-1), k))
-        self.blocks = -(-len(vectors) // BLOCK)
-        self.most = np.zeros((terms, self.blocks))
-        own: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for place, k in enumerate(self.order):
-            for t, weight in vectors[k].items():
-                at, weights = own.setdefault((t, place // BLOCK), ([], []))
-                at.append(place % BLOCK)
-                weights.append(weight)
-                self.most[t, place // BLOCK] = max(self.most[t, place // BLOCK], weight)
-        self.postings = {key: (np.array(at), np.array(weights)) for key, (at, weights) in own.items()}
-
-    def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k largest (cosine, example), ties to the smaller example; only those that share a term."""
-        terms = sorted(query)
-        weights = np.array([query[t] for t in terms])
-        bounds = weights @ self.most[terms]
-        found: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or (len(found) == k and bounds[block] + 1e-12 < found[-1][0]):
+    """Unit vectors of examples (``ends`` of each in ``terms`` and ``weights``) by term and block."""
+
+    def __init__(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, size: int, common: float = COMMON):
+        n = len(ends)
+        self.blocks = -(-n // BLOCK)
+        example = np.repeat(np.arange(n), np.diff(ends, prepend=0))
+        is_common = np.bincount(terms, minlength=size) > common * n
+        self.slot = np.where(is_common, np.cumsum(is_common) - 1, -1).astype(np.int32)
+        often = is_common[terms]
+        # Examples with the same strongest common term share blocks, which keeps the block maxima tight.
+        strongest = np.full(n, -1, np.int64)
+        rising = np.argsort(weights[often], kind="stable")
+        strongest[example[often][rising]] = terms[often][rising]
+        self.order = np.lexsort((np.diff(ends, prepend=0), strongest))
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        at = place[example]
+        self.tiles = np.zeros((self.blocks, int(is_common.sum()), BLOCK))
+        self.tiles[at[often] // BLOCK, self.slot[terms[often]], at[often] % BLOCK] = weights[often]
+        self.most = self.tiles.max(axis=2).T.copy()
+        rare = np.flatnonzero(~often)
+        rare = rare[np.argsort(terms[rare], kind="stable")]
+        self.places, self.rare = at[rare].astype(np.int32), weights[rare]
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(terms[rare], minlength=size))))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k largest cosines and their examples, ties to the smaller example; only those that share a term."""
+        slots = self.slot[terms]
+        own, alone = slots >= 0, terms[slots < 0]
+        first, n = self.starts[alone], self.starts[alone + 1] - self.starts[alone]
+        read = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        rare = np.bincount(self.places[read], self.rare[read] * np.repeat(weights[~own], n), self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        slots, weights = slots[own], weights[own]
+        bounds = rare.max(axis=1, initial=0) + weights @ self.most[slots]
+        visit = np.argsort(-bounds, kind="stable")
+        visit = visit[bounds[visit] > 0]
+        found, examples = np.empty(0), np.empty(0, np.int64)
+        for at in range(0, len(visit), AT_ONCE):
+            now = visit[at : at + AT_ONCE]
+            floor = found[-1] if len(found) == k else 0.0
+            now = now[bounds[now] + 10**-DIGITS >= floor]
+            if not len(now):
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms, weights.tolist()):
-                if (own := self.postings.get((t, block))) is not None:
-                    scores[own[0]] += w * own[1]
-            floor = found[-1][0] if len(found) == k else 0.0
-            for place in np.flatnonzero((scores > 0) & (scores >= floor)).tolist():
-                example = self.order[block * BLOCK + place]
-                if example != skip:
-                    found.append((round(float(scores[place]), 12), example))
-            found = sorted(found, key=lambda x: (-x[0], x[1]))[:k]
-        return found
+            scores = np.round(rare[now] + weights @ self.tiles[now[:, None], slots], DIGITS)
+            block, there = np.nonzero((scores > 0) & (scores >= floor))
+            number = self.order[now[block] * BLOCK + there]
+            found, examples = np.concatenate((found, scores[block, there])), np.concatenate((examples, number))
+            kept = np.flatnonzero(examples != skip)
+            kept = kept[np.lexsort((examples[kept], -found[kept]))[:k]]
+            found, examples = found[kept], examples[kept]
+        return found, examples
 
 
 @dataclass
-class Model:
+class Space:
+    """Terms with their numbers; by number the weight of one occurrence (at the end: of an unknown term) and the relevance."""
+
     terms: dict[str, int]
-    idf: np.ndarray
-    examples: list[tuple[int, int]]  # doc_id, label
+    weights: np.ndarray
+    relevance: np.ndarray
+
+    def vector(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Known terms of a text, their numbers, and their weights in its unit vector."""
+        counts = Counter(terms_of(text))
+        names = list(counts)
+        at = np.fromiter((self.terms.get(t, -1) for t in names), np.int64, len(names))
+        weights = (1 + np.log(np.fromiter(counts.values(), np.float64, len(names)))) * self.weights[at]
+        known = np.flatnonzero(at >= 0)
+        return [names[k] for k in known.tolist()], at[known], weights[known] / math.sqrt(weights @ weights) if len(known) else weights[:0]
+
+
+@dataclass
+class Model:
+    space: Space
+    doc_ids: np.ndarray  # of the examples
+    labels: np.ndarray
     index: BlockMaxIndex | None
-    base: float  # share of toxic rows, and among rows without terms
+    base: float  # share of toxic examples, and of those without terms
     silent: float
     knots: tuple[np.ndarray, np.ndarray]
 
-    def vector(self, text: str | None) -> dict[int, float]:
-        counts = Counter(t for t in map(self.terms.get, terms_of(text)) if t is not None)
-        weights = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in counts.items()}
-        length = math.sqrt(sum(w * w for w in weights.values()))
-        return {t: w / length for t, w in weights.items()} if length else {}
+    def vote(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        similar, near = self.index.nearest(terms, weights, NEIGHBOURS, skip)
+        votes = NEAR / (NEAR + 1 - similar)
+        return float((votes @ self.labels[near] + PRIOR_WEIGHT * self.base) / (votes.sum() + PRIOR_WEIGHT)), similar, near
 
-    def vote(self, vector: dict[int, float], skip: int = -1) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(vector, NEIGHBOURS, skip)
-        weights = [NEAR / (NEAR + 1 - s) for s, _ in near]
-        toxic = sum(w for w, (_, k) in zip(weights, near) if self.examples[k][1])
-        return (toxic + PRIOR_WEIGHT * self.base) / (sum(weights) + PRIOR_WEIGHT), near
-
-    def score(self, text: str | None) -> tuple[float, list[tuple[float, int]], dict[int, float]]:
-        vector = self.vector(text)
-        if not vector or self.index is None:
-            return self.silent, [], {}
-        vote, near = self.vote(vector)
-        return float(np.interp(vote, *self.knots)), near, vector
+    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray, list[str]]:
+        names, terms, weights = self.space.vector(text)
+        if self.index is None or not text or not terms_of(text):
+            return self.silent, np.empty(0), np.empty(0, np.int64), []
+        vote, similar, near = self.vote(terms, weights)
+        telling = np.flatnonzero(self.space.relevance[terms] >= TELLING)
+        telling = telling[np.lexsort((terms[telling], -weights[telling]))[:MOST_TERMS]]
+        return float(np.interp(vote, *self.knots)), similar, near, [names[k] for k in telling.tolist()]
 
 
 def monotone(x: np.ndarray, y: np.ndarray, weight: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +175,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 
 def _term_counts(rows: DataFrame) -> DataFrame:
-    """term, toxic and clean documents; counted in each batch first."""
+    """term, toxic and clean examples; counted in each batch first."""
 
     def run(batches):
         for batch in batches:
@@ -150,42 +188,73 @@ def _term_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "label").mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _document_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term is, and how many documents there are."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches):
+        let_go()
+        known, counts, n = sent.value, np.zeros(len(terms), np.int64), 0
+        for batch in batches:
+            n += batch.num_rows
+            for text in batch["text"].to_pylist():
+                found = {known[t] for t in set(terms_of(text)) if t in known}
+                counts[np.fromiter(found, np.int64, len(found))] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], n))], ["term", "n"])
+
+    found = id_and_text(docs).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(terms) + 1, np.int64)
+    counts[found["term"].to_numpy()] = found["n"].to_numpy()  # the number of documents comes last
+    return counts[:-1], int(counts[-1])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """``docs`` (doc_id, text), ``labels`` (doc_id, label 0/1; those that may teach)."""
     rows = cut(_sampled(docs, labels, sample))
     totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    toxic, clean = totals.get(1, 0), totals.get(0, 0)
-    n = toxic + clean
-    base = toxic / n if n else 0.0
-    nothing = Model({}, np.empty(0), [], None, base, base, (np.zeros(1), np.zeros(1)))
-    if not toxic or not clean:
-        return nothing
-    df = F.col("toxic") + F.col("clean")
-    z = (F.col("toxic") / toxic - F.col("clean") / clean) / F.sqrt(df / n * (1 - df / n) * (1 / toxic + 1 / clean))
-    kept = sorted(map(tuple, _term_counts(rows).where((F.col("toxic") >= LEAST_DOCUMENTS) & (df < n) & (z >= LEAST_Z) & (F.col("toxic") >= LEAST_SHARE * df)).select("term", df).collect()))
-    if not kept:
+    n = sum(totals.values())
+    base = totals.get(1, 0) / n if n else 0.0
+    flat = np.full(1, base)
+    nothing = Model(Space({}, np.ones(1), np.empty(0)), np.empty(0, np.int64), np.empty(0), None, base, base, (flat, flat))
+    found = _term_counts(rows).orderBy("term").toArrow() if n else None
+    if found is None or not found.num_rows:
         return nothing
-    terms = {t: k for k, (t, _) in enumerate(kept)}
-    idf = np.array([math.log((1 + n) / (1 + d)) + 1 for _, d in kept])
-    model = Model(terms, idf, [], None, base, base, (np.zeros(1), np.zeros(1)))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    terms = {t: k for k, t in enumerate(found["term"].to_pylist())}
+    in_documents, documents = _document_counts(docs, terms)
+    relevance = np.log2(2 + found["toxic"].to_numpy() / np.maximum(1, found["clean"].to_numpy()))
+    idf = np.log((1 + documents) / (1 + np.append(in_documents, 1))) + 1
+    space = Space(terms, idf * np.append(relevance, 1.0), relevance)
+    sent = docs.sparkSession.sparkContext.broadcast(space)
 
     def vectors(batches):
+        let_go()
         for batch in batches:
-            found = [sent.value.vector(t) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["label"], pa.array([list(v) for v in found], pa.list_(pa.int32())), pa.array([list(v.values()) for v in found], pa.list_(pa.float64()))], ["doc_id", "label", "at", "weights"]
-            )
-
-    with_terms = rows.mapInArrow(vectors, "doc_id long, label int, at array<int>, weights array<double>").where("size(at) > 0")
-    rows_found = with_terms.collect()  # at most the sample
-    found = sorted(((r["doc_id"], r["label"], dict(zip(r["at"], r["weights"]))) for r in rows_found), key=lambda x: x[:2])
-    examples = [(i, label) for i, label, _ in found]
-    speaking = sum(label for _, label in examples)
-    model.examples, model.index = examples, BlockMaxIndex([v for _, _, v in found], len(terms))
-    model.silent = (toxic - speaking + 0.5) / (n - len(examples) + 1)
-    votes = np.array([model.vote(v, skip=k)[0] for k, (_, _, v) in enumerate(found)])
-    model.knots = monotone(votes, np.array([label for _, label in examples], float))
+            made = [sent.value.vector(t)[1:] for t in batch["text"].to_pylist()]
+            at, weights = (pa.array([m[k] for m in made], t) for k, t in ((0, pa.list_(pa.int64())), (1, pa.list_(pa.float64()))))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], at, weights], ["doc_id", "label", "at", "weights"])
+
+    made = rows.mapInArrow(vectors, "doc_id long, label int, at array<long>, weights array<double>")
+    made = cut(made.where("size(at) > 0").withColumn("number", F.monotonically_increasing_id()))
+    own = made.toArrow().sort_by([("doc_id", "ascending"), ("number", "ascending")]).combine_chunks()  # at most the sample
+    label = own["label"].to_numpy().astype(float)
+    ends = np.cumsum(np.array([len(a) for a in own["at"]], np.int64))
+    index = BlockMaxIndex(ends, *(own[c].combine_chunks().flatten().to_numpy() for c in ("at", "weights")), len(terms))
+    silent = (totals.get(1, 0) - label.sum() + base) / (n - len(label) + 1)
+    model = Model(space, own["doc_id"].to_numpy(), label, index, base, float(silent), (flat, flat))
+    by_number = np.argsort(own["number"].to_numpy())
+    sent_model = docs.sparkSession.sparkContext.broadcast((model, own["number"].to_numpy()[by_number], by_number))
+
+    def votes(batches):
+        let_go()
+        model, numbers, examples = sent_model.value
+        for batch in slices(batches, 1000):
+            skip = examples[np.searchsorted(numbers, batch["number"].to_numpy())].tolist()
+            found = [model.vote(at.values.to_numpy(), w.values.to_numpy(), s)[0] for at, w, s in zip(batch["at"], batch["weights"], skip)]
+            yield pa.RecordBatch.from_arrays([pa.array(skip, pa.int64()), pa.array(found, pa.float64())], ["example", "vote"])
+
+    voted = made.mapInArrow(votes, "example long, vote double").toArrow()  # at most the sample
+    model.knots = monotone(voted["vote"].to_numpy(), label[voted["example"].to_numpy()])
     return model
 
 
@@ -193,20 +262,18 @@ EVIDENCE = "doc_id long, score double, neighbours array<struct<doc_id:long,simil
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, score, neighbours (nearest first) and the terms found; one row per input row."""
+    """doc_id, score, neighbours (nearest first) and telling terms (heaviest first); one row per input row."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
-    neighbour = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches):
+        let_go()
         model = sent.value
-        names = list(model.terms)
-        for batch in batches:
-            scores, near, terms = [], [], []
-            for text in batch["text"].to_pylist():
-                score, found, vector = model.score(text)
-                scores.append(score)
-                near.append([{"doc_id": model.examples[k][0], "similarity": s, "toxic": model.examples[k][1]} for s, k in found])
-                terms.append([names[t] for t in vector])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64()), pa.array(near, neighbour), pa.array(terms, pa.list_(pa.string()))], ["doc_id", "score", "neighbours", "terms"])
+        for batch in slices(batches, 1000):
+            scores, similar, near, terms = zip(*map(model.score, batch["text"].to_pylist()))
+            ends = np.concatenate(([0], np.cumsum(list(map(len, near)))))
+            near = np.concatenate(near)
+            voters = [pa.array(c) for c in (model.doc_ids[near], np.concatenate(similar), model.labels[near].astype(np.int32))]
+            neighbours = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(voters, ["doc_id", "similarity", "toxic"]))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64()), neighbours, pa.array(terms, pa.list_(pa.string()))], ["doc_id", "score", "neighbours", "terms"])
 
     return id_and_text(docs).mapInArrow(run, EVIDENCE)

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -43,8 +45,62 @@ def test_toxicity_on_held_out_rows(tables):
     docs, labels = tables
     scores = toxicity.toxicity_scores(docs, labels.where("doc_id % 4 <> 2").selectExpr("doc_id", "toxic label"))
     assert accuracy(scores, labels, "toxic", 0.3) > 0.95
-    row = scores.where("size(neighbours) > 0").first()
+    row = scores.where("array_contains(terms, 'oaf')").first()
     assert set(row.terms) <= {"oaf", "lout"} and row.neighbours[0].similarity >= row.neighbours[-1].similarity
+    assert scores.where("size(neighbours) = 0").count() == 0
+
+
+def by_definition(docs, labels):
+    """Vectors, neighbours, votes and curve of every document by loops over whole texts."""
+    words = [(i, toxicity.terms_of(t)) for i, t in docs]
+    texts, known = {}, dict(labels)
+    for i, t in docs:
+        if i in known and t is not None and (t not in texts or i < texts[t]):
+            texts[t] = i
+    examples = sorted((i, known[i], Counter(toxicity.terms_of(t))) for t, i in texts.items())
+    n, base = len(examples), sum(y for _, y, _ in examples) / len(examples)
+    vocabulary = set().union(*(c for _, _, c in examples))
+    df = {t: sum(t in w for _, w in words) for t in vocabulary}
+    relevance = {t: math.log2(2 + sum(y for _, y, c in examples if t in c) / max(1, sum(1 - y for _, y, c in examples if t in c))) for t in vocabulary}
+    one = lambda t: (math.log((1 + len(docs)) / (1 + df[t])) + 1) * relevance[t] if t in vocabulary else math.log((1 + len(docs)) / 2) + 1
+
+    def unit(counts):
+        v = {t: (1 + math.log(k)) * one(t) for t, k in counts.items()}
+        return {t: x / math.sqrt(sum(y * y for y in v.values())) for t, x in v.items()}
+
+    vectors = [unit(c) for _, _, c in examples if c]
+    kept = [(i, y) for i, y, c in examples if c]
+    silent = (sum(y for _, y, c in examples if not c) + base) / (n - len(kept) + 1)
+
+    def vote(v, skip=-1):
+        near = sorted((-round(sum(x * vectors[k].get(t, 0) for t, x in v.items()), 9), k) for k in range(len(kept)) if k != skip)
+        near = [(-s, k) for s, k in near if s < 0][: toxicity.NEIGHBOURS]
+        w = [toxicity.NEAR / (toxicity.NEAR + 1 - s) for s, _ in near]
+        return (sum(x * kept[k][1] for x, (_, k) in zip(w, near)) + toxicity.PRIOR_WEIGHT * base) / (sum(w) + toxicity.PRIOR_WEIGHT), near
+
+    knots = toxicity.monotone(np.array([vote(v, k)[0] for k, v in enumerate(vectors)]), np.array([y for _, y in kept], float))
+    out = {}
+    for i, w in words:
+        v = unit(Counter(w)) if w else {}
+        near = vote(v)[1] if w else []
+        out[i] = (float(np.interp(vote(v)[0], *knots)) if w else silent, [(kept[k][0], s) for s, k in near])
+    return out
+
+
+def test_toxicity_by_definition(spark):
+    """Scores and neighbours of the whole query against loops: vectors, top-k, vote and curve; copies and unseen words too."""
+    docs, labels = documents(5, n=160)
+    docs += [(200, docs[3][1]), (201, docs[4][1]), (202, ""), (203, None), (204, "words nobody has"), (205, "!!!"), (206, "bal oaf unseen")]
+    own = [(i, y) for i, _, y in labels if i % 4 != 2] + [(200, 1), (202, 0), (205, 1)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(frame, spark.createDataFrame(own, "doc_id long, label int")).collect()}
+    want = by_definition(docs, own)
+    assert got.keys() == want.keys()
+    for i, (score, near) in want.items():
+        assert got[i].score == pytest.approx(score, abs=1e-6), i
+        assert [n.similarity for n in got[i].neighbours] == pytest.approx([s for _, s in near], abs=1e-6)
+        clear = {k for k, s in near if s > near[-1][1] + 1e-6}
+        assert clear <= {n.doc_id for n in got[i].neighbours}
 
 
 def test_discriminant_is_the_density_ratio():
@@ -69,20 +125,28 @@ def test_statistics_by_hand():
     assert all(np.isfinite(quality.describe(t)).all() for t in (b"", b" ", b"\x00", b"!" * 100_000))
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_index_is_exact(seed):
+@pytest.mark.parametrize("seed, common", [(k, c) for k in range(5) for c in (1 / 16, 0.3, 2.0, -1.0)])
+def test_index_is_exact(seed, common):
+    """With some, few, no and all terms common."""
     draw = random.Random(seed)
-    unit = lambda v: {t: x / sum(y * y for y in v.values()) ** 0.5 for t, x in v.items()}
-    vectors = [unit({draw.randrange(12): draw.random() + 0.1 for _ in range(draw.randint(1, 5))}) for _ in range(300)]
-    index = toxicity.BlockMaxIndex(vectors, 12)
-    for _ in range(30):
-        q = unit({draw.randrange(12): draw.random() + 0.1 for _ in range(draw.randint(1, 5))})
-        all_scores = [(round(sum(q[t] * v.get(t, 0) for t in sorted(q)), 12), k) for k, v in enumerate(vectors)]
-        want = sorted(((s, k) for s, k in all_scores if s > 0), key=lambda x: (-x[0], x[1]))[:15]
-        got = index.nearest(q, 15)
-        assert [s for s, _ in got] == pytest.approx([s for s, _ in want])
-        clear = {k for s, k in want if s > want[-1][0] + 1e-9}
-        assert clear <= {k for _, k in got}
+
+    def made():
+        v = {draw.randrange(40) if draw.random() < 0.5 else draw.randrange(6): draw.random() + 0.1 for _ in range(draw.randint(1, 8))}
+        terms = np.array(sorted(v))
+        weights = np.array([v[t] for t in sorted(v)])
+        return terms, weights / np.sqrt((weights**2).sum())
+
+    vectors = [made() for _ in range(1500)]
+    index = toxicity.BlockMaxIndex(np.cumsum([len(t) for t, _ in vectors]), *(np.concatenate(c) for c in zip(*vectors)), 40, common)
+    for k in range(30):
+        terms, weights = made() if k % 2 else vectors[k]
+        dense = np.zeros(40)
+        dense[terms] = weights
+        scores = [(round(float(dense[t] @ w), 10), j) for j, (t, w) in enumerate(vectors) if j != k]
+        want = sorted(((s, j) for s, j in scores if s > 0), key=lambda x: (-x[0], x[1]))[:15]
+        found, examples = index.nearest(terms, weights, 15, skip=k)
+        assert found.tolist() == pytest.approx([s for s, _ in want])
+        assert {j for s, j in want if s > want[-1][0] + 1e-9} <= set(examples.tolist())
 
 
 def test_curve_rises():
