@@ -9,7 +9,9 @@ expectation maximisation over word counts: expected piece counts over all segmen
 current probabilities (vocabulary x languages, a fixed size) sent along.
 
 Fitting uses at most about ``per_language`` documents of each language, taken by a hash of doc_id, so its cost
-does not grow with the corpus.  Prediction reads every text whole, without a shuffle.
+does not grow with the corpus; of those it uses every word, however long (both passes are scaled, so a run of letters
+without blanks can't underflow).  Languages are a closed set of names: vocabulary x languages numbers come to the driver
+in every round, and twice as many are sent.  Prediction reads every text whole, without a shuffle.
 
 Edge cases: a null text, an empty one and one without a letter are ``und`` with score 0, as is every text when
 there is nothing to learn from; rows with a null language, or none allowed by ``use``, teach nothing; of equally
@@ -30,13 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querysieve.llm.common import id_and_text, let_go, slices
+from querysieve.llm.common import cut, id_and_text, let_go, slices
 
 UNKNOWN = "und"
 PER_LANGUAGE = 1500
 ROUNDS = 3
 PRIOR_WEIGHT = 200.0  # pieces' worth of background in each language's counts
-LONGEST_PIECE = 24  # longer vocabulary entries are runs of one sign
 LEAST = 1e-9  # of a piece's probability
 SCALE = 1e120
 CELLS = 200_000
@@ -58,14 +59,14 @@ def read_pieces(path: str) -> dict[bytes, int]:
     """Piece -> number, from a rank file with a base64 token and its rank per line."""
     with open(path, "rb") as f:
         tokens = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
-    return {t: i for i, t in enumerate(t for t in tokens if len(t) <= LONGEST_PIECE)}
+    return {t: i for i, t in enumerate(tokens)}
 
 
 class Lattice:
     """All cuts of words into vocabulary pieces."""
 
     def __init__(self, pieces: dict[bytes, int]):
-        self.size = len(pieces)
+        self.size, self.longest = len(pieces), max(map(len, pieces), default=0)
         self.arrays = None
         self.root: dict = {}  # byte -> node; at -1 the piece that ends here
         for piece, k in pieces.items():
@@ -128,9 +129,9 @@ class Lattice:
                 small = (ways[start] > 0) & (ways[start] < 1 / SCALE)
                 if small.any():
                     lifted += small
-                    ways[start : start + LONGEST_PIECE + 1] *= np.where(small, SCALE, 1.0)
+                    ways[start : start + self.longest + 1] *= np.where(small, SCALE, 1.0)
             word, node = np.arange(count), np.zeros(count, np.int64)
-            for at in range(start, min(n, start + LONGEST_PIECE)):
+            for at in range(start, min(n, start + self.longest)):
                 key = node << 8 | letters[word, at]
                 found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 alive = keys[found] == key
@@ -145,14 +146,27 @@ class Lattice:
     def expected_counts(self, word: str, p: np.ndarray) -> list[tuple[int, float]]:
         """(piece, expected uses) under one language's probabilities."""
         n, arcs = self.arcs(word)
-        forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
-        forward[0] = backward[n] = 1.0
-        for i, j, k in arcs:
-            forward[j] += forward[i] * p[k]
-        for i, j, k in reversed(arcs):
-            backward[i] += backward[j] * p[k]
+        forward, up = _sums(n, [(i, j, p[k]) for i, j, k in arcs], self.longest)
+        backward, down = _sums(n, sorted((n - j, n - i, p[k]) for i, j, k in arcs), self.longest)
         total = forward[n]
-        return [(k, forward[i] * p[k] * backward[j] / total) for i, j, k in arcs] if total > 0 else []
+        if not total > 0:
+            return []
+        return [(k, forward[i] * p[k] * backward[n - j] / total * SCALE ** (up[n] - up[i] - down[n - j])) for i, j, k in arcs]
+
+
+def _sums(n: int, arcs: list[tuple[int, int, float]], longest: int) -> tuple[list[float], list[int]]:
+    """Weighted ways to reach 0..n by arcs in order of start, and how often each has been multiplied by ``SCALE``."""
+    ways, lifts, lifted, here = [1.0] + [0.0] * n, [0] * (n + 1), 0, -1
+    for i, j, weight in arcs:
+        if i != here:
+            lifts[here + 1 : i] = [lifted] * (i - here - 1)
+            if 0 < ways[i] < 1 / SCALE:  # all that is reached so far lies within the longest arc
+                ways[i : i + longest + 1] = [w * SCALE for w in ways[i : i + longest + 1]]
+                lifted += 1
+            here, lifts[i] = i, lifted
+        ways[j] += ways[i] * weight
+    lifts[here + 1 :] = [lifted] * (n - here)
+    return ways, lifts
 
 
 @dataclass(frozen=True)
@@ -164,13 +178,11 @@ class Model:
 
 
 def _training_rows(docs: DataFrame, use: Column, per_language: int) -> tuple[list[str], DataFrame]:
-    """About ``per_language`` documents of each language: those whose hash falls below the language's share."""
+    """The languages, and about ``per_language`` documents of each: those whose hash falls below the language's share."""
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(use & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    return sorted(counts), rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    counts = cut(rows.groupBy("lang").agg((per_language / F.count("*")).alias("share")))  # a row a language
+    below = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    return sorted(r["lang"] for r in counts.select("lang").collect()), rows.join(F.broadcast(counts), "lang").where(below).select("text", "lang")
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:
@@ -183,7 +195,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
                 for word, n in Counter(words(text)).items():
                     counts[lang, word] += n
-            kept = [(lang, word, n) for (lang, word), n in counts.items() if len(word) <= 64 and has_letter(word)]
+            kept = [(lang, word, n) for (lang, word), n in counts.items() if has_letter(word)]
             columns = list(zip(*kept)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["lang", "word", "n"])
 

@@ -47,6 +47,33 @@ def test_expected_counts_add_up():
     assert sum(sizes[k] * c for k, c in counts) == pytest.approx(3)  # every byte is in one piece
 
 
+def test_expected_counts_of_long_words():
+    """Scaled sums: every byte is still in one piece, and short words count as the plain sums do."""
+    pieces = {b" ": 0, b"a": 1, b"b": 2, b"ab": 3, b" a": 4, b"bab": 5}
+    sizes, p = {v: len(k) for k, v in pieces.items()}, [1e-7, 2e-7, 1e-8, 3e-7, 1e-7, 2e-8]
+    lattice = langid.Lattice(pieces)
+    for word in ("ab", "abab" * 5, "ab" * 400, "a" * 999):
+        counts = lattice.expected_counts(word, p)
+        assert sum(sizes[k] * c for k, c in counts) == pytest.approx(len(word) + 1)
+
+    def cuts(b):
+        return [[]] if not b else [[k, *rest] for t, k in pieces.items() if b.startswith(t) for rest in cuts(b[len(t) :])]
+
+    ways = [(np.prod([p[k] for k in c]), c) for c in cuts(b" ababab")]
+    want = sum(w * c.count(3) for w, c in ways) / sum(w for w, _ in ways)
+    assert sum(c for k, c in lattice.expected_counts("ababab", p) if k == 3) == pytest.approx(want)
+
+
+def test_scripts_without_blanks_teach(spark):
+    """Every word is longer than any limit one might set."""
+    draw = random.Random(3)
+    syllables = {"xx": ["ka", "la", "me", "ri"], "yy": ["str", "vlk", "hra", "dom"]}
+    rows = [(k, "".join(draw.choice(syllables[lang]) for _ in range(70)), lang) for k, lang in enumerate(["xx", "yy"] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(docs, langid.fit(docs, PATH), PATH).join(docs, "doc_id")
+    assert got.where("lang = lang_pred and score > 0.9").count() == 40
+
+
 def test_learns_and_holds_out(spark):
     rows = spark.createDataFrame(texts(1), "doc_id long, text string, lang string")
     model = langid.fit(rows, PATH, use=F.col("doc_id") % 3 != 1)
