@@ -9,25 +9,28 @@ Best fit decreasing: pieces go by falling size, each into the open sequence with
 it.  Rooms are counted in a segment tree over 0..length, so the search takes log(length) steps however many
 sequences are open.
 
-Scale: pieces are dealt to shards by a hash of document and piece, and each shard is packed by itself.  The number
-of shards follows the bytes of text, so a shard has a bounded size; a document of any length is spread over many.
+Scale: pieces are dealt to shards by a hash of the piece and of where its document was read (input partition and row),
+and each shard is packed by itself.  The number of shards follows the bytes of text, so a shard has a bounded size
+whatever the ids and however often a text is repeated; a document of any length is spread over many.  The same input,
+cut into the same partitions, gives the same sequences.
 
 Edge cases: null and empty texts have no ids and appear in no sequence; a null doc_id is carried as null; rows that
-repeat a doc_id are packed as often as they occur; of equal sizes the smaller (doc_id, start) goes first, and of
-equally full sequences the one opened first is taken.
+repeat a doc_id are packed as often as they occur; of equal sizes the smaller (doc_id, start, ids) goes first, and of
+sequences with equal room the one opened first is taken.
 """
 
 from __future__ import annotations
 
 import base64
 import math
-from collections import deque
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,18 +45,18 @@ class RoomTree:
 
     def __init__(self, most: int):
         self.size = 1 << most.bit_length()
-        self.open: list[deque[int]] = [deque() for _ in range(most + 1)]
+        self.open: list[list[int]] = [[] for _ in range(most + 1)]
         self.any = [False] * (2 * self.size)
 
     def add(self, room: int, sequence: int) -> None:
-        self.open[room].append(sequence)
+        heappush(self.open[room], sequence)
         at = self.size + room
         while at and not self.any[at]:
             self.any[at] = True
             at >>= 1
 
     def take(self, n: int) -> tuple[int, int] | None:
-        """(room, sequence) with the least room of at least n, no longer open."""
+        """(room, sequence) with the least room of at least n, of those the first sequence; it is no longer open."""
         at = self.size + n
         if not self.any[at]:
             # Up until a right neighbour has something, then down to its leftmost leaf.
@@ -65,7 +68,7 @@ class RoomTree:
             while at < self.size:
                 at = 2 * at if self.any[2 * at] else 2 * at + 1
         room = at - self.size
-        sequence = self.open[room].popleft()
+        sequence = heappop(self.open[room])
         if not self.open[room]:
             self.any[at] = False
             at >>= 1
@@ -98,10 +101,13 @@ def _tokenizer(path: str, pattern: str) -> tiktoken.Encoding:
 
 
 def pieces(docs: DataFrame, ranks_path: str, pattern: str, length: int = LENGTH) -> DataFrame:
-    """``docs`` (doc_id, text) -> doc_id, start, n, ids (binary, 16-bit little-endian): at most ``length`` ids each."""
+    """``docs`` (doc_id, text) -> doc_id, place, start, n, ids (binary, 16-bit little-endian): at most ``length`` ids each.
+
+    ``place`` is the input partition and row that the document was read from.
+    """
 
     def run(batches):
-        encode = _tokenizer(ranks_path, pattern).encode_to_numpy
+        encode, first = _tokenizer(ranks_path, pattern).encode_to_numpy, TaskContext.get().partitionId() << 33
         for batch in slices(batches, 2000):
             rows, start, ids = [], [], []
             for row, text in enumerate(as_bytes(batch["text"])):
@@ -110,10 +116,12 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, length: int = LENGTH)
                     rows.append(row)
                     start.append(at)
                     ids.append(own[at : at + length].tobytes())
-            doc_ids = batch["doc_id"].take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(start, pa.int64()), pa.array([len(b) // 2 for b in ids], pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "start", "n", "ids"])
+            at = np.array(rows, np.int64)
+            columns = [batch["doc_id"].take(pa.array(at)), pa.array(at + first), pa.array(start, pa.int64()), pa.array([len(b) // 2 for b in ids], pa.int32()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "start", "n", "ids"])
+            first += batch.num_rows
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, start long, n int, ids binary")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, place long, start long, n int, ids binary")
 
 
 PACKED = (
@@ -128,8 +136,8 @@ def pack(cut_pieces: DataFrame, shards: int, length: int = LENGTH, pad_id: int =
     def one(group: pa.Table) -> pa.RecordBatch:
         n = group["n"].to_numpy()
         doc, start = group["doc_id"].fill_null(-(1 << 63)).to_numpy(), group["start"].to_numpy()
-        order = np.lexsort((start, doc, -n))
         doc_ids, starts, ids = (group[c].to_pylist() for c in ("doc_id", "start", "ids"))
+        order = np.array(sorted(range(len(ids)), key=lambda k: (-n[k], doc[k], start[k], ids[k])), np.int64)
         sequences = best_fit_decreasing(n[order].tolist(), length)
         columns: list[list] = [[] for _ in range(7)]
         for sequence in sequences:
@@ -155,8 +163,8 @@ def pack(cut_pieces: DataFrame, shards: int, length: int = LENGTH, pad_id: int =
             for k in pc.unique(table["shard"]).to_pylist():
                 yield one(table.filter(pc.equal(table["shard"], k)))
 
-    shard = F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int")
-    return cut_pieces.withColumn("shard", shard).repartitionById(shards, "shard").mapInArrow(run, PACKED)
+    shard = F.pmod(F.xxhash64("place", "start", "doc_id"), F.lit(shards)).cast("int")
+    return cut_pieces.withColumn("shard", shard).drop("place").repartitionById(shards, "shard").mapInArrow(run, PACKED)
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:

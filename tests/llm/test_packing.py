@@ -13,18 +13,27 @@ PATH = P.path("byte_bpe_50k.tiktoken")
 
 @pytest.mark.parametrize("seed", range(20))
 def test_best_fit(seed):
+    """The very sequences: least room that holds the piece, and of equal rooms the sequence opened first."""
     draw = random.Random(seed)
     length = draw.choice([7, 16, 30])
     sizes = sorted((draw.randint(1, length) for _ in range(draw.randint(0, 60))), reverse=True)
-    rooms = []
-    for n in sizes:
-        fits = [r for r in rooms if r >= n]
+    sequences = []
+    for k, n in enumerate(sizes):
+        rooms = [(length - sum(sizes[j] for j in s), at) for at, s in enumerate(sequences)]
+        fits = [r for r in rooms if r[0] >= n]
         if fits:
-            rooms.remove(min(fits))
-        rooms.append((min(fits) if fits else length) - n)
-    got = packing.best_fit_decreasing(sizes, length)
-    assert sorted(length - sum(sizes[k] for k in s) for s in got) == sorted(rooms)
-    assert sorted(k for s in got for k in s) == list(range(len(sizes)))
+            sequences[min(fits)[1]].append(k)
+        else:
+            sequences.append([k])
+    assert packing.best_fit_decreasing(sizes, length) == sequences
+
+
+def test_equal_rows_are_spread(spark):
+    """Rows without an id, all of one text, still fill all shards."""
+    docs = spark.range(4000).selectExpr("cast(null as long) doc_id", "'the same words again and again' text")
+    packed = packing.pack(packing.pieces(docs, PATH, P.PATTERN, 64), 25, 64)
+    counts = {r["shard"]: r["n"] for r in packed.selectExpr("shard", "n_pieces").groupBy("shard").sum("n_pieces").withColumnRenamed("sum(n_pieces)", "n").collect()}
+    assert len(counts) == 25 and max(counts.values()) < 300 and sum(counts.values()) == 4000
 
 
 def unpacked(rows, length):
