@@ -8,9 +8,14 @@ random-access point.  The payload travels in access units of ``UNIT_BYTES``, one
 with a presentation time ``UNIT_TICKS`` after the last; every ``GROUP``-th unit is a random-access point and
 carries a clock reference.
 
+Reading takes foreign streams too: any number of programs and elementary streams, each put together by its own PID;
+table sections over several packets, several in one; elementary packets without a stated length; a packet sent twice
+(allowed once) is dropped, a stated discontinuity is no error.
+
 Edge cases: null and empty text are stored as 64 zero bytes, so no stream is without a unit; a stream that is
 null, torn (no multiple of 188 bytes), out of sync, without program tables, with a wrong table checksum or a
-short elementary packet gets ``error`` and no payload; a lost or repeated packet shows in ``cc_errors``.
+short elementary packet gets ``error`` and no payload, its feature says -1 for times it hasn't; a lost packet shows in
+``cc_errors``, a repeated one in ``repeated``.
 """
 
 from __future__ import annotations
@@ -28,6 +33,9 @@ from querysieve.llm.common import as_bytes, id_and_text
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, MEDIA_PID, PROGRAM = 0x0000, 0x1000, 0x0100, 1
 STREAM_TYPE, STREAM_ID = 0x06, 0xBD  # private data, private stream 1
+NULL_PID, MAP_TABLE = 0x1FFF, 0x02
+# Stream ids whose packets have no flags (map, padding, private 2, ECM, EMM, DSM-CC, H.222.1 E, directory).
+PLAIN_STREAMS = [bytes([i]) for i in (0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)]
 UNIT_BYTES, GROUP, UNIT_TICKS, FIRST_TICK = 8192, 8, 3600, 90_000
 PAD = 64
 
@@ -132,93 +140,165 @@ def mux_bytes(payload: bytes) -> bytes:
     return np.concatenate(packets).tobytes()
 
 
+@dataclass
+class Unit:
+    """One elementary packet: its stream, presentation time (-1: none), payload bytes and the packet it starts in."""
+
+    pid: int
+    pts: int
+    n_bytes: int
+    random_access: bool
+    byte_offset: int
+
+
 @dataclass
 class Stream:
-    """What ``demux_bytes`` found; the unit lists run in parallel."""
+    """What ``demux_bytes`` found; ``payloads`` and ``types`` by PID."""
 
-    payload: bytes | None = None
+    payloads: dict[int, bytes] = field(default_factory=dict)
+    types: dict[int, int] = field(default_factory=dict)
     error: str | None = None
     packets: int = 0
     cc_errors: int = 0
+    repeated: int = 0
     tables: int = 0
-    pts: list[int] = field(default_factory=list)
-    sizes: list[int] = field(default_factory=list)
-    random_access: list[bool] = field(default_factory=list)
-    offsets: list[int] = field(default_factory=list)
-
-
-def _read_table(packet: np.ndarray, start: int) -> bytes:
-    raw = packet[start:].tobytes()
-    section = raw[1 + raw[0] :]
-    section = section[: 3 + (section[1] & 0x0F) * 256 + section[2]]
-    if table_crc(section):
-        raise ValueError("table checksum")
-    return section
-
-
-def _program_streams(rows: np.ndarray, pid: np.ndarray, starts: np.ndarray, first: np.ndarray) -> tuple[set[int], int]:
-    """The elementary PIDs of all programs, and how many tables were read."""
-    maps, media, tables = set(), set(), 0
-    for i in np.flatnonzero(first & (pid == PAT_PID)).tolist():
-        section = _read_table(rows[i], starts[i])
+    units: list[Unit] = field(default_factory=list)
+
+    @property
+    def payload(self) -> bytes | None:
+        """All elementary streams, by PID; None if something is wrong."""
+        return None if self.error else b"".join(self.payloads[p] for p in sorted(self.payloads))
+
+
+class Packets:
+    """The packets of a transport stream, their header fields as arrays; ``own`` are those to be read of a PID."""
+
+    def __init__(self, media: bytes):
+        self.rows = rows = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
+        self.pid = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
+        self.first = rows[:, 1] & 0x40 != 0
+        self.adapted, self.filled = rows[:, 3] & 0x20 != 0, rows[:, 3] & 0x10 != 0
+        self.starts = np.where(self.adapted, np.minimum(5 + rows[:, 4].astype(np.int32), PACKET), 4)
+        self.flags = np.where(self.adapted & (rows[:, 4] > 0), rows[:, 5], 0)
+        self.counters = rows[:, 3] & 0x0F
+        self.cc_errors = self.repeated = 0
+        self.own: dict[int, np.ndarray] = {}
+        damaged = rows[:, 1] & 0x80 != 0
+        for p in np.unique(self.pid).tolist():
+            at = np.flatnonzero((self.pid == p) & self.filled & ~damaged)
+            step = np.diff(self.counters[at].astype(np.int32)) % 16
+            again = np.concatenate(([False], (step == 0) & self._equal(at[1:], at[:-1])))
+            again[1:] &= ~again[:-1]  # a packet can be sent twice, not more often
+            self.repeated += int(again.sum())
+            at = at[~again]
+            step = np.diff(self.counters[at].astype(np.int32)) % 16
+            self.cc_errors += int(((step != 1) & (self.flags[at[1:]] & 0x80 == 0)).sum()) if p != NULL_PID else 0
+            self.own[p] = at
+
+    def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        tails = np.arange(PACKET) >= self.starts[a][:, None]
+        return (self.starts[a] == self.starts[b]) & ((self.rows[a] == self.rows[b]) | ~tails).all(axis=1)
+
+    def payload(self, i: int) -> bytes:
+        return self.rows[i, self.starts[i] :].tobytes()
+
+    def sections(self, pid: int) -> list[bytes]:
+        """All table sections of a PID, put together over packets and checked."""
+        found, open_ = [], None
+        for i in self.own.get(pid, np.empty(0, np.int64)).tolist():
+            data = self.payload(i)
+            if self.first[i]:
+                if open_:
+                    open_ = self._closed(open_ + data[1 : 1 + data[0]], found)
+                open_ = data[1 + data[0] :]
+            elif open_ is None:
+                continue
+            else:
+                open_ += data
+            open_ = self._closed(open_, found)
+        if open_:
+            raise ValueError("short table")
+        return found
+
+    @staticmethod
+    def _closed(data: bytes, found: list[bytes]) -> bytes | None:
+        """Takes whole sections off the front; what is left of an open one (None: nothing but padding)."""
+        while len(data) >= 3 and data[0] != 0xFF:
+            size = 3 + (data[1] & 0x0F) * 256 + data[2]
+            if len(data) < size:
+                return data
+            if table_crc(data[:size]):
+                raise ValueError("table checksum")
+            found.append(data[:size])
+            data = data[size:]
+        return data if 0 < len(data) < 3 and data[0] != 0xFF else None
+
+
+def _program_streams(packets: Packets) -> tuple[dict[int, int], int]:
+    """The elementary PIDs of all programs with their types, and how many tables were read."""
+    maps, media, tables = [], {}, 0
+    for section in packets.sections(PAT_PID):
         tables += 1
         for at in range(8, len(section) - 4, 4):
             if int.from_bytes(section[at : at + 2], "big"):
-                maps.add(int.from_bytes(section[at + 2 : at + 4], "big") & 0x1FFF)
-    for i in np.flatnonzero(first & np.isin(pid, list(maps))).tolist():
-        section = _read_table(rows[i], starts[i])
-        tables += 1
-        at = 12 + (int.from_bytes(section[10:12], "big") & 0x0FFF)
-        while at < len(section) - 4:
-            media.add(int.from_bytes(section[at + 1 : at + 3], "big") & 0x1FFF)
-            at += 5 + (int.from_bytes(section[at + 3 : at + 5], "big") & 0x0FFF)
+                maps.append(int.from_bytes(section[at + 2 : at + 4], "big") & 0x1FFF)
+    for pid in dict.fromkeys(maps):
+        for section in packets.sections(pid):
+            if section[0] != MAP_TABLE:
+                continue
+            tables += 1
+            at = 12 + (int.from_bytes(section[10:12], "big") & 0x0FFF)
+            while at < len(section) - 4:
+                media[int.from_bytes(section[at + 1 : at + 3], "big") & 0x1FFF] = section[at]
+                at += 5 + (int.from_bytes(section[at + 3 : at + 5], "big") & 0x0FFF)
     return media, tables
 
 
+def _elementary(packets: Packets, pid: int) -> tuple[bytes, list[Unit]]:
+    """The payload and units of one elementary stream; what comes before its first unit start can't be read."""
+    own = packets.own.get(pid, np.empty(0, np.int64))
+    heads = np.flatnonzero(packets.first[own])
+    if not len(heads):
+        return b"", []
+    own, heads = own[heads[0] :], heads - heads[0]
+    sizes = PACKET - packets.starts[own]
+    body = packets.rows[own][np.arange(PACKET) >= packets.starts[own][:, None]].tobytes()
+    bounds = [*(np.cumsum(sizes) - sizes)[heads].tolist(), len(body)]
+    parts, units = [], []
+    for head, at, to in zip(own[heads].tolist(), bounds, bounds[1:]):
+        length = int.from_bytes(body[at + 4 : at + 6], "big")
+        plain = body[at + 3 : at + 4] in PLAIN_STREAMS
+        if body[at : at + 3] != b"\x00\x00\x01" or to - at < (6 if plain else 9) or (length and to - at != length + 6):
+            raise ValueError("short elementary packet")
+        data = at + 6 if plain else at + 9 + body[at + 8]
+        timed = not plain and body[at + 7] & 0x80 and data >= at + 14
+        if data > to:
+            raise ValueError("short elementary packet")
+        units.append(Unit(pid, _read_timestamp(body[at + 9 : at + 14]) if timed else -1, to - data, bool(packets.flags[head] & 0x40), head * PACKET))
+        parts.append(body[data:to])
+    return b"".join(parts), units
+
+
 def demux_bytes(media: bytes | None) -> Stream:
     found = Stream()
     if not media or len(media) % PACKET:
         found.error = "no whole packets"
         return found
-    rows = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
-    found.packets = len(rows)
-    if (rows[:, 0] != SYNC).any():
+    found.packets = len(media) // PACKET
+    if set(media[::PACKET]) != {SYNC}:
         found.error = "lost sync"
         return found
-    pid = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
-    first = rows[:, 1] & 0x40 != 0
-    adapted, filled = rows[:, 3] & 0x20 != 0, rows[:, 3] & 0x10 != 0
-    starts = np.where(adapted, 5 + rows[:, 4].astype(np.int32), 4)
+    packets = Packets(media)
+    found.cc_errors, found.repeated = packets.cc_errors, packets.repeated
     try:
-        streams, found.tables = _program_streams(rows, pid, starts, first & filled)
+        found.types, found.tables = _program_streams(packets)
+        for pid in sorted(found.types):
+            found.payloads[pid], units = _elementary(packets, pid)
+            found.units += units
+        if not found.units:
+            raise ValueError("no elementary stream")
     except (ValueError, IndexError) as e:
         found.error = str(e)
-        return found
-    for p in np.unique(pid).tolist():
-        counters = rows[(pid == p) & filled, 3] & 0x0F
-        found.cc_errors += int(((counters[1:] - counters[:-1]) % 16 != 1).sum())
-    own = np.flatnonzero(np.isin(pid, list(streams)) & filled)
-    if not len(own) or not first[own[0]]:
-        found.error = "no elementary stream"
-        return found
-    body = rows[own][np.arange(PACKET) >= starts[own][:, None]].tobytes()
-    ends = np.cumsum(PACKET - starts[own])
-    heads = np.flatnonzero(first[own])
-    bounds = [*(ends[heads] - (PACKET - starts[own[heads]])).tolist(), len(body)]
-    parts = []
-    for k, (at, to) in enumerate(zip(bounds, bounds[1:])):
-        length = int.from_bytes(body[at + 4 : at + 6], "big")
-        if body[at : at + 3] != b"\x00\x00\x01" or to - at < 9 or (length and to - at != length + 6):
-            found.error = "short elementary packet"
-            return found
-        data = at + 9 + body[at + 8]
-        row = int(own[heads[k]])
-        found.pts.append(_read_timestamp(body[at + 9 : at + 14]) if body[at + 7] & 0x80 else -1)
-        found.sizes.append(to - data)
-        found.random_access.append(bool(adapted[row] and rows[row, 4] and rows[row, 5] & 0x40))
-        found.offsets.append(row * PACKET)
-        parts.append(body[data:to])
-    found.payload = b"".join(parts)
     return found
 
 
@@ -234,26 +314,30 @@ def mux(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-UNITS = "array<struct<pts:long,n_bytes:long,random_access:boolean,byte_offset:long>>"
+UNITS = "array<struct<pid:int,pts:long,n_bytes:long,random_access:boolean,byte_offset:long>>"
+STREAMS = "array<struct<pid:int,type:int,payload:binary>>"
 
 
 def demux(media: DataFrame) -> DataFrame:
-    """``media`` (doc_id, n_bytes, media) -> the same with payload, error, packets, tables, cc_errors and units.
+    """``media`` (doc_id, n_bytes, media) -> the same with payload, streams, error, packets, tables, cc_errors, repeated, units.
 
-    ``units`` is the stored index: a presentation time, a size, a random-access flag and the byte to seek to.
+    ``units`` is the stored index: by stream a presentation time, a size, a random-access flag and the byte to seek to.
     """
-    schema = f"doc_id long, n_bytes long, media binary, payload binary, error string, packets long, tables long, cc_errors long, units {UNITS}"
-    unit_type = pa.list_(pa.struct([("pts", pa.int64()), ("n_bytes", pa.int64()), ("random_access", pa.bool_()), ("byte_offset", pa.int64())]))
+    numbers = ["packets", "tables", "cc_errors", "repeated"]
+    schema = f"doc_id long, n_bytes long, media binary, payload binary, streams {STREAMS}, error string, {' long, '.join(numbers)} long, units {UNITS}"
+    stream_type = pa.list_(pa.struct([("pid", pa.int32()), ("type", pa.int32()), ("payload", pa.binary())]))
+    unit_type = pa.list_(pa.struct([("pid", pa.int32()), ("pts", pa.int64()), ("n_bytes", pa.int64()), ("random_access", pa.bool_()), ("byte_offset", pa.int64())]))
 
     def run(batches):
         for batch in batches:
             found = [demux_bytes(m.as_py()) for m in batch["media"]]
-            units = [[{"pts": p, "n_bytes": n, "random_access": r, "byte_offset": o} for p, n, r, o in zip(s.pts, s.sizes, s.random_access, s.offsets)] for s in found]
+            units = [[vars(u) for u in s.units] for s in found]
+            streams = [[] if s.error else [{"pid": p, "type": s.types[p], "payload": s.payloads[p]} for p in sorted(s.payloads)] for s in found]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["n_bytes"], batch["media"], pa.array([s.payload for s in found], pa.binary()), pa.array([s.error for s in found], pa.string())]
-                + [pa.array([getattr(s, k) for s in found], pa.int64()) for k in ("packets", "tables", "cc_errors")]
+                [batch["doc_id"], batch["n_bytes"], batch["media"], pa.array([s.payload for s in found], pa.binary()), pa.array(streams, stream_type), pa.array([s.error for s in found], pa.string())]
+                + [pa.array([getattr(s, k) for s in found], pa.int64()) for k in numbers]
                 + [pa.array(units, unit_type)],
-                ["doc_id", "n_bytes", "media", "payload", "error", "packets", "tables", "cc_errors", "units"],
+                ["doc_id", "n_bytes", "media", "payload", "streams", "error", *numbers, "units"],
             )
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
@@ -261,12 +345,13 @@ def demux(media: DataFrame) -> DataFrame:
 
 def _feature() -> Column:
     """Units, random-access points, times and stream health in one line."""
+    at = lambda where: F.coalesce(F.get("units", where)["pts"], F.lit(-1).cast("long"))
     return F.format_string(
         "units=%d;random_access=%d;first_pts=%d;last_pts=%d;packets=%d;tables=%d;cc_errors=%d",
         F.size("units"),
         F.size(F.filter("units", lambda u: u["random_access"])),
-        F.element_at("units", 1)["pts"],
-        F.element_at("units", -1)["pts"],
+        at(F.lit(0)),
+        at(F.size("units") - 1),
         "packets",
         "tables",
         "cc_errors",
@@ -289,4 +374,4 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["Stream", "demux", "demux_bytes", "digests", "mux", "mux_bytes", "padded"]
+__all__ = ["Stream", "Unit", "demux", "demux_bytes", "digests", "mux", "mux_bytes", "padded"]
