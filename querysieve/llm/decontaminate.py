@@ -4,15 +4,19 @@ The test items are indexed by term; postings carry BM25 impacts relative to the
 each block of postings its largest impact.  Every passage of every document queries the index; block-max WAND
 retrieves all items at or above their threshold, and the words of question and answer are compared to confirm.
 
-The threshold of an item is not a tuning value: it is the least score that a passage can have which holds
-``SIMILARITY`` = 0.8 of the item's five-word shingles.  So retrieval loses nothing that the comparison would confirm.
+An item's answer is its last sentence, its question what comes before (an item of one sentence is all question).  A
+passage holds an item if it has ``SIMILARITY`` = 0.8 of the five-word shingles of the item, or of its question alone
+where that has ``QUESTION_WORDS`` or more.  The threshold of an item is not a tuning value: it is the least score that
+such a passage can have.  So retrieval loses nothing that the comparison would confirm.
 
-Passages are ``2 x stride`` words long and start every ``stride`` words, where the stride is at least the longest
-item, so every copy of an item lies whole in some passage.  An item's answer is its last sentence, its question
-what comes before (an item of one sentence is all question).
+Passages are ``2 x stride`` words long and start every ``stride`` words.  Items are indexed by length class (up to 64
+words, up to 128, and so on doubling), each with its class as stride, so every copy of an item lies whole in some
+passage and one very long item doesn't widen the passages of the others.  Copies that are torn further apart than
+that are not one passage, and not found.
 
-Documents are read in place, without a shuffle.  The index is broadcast; items are indexed in shards of at most
-``SHARD_BYTES`` of text, one pass over the documents for each, so what is broadcast doesn't grow.
+Documents are read in place, without a shuffle.  Items are dealt into shards of at most about ``SHARD_BYTES`` of text;
+every shard's index is built in a task and kept in the checkpoint folder; one at a time passes through the driver to
+be broadcast, with one pass over the documents for each, so what is held at once doesn't grow with the benchmark.
 
 Edge cases: null or empty documents match nothing; items without a word are left out; items of fewer than five
 words are one shingle; words are runs of letters, digits and underscores, lower-cased; repeated rows give repeated
@@ -22,8 +26,10 @@ results; an empty benchmark leaves every document clean.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,14 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querysieve.llm.common import slices
+from querysieve.llm.common import cut, id_and_text, let_go, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 K1, B = 1.2, 0.75
 BLOCK = 64
 RANGES, LEAST_RANGE = 32, 8
 LEAST_STRIDE = 64
-SHARD_BYTES = 8 << 20
+QUESTION_WORDS = 13
+SHARD_BYTES = 2 << 20
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=\S)")
 ROUNDING = 1e-9
@@ -64,10 +71,15 @@ class Item:
     question: set
     answer: set
     threshold: float
+    asks: bool  # whether the question alone decides
+
+
+def length_class(n: int) -> int:
+    return max(LEAST_STRIDE, 1 << (n - 1).bit_length())
 
 
 class Index:
-    """Terms with postings of (item, impact) in blocks of at most ``BLOCK``."""
+    """Items of one length class: terms with postings of (item, impact) in blocks of at most ``BLOCK``."""
 
     def __init__(self, items: list[tuple[int, str]]):
         spelled = [(i, t, words(t)) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1]))]
@@ -86,10 +98,16 @@ class Index:
             for term, x in impacts.items():
                 postings.setdefault(term, []).append((k, x))
             all_shingles = shingles(w)
-            # A lost word costs a shingle at least, so no more words than shingles can be missing.
-            missing = int(len(all_shingles) * (1 - SIMILARITY) + ROUNDING)
             question, answer = (words(part) for part in question_and_answer(text))
-            self.items.append(Item(item_id, all_shingles, shingles(question), shingles(answer), 1 - sum(sorted(impacts.values())[-missing:] if missing else []) - ROUNDING))
+            asked = shingles(question) if len(question) >= QUESTION_WORDS else set()
+
+            def least(own: list[str], count: int, impacts=impacts) -> float:
+                # A lost word costs a shingle at least, so no more words than shingles can be missing.
+                missing, held = int(count * (1 - SIMILARITY) + ROUNDING), sorted(impacts[t] for t in set(own))
+                return sum(held[: len(held) - missing]) - ROUNDING
+
+            threshold = min([least(w, len(all_shingles)), *([least(question, len(asked))] if asked else [])])
+            self.items.append(Item(item_id, all_shingles, shingles(question), shingles(answer), threshold, bool(asked)))
         self.term = {t: k for k, t in enumerate(sorted(postings))}
         self.postings = [postings[t] for t in sorted(postings)]
         self.most = [max(x for _, x in p) for p in self.postings]
@@ -102,8 +120,7 @@ class Index:
                 self.range_most[t, k // width] = max(self.range_most[t, k // width], x)
         self.range_least = np.array([min(i.threshold for i in self.items[at : at + width]) for at in range(0, len(spelled), width)]) - 1e-5
         self.least = min((i.threshold for i in self.items), default=math.inf)
-        self.longest = max((len(w) for _, _, w in spelled), default=0)
-        self.stride = max(LEAST_STRIDE, self.longest)
+        self.stride = length_class(max((len(w) for _, _, w in spelled), default=1))
 
     def retrieve(self, terms: list[int]) -> list[tuple[int, float]]:
         """Block-max WAND: all (item, score) at or above the item's threshold, for a passage's distinct terms."""
@@ -165,12 +182,9 @@ class Index:
         # The passage before the first has only a first half that the first passage has too.
         return [(int(passage[starts[k]]), term[starts[k] : ends[k]].tolist()) for k in np.flatnonzero((bounds >= self.range_least).any(axis=1)).tolist() if passage[starts[k]] >= 0]
 
-    def matches(self, text: str | None) -> list[dict]:
-        """The confirmed items of one document, each at its best passage."""
-        w = words(text)
-        if not w or not self.items:
-            return []
-        best: dict[int, dict] = {}
+    def matches(self, w: list[str]) -> list[dict]:
+        """The confirmed items of one document's words, each at its best passage."""
+        best: dict[int, tuple] = {}
         for k, terms in self._hopeful(w):
             at, hits = k * self.stride, self.retrieve(terms)
             if not hits:
@@ -179,25 +193,56 @@ class Index:
             there = {tuple(spelled[j : j + SHINGLE]) for j in range(max(1, len(spelled) - SHINGLE + 1))}
             for number, score in hits:
                 item = self.items[number]
-                short = next(iter(item.shingles)) if len(item.shingles) == 1 else ()
-                if 0 < len(short) < SHINGLE:
-                    overlap = float(any(tuple(spelled[j : j + len(short)]) == short for j in range(len(spelled))))
-                else:
-                    overlap = len(item.shingles & there) / len(item.shingles)
-                if overlap + ROUNDING < SIMILARITY or (number in best and best[number]["overlap"] >= overlap):
+                part = lambda s: _overlap(s, spelled, there)
+                whole, question = part(item.shingles), part(item.question)
+                if whole + ROUNDING < SIMILARITY and not (item.asks and question + ROUNDING >= SIMILARITY):
                     continue
-                part = lambda s: len(s & there) / len(s) if s else None
-                best[number] = {"item_id": item.item_id, "score": float(score), "overlap": overlap, "question_overlap": part(item.question), "answer_overlap": part(item.answer), "start_word": at}
-        return [best[k] for k in sorted(best)]
+                rank = (whole, question, -at)
+                if number not in best or rank > best[number][0]:
+                    found = {"item_id": item.item_id, "score": float(score), "overlap": whole, "question_overlap": question, "answer_overlap": part(item.answer), "start_word": at}
+                    best[number] = (rank, found)
+        return [best[k][1] for k in sorted(best)]
+
 
+def _overlap(own: set, spelled: list[str], there: set) -> float | None:
+    if not own:
+        return None
+    short = next(iter(own))
+    if len(short) < SHINGLE:  # fewer words than a shingle: the only one
+        return float(any(tuple(spelled[j : j + len(short)]) == short for j in range(len(spelled))))
+    return len(own & there) / len(own)
 
-def indexes(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[Index]:
-    """One index per shard of the items; the number of shards follows their size."""
+
+def matches(indexes: list[Index], text: str | None) -> list[dict]:
+    """The confirmed items of one text, of all length classes."""
+    w = words(text)
+    return [m for index in indexes for m in index.matches(w)] if w else []
+
+
+def indexes(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[bytes]:
+    """Shard by shard the pickled indexes of its length classes, built in tasks."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
-    shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
-    return [Index([tuple(r) for r in items.where(shard == k).collect()]) for k in range(shards)]
+
+    def run(batches):
+        by_shard: dict[int, list] = {}
+        for batch in batches:
+            for shard, item, text in zip(*(batch[c].to_pylist() for c in ("shard", "item_id", "text"))):
+                by_shard.setdefault(shard, []).append((item, text))
+        for shard, own in by_shard.items():
+            classes: dict[int, list] = {}
+            for item, text in own:
+                if n := len(words(text)):
+                    classes.setdefault(length_class(n), []).append((item, text))
+            made = pickle.dumps([Index(classes[k]) for k in sorted(classes)], protocol=5)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([made], pa.binary())], ["shard", "made"])
+
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
+    built = cut(dealt.repartitionById(shards, "shard").mapInArrow(run, "shard int, made binary"))
+    for k in range(shards):
+        for row in built.where(F.col("shard") == k).select("made").collect():  # one at most
+            yield bytes(row["made"])
 
 
 MATCH = "item_id long, score double, overlap double, question_overlap double, answer_overlap double, start_word long"
@@ -205,18 +250,18 @@ MATCH = "item_id long, score double, overlap double, question_overlap double, an
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id and the confirmed item, score, overlaps and passage start: a row per document and item."""
-    out = None
-    for index in indexes(benchmark, shard_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    rows, out = id_and_text(docs), docs.sparkSession.createDataFrame([], f"doc_id long, {MATCH}")
+    for made in indexes(benchmark, shard_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(made)
 
         def run(batches, sent=sent):
-            index = sent.value
+            let_go()
+            own = pickle.loads(sent.value)
             for batch in batches:
-                rows = [{"doc_id": i, **m} for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()) for m in index.matches(t)]
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                found = [{"doc_id": i, **m} for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()) for m in matches(own, t)]
+                yield pa.RecordBatch.from_pylist(found, schema=schema)
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {MATCH}")
-        out = part if out is None else out.union(part)
+        out = out.union(rows.mapInArrow(run, f"doc_id long, {MATCH}"))
     return out
 
 
@@ -225,13 +270,15 @@ schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *((c, pa.fl
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` without the rows whose text holds a test item; all columns stay."""
-    for index in indexes(benchmark, shard_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-        at = docs.columns.index("text")
+    at = docs.columns.index("text")
+    for made in indexes(benchmark, shard_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(made)
 
-        def run(batches, sent=sent, at=at):
+        def run(batches, sent=sent):
+            let_go()
+            own = pickle.loads(sent.value)
             for batch in slices(batches, 2000):
-                yield batch.filter(pa.array([not sent.value.matches(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not matches(own, t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

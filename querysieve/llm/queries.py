@@ -57,7 +57,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    rounded = [F.round(c, 6).alias(c) for c in ("overlap", "question_overlap", "answer_overlap")]
+    return found.select("doc_id", "item_id", *rounded, "start_word")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,5 +93,25 @@ words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS at FROM
 kept AS (SELECT words.doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY words.at) AS t FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.at = words.at WHERE gone.at IS NULL GROUP BY words.doc_id)
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, (len(d.ws) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+""",
+    # Shingles of items and documents joined, counted by passage; a part of fewer than five words is one shingle.
+    "op9_decontaminate": r"""
+WITH items AS (SELECT item_id, text, regexp_extract(trim(text), '(?s)^(.*[.!?])\s+(\S.*)$', ['q', 'a']) AS p FROM benchmark WHERE text IS NOT NULL),
+parts AS (SELECT item_id, part, regexp_extract_all(lower(t), '[\p{L}\p{N}_]+') AS ws FROM (
+  SELECT item_id, 'w' AS part, text AS t FROM items UNION ALL SELECT item_id, 'q', CASE WHEN p.a = '' THEN text ELSE p.q END FROM items UNION ALL SELECT item_id, 'a', p.a FROM items)),
+sized AS (SELECT item_id, part, len(ws) AS words, least(len(ws), 5) AS size, ws FROM parts WHERE len(ws) > 0),
+own AS (SELECT DISTINCT item_id, part, size, array_to_string(list_slice(ws, i, i + size - 1), ' ') AS s FROM (SELECT *, unnest(range(1, words - size + 2)) AS i FROM sized)),
+n AS (SELECT item_id, part, count(*) AS n FROM own GROUP BY ALL),
+strides AS (SELECT item_id, greatest(64, 1 << ceil(log2(words))::INT) AS stride FROM sized WHERE part = 'w'),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents WHERE text IS NOT NULL),
+spots AS (SELECT r, doc_id, i - 1 AS i, size, array_to_string(list_slice(ws, i, i + size - 1), ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM own))),
+hits AS (SELECT r, doc_id, item_id, part, s, i, size, stride FROM spots JOIN own USING (s, size) JOIN strides USING (item_id)),
+placed AS (SELECT *, i // stride AS k FROM hits UNION ALL SELECT *, i // stride - 1 FROM hits WHERE i >= stride),
+counted AS (SELECT r, doc_id, item_id, part, k, stride, count(DISTINCT s) AS c FROM placed WHERE i + size <= (k + 2) * stride GROUP BY ALL),
+shares AS (SELECT r, doc_id, item_id, k, any_value(stride) AS stride, max(c / n) FILTER (part = 'w') AS o, max(c / n) FILTER (part = 'q') AS q, max(c / n) FILTER (part = 'a') AS a FROM counted JOIN n USING (item_id, part) GROUP BY ALL),
+asks AS (SELECT item_id, max(words) FILTER (part = 'q') >= 13 AS asks, count(*) FILTER (part = 'q') AS has_q, count(*) FILTER (part = 'a') AS has_a FROM sized GROUP BY 1),
+good AS (SELECT *, CASE WHEN has_q > 0 THEN coalesce(q, 0) END AS qo, CASE WHEN has_a > 0 THEN coalesce(a, 0) END AS ao FROM shares JOIN asks USING (item_id) WHERE o >= 0.8 - 1e-9 OR asks AND q >= 0.8 - 1e-9),
+best AS (SELECT *, row_number() OVER (PARTITION BY r, item_id ORDER BY o DESC, qo DESC NULLS LAST, k) AS rank FROM good)
+SELECT doc_id, item_id, round(o, 6) AS overlap, round(qo, 6) AS question_overlap, round(ao, 6) AS answer_overlap, (k * stride)::BIGINT AS start_word FROM best WHERE rank = 1
 """,
 }

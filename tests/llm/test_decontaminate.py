@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import pytest
@@ -19,6 +20,11 @@ def by_definition(item, text):
     return len(shingles & there) / len(shingles)
 
 
+def holds(item, text):
+    question = d.question_and_answer(item)[0]
+    return by_definition(item, text) >= 0.8 or len(d.words(question)) >= d.QUESTION_WORDS and by_definition(question, text) >= 0.8
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_wand_equals_scoring_everything(seed):
     index, draw = d.Index(items(seed, 150)), random.Random(seed)
@@ -44,13 +50,29 @@ def test_finds_whole_and_edited_copies(spark):
             text[at:at] = own
         docs.append((k, " ".join(text)))
     rows, bench_df = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
-    want = {(i, k) for i, t in docs for k, item in bench if by_definition(item, t) >= 0.8}
+    want = {(i, k) for i, t in docs for k, item in bench if holds(item, t)}
     assert want and {(r.doc_id, r.item_id) for r in d.contaminated(rows, bench_df).collect()} == want
     # In shards the same comes out.
     assert {(r.doc_id, r.item_id) for r in d.contaminated(rows, bench_df, shard_bytes=1000).collect()} == want
     assert {r.doc_id for r in d.keep_clean(rows, bench_df, 1000).collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_a_question_alone_is_enough(spark):
+    question = "how many of the seven bridges does one cross on the shortest walk through the town?"
+    bench = spark.createDataFrame([(1, question + " None of them, for the walk that was asked for is known not to exist at all."), (2, "Why? " + "so " * 30)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "some text. " + question + " Nobody knows."), (2, "why? because"), (3, question[:40])], "doc_id long, text string")
+    row, = d.contaminated(docs, bench).collect()
+    assert (row.doc_id, row.item_id, row.question_overlap, row.answer_overlap) == (1, 1, 1.0, 0.0) and row.overlap < 0.8
+
+
+def test_a_long_item_leaves_the_others_their_passages(spark):
+    bench = items(9) + [(99, " ".join(f"long{k}" for k in range(700)))]
+    made = [index for blob in d.indexes(spark.createDataFrame(bench, "item_id long, text string")) for index in pickle.loads(blob)]
+    assert sorted((i.stride, len(i.items)) for i in made) == [(64, 30), (1024, 1)]
+    docs = spark.createDataFrame([(1, "x " * 500 + bench[-1][1]), (2, bench[3][1])], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in d.contaminated(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()} == {(1, 99), (2, 3)}
+
+
 def test_question_and_answer():
     assert d.question_and_answer("Is it so? It is.") == ("Is it so?", "It is.")
     assert d.question_and_answer("One sentence") == ("One sentence", "")
