@@ -20,8 +20,12 @@ How it runs:
 Skew: before rows leave a batch of documents, of equal segments and of equal edges one goes on and the others have
 their source at once; of a minimiser with more than ``VARIANTS`` different segments one row goes on to tell the
 others.  What a document repeats within itself goes on once; whatever comes of it holds for its other places, which are
-found again in the text at the end.  So what very many documents share sends a few rows per batch, and no group grows
-with it.  The text is shuffled once, compressed.  A hash collision can only keep words: what isn't confirmed at its source stays.
+found again in the text at the end.  So what very many documents share sends ``VARIANTS`` rows per batch of documents at
+most, not one per document.  Texts are known by their doc_id and 23 bits of a hash of the text, so rows without a
+doc_id don't meet either.  The text is shuffled once, compressed.  A hash collision can only keep words: what isn't
+confirmed at its source stays.
+
+Nodes have no rows of their own: a branch shows as a change of source along the walk, and degrees aren't counted.
 
 Edge cases: a null text has no words; fewer words than a window are all kept; words are split at the six ASCII
 blanks; a null doc_id ranks after every other, so such rows lose what others have and take nothing; rows that
@@ -36,11 +40,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from querysieve.llm.common import as_bytes
+from querysieve.llm.common import as_bytes, cut
 
 K, SEED_WORDS = 13, 4
 VARIANTS = 4
@@ -101,11 +105,13 @@ def seed_runs(h: np.ndarray, k: int = K, seed_words: int = SEED_WORDS) -> tuple[
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id as given, the id that ranks, and the text."""
+    """doc_id as given, the id that ranks, the tag (upper bits of every place in the text), and the text."""
+    text = F.col("text").cast("string")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"),
-        F.col("text").cast("string").alias("text"),
+        F.shiftleft(F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFF)), PLACE_BITS).alias("tag"),
+        text.alias("text"),
     )
 
 
@@ -116,9 +122,9 @@ def _compressed(rows: DataFrame) -> DataFrame:
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             packed = pa.array([packer.compress(t) for t in as_bytes(batch["text"])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["id"], packed], ["doc_id", "id", "text"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["id"], batch["tag"], packed], ["doc_id", "id", "tag", "text"])
 
-    return rows.mapInArrow(run, "doc_id long, id long, text binary")
+    return rows.mapInArrow(run, "doc_id long, id long, tag long, text binary")
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -126,10 +132,6 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
     return (unpacker.decompress(t) for t in column.to_pylist())
 
 
-def _tag(text: bytes) -> int:
-    return (xxhash.xxh3_64_intdigest(text) & 0x7FFFFF) << PLACE_BITS
-
-
 ASKS, PATH, OPEN = 0, 1, 2  # what a segment row is: looks for equals; has its source; needs its edges spelled out
 SEGMENT_COLUMNS = ["key", "content", "id", "place", "n", "variants", "kind", "source", "source_place"]
 
@@ -145,16 +147,16 @@ def segments(rows: DataFrame, k: int) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             parts = []
-            for i, text in zip(batch["id"].to_pylist(), as_bytes(batch["text"])):
+            for i, tag, text in zip(batch["id"].to_pylist(), batch["tag"].to_pylist(), as_bytes(batch["text"])):
                 h = hashes.of(words_of(text))
                 seed, at, n = seed_runs(h, k)
                 if len(seed):
                     content = np.add.reduceat(edges_of(h, k), at) * _MIX + n.astype(np.uint64)
-                    parts.append((seed, content, np.full(len(seed), i, np.int64), at + _tag(text), n))
+                    parts.append((seed, content, np.full(len(seed), i, np.int64), at + tag, n))
             if parts:
                 yield _compared(*(np.concatenate(c) for c in zip(*parts)))
 
-    return rows.select("id", "text").mapInArrow(run, ", ".join(f"{c} {'int' if c in ('n', 'variants', 'kind') else 'long'}" for c in SEGMENT_COLUMNS))
+    return rows.select("id", "tag", "text").mapInArrow(run, ", ".join(f"{c} {'int' if c in ('n', 'variants', 'kind') else 'long'}" for c in SEGMENT_COLUMNS))
 
 
 def _compared(seed: np.ndarray, content: np.ndarray, ids: np.ndarray, place: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -176,13 +178,17 @@ def _compared(seed: np.ndarray, content: np.ndarray, ids: np.ndarray, place: np.
     return pa.RecordBatch.from_arrays(columns, SEGMENT_COLUMNS)
 
 
+def _tag_of(place: str) -> Column:
+    return F.col(place).bitwiseAND(F.lit(-1 << PLACE_BITS)).alias("tag")
+
+
 def _with_found(rows: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
-    """All rows, each with the list of what was found in its document (null: nothing).
+    """All rows, each with the list of what was found in its text (null: nothing), equal rows' findings once.
 
     Every use keeps the same columns of the documents, so that the shuffled texts are reused.
     """
-    lists = found.groupBy("id").agg(F.collect_list(F.struct(*columns)).alias("found"))
-    return rows.join(lists.hint("shuffle_hash"), "id", "left").select("doc_id", "id", "text", "found")
+    lists = found.groupBy("id", _tag_of("place")).agg(F.collect_set(F.struct(*columns)).alias("found"))
+    return rows.join(lists.hint("shuffle_hash"), ["id", "tag"], "left").select("doc_id", "id", "tag", "text", "found")
 
 
 def _spelled_out(texts: DataFrame, met: DataFrame, k: int) -> DataFrame:
@@ -196,21 +202,19 @@ def _spelled_out(texts: DataFrame, met: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             order = np.argsort(batch["id"].to_numpy(), kind="stable")
             edge, ids, place, paths = [], [], [], []
-            lists, all_ids, texts = batch["found"], batch["id"].to_pylist(), batch["text"]
+            lists, all_ids, tags, texts = batch["found"], batch["id"].to_pylist(), batch["tag"].to_pylist(), batch["text"]
             for row in order.tolist():
                 if not lists[row].is_valid:
                     continue
-                text = unpack(texts[row].as_py())
-                tag = _tag(text)
+                text, tag = unpack(texts[row].as_py()), tags[row]
                 found = lists[row].values
                 at, n = found.field("place").to_numpy(), found.field("n").to_numpy().astype(np.int64)
-                is_open = found.field("source").is_null().to_numpy(zero_copy_only=False)
-                own = at >> PLACE_BITS << PLACE_BITS == tag
-                if (known := own & ~is_open).any():
+                left = found.field("source").is_null().to_numpy(zero_copy_only=False)
+                if (known := ~left).any():
                     source, there = (found.field(c).fill_null(0).to_numpy()[known] for c in ("source", "source_place"))
                     turn = np.argsort(at[known], kind="stable")
                     paths.append(_runs(np.full(len(turn), all_ids[row]), at[known][turn], source[turn], there[turn], n[known][turn]))
-                if (left := own & is_open).any():
+                if left.any():
                     e = edges_of(hashes.of(words_of(text)), k)
                     single = np.concatenate([np.arange(a, a + m) for a, m in zip((at[left] - tag).tolist(), n[left].tolist())])
                     single = single[np.sort(np.unique(e[single], return_index=True)[1])]
@@ -249,7 +253,7 @@ def _runs(ids: np.ndarray, place: np.ndarray, source: np.ndarray, there: np.ndar
 def _compact(sourced: DataFrame) -> DataFrame:
     """Edges and paths of later documents with their sources -> paths: id, place, n (edges), source, source_place."""
     columns = ["place", "n", "source", "source_place"]
-    lists = sourced.groupBy("id").agg(F.collect_list(F.struct(*columns)).alias("edges"))
+    lists = sourced.groupBy("id", _tag_of("place")).agg(F.collect_set(F.struct(*columns)).alias("edges"))
 
     def run(batches):
         for batch in batches:
@@ -263,24 +267,28 @@ def _compact(sourced: DataFrame) -> DataFrame:
 
 
 def _spelled(texts: DataFrame, paths: DataFrame, k: int) -> DataFrame:
-    """The paths with a strong hash of the words that stand at their source coordinates."""
-    at_source = paths.select(F.col("source").alias("id"), F.col("source_place").alias("place"), "n", F.col("id").alias("later"), F.col("place").alias("later_place"))
+    """The paths with strong hashes of the words that stand at their source coordinates.
+
+    However many documents have a path from one place, its source is asked once.
+    """
+    paths, at = cut(paths), ["source", "source_place", "n"]
+    asked = paths.select(F.col("source").alias("id"), F.col("source_place").alias("place"), "n").distinct()
 
     def run(batches):
         for batch in batches:
             out = [[], [], [], []]
-            for text, found in zip(_texts(batch["text"]), batch["found"]):
+            for i, tag, text, found in zip(batch["id"].to_pylist(), batch["tag"].to_pylist(), _texts(batch["text"]), batch["found"]):
                 if not found.is_valid:
                     continue
-                words, tag = words_of(text), _tag(text)
+                words = words_of(text)
                 for f in found.as_py():
-                    if f["place"] >> PLACE_BITS << PLACE_BITS == tag:
-                        at = f["place"] - tag
-                        for column, value in zip(out, (f["later"], f["later_place"], f["n"], spelling(words[at : at + f["n"] + k - 1]))):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["id", "place", "n", "spelled"])
+                    start = f["place"] - tag
+                    for column, value in zip(out, (i, f["place"], f["n"], spelling(words[start : start + f["n"] + k - 1]))):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], [*at, "spelled"])
 
-    return _with_found(texts, at_source, "place", "n", "later", "later_place").mapInArrow(run, "id long, place long, n long, spelled binary")
+    told = _with_found(texts, asked, "place", "n").mapInArrow(run, "source long, source_place long, n long, spelled binary")
+    return paths.join(told.groupBy(*at).agg(F.collect_set("spelled").alias("spelled")), at).select("id", "place", "n", "spelled")
 
 
 def spelling(words: list[bytes]) -> bytes:
@@ -321,12 +329,12 @@ def deduplicate(docs: DataFrame, k: int = K) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             n_words, n_removed, kept, spans = [], [], [], []
-            for text, found in zip(_texts(batch["text"]), batch["found"]):
-                words, tag = words_of(text), _tag(text)
+            for tag, text, found in zip(batch["tag"].to_pylist(), _texts(batch["text"]), batch["found"]):
+                words = words_of(text)
                 windows = np.zeros(max(0, len(words) - k + 1), bool)
                 for f in found.as_py() or []:
                     at = f["place"] - tag
-                    if f["place"] >> PLACE_BITS << PLACE_BITS == tag and spelling(words[at : at + f["n"] + k - 1]) == f["spelled"]:
+                    if spelling(words[at : at + f["n"] + k - 1]) in f["spelled"]:
                         windows[at : at + f["n"]] = True
                 gone = np.zeros(len(words) + 1, np.int8)
                 if windows.any():

@@ -44,6 +44,14 @@ def test_few_words_and_many_variants(spark, make, small_batches, monkeypatch):
     assert ours(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5) == by_definition(rows, 5)
 
 
+def test_many_rows_without_an_id(spark, make, small_batches):
+    """They lose what rows with an id have, and rows of one id nothing to each other."""
+    rows = [(None if k % 3 else i, t) for k, (i, t) in enumerate(make(5, n=90))]
+    rows += [(None, rows[0][1])] * 9 + [(5, rows[3][1])] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert ours(df, 13) == by_definition(rows, 13)
+
+
 def test_odd_documents(spark, odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert ours(odd, 13) == by_definition(rows, 13)
