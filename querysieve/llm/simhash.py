@@ -10,8 +10,8 @@ nothing; keys of more than ``CROWDED`` fingerprints are filed again under the qu
 same argument: of the remaining 3 bits one quarter sees at most one), which leaves groups of a bounded size.
 
 Edge cases: a null or wordless text has fingerprint zero, which links like any other; fewer words than a
-shingle make one shingle; rows that repeat a doc_id count as one document; a null doc_id gets a fingerprint and
-joins components but never names one (a component of such rows only has a null id).
+shingle make one shingle; rows that repeat a doc_id are documents of their own, each with its fingerprint and component;
+a null doc_id gets a fingerprint and joins components but never names one (a component of such rows only has a null id).
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from querysieve.llm import nearcopies
 from querysieve.llm.common import as_bytes, cut, id_and_text, let_go, slices
@@ -76,7 +75,8 @@ def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """``distinct`` (fp) -> a, b: all pairs that differ in at most three bits (a pair may come more than once)."""
     bits = F.explode(F.sequence(F.lit(0), F.lit(63)))
     filed = distinct.select("fp", bits.alias("bit")).select("fp", "bit", _without_bit(F.col("fp"), 32, F.col("bit")).alias("key"))
-    filed = filed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    # An aggregate and a join, not a window: counts combine before the shuffle, and Spark can split a crowded key.
+    filed = filed.join(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
     few = _linked(filed.where(F.col("n") <= crowded).select("key", "fp"), ["key"], MOST_BITS)
     # The other half of a crowded key, by its two quarters.
     other = F.call_function("shiftrightunsigned", F.col("fp"), F.when(F.col("bit") < 32, 32).otherwise(0)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))

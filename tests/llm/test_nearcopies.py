@@ -64,3 +64,16 @@ def test_parity_is_a_lower_bound():
     for _ in range(200):
         a, b = (np.unique(draw.integers(0, 400, draw.integers(0, 300)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
         assert sum((int(x) ^ int(y)).bit_count() for x, y in zip(nearcopies.parity(a).view(np.uint64), nearcopies.parity(b).view(np.uint64))) <= len(np.setxor1d(a, b))
+
+
+def test_one_of_every_group_stays(spark):
+    """Rows without an id, repeated ids and repeated rows; columns that are named like the operator's own."""
+    a, b, c = ("a b c d e f g h i j k", "completely other words stand in this text here now", "third text of its own with words enough to tell")
+    rows = [(3, a, 1), (None, a, 2), (5, a, 3), (5, b, 4), (5, b, 4), (None, c, 5), (None, c, 6), (7, "", 7), (None, None, 8), (9, " ", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root int").withColumnsRenamed({"root": "id"}).selectExpr("doc_id", "text", "id", "id th", "id __gone", "id doc")
+    kept = simhash.keep_first(docs)
+    assert kept.schema == docs.schema
+    got = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    assert got == [(0, c), (3, a), (5, b), (7, "")]
+    by = sorted((r.doc_id or 0, r.component_id or 0) for r in nearcopies.near_copies(docs).collect())
+    assert by == [(0, 0), (0, 0), (0, 3), (0, 7), (3, 3), (5, 3), (5, 5), (5, 5), (7, 7), (9, 7)]
