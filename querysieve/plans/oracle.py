@@ -125,14 +125,33 @@ def safe(part: str, whole: str) -> str:
     return f"CASE WHEN {whole} = 0 THEN 0 ELSE ({part})::DOUBLE / ({whole}) END"
 
 
-METRICS = (
-    f"{FEATURES}, said AS (SELECT label, CASE WHEN f7 > 0.2 OR f4 > 1 THEN 1 ELSE 0 END AS prediction FROM featured)"
-    ", c AS (SELECT count(*) FILTER (label = 1 AND prediction = 1) AS tp, count(*) FILTER (label <> 1 AND prediction = 1) AS fp,"
-    " count(*) FILTER (label = 1 AND prediction <> 1) AS fn, count(*) FILTER (label <> 1 AND prediction <> 1) AS tn FROM said)"
-    f", m AS (SELECT *, 100 * {safe('tp + tn', 'tp + fp + fn + tn')} AS accuracy, {safe('tp', 'tp + fp')} AS p1, {safe('tp', 'tp + fn')} AS r1, {safe('tn', 'tn + fn')} AS p0, {safe('tn', 'tn + fp')} AS r0 FROM c)"
-    f", f AS (SELECT *, {safe('2 * p1 * r1', 'p1 + r1')} AS f1, {safe('2 * p0 * r0', 'p0 + r0')} AS f0 FROM m)"
-    " SELECT tp, fp, fn, tn, round(accuracy, 6) AS accuracy, round(p1, 6) AS p1, round(r1, 6) AS r1, round(f1, 6) AS f1, round(p0, 6) AS p0, round(r0, 6) AS r0, round(f0, 6) AS f0, round((f1 + f0) / 2, 6) AS macro_f1 FROM f"
-)
+def metrics_of(said: str) -> str:
+    """CTE ``metrics``: counts and metrics of the predictions in ``said`` (label, prediction)."""
+    return (
+        ", c AS (SELECT count(*) FILTER (label = 1 AND prediction = 1) AS tp, count(*) FILTER (label <> 1 AND prediction = 1) AS fp,"
+        f" count(*) FILTER (label = 1 AND prediction <> 1) AS fn, count(*) FILTER (label <> 1 AND prediction <> 1) AS tn FROM {said})"
+        f", m AS (SELECT *, 100 * {safe('tp + tn', 'tp + fp + fn + tn')} AS accuracy, {safe('tp', 'tp + fp')} AS p1, {safe('tp', 'tp + fn')} AS r1, {safe('tn', 'tn + fn')} AS p0, {safe('tn', 'tn + fp')} AS r0 FROM c)"
+        f", f AS (SELECT *, {safe('2 * p1 * r1', 'p1 + r1')} AS f1, {safe('2 * p0 * r0', 'p0 + r0')} AS f0 FROM m)"
+        ", metrics AS (SELECT tp, fp, fn, tn, round(accuracy, 6) AS accuracy, round(p1, 6) AS p1, round(r1, 6) AS r1, round(f1, 6) AS f1, round(p0, 6) AS p0, round(r0, 6) AS r0, round(f0, 6) AS f0, round((f1 + f0) / 2, 6) AS macro_f1 FROM f)"
+    )
+
+
+METRICS = f"{FEATURES}, said AS (SELECT label, CASE WHEN f7 > 0.2 OR f4 > 1 THEN 1 ELSE 0 END AS prediction FROM featured){metrics_of('said')} SELECT * FROM metrics"
+
+
+def naive_bayes(support: float = 0.05) -> str:
+    """The Gaussian model of scenario 2, fitted and applied in SQL; a hair of the largest variance is added to each."""
+    return (
+        f"{rows_with_items(4)}{SPLIT}{mined('train', support)}, columns AS (SELECT items, row_number() OVER () AS at FROM found)"
+        f", long AS (SELECT id, label, is_train, slot, x::FLOAT::DOUBLE AS x FROM ranked CROSS JOIN LATERAL (SELECT unnest({SLOTS!r}) AS slot, unnest([{', '.join(SLOTS)}]) AS x)"
+        " UNION ALL SELECT r.id, r.label, r.is_train, 'p' || c.at, list_has_all(r.items, c.items)::INT::DOUBLE FROM ranked r, columns c)"
+        ", hair AS (SELECT 1e-9 * max(v) AS e FROM (SELECT var_samp(x) AS v FROM long WHERE is_train GROUP BY slot))"
+        ", fitted AS (SELECT label AS class, slot, avg(x) AS mean, avg(x * x) - avg(x) * avg(x) + (SELECT e FROM hair) AS v FROM long WHERE is_train GROUP BY label, slot)"
+        ", prior AS (SELECT label AS class, ln(count(*)) AS p FROM ranked WHERE is_train GROUP BY label)"
+        ", scored AS (SELECT id, label, class, any_value(p) - 0.5 * sum(ln(2 * pi() * v) + (x - mean) ** 2 / v) AS s FROM long JOIN fitted USING (slot) JOIN prior USING (class) WHERE NOT is_train GROUP BY id, label, class)"
+        ", said AS (SELECT id, any_value(label) AS label, arg_max(class, s) AS prediction FROM scored GROUP BY id)"
+        f"{metrics_of('said')} SELECT 2 AS scenario, 'naive_bayes' AS model, * FROM metrics"
+    )
 
 
 def features_of(table: str, key: str, text: str) -> str:
@@ -212,6 +231,7 @@ SQL = {
         f"{FEATURES} SELECT label, slot, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS variance FROM featured"
         f" CROSS JOIN LATERAL (SELECT unnest({SLOTS!r}) AS slot, unnest([{', '.join(SLOTS)}]) AS x) GROUP BY label, slot"
     ),
+    "model_naive_bayes": naive_bayes(),
     "count_all": f"{CORPUS} SELECT count(*)::BIGINT AS n FROM corpus",
     "count_malicious": f"{CORPUS} SELECT count(*)::BIGINT AS n FROM corpus WHERE label = 1",
     "count_benign": f"{CORPUS} SELECT count(*)::BIGINT AS n FROM corpus WHERE label = 0",

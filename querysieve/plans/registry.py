@@ -141,10 +141,14 @@ def expand_in(scenario, spark, sf_dir):
     return rows.select("id", "is_train", F.size("expanded").cast("long").alias("dims"), _text(extra).alias("extra"))
 
 
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.select(*[F.round(c, 6).alias(c) if c in metrics.METRICS[4:] else c for c in found.columns])
+
+
 def confusion_metrics(spark, sf_dir):
     rows = featured(corpus(spark, sf_dir)).select("label", F.when((F.col("f7") > 0.2) | (F.col("f4") > 1), 1).otherwise(0).alias("prediction"))
     found = metrics.confusion_metrics(rows)
-    return found.select(*metrics.METRICS[:4], *[F.round(c, 6).alias(c) for c in metrics.METRICS[4:]])
+    return _rounded(found)
 
 
 def nb_params(spark, sf_dir):
@@ -153,12 +157,12 @@ def nb_params(spark, sf_dir):
 
 
 def model(name, spark, sf_dir, scenario: int = 2):
-    return scenarios.run_scenario(scenarios.prepared(corpus(spark, sf_dir)), scenario, [name])
+    return _rounded(scenarios.run_scenario(scenarios.prepared(corpus(spark, sf_dir)), scenario, [name]))
 
 
 def scenario_grid(spark, sf_dir):
     """All seven scenarios with all six models."""
-    return scenarios.run_all(corpus(spark, sf_dir))
+    return _rounded(scenarios.run_all(corpus(spark, sf_dir)))
 
 
 def count_rows(label, spark, sf_dir):

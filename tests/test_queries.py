@@ -33,7 +33,7 @@ def test_against_sql(spark, sf_dir, duck, name):
 
 def test_every_query_has_sql_or_cannot():
     without = set(registry.QUERIES) - set(registry.ORACLE)
-    assert without == {"scenario_grid"} | {f"model_{m}" for m in scenarios.MODELS}
+    assert without == {"scenario_grid"} | {f"model_{m}" for m in scenarios.MODELS} - {"model_naive_bayes"}
 
 
 def test_parsed_accepts_statements_only(spark, sf_dir):
