@@ -55,10 +55,24 @@ def terms_of(text: str | None) -> list[str]:
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples (``ends`` of each in ``terms`` and ``weights``) by term and block."""
+    """Unit vectors of examples (``ends`` of each in ``terms`` and ``weights``) by term and block.
+
+    Only the vectors are sent, in 32 bits; blocks and postings are laid out where the index arrives.
+    """
 
     def __init__(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, size: int, common: float = COMMON):
-        n = len(ends)
+        self.vectors = ends.astype(np.int32), terms.astype(np.int32), weights.astype(np.float32), size, common
+        self._lay_out(*self.vectors)
+
+    def __getstate__(self) -> tuple:
+        return self.vectors
+
+    def __setstate__(self, vectors: tuple) -> None:
+        self.vectors = vectors
+        self._lay_out(*vectors)
+
+    def _lay_out(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, size: int, common: float) -> None:
+        n, weights = len(ends), weights.astype(np.float64)
         self.blocks = -(-n // BLOCK)
         example = np.repeat(np.arange(n), np.diff(ends, prepend=0))
         is_common = np.bincount(terms, minlength=size) > common * n
@@ -204,6 +218,7 @@ def _document_counts(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], n))], ["term", "n"])
 
     found = id_and_text(docs).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
     counts = np.zeros(len(terms) + 1, np.int64)
     counts[found["term"].to_numpy()] = found["n"].to_numpy()  # the number of documents comes last
     return counts[:-1], int(counts[-1])
@@ -236,6 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     made = rows.mapInArrow(vectors, "doc_id long, label int, at array<long>, weights array<double>")
     made = cut(made.where("size(at) > 0").withColumn("number", F.monotonically_increasing_id()))
+    sent.destroy()
     own = made.toArrow().sort_by([("doc_id", "ascending"), ("number", "ascending")]).combine_chunks()  # at most the sample
     label = own["label"].to_numpy().astype(float)
     ends = np.cumsum(np.array([len(a) for a in own["at"]], np.int64))
@@ -254,6 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(skip, pa.int64()), pa.array(found, pa.float64())], ["example", "vote"])
 
     voted = made.mapInArrow(votes, "example long, vote double").toArrow()  # at most the sample
+    sent_model.destroy()
     model.knots = monotone(voted["vote"].to_numpy(), label[voted["example"].to_numpy()])
     return model
 

@@ -117,6 +117,42 @@ def test_discriminant_is_the_density_ratio():
     assert model.difference(x).tolist() == pytest.approx((density[1] - density[0]).tolist())
 
 
+def test_quality_fit_by_definition(spark):
+    """The whole query against plain numpy: moments, cut-off, shrinkage, factors and the curve over a histogram."""
+    docs, labels = documents(3, n=200)
+    docs += [(300, None), (301, ""), (302, docs[0][1])]
+    own = [(i, q) for i, q, _ in labels if i % 4 != 2] + [(301, 0)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in quality.quality_scores(frame, spark.createDataFrame(own, "doc_id long, label int")).collect()}
+    x = {i: np.array(quality.describe((t or "").encode())) for i, t in docs}
+    taught, y = np.array([x[i] for i, _ in own]), np.array([q for _, q in own])
+    centre, scale = taught.mean(axis=0), np.sqrt(np.maximum(taught.var(axis=0), 1e-6))
+    z = np.clip((taught - centre) / scale, -quality.LIMIT, quality.LIMIT)
+    covariances = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    pooled = sum((y == k).mean() * covariances[k] for k in (0, 1))
+    d = z.shape[1]
+
+    def log_density(points, k):
+        c = (1 - quality.SHRINK_TO_POOLED) * covariances[k] + quality.SHRINK_TO_POOLED * pooled
+        c = (1 - quality.SHRINK_TO_DIAGONAL) * c + quality.SHRINK_TO_DIAGONAL * np.diag(np.diag(c)) + quality.RIDGE * np.eye(d)
+        away = points - z[y == k].mean(axis=0)
+        return np.log((y == k).mean()) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(c), away)
+
+    apart = lambda points: log_density(points, 1) - log_density(points, 0)
+    at = np.clip((np.clip(apart(z), -quality.SPREAD, quality.SPREAD) + quality.SPREAD) / (2 * quality.SPREAD) * quality.BINS, 0, quality.BINS - 1).astype(int)
+    middle = ((at + 0.5) / quality.BINS * 2 - 1) * quality.SPREAD / 20
+    best = np.zeros(2)
+    for _ in range(200):  # the curve's own optimum, by damped Newton steps on single rows
+        p = 1 / (1 + np.exp(-np.clip(best[0] * middle + best[1], -30, 30)))
+        design = np.stack([middle, np.ones_like(middle)], axis=1)
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2), design.T @ (y - p) - 1e-3 * best)
+        best += np.clip(step, -2, 2)
+    slope, offset = best[0] / 20, best[1]
+    points = np.clip((np.array([x[i] for i, _ in docs]) - centre) / scale, -quality.LIMIT, quality.LIMIT)
+    want = 1 / (1 + np.exp(-(slope * apart(points) + offset)))
+    assert [got[i] for i, _ in docs] == pytest.approx(want.tolist(), abs=1e-3)
+
+
 def test_statistics_by_hand():
     found = dict(zip(quality.FEATURES, quality.describe(b"AB ab!! ab!!\nx\nx")))
     assert found["log_words"] == pytest.approx(np.log1p(5)) and found["log_lines"] == pytest.approx(np.log1p(3))
