@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterable
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,18 +32,22 @@ def expanded(ready: DataFrame, scenario: int) -> DataFrame:
 
 
 def run_scenario(ready: DataFrame, scenario: int, models: Iterable[str] = MODELS) -> DataFrame:
-    """scenario, model and the confusion metrics on the test part, a row per model."""
+    """scenario, model and the confusion metrics on the test part, a row per model.
+
+    Models are fitted side by side: each is a long row of small jobs, which leave most of a cluster idle.
+    """
     rows = vectors(expanded(ready, scenario)).persist()
+    train, test = rows.where("is_train"), rows.where("not is_train")
+
+    def one(name: str) -> DataFrame:
+        scored = predictions(MODELS[name](train), test).withColumns({"scenario": F.lit(scenario), "model": F.lit(name)})
+        found = confusion_metrics(scored, ["scenario", "model"])
+        return found.sparkSession.createDataFrame(found.collect(), found.schema)  # one row; the cached vectors go
+
     try:
-        train, test = rows.where("is_train"), rows.where("not is_train")
-        out = None
-        for name in models:
-            fitted = MODELS[name](train)
-            scored = predictions(fitted, test).withColumns({"scenario": F.lit(scenario), "model": F.lit(name)})
-            found = confusion_metrics(scored, ["scenario", "model"])
-            found = found.sparkSession.createDataFrame(found.collect(), found.schema)  # one row; the cached vectors go
-            out = found if out is None else out.unionByName(found)
-        return out
+        rows.count()
+        with ThreadPool(len(MODELS)) as pool:
+            return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(rows.sparkSession)(one), list(models)))
     finally:
         rows.unpersist()
 
