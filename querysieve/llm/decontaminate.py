@@ -2,12 +2,13 @@
 
 The test items are indexed by term; postings carry BM25 impacts relative to the item's score for its own text, and
 each block of postings its largest impact.  Every passage of every document queries the index; block-max WAND
-retrieves all items at or above their threshold, and the words of question and answer are compared to confirm.
+retrieves all entries at or above their threshold, and the words of question and answer are compared to confirm.
 
 An item's answer is its last sentence, its question what comes before (an item of one sentence is all question).  A
 passage holds an item if it has ``SIMILARITY`` = 0.8 of the five-word shingles of the item, or of its question alone
-where that has ``QUESTION_WORDS`` or more.  The threshold of an item is not a tuning value: it is the least score that
-such a passage can have.  So retrieval loses nothing that the comparison would confirm.
+where that has ``QUESTION_WORDS`` or more.  Such a question is an entry of the index beside its item.  The threshold of an
+entry is not a tuning value: it is the least score that a passage can have which holds 0.8 of the entry's shingles.  So
+retrieval loses nothing that the comparison would confirm.
 
 Passages are ``2 x stride`` words long and start every ``stride`` words.  Items are indexed by length class (up to 64
 words, up to 128, and so on doubling), each with its class as stride, so every copy of an item lies whole in some
@@ -42,7 +43,7 @@ from querysieve.llm.common import cut, id_and_text, let_go, slices
 SHINGLE, SIMILARITY = 5, 0.8
 K1, B = 1.2, 0.75
 BLOCK = 64
-RANGES, LEAST_RANGE = 32, 8
+RANGES, LEAST_RANGE = 128, 4
 LEAST_STRIDE = 64
 QUESTION_WORDS = 13
 SHARD_BYTES = 2 << 20
@@ -70,7 +71,6 @@ class Item:
     shingles: set
     question: set
     answer: set
-    threshold: float
     asks: bool  # whether the question alone decides
 
 
@@ -79,7 +79,10 @@ def length_class(n: int) -> int:
 
 
 class Index:
-    """Items of one length class: terms with postings of (item, impact) in blocks of at most ``BLOCK``."""
+    """Items of one length class: terms with postings of (entry, impact) in blocks of at most ``BLOCK``.
+
+    An entry is a whole item or its question; ``items`` and ``thresholds`` go by entry.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
         spelled = [(i, t, words(t)) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1]))]
@@ -88,42 +91,40 @@ class Index:
         frequency = Counter(term for _, _, w in spelled for term in set(w))
         postings: dict[str, list[tuple[int, float]]] = {}
         self.items: list[Item] = []
-        for k, (item_id, text, w) in enumerate(spelled):
-            raw = {}
-            for term, tf in Counter(w).items():
-                idf = math.log(1 + (n - frequency[term] + 0.5) / (frequency[term] + 0.5))
-                raw[term] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
-            own = sum(raw.values())
-            impacts = {term: x / own for term, x in raw.items()}
-            for term, x in impacts.items():
-                postings.setdefault(term, []).append((k, x))
-            all_shingles = shingles(w)
+        self.thresholds: list[float] = []
+        for item_id, text, w in spelled:
             question, answer = (words(part) for part in question_and_answer(text))
-            asked = shingles(question) if len(question) >= QUESTION_WORDS else set()
-
-            def least(own: list[str], count: int, impacts=impacts) -> float:
+            asks = bool(answer) and len(question) >= QUESTION_WORDS
+            item = Item(item_id, shingles(w), shingles(question), shingles(answer), asks)
+            for part, own in [(w, item.shingles), (question, item.question)][: 1 + asks]:
+                raw = {}
+                for term, tf in Counter(part).items():
+                    idf = math.log(1 + (n - frequency[term] + 0.5) / (frequency[term] + 0.5))
+                    raw[term] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(part) / mean))
+                total = sum(raw.values())
+                impacts = {term: x / total for term, x in raw.items()}
+                for term, x in impacts.items():
+                    postings.setdefault(term, []).append((len(self.items), x))
                 # A lost word costs a shingle at least, so no more words than shingles can be missing.
-                missing, held = int(count * (1 - SIMILARITY) + ROUNDING), sorted(impacts[t] for t in set(own))
-                return sum(held[: len(held) - missing]) - ROUNDING
-
-            threshold = min([least(w, len(all_shingles)), *([least(question, len(asked))] if asked else [])])
-            self.items.append(Item(item_id, all_shingles, shingles(question), shingles(answer), threshold, bool(asked)))
+                missing = int(len(own) * (1 - SIMILARITY) + ROUNDING)
+                self.thresholds.append(1 - sum(sorted(impacts.values())[-missing:] if missing else []) - ROUNDING)
+                self.items.append(item)
         self.term = {t: k for k, t in enumerate(sorted(postings))}
         self.postings = [postings[t] for t in sorted(postings)]
         self.most = [max(x for _, x in p) for p in self.postings]
         self.blocks = [[(p[at : at + BLOCK][-1][0], max(x for _, x in p[at : at + BLOCK])) for at in range(0, len(p), BLOCK)] for p in self.postings]
-        # The same bounds by range of items, for many passages at once.
-        width = max(LEAST_RANGE, -(-len(spelled) // RANGES))
-        self.range_most = np.zeros((len(self.postings), -(-len(spelled) // width)), np.float32)
+        # The same bounds by range of entries, for many passages at once.
+        width = max(LEAST_RANGE, -(-len(self.items) // RANGES))
+        self.range_most = np.zeros((len(self.postings), -(-len(self.items) // width)), np.float32)
         for t, p in enumerate(self.postings):
             for k, x in p:
                 self.range_most[t, k // width] = max(self.range_most[t, k // width], x)
-        self.range_least = np.array([min(i.threshold for i in self.items[at : at + width]) for at in range(0, len(spelled), width)]) - 1e-5
-        self.least = min((i.threshold for i in self.items), default=math.inf)
+        self.range_least = np.array([min(self.thresholds[at : at + width]) for at in range(0, len(self.items), width)]) - 1e-5
+        self.least = min(self.thresholds, default=math.inf)
         self.stride = length_class(max((len(w) for _, _, w in spelled), default=1))
 
     def retrieve(self, terms: list[int]) -> list[tuple[int, float]]:
-        """Block-max WAND: all (item, score) at or above the item's threshold, for a passage's distinct terms."""
+        """Block-max WAND: all (entry, score) at or above the entry's threshold, for a passage's distinct terms."""
         least, found, end = self.least, [], len(self.items)
         cursors = [[self.postings[t][0][0], 0, t] for t in terms]  # item, place in the postings, term
         while cursors:
@@ -153,7 +154,7 @@ class Index:
                 to, moved = min(block_end + 1, following), cursors[: pivot + 1]
             elif cursors[0][0] == item:
                 score = sum(self.postings[t][at][1] for _, at, t in cursors[: pivot + 1])
-                if score >= self.items[item].threshold:
+                if score >= self.thresholds[item]:
                     found.append((item, score))
                 to, moved = item + 1, cursors[: pivot + 1]
             else:
@@ -184,7 +185,7 @@ class Index:
 
     def matches(self, w: list[str]) -> list[dict]:
         """The confirmed items of one document's words, each at its best passage."""
-        best: dict[int, tuple] = {}
+        best: dict[int, tuple] = {}  # by the item's first entry
         for k, terms in self._hopeful(w):
             at, hits = k * self.stride, self.retrieve(terms)
             if not hits:
@@ -193,6 +194,7 @@ class Index:
             there = {tuple(spelled[j : j + SHINGLE]) for j in range(max(1, len(spelled) - SHINGLE + 1))}
             for number, score in hits:
                 item = self.items[number]
+                number -= number > 0 and self.items[number - 1] is item
                 part = lambda s: _overlap(s, spelled, there)
                 whole, question = part(item.shingles), part(item.question)
                 if whole + ROUNDING < SIMILARITY and not (item.asks and question + ROUNDING >= SIMILARITY):

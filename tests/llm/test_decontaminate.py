@@ -34,7 +34,7 @@ def test_wand_equals_scoring_everything(seed):
         for t in terms:
             for k, x in index.postings[t]:
                 scores[k] = scores.get(k, 0) + x
-        assert {k for k, _ in index.retrieve(terms)} == {k for k, s in scores.items() if s >= index.items[k].threshold}
+        assert {k for k, _ in index.retrieve(terms)} == {k for k, s in scores.items() if s >= index.thresholds[k]}
 
 
 def test_finds_whole_and_edited_copies(spark):
@@ -68,7 +68,7 @@ def test_a_question_alone_is_enough(spark):
 def test_a_long_item_leaves_the_others_their_passages(spark):
     bench = items(9) + [(99, " ".join(f"long{k}" for k in range(700)))]
     made = [index for blob in d.indexes(spark.createDataFrame(bench, "item_id long, text string")) for index in pickle.loads(blob)]
-    assert sorted((i.stride, len(i.items)) for i in made) == [(64, 30), (1024, 1)]
+    assert sorted((i.stride, len({id(x) for x in i.items})) for i in made) == [(64, 30), (1024, 1)]
     docs = spark.createDataFrame([(1, "x " * 500 + bench[-1][1]), (2, bench[3][1])], "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in d.contaminated(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()} == {(1, 99), (2, 3)}
 
