@@ -12,8 +12,9 @@ probability.  Neighbours and the words that stand out in toxic examples are retu
 
 The index.  Postings of rare words are short and read whole.  Those of common words lie in blocks of ``BLOCK``
 examples, with the largest weight per word and block.  A query adds up what each block could reach at most (its best
-sum of rare words, plus the block maxima of the common ones), visits blocks in falling order of that, and stops once
-no block can beat the neighbours it has: exact, however long the query.
+sum of rare words, plus the block maxima of the common ones), opens the ``FIRST`` most hopeful blocks, and then only those
+that can still beat the neighbours it has: exact, however long the query.  Queries go in batches, so that a block is
+opened once for all that want it.
 
 Bounds: about ``SAMPLE`` labelled rows (by a hash of doc_id) teach, whatever the corpus; the vocabulary and the index,
 which are broadcast, hold those rows' words.  Documents are read in place; only word counts are shuffled.
@@ -30,6 +31,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +40,11 @@ from pyspark.sql import functions as F
 
 from querysieve.llm.common import cut, id_and_text, let_go, slices
 
-SAMPLE = 6_000
+SAMPLE = 4_000
 NEIGHBOURS, BLOCK = 15, 64
 COMMON = 1 / 16  # of the examples: words of more are common
-AT_ONCE = 8  # blocks visited together
+FIRST = 4  # blocks opened to begin with
+QUERIES = 32  # that go together
 PRIOR_WEIGHT = 0.5  # of the base rate among the votes
 NEAR = 0.05  # distances below this weigh alike
 TELLING = 2.0  # relevance from which a word is evidence
@@ -83,9 +86,9 @@ class BlockMaxIndex:
         rising = np.argsort(weights[often], kind="stable")
         strongest[example[often][rising]] = terms[often][rising]
         self.order = np.lexsort((np.diff(ends, prepend=0), strongest))
-        place = np.empty(n, np.int64)
-        place[self.order] = np.arange(n)
-        at = place[example]
+        self.place = np.empty(n, np.int64)
+        self.place[self.order] = np.arange(n)
+        at = self.place[example]
         self.tiles = np.zeros((self.blocks, int(is_common.sum()), BLOCK))
         self.tiles[at[often] // BLOCK, self.slot[terms[often]], at[often] % BLOCK] = weights[often]
         self.most = self.tiles.max(axis=2).T.copy()
@@ -94,32 +97,45 @@ class BlockMaxIndex:
         self.places, self.rare = at[rare].astype(np.int32), weights[rare]
         self.starts = np.concatenate(([0], np.cumsum(np.bincount(terms[rare], minlength=size))))
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k largest cosines and their examples, ties to the smaller example; only those that share a term."""
-        slots = self.slot[terms]
-        own, alone = slots >= 0, terms[slots < 0]
-        first, n = self.starts[alone], self.starts[alone + 1] - self.starts[alone]
-        read = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-        rare = np.bincount(self.places[read], self.rare[read] * np.repeat(weights[~own], n), self.blocks * BLOCK).reshape(self.blocks, BLOCK)
-        slots, weights = slots[own], weights[own]
-        bounds = rare.max(axis=1, initial=0) + weights @ self.most[slots]
-        visit = np.argsort(-bounds, kind="stable")
-        visit = visit[bounds[visit] > 0]
-        found, examples = np.empty(0), np.empty(0, np.int64)
-        for at in range(0, len(visit), AT_ONCE):
-            now = visit[at : at + AT_ONCE]
-            floor = found[-1] if len(found) == k else 0.0
-            now = now[bounds[now] + 10**-DIGITS >= floor]
-            if not len(now):
-                break
-            scores = np.round(rare[now] + weights @ self.tiles[now[:, None], slots], DIGITS)
-            block, there = np.nonzero((scores > 0) & (scores >= floor))
-            number = self.order[now[block] * BLOCK + there]
-            found, examples = np.concatenate((found, scores[block, there])), np.concatenate((examples, number))
-            kept = np.flatnonzero(examples != skip)
-            kept = kept[np.lexsort((examples[kept], -found[kept]))[:k]]
-            found, examples = found[kept], examples[kept]
-        return found, examples
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By query (terms and weights) the k largest cosines and their examples, ties to the smaller example.
+
+        Only examples that share a term count; ``skip`` names one for each query that doesn't.
+        """
+        n, size = len(queries), self.blocks * BLOCK
+        common, rare = np.zeros((n, self.tiles.shape[1])), np.zeros((n, size))
+        for q, (terms, weights) in enumerate(queries):
+            slots = self.slot[terms]
+            own, alone = slots >= 0, terms[slots < 0]
+            common[q, slots[own]] = weights[own]
+            first, times = self.starts[alone], self.starts[alone + 1] - self.starts[alone]
+            read = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+            rare[q] = np.bincount(self.places[read], self.rare[read] * np.repeat(weights[~own], times), size)
+        tiled = rare.reshape(n, self.blocks, BLOCK)
+        bounds = tiled.max(axis=2) + common @ self.most
+        scores = np.zeros((n, self.blocks, BLOCK))
+        flat = scores.reshape(n, size)
+        rows = np.arange(n)[:, None]
+
+        def opened(wanted: np.ndarray) -> np.ndarray:
+            """Scores in the wanted blocks; returns each query's k-th best so far."""
+            for block in np.flatnonzero(wanted.any(axis=0)).tolist():
+                own = np.flatnonzero(wanted[:, block])
+                scores[own, block] = np.round(tiled[own, block] + common[own] @ self.tiles[block], DIGITS)
+            if skip is not None:
+                flat[rows[:, 0], self.place[skip]] = 0
+            return np.partition(flat, size - k, axis=1)[:, size - k]
+
+        begin = np.zeros((n, self.blocks), bool)
+        begin[rows, np.argsort(-bounds, axis=1)[:, :FIRST]] = True
+        floor = opened(begin & (bounds > 0))
+        floor = opened(~begin & (bounds > 0) & (bounds + 10**-DIGITS >= floor[:, None]))
+        found = []
+        for q in range(n):
+            at = np.flatnonzero((flat[q] > 0) & (flat[q] >= floor[q]))
+            at = at[np.lexsort((self.order[at], -flat[q, at]))[:k]]
+            found.append((flat[q, at], self.order[at]))
+        return found
 
 
 @dataclass
@@ -130,11 +146,11 @@ class Space:
     weights: np.ndarray
     relevance: np.ndarray
 
-    def vector(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Known terms of a text, their numbers, and their weights in its unit vector."""
-        counts = Counter(terms_of(text))
+    def vector(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Known terms among a text's words, their numbers, and their weights in its unit vector."""
+        counts = Counter(words)
         names = list(counts)
-        at = np.fromiter((self.terms.get(t, -1) for t in names), np.int64, len(names))
+        at = np.fromiter(map(self.terms.get, names, repeat(-1)), np.int64, len(names))
         weights = (1 + np.log(np.fromiter(counts.values(), np.float64, len(names)))) * self.weights[at]
         known = np.flatnonzero(at >= 0)
         return [names[k] for k in known.tolist()], at[known], weights[known] / math.sqrt(weights @ weights) if len(known) else weights[:0]
@@ -150,19 +166,27 @@ class Model:
     silent: float
     knots: tuple[np.ndarray, np.ndarray]
 
-    def vote(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        similar, near = self.index.nearest(terms, weights, NEIGHBOURS, skip)
-        votes = NEAR / (NEAR + 1 - similar)
-        return float((votes @ self.labels[near] + PRIOR_WEIGHT * self.base) / (votes.sum() + PRIOR_WEIGHT)), similar, near
-
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray, list[str]]:
-        names, terms, weights = self.space.vector(text)
-        if self.index is None or not text or not terms_of(text):
-            return self.silent, np.empty(0), np.empty(0, np.int64), []
-        vote, similar, near = self.vote(terms, weights)
-        telling = np.flatnonzero(self.space.relevance[terms] >= TELLING)
-        telling = telling[np.lexsort((terms[telling], -weights[telling]))[:MOST_TERMS]]
-        return float(np.interp(vote, *self.knots)), similar, near, [names[k] for k in telling.tolist()]
+    def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """By query the vote, the similarities and the neighbours."""
+        out = []
+        for at in range(0, len(queries), QUERIES):
+            for similar, near in self.index.nearest(queries[at : at + QUERIES], NEIGHBOURS, skip and skip[at : at + QUERIES]):
+                weights = NEAR / (NEAR + 1 - similar)
+                vote = (weights @ self.labels[near] + PRIOR_WEIGHT * self.base) / (weights.sum() + PRIOR_WEIGHT)
+                out.append((float(vote), similar, near))
+        return out
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray, list[str]]]:
+        """By text the score, the similarities, the neighbours and the telling words."""
+        spelled = list(map(terms_of, texts))
+        asked = [k for k, w in enumerate(spelled) if w and self.index is not None]
+        vectors = [self.space.vector(spelled[k]) for k in asked]
+        out = [(self.silent, np.empty(0), np.empty(0, np.int64), [])] * len(texts)
+        for k, (names, terms, weights), (vote, similar, near) in zip(asked, vectors, self.votes([v[1:] for v in vectors])):
+            telling = np.flatnonzero(self.space.relevance[terms] >= TELLING)
+            telling = telling[np.lexsort((terms[telling], -weights[telling]))[:MOST_TERMS]]
+            out[k] = float(np.interp(vote, *self.knots)), similar, near, [names[t] for t in telling.tolist()]
+        return out
 
 
 def monotone(x: np.ndarray, y: np.ndarray, weight: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def vectors(batches):
         let_go()
         for batch in batches:
-            made = [sent.value.vector(t)[1:] for t in batch["text"].to_pylist()]
+            made = [sent.value.vector(terms_of(t))[1:] for t in batch["text"].to_pylist()]
             at, weights = (pa.array([m[k] for m in made], t) for k, t in ((0, pa.list_(pa.int64())), (1, pa.list_(pa.float64()))))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], at, weights], ["doc_id", "label", "at", "weights"])
 
@@ -266,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         model, numbers, examples = sent_model.value
         for batch in slices(batches, 1000):
             skip = examples[np.searchsorted(numbers, batch["number"].to_numpy())].tolist()
-            found = [model.vote(at.values.to_numpy(), w.values.to_numpy(), s)[0] for at, w, s in zip(batch["at"], batch["weights"], skip)]
+            found = [v[0] for v in model.votes([(at.values.to_numpy(), w.values.to_numpy()) for at, w in zip(batch["at"], batch["weights"])], skip)]
             yield pa.RecordBatch.from_arrays([pa.array(skip, pa.int64()), pa.array(found, pa.float64())], ["example", "vote"])
 
     voted = made.mapInArrow(votes, "example long, vote double").toArrow()  # at most the sample
@@ -286,7 +310,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         let_go()
         model = sent.value
         for batch in slices(batches, 1000):
-            scores, similar, near, terms = zip(*map(model.score, batch["text"].to_pylist()))
+            scores, similar, near, terms = zip(*model.scores(batch["text"].to_pylist()))
             ends = np.concatenate(([0], np.cumsum(list(map(len, near)))))
             near = np.concatenate(near)
             voters = [pa.array(c) for c in (model.doc_ids[near], np.concatenate(similar), model.labels[near].astype(np.int32))]

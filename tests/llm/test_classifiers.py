@@ -174,13 +174,12 @@ def test_index_is_exact(seed, common):
 
     vectors = [made() for _ in range(1500)]
     index = toxicity.BlockMaxIndex(np.cumsum([len(t) for t, _ in vectors]), *(np.concatenate(c) for c in zip(*vectors)), 40, common)
-    for k in range(30):
-        terms, weights = made() if k % 2 else vectors[k]
+    queries = [made() if k % 2 else vectors[k] for k in range(30)]
+    for k, ((terms, weights), (found, examples)) in enumerate(zip(queries, index.nearest(queries, 15, list(range(30))))):
         dense = np.zeros(40)
         dense[terms] = weights
-        scores = [(round(float(dense[t] @ w), 10), j) for j, (t, w) in enumerate(vectors) if j != k]
+        scores = [(round(float(dense[t] @ w.astype(np.float32)), 10), j) for j, (t, w) in enumerate(vectors) if j != k]
         want = sorted(((s, j) for s, j in scores if s > 0), key=lambda x: (-x[0], x[1]))[:15]
-        found, examples = index.nearest(terms, weights, 15, skip=k)
         assert found.tolist() == pytest.approx([s for s, _ in want])
         assert {j for s, j in want if s > want[-1][0] + 1e-9} <= set(examples.tolist())
 
