@@ -42,7 +42,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from querysieve.llm.common import as_bytes, cut
 
@@ -183,11 +183,11 @@ def _tag_of(place: str) -> Column:
 
 
 def _with_found(rows: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
-    """All rows, each with the list of what was found in its text (null: nothing), equal rows' findings once.
+    """All rows, each with the list of what was found in its text (null: nothing).
 
     Every use keeps the same columns of the documents, so that the shuffled texts are reused.
     """
-    lists = found.groupBy("id", _tag_of("place")).agg(F.collect_set(F.struct(*columns)).alias("found"))
+    lists = found.groupBy("id", _tag_of("place")).agg(F.collect_list(F.struct(*columns)).alias("found"))
     return rows.join(lists.hint("shuffle_hash"), ["id", "tag"], "left").select("doc_id", "id", "tag", "text", "found")
 
 
@@ -253,7 +253,7 @@ def _runs(ids: np.ndarray, place: np.ndarray, source: np.ndarray, there: np.ndar
 def _compact(sourced: DataFrame) -> DataFrame:
     """Edges and paths of later documents with their sources -> paths: id, place, n (edges), source, source_place."""
     columns = ["place", "n", "source", "source_place"]
-    lists = sourced.groupBy("id", _tag_of("place")).agg(F.collect_set(F.struct(*columns)).alias("edges"))
+    lists = sourced.groupBy("id", _tag_of("place")).agg(F.collect_list(F.struct(*columns)).alias("edges"))
 
     def run(batches):
         for batch in batches:
@@ -300,19 +300,24 @@ def repeated_paths(docs: DataFrame, k: int = K) -> DataFrame:
     return _paths(_rows(docs), _compressed(_rows(docs)), k)
 
 
+def _told(window: WindowSpec) -> Column:
+    """Whether the row before has the same place: equal rows of different batches say the same."""
+    return F.coalesce((F.lag("id").over(window) == F.col("id")) & (F.lag("place").over(window) == F.col("place")), F.lit(False))
+
+
 def _paths(rows: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     same_seed, equal = Window.partitionBy("key"), Window.partitionBy("key", "content").orderBy("id", "place")
-    met = segments(rows, k).withColumns({"first": F.first("id").over(equal), "first_place": F.first("place").over(equal)})
+    met = segments(rows, k).withColumns({"first": F.first("id").over(equal), "first_place": F.first("place").over(equal), "told": _told(equal)})
     met = met.withColumn("several", (F.min("content").over(same_seed) < F.max("content").over(same_seed)) | (F.max("variants").over(same_seed) > 0))
     asks, has_source = F.col("kind") == ASKS, F.col("id") > F.col("first")
     source = F.when(F.col("kind") == PATH, F.col("source")).when(asks & has_source, F.col("first"))
     there = F.when(F.col("kind") == PATH, F.col("source_place")).when(asks & has_source, F.col("first_place"))
-    met = met.where(~asks | has_source | F.col("several")).select("id", "place", "n", source.alias("source"), there.alias("source_place"))
+    met = met.where((~asks | has_source | F.col("several")) & ~F.col("told")).select("id", "place", "n", source.alias("source"), there.alias("source_place"))
     # Paths that have their source already are alone under a key of their own.
     meet = Window.partitionBy("key").orderBy("id", "place")
     edges = _spelled_out(texts, met, k).withColumn("key", F.coalesce("edge", F.xxhash64("id", "place")))
-    edges = edges.withColumns({"first": F.first("id").over(meet), "first_place": F.first("place").over(meet)})
-    sourced = edges.select("id", "place", "n", F.coalesce("source", "first").alias("source"), F.coalesce("source_place", "first_place").alias("source_place"))
+    edges = edges.withColumns({"first": F.first("id").over(meet), "first_place": F.first("place").over(meet), "told": _told(meet)})
+    sourced = edges.where("not told").select("id", "place", "n", F.coalesce("source", "first").alias("source"), F.coalesce("source_place", "first_place").alias("source_place"))
     return _compact(sourced.where("id > source"))
 
 
