@@ -34,7 +34,7 @@ from querysieve.llm.common import id_and_text, only_one, slices
 DECODE_CHUNK = 1 << 16
 LOOKAHEAD = 512
 MAX_STATES = 200_000
-MAX_REMEMBERED = 300_000
+MAX_REMEMBERED = 150_000
 NEVER = 1 << 60
 ROWS = 500  # texts whose ids are held at once
 

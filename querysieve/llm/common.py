@@ -51,9 +51,11 @@ def only_one(key: Hashable, make: Callable[[], T]) -> T:
 
 
 def let_go() -> None:
+    """Frees what earlier tasks of this worker kept, and the Arrow memory that they no longer use."""
     if _kept:
         _kept.clear()
         gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
