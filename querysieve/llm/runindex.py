@@ -13,9 +13,9 @@ How it runs:
    ``RUN`` windows at most.  Equal windows share it.  Anchors that occur once are dropped (counted before the shuffle).
 2. The bytes of a run of windows (its *content*) are hashed.  Of equal contents two copies from different places are
    fetched, of any other one; the index of their anchor decides on the bytes which windows start elsewhere too.
-3. An index takes the contents of whole anchors, a few MB of bytes.  Contents of an anchor with more than ``GROUP_BYTES``
-   of them (a line in very many surroundings) are dealt out anew: they are texts of their own, whose windows meet by
-   longer anchors (``ANCHORS``; the last is the whole window), so any number of tasks shares them.
+3. An index takes the contents of whole anchors, half a MB of bytes at most.  Contents of an anchor with more than
+   ``GROUP_BYTES`` (a line in very many surroundings) are dealt out anew: they are texts of their own, whose windows meet
+   by longer anchors (``ANCHORS``; the last is the whole window), so any number of tasks shares them.
 4. Marks go back to all copies of the content whose 128-bit hash is that of the indexed bytes, and to the texts.
 
 Identity.  A text is known by 88 bits of its SHA-256, whatever its doc_id: equal texts are copies of each other
@@ -40,7 +40,7 @@ from querysieve.llm.common import as_bytes, cut, let_go, shuffle_partitions, sli
 LENGTH, ANCHORS = 200, (32, 128, 200)
 SLICE = 1 << 19  # bytes hashed at once
 RUN = 4096  # windows of one content at most
-INDEX_BYTES = GROUP_BYTES = 1 << 20
+INDEX_BYTES = GROUP_BYTES = 1 << 18
 PLACE_BITS = 32  # a place: 28 bits of the text's hash and a byte number
 
 
@@ -105,23 +105,17 @@ def window_runs(text: bytes, length: int = LENGTH, anchor: int = ANCHORS[0], run
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
-def _ranked(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Order by two keys of 0..n, then by position; ranks of the pairs, and how many pairs there are."""
-    n = len(first)
-    bits = int(n + 1).bit_length()
-    if 3 * bits <= 64:  # one number holds both keys and the position, and plain numbers sort fastest
-        packed = first.astype(np.uint64) << np.uint64(2 * bits) | second.astype(np.uint64) << np.uint64(bits) | np.arange(n, dtype=np.uint64)
-        packed.sort()
-        order = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
-        pair = packed >> np.uint64(bits)
-    else:
-        pair = first * (n + 2) + second
-        order = np.argsort(pair, kind="stable")
-        pair = pair[order]
-    dense = np.cumsum(np.concatenate(([0], (pair[1:] != pair[:-1]).astype(np.int64))))
-    rank = np.empty(n, np.int64)
-    rank[order] = dense
-    return order, rank, int(dense[-1]) + 1
+def _in_order(first: np.ndarray, second: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The three, all of 0..most, in their common order."""
+    bits = int(most).bit_length()
+    if 3 * bits > 64:
+        turn = np.lexsort((at, second, first))
+        return first[turn], second[turn], at[turn]
+    # One number holds all three, and plain numbers sort fastest.
+    mask = np.uint64((1 << bits) - 1)
+    packed = first.astype(np.uint64) << np.uint64(2 * bits) | second.astype(np.uint64) << np.uint64(bits) | at.astype(np.uint64)
+    packed.sort()
+    return tuple(c.astype(np.int64) for c in (packed >> np.uint64(2 * bits), packed >> np.uint64(bits) & mask, packed & mask))
 
 
 class RunIndex:
@@ -153,23 +147,30 @@ class RunIndex:
         self.tail_match = self._common(self.tail_at, order[np.minimum(at_tail + 1, n - 1)], at_tail < n - 1) if n else np.empty(0, np.int64)
 
     def _suffixes(self, short: np.ndarray) -> np.ndarray:
-        """Suffix order by prefix doubling; equal suffixes of different strings keep the strings' order."""
+        """Suffix order by prefix doubling of what isn't settled yet; equal suffixes of different strings keep the strings' order."""
         n = self.n
         if not n:
             return np.empty(0, np.int64)
         order = np.argsort(self.eight)
         key = self.eight[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).astype(np.int64))))
-        # Zero padding isn't zero bytes: fewer bytes sort first.
-        order, rank, distinct = _ranked(rank, short.astype(np.int64))
-        span, before = 8, 0
-        while before < distinct < n and span <= 2 * n:
-            before = distinct
-            later = np.zeros(n, np.int64)
-            later[:-span] = rank[span:] + 1
-            later[self.left <= span] = 0
-            order, rank, distinct = _ranked(rank, later)
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        rank = np.empty(n, np.int64)  # where the group of equal beginnings starts in the order
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        unsettled = order[~(new & np.append(new[1:], True))]  # in groups of several
+        span, split = 8, True
+        # Zero padding isn't zero bytes: of equal eight bytes fewer sort first.
+        second = short.astype(np.int64)[unsettled]
+        while split and len(unsettled):
+            own, second, unsettled = _in_order(rank[unsettled], second, unsettled, n)
+            first = np.concatenate(([True], own[1:] != own[:-1]))
+            new = first | np.concatenate(([True], second[1:] != second[:-1]))
+            count = np.arange(len(own))
+            slot = own + count - np.maximum.accumulate(np.where(first, count, 0))
+            order[slot] = unsettled
+            rank[unsettled] = np.maximum.accumulate(np.where(new, slot, 0))
+            split = new.sum() > first.sum() or span == 8
+            unsettled = unsettled[~(new & np.append(new[1:], True))]
+            second = np.where(self.left[unsettled] <= span, 0, rank[np.minimum(unsettled + span, n - 1)] + 1)
             span *= 2
         return order
 
@@ -266,16 +267,16 @@ def _with_found(rows: DataFrame, found: DataFrame, columns: list[str]) -> DataFr
     return rows.join(lists.hint("shuffle_hash"), "id", "left").select("doc", "id", "tag", "text", "found")
 
 
-COPY = ["anchor", "content", "id", "place", "bytes"]
+COPY = ["anchor", "content", "id", "place", "bytes", "large"]
 
 
 def _contents(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """anchor, content, id, place and the bytes there; of equal texts in a task one is read."""
+    """anchor, content, id, place, the bytes there, and large; of equal texts in a task one is read."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             for i, tag, text, found in zip(batch["id"].to_pylist(), batch["tag"].to_pylist(), batch["text"], batch["found"]):
                 if not found.is_valid or (i, tag) in seen:
                     continue
@@ -283,65 +284,76 @@ def _contents(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 text = text.as_py()
                 for f in found.as_py():
                     if (at := f["place"] - tag) >> PLACE_BITS == 0:
-                        for column, value in zip(out, (f["anchor"], f["content"], i, f["place"], text[at : at + f["n"] + length - 1])):
+                        for column, value in zip(out, (f["anchor"], f["content"], i, f["place"], text[at : at + f["n"] + length - 1], f["large"])):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], COPY)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary()), pa.array(out[5], pa.bool_())], COPY)
 
-    joined = _with_found(rows, wanted, ["anchor", "content", "place", "n"])
-    return joined.mapInArrow(run, "anchor long, content long, id long, place long, bytes binary")
+    joined = _with_found(rows, wanted, ["anchor", "content", "place", "n", "large"])
+    return joined.mapInArrow(run, "anchor long, content long, id long, place long, bytes binary, large boolean")
 
 
 def _intervals(marked: np.ndarray) -> list[dict[str, int]]:
-    edges = np.flatnonzero(np.diff(marked.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+    edges = np.flatnonzero(np.diff(marked.view(np.int8), prepend=np.int8(0), append=np.int8(0))).reshape(-1, 2)
     return [{"start": a, "stop": b} for a, b in edges.tolist()]
 
 
 MARKS = "array<struct<start:long,stop:long>>"
 _MARKS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-MARKED = f"anchor long, content long, check binary, marks {MARKS}"
+MARKED = f"anchor long, content long, check binary, marks {MARKS}, bytes binary"
 
 
-def _marked(found: list[tuple[int, int, bytes, list]]) -> pa.RecordBatch:
-    columns = list(zip(*found)) or [[], [], [], []]
-    types = [pa.int64(), pa.int64(), pa.binary(), _MARKS]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["anchor", "content", "check", "marks"])
+def _marked(found: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*found)) or [[]] * 5
+    types = [pa.int64(), pa.int64(), pa.binary(), _MARKS, pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["anchor", "content", "check", "marks", "bytes"])
 
 
 def _indexed(copies: DataFrame, length: int, index_bytes: int) -> DataFrame:
-    """anchor, content, check, marks: the windows of each content that match ``length`` bytes of another place."""
+    """anchor, content, check, marks: the windows of each content that match ``length`` bytes of another place.
+
+    Contents of large anchors only pass through, with their ``bytes``; they are dealt singly, so no task gets an anchor.
+    """
 
     def mark(group: list[tuple]) -> pa.RecordBatch:
-        long = RunIndex([g[-1] for g in group]).longest_matches() >= length
-        ends = np.cumsum([len(g[-1]) for g in group])
+        long = RunIndex([g[4] for g in group]).longest_matches() >= length
+        ends = np.cumsum([len(g[4]) for g in group])
         found, before = [], None
-        for (anchor, content, *_, b), end in zip(group, ends.tolist()):
+        for (anchor, content, _, _, b, _), end in zip(group, ends.tolist()):
             if before != (anchor, content, b) and (marks := _intervals(long[end - len(b) : end])):
-                found.append((anchor, content, _check(b), marks))
+                found.append((anchor, content, _check(b), marks, None))
             before = anchor, content, b
         return _marked(found)
 
     def run(batches):
-        group, size = [], 0
+        group, size, before = [], 0, None
         for batch in slices(batches, 1000):
+            large = []
             for one in zip(*(batch[c].to_pylist() for c in COPY)):
+                # Equal texts that different tasks read offer the same copy twice.
+                if before == one[:4]:
+                    continue
+                before = one[:4]
+                if one[5]:
+                    large.append((one[0], one[1], None, None, one[4]))
+                    continue
                 if size >= index_bytes and one[0] != group[-1][0]:
                     yield mark(group)
                     group, size = [], 0
-                # Equal texts that different tasks read offer the same copy twice.
-                if group and group[-1][:4] == one[:4]:
-                    continue
                 group.append(one)
-                size += len(one[-1])
+                size += len(one[4])
+            if large:
+                yield _marked(large)
         if group:
             yield mark(group)
 
     parts = shuffle_partitions(copies.sparkSession)
-    return copies.repartition(parts, "anchor").sortWithinPartitions(*COPY[:4]).mapInArrow(run, MARKED)
+    dealt = copies.repartition(parts, F.when(F.col("large"), F.xxhash64("anchor", "content")).otherwise(F.col("anchor")))
+    return dealt.sortWithinPartitions(*COPY[:4]).mapInArrow(run, MARKED)
 
 
-def _finer(copies: DataFrame, length: int, anchors: tuple[int, ...], **sizes) -> DataFrame:
+def _finer(large: DataFrame, length: int, anchors: tuple[int, ...], **sizes) -> DataFrame:
     """The same for the contents of large anchors: each is a text, and windows meet by the next longer anchor."""
-    texts = cut(_known(copies.select(F.struct("anchor", "content").alias("doc"), F.col("bytes").alias("text"))))
+    texts = cut(_known(large.select(F.struct("anchor", "content").alias("doc"), F.col("bytes").alias("text"))))
     found = repeats(texts, length, anchors, **sizes)
 
     def run(batches):
@@ -349,7 +361,7 @@ def _finer(copies: DataFrame, length: int, anchors: tuple[int, ...], **sizes) ->
             out = []
             for doc, tag, text, found in zip(batch["doc"].to_pylist(), batch["tag"].to_pylist(), as_bytes(batch["text"]), batch["found"]):
                 if marks := _intervals(_repeated(text, tag, found.as_py(), length)):
-                    out.append((doc["anchor"], doc["content"], _check(text), marks))
+                    out.append((doc["anchor"], doc["content"], _check(text), marks, None))
             yield _marked(out)
 
     return _with_found(texts, found, FOUND).mapInArrow(run, MARKED).dropDuplicates(["anchor", "content", "check"])
@@ -376,12 +388,15 @@ def repeats(rows: DataFrame, length: int = LENGTH, anchors: tuple[int, ...] = AN
     equal = contents.where("copies > 1 and not several")
     whole = equal.select("anchor", "content", F.lit(None).cast("binary").alias("check"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("one.n").alias("stop"))).alias("marks"))
     wanted = contents.where("contents > 1 or twice > 0 or several").select("anchor", "content", "bytes", F.explode(F.when(F.col("several"), F.array("one", "two")).otherwise(F.array("one"))).alias("at"))
-    wanted = wanted.select("anchor", "content", "bytes", "at.*")
     # Under the longest anchor, whole windows, an anchor's contents are equal but for what repeats within them.
     large = (F.col("bytes") > group_bytes) & F.lit(len(anchors) > 1)
-    marks = _indexed(_contents(rows, wanted.where(~large), length), length, index_bytes)
-    if len(anchors) > 1 and wanted.where(large).limit(1).count():
-        marks = marks.union(_finer(_contents(rows, wanted.where(large), length), length, anchors[1:], group_bytes=group_bytes, index_bytes=index_bytes))
+    wanted = wanted.select("anchor", "content", large.alias("large"), "at.*")
+    marks = cut(_indexed(_contents(rows, wanted, length), length, index_bytes))
+    large = marks.where("bytes is not null")
+    marks = marks.where("bytes is null")
+    if not large.isEmpty():
+        marks = marks.unionByName(_finer(large, length, anchors[1:], group_bytes=group_bytes, index_bytes=index_bytes))
+    marks = marks.drop("bytes")
     marks = marks.join(equal.select("anchor", "content"), ["anchor", "content"], "left_anti").union(whole)
     # Equal texts have equal runs: each is told once.
     found = kept.select("anchor", "content", "id", "place", "n").join(marks, ["anchor", "content"])
