@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querysieve.llm import bpe, debruijn, decontaminate, langid, mpegts, packing, quality, runindex, simhash, toxicity
+from querysieve.llm import bpe, debruijn, decontaminate, htmltext, langid, mpegts, packing, quality, runindex, simhash, toxicity
 from querysieve.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -68,6 +68,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", crc_is(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "neighbours", "terms")
 
 
+def op12_blockrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_debruijn": op2_debruijn,
@@ -79,6 +83,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
+    "op12_blockrules": op12_blockrules,
 }
 
 #: DuckDB SQL for the results that SQL can express on whole tables.
