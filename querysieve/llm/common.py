@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from querysieve.operators.held import ensure_checkpoint_dir
 from querysieve.operators.held import held as cut
 
-__all__ = ["as_bytes", "cut", "ensure_checkpoint_dir", "id_and_text", "let_go", "only_one", "shuffle_partitions", "slices", "table"]
+__all__ = ["as_bytes", "cut", "ensure_checkpoint_dir", "id_and_text", "let_go", "only_one", "remove", "shuffle_partitions", "slices", "store", "table"]
 
 T = TypeVar("T")
 
@@ -27,6 +27,18 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def store(df: DataFrame, folder: str) -> DataFrame:
+    """The rows written as Parquet, and read again: later steps read the columns they need, also after an executor is lost."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querysieve.llm import bpe, debruijn, decontaminate, htmltext, langid, mpegts, packing, quality, runindex, simhash, toxicity
+from querysieve.llm import bpe, collocations, debruijn, decontaminate, htmltext, langid, mpegts, packing, quality, runindex, simhash, toxicity
 from querysieve.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -72,6 +72,10 @@ def op12_blockrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_debruijn": op2_debruijn,
@@ -84,6 +88,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
     "op12_blockrules": op12_blockrules,
+    "op13_collocations": op13_collocations,
 }
 
 #: DuckDB SQL for the results that SQL can express on whole tables.
@@ -118,5 +123,19 @@ asks AS (SELECT item_id, max(words) FILTER (part = 'q') >= 13 AS asks, count(*)
 good AS (SELECT *, CASE WHEN has_q > 0 THEN coalesce(q, 0) END AS qo, CASE WHEN has_a > 0 THEN coalesce(a, 0) END AS ao FROM shares JOIN asks USING (item_id) WHERE o >= 0.8 - 1e-9 OR asks AND q >= 0.8 - 1e-9),
 best AS (SELECT *, row_number() OVER (PARTITION BY r, item_id ORDER BY o DESC, qo DESC NULLS LAST, k) AS rank FROM good)
 SELECT doc_id, item_id, round(o, 6) AS overlap, round(qo, 6) AS question_overlap, round(ao, 6) AS answer_overlap, (k * stride)::BIGINT AS start_word FROM best WHERE rank = 1
+""",
+    # All runs of one to four words counted as text; every cut and every longer phrase compared.
+    "op13_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase, count(*) AS f FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k) GROUP BY ALL),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM g WHERE k >= 2 AND f >= 30),
+cuts AS (SELECT lang, phrase, f AS a, j, array_to_string(list_slice(ws, 1, j), ' ') AS head, array_to_string(list_slice(ws, j + 1, k), ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+scored AS (SELECT cuts.lang, cuts.phrase, a, j, h.f AS l, t.f AS r, (2000000::HUGEINT * a) // (h.f + t.f) AS score FROM cuts JOIN g h ON h.lang = cuts.lang AND h.phrase = cuts.head JOIN g t ON t.lang = cuts.lang AND t.phrase = cuts.tail),
+lowest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM scored) WHERE o = 1),
+kept AS (SELECT * FROM lowest x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE y.lang = x.lang AND y.phrase <> x.phrase AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ') AND 100 * y.f >= 80 * x.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """,
 }
