@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querysieve.llm import bpe, collocations, debruijn, decontaminate, htmltext, langid, mpegts, packing, quality, runindex, simhash, toxicity
+from querysieve.llm import audit, bpe, collocations, debruijn, decontaminate, htmltext, langid, mpegts, packing, quality, runindex, simhash, toxicity
 from querysieve.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -68,6 +68,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", crc_is(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "neighbours", "terms")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_blockrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
@@ -87,6 +91,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
+    "op11_filter_audit": op11_filter_audit,
     "op12_blockrules": op12_blockrules,
     "op13_collocations": op13_collocations,
 }
@@ -123,6 +128,24 @@ asks AS (SELECT item_id, max(words) FILTER (part = 'q') >= 13 AS asks, count(*)
 good AS (SELECT *, CASE WHEN has_q > 0 THEN coalesce(q, 0) END AS qo, CASE WHEN has_a > 0 THEN coalesce(a, 0) END AS ao FROM shares JOIN asks USING (item_id) WHERE o >= 0.8 - 1e-9 OR asks AND q >= 0.8 - 1e-9),
 best AS (SELECT *, row_number() OVER (PARTITION BY r, item_id ORDER BY o DESC, qo DESC NULLS LAST, k) AS rank FROM good)
 SELECT doc_id, item_id, round(o, 6) AS overlap, round(qo, 6) AS question_overlap, round(ao, 6) AS answer_overlap, (k * stride)::BIGINT AS start_word FROM best WHERE rank = 1
+""",
+    # Copies by comparing whole texts, then every order applied to every document's failures.
+    "op11_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, doc_id, [CASE WHEN len(ws) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' END, CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 'C' END,
+  CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END] AS failed FROM w),
+m AS (SELECT part, list_filter(failed, lambda x: x IS NOT NULL) AS failed, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+r AS (SELECT part, o, step, n, good, toxic, failed, list_contains(failed, o[step]) AS fails, list_has_any(failed, list_slice(o, 1, step - 1)) AS gone FROM m, s),
+shares AS (SELECT part, o[step] AS x, sum(n) FILTER (fails AND NOT gone) AS shapley FROM r GROUP BY ALL)
+SELECT r.part, array_to_string(o, '') AS filter_order, step::INT AS step, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (failed = [o[step]]), 0)::BIGINT AS unique_fails, coalesce(sum(n) FILTER (fails AND NOT gone AND good), 0)::BIGINT AS good_lost,
+  coalesce(sum(n) FILTER (fails AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost, coalesce(any_value(shapley), 0)::BIGINT AS shapley
+FROM r JOIN shares ON shares.part = r.part AND shares.x = o[step] GROUP BY r.part, o, step
 """,
     # All runs of one to four words counted as text; every cut and every longer phrase compared.
     "op13_collocations": r"""
