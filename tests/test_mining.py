@@ -67,6 +67,74 @@ def test_miners_agree_with_brute_force(spark, seed):
         assert {tuple(r["items"]): r.freq for r in miner(tx, 0.1).collect()} == expected, miner.__name__
 
 
+@pytest.mark.parametrize("in_one_task", [10**6, 60, 0])
+@pytest.mark.parametrize("seed", range(2))
+def test_projected_tables_agree_with_brute_force(spark, seed, in_one_task):
+    """All tables in one task each, some split, and all split down to the end."""
+    draw = random.Random(seed)
+    rows = [draw.sample(range(1, 9), draw.randint(0, 7)) for _ in range(40)] * 3
+    tx = spark.createDataFrame([(r,) for r in rows], "items array<int>")
+    got = mining.itemsets(tx, 0.1, subsets_up_to=2, in_one_task=in_one_task).collect()
+    assert len(got) == len({tuple(r["items"]) for r in got})
+    assert {tuple(r["items"]): r.freq for r in got} == brute(rows, 0.1)
+
+
+def long_transactions(seed, n=60, length=200):
+    """Transactions of 200 items of a thousand; each also holds one of two sets of six items."""
+    draw = random.Random(seed)
+    common = [draw.sample(range(1000), 6) for _ in range(2)]
+    rows = []
+    for k in range(n):
+        own = set(common[k % 2])
+        rows.append(sorted(own | set(draw.sample(range(1000), length - len(own)))))
+    return rows
+
+
+def grown(rows, support):
+    """Frequent itemsets level by level."""
+    rows, found = [frozenset(r) for r in rows], {}
+    least = mining.least_count(support, len(rows))
+    level = [(i,) for i in sorted(set().union(*rows))]
+    while level:
+        counts = {s: sum(set(s) <= r for r in rows) for s in level}
+        kept = sorted(s for s in level if counts[s] >= least)
+        found |= {s: counts[s] for s in kept}
+        level = [(*a, b[-1]) for a in kept for b in kept if a[:-1] == b[:-1] and a[-1] < b[-1]]
+    return found
+
+
+@pytest.mark.parametrize("in_one_task", [10**6, 500])
+def test_transactions_of_200_items(spark, in_one_task):
+    rows = long_transactions(1)
+    tx = spark.createDataFrame([(r,) for r in rows], "items array<int>")
+    want = grown(rows, 0.32)
+    assert max(map(len, want)) >= 6
+    for got in (mining.itemsets(tx, 0.32, in_one_task=in_one_task), mining.eclat(tx, 0.32)):
+        assert {tuple(r["items"]): r.freq for r in got.collect()} == want
+
+
+def test_bitmaps_count_weights_over_chunks(spark):
+    """More kinds of transactions than a chunk holds, some of them repeated very often."""
+    draw = random.Random(4)
+    kinds = [[1, 2, 10 + k] for k in range(1500)] + [[1, 3, 10 + k] for k in range(1500)]
+    rows = spark.createDataFrame([(k, draw.choice([1, 5, 70_000])) for k in kinds], "items array<int>, n long").coalesce(1)
+    level, weights = mining.vertical(rows)
+    assert level.select("chunk").distinct().count() == weights.count() == 3
+    got = level.join(weights, "chunk").groupBy("items").agg(F.sum(mining.weight(F.col("bits"), F.col("planes"))).alias("n"))
+    want = {1: 0, 2: 0, 3: 0}
+    for r in rows.collect():
+        for i in r["items"][:2]:
+            want[i] += r.n
+    assert {r["items"][0]: r.n for r in got.collect() if r["items"][0] < 10} == want
+
+
+def test_no_join_on_transactions(spark):
+    """The bitmaps are joined by chunk: nothing in the plan of a level knows a transaction."""
+    tx = spark.createDataFrame([([1, 2, 3],)] * 4, "items array<int>")
+    plan = mining.eclat(tx, 0.5)._jdf.queryExecution().toString()
+    assert "tid" not in plan and "place" not in plan
+
+
 def test_no_transactions(spark):
     for rows in ([], [([],)]):
         tx = spark.createDataFrame(rows, "items array<int>")
@@ -81,6 +149,33 @@ def test_rules_of_any_consequent(spark):
     assert first.where("consequent = 2 and antecedent = array(1)").count() == 2  # repeats stay
 
 
+def test_rules_of_a_25_item_set(spark):
+    """Its 33 million splits aren't listed: only what holds grows."""
+    whole = tuple(range(1, 26))
+    found = {whole: 100, whole[1:]: 100} | {whole[:k] + whole[k + 1 :]: 200 for k in range(1, 25)}
+    got = ruled(rules.association_rules(table(spark, found), 0.6))
+    assert got == {(whole[1:], (1,), 100, 1.0)}
+
+
+@pytest.mark.parametrize("seed, confidence", [(1, 0.5), (2, 0.8), (3, 0.0)])
+def test_rules_agree_with_all_splits(spark, seed, confidence):
+    draw = random.Random(seed)
+    found = brute([draw.sample(range(1, 7), draw.randint(0, 6)) for _ in range(40)], 0.1)
+    want = set()
+    for s, freq in found.items():
+        for n in range(1, len(s)):
+            for left in itertools.combinations(s, n):
+                if freq / found[left] >= confidence:
+                    want.add((left, tuple(i for i in s if i not in left), freq, freq / found[left]))
+    got = rules.association_rules(table(spark, found), confidence)
+    assert got.count() == len(want) and ruled(got) == want
+
+
+def test_no_rules(spark):
+    assert rules.association_rules(table(spark, {(1,): 3}), 0.5).count() == 0
+    assert rules.association_rules(table(spark, {(1,): 3}).limit(0), 0.5).count() == 0
+
+
 def test_expansion(spark):
     slots = {f"f{k}": F.lit(float(k)) for k in range(8)}
     rows = spark.createDataFrame([(1, [1, 2]), (2, [1]), (3, [2]), (4, [1, 2])], "id int, items array<int>").withColumns(slots)
