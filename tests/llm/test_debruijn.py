@@ -1,5 +1,7 @@
 import hashlib
+import random
 
+import numpy as np
 import pytest
 
 from querysieve.llm import debruijn
@@ -52,6 +54,33 @@ def test_many_rows_without_an_id(spark, make, small_batches):
     assert ours(df, 13) == by_definition(rows, 13)
 
 
+def test_thousands_of_rows_of_one_id(spark):
+    """Hundreds of pairs of them agree in the 23 bits of their places; all lose the passage of document 1, whole."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    draw = random.Random(8)
+    rows = [(1, passage)]
+    for own in (None, 7):
+        for _ in range(4000):
+            before = [f"w{draw.randrange(10**9)}" for _ in range(draw.randint(0, 9))]
+            rows.append((own, " ".join([*before, passage, *(f"w{draw.randrange(10**9)}" for _ in range(draw.randint(0, 9)))])))
+    rows.append((None, rows[1][1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert ours(df, 13) == by_definition(rows, 13)
+
+
+def test_an_id_within_a_text_is_no_id(spark):
+    text = " ".join(f"v{k}" for k in range(20))
+    rows = [(1, text), (5, "x " + text), (None, "5:x " + text), (None, text), (6, ":" + text), (6, None)]
+    assert ours(spark.createDataFrame(rows, "doc_id long, text string"), 13) == by_definition(rows, 13)
+
+
+def test_places_found_by_hash_are_compared():
+    words = b"a b c a b d a b c".split()
+    e = np.array([5, 6, 7, 5, 8, 9, 5], np.uint64)[: len(words) - 2]
+    windows = np.array([True] + [False] * 6)
+    assert sorted(debruijn._everywhere(words, e, windows, 3)) == [0, 6]
+
+
 def test_odd_documents(spark, odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert ours(odd, 13) == by_definition(rows, 13)
@@ -62,7 +91,8 @@ def test_paths_follow_their_source(spark):
     text = " ".join(f"v{k}" for k in range(40))
     df = spark.createDataFrame([(1, "a b " + text + " c d"), (2, text), (3, "z " + text[:100])], "doc_id long, text string")
     paths = debruijn.repeated_paths(df).where("id = 2").collect()
-    assert [(p.n, p.source, p.source_place & ((1 << 40) - 1)) for p in paths] == [(28, 1, 2)]
+    first = debruijn._rows(df).where("doc_id = 1").first().doc
+    assert [(p.n, p.source, p.source_place & ((1 << 40) - 1)) for p in paths] == [(28, first, 2)]
     spans = {r.doc_id: [tuple(s) for s in r.spans] for r in debruijn.deduplicate(df).collect()}
     assert spans[1] == [] and spans[2] == [(0, 40)] and spans[3][0][0] == 1
 
