@@ -178,10 +178,13 @@ class Model:
 
 
 def _training_rows(docs: DataFrame, use: Column, per_language: int) -> tuple[list[str], DataFrame]:
-    """The languages, and about ``per_language`` documents of each: those whose hash falls below the language's share."""
+    """The languages, and about ``per_language`` documents of each: those whose hash falls below the language's share.
+
+    The hash is of doc_id and text, so rows of one doc_id, or of none, are drawn like others; only equal rows go together.
+    """
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(use & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = cut(rows.groupBy("lang").agg((per_language / F.count("*")).alias("share")))  # a row a language
-    below = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    below = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
     return sorted(r["lang"] for r in counts.select("lang").collect()), rows.join(F.broadcast(counts), "lang").where(below).select("text", "lang")
 
 

@@ -16,12 +16,12 @@ sum of rare words, plus the block maxima of the common ones), opens the ``FIRST`
 that can still beat the neighbours it has: exact, however long the query.  Queries go in batches, so that a block is
 opened once for all that want it.
 
-Bounds: about ``SAMPLE`` labelled rows (by a hash of doc_id) teach, whatever the corpus; the vocabulary and the index,
+Bounds: about ``SAMPLE`` labelled rows (by a hash of doc_id, of repeated ones and their texts) teach, whatever the corpus; the vocabulary and the index,
 which are broadcast, hold those rows' words.  Documents are read in place; only word counts are shuffled.
 
 Edge cases: null and empty texts have no words and get the toxic share of such examples, drawn to the base rate; so
 do texts that share no word with any example get the base rate's place on the curve; rows with a null label, or whose
-doc_id has no text, teach nothing; of equal texts the row with the smallest doc_id teaches; without any label every
+doc_id has no text, teach nothing; a doc_id that is labelled both ways is clean; of equal texts the row with the smallest doc_id teaches; without any label every
 score is 0; of equally similar examples the one with the smaller doc_id counts as nearer.
 """
 
@@ -35,7 +35,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querysieve.llm.common import cut, id_and_text, let_go, slices
@@ -203,15 +203,24 @@ def monotone(x: np.ndarray, y: np.ndarray, weight: float = 1.0) -> tuple[np.ndar
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """doc_id, text, label of about ``sample`` labelled rows at most; equal texts teach once, by their smallest doc_id."""
+    """doc_id, text, label of about ``sample`` labelled rows at most; equal texts teach once, by their smallest doc_id.
+
+    Drawn by doc_id first, so that few labels are sent; where documents repeat a doc_id, again by doc_id and text.
+    """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    n = own.count()
-    share = min(1.0, sample / n) if n else 0.0
-    own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = id_and_text(docs).join(F.broadcast(own), "doc_id").where("text is not null")
+    own = cut(own.groupBy("doc_id").agg(F.min("label").alias("label")))
+    drawn = own.where(_falls_below(["doc_id"], sample, own.count()))
+    rows = id_and_text(docs).join(F.broadcast(drawn), "doc_id").where("text is not null")
+    rows = rows.where(_falls_below(["doc_id", "text"], sample, rows.count(), 1.5))
     return rows.groupBy("text").agg(F.min(F.struct("doc_id", "label")).alias("one")).select("one.doc_id", "text", "one.label")
 
 
+def _falls_below(columns: list[str], sample: int, n: int, spare: float = 1.0) -> Column:
+    """Whether a row is drawn so that about ``sample`` of ``n`` are; all are if there are few enough."""
+    share = sample / n if n > sample * spare else 1.0
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 20)) < share * (1 << 20)
+
+
 def _term_counts(rows: DataFrame) -> DataFrame:
     """term, toxic and clean examples; counted in each batch first."""
 

@@ -199,3 +199,14 @@ def test_odd_documents(spark, odd, none, tables):
             got = scores(odd, own)
             assert got.count() == odd.count() and got.where("score is null or score < 0 or score > 1").count() == 0
         assert scores(none, quality_labels).count() == 0
+
+
+def test_labels_and_documents_that_repeat_an_id(spark):
+    docs = spark.range(6000).selectExpr("7L as doc_id", "concat('text ', id) as text")
+    one = spark.createDataFrame([(7, 1)] * 3000 + [(8, 1)], "doc_id long, label int")
+    assert 1300 < toxicity._sampled(docs, one, 1500).count() < 1700
+    many = spark.range(6000).selectExpr("id as doc_id", "concat('text ', id) as text", "cast(id % 2 as int) as label")
+    assert 1300 < toxicity._sampled(many, many.select("doc_id", "label"), 1500).count() < 1700
+    both = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1)], "doc_id long, label int")
+    assert sorted((r.doc_id, r.label) for r in toxicity._sampled(both, labels, 10).collect()) == [(1, 0), (2, 1)]

@@ -96,3 +96,10 @@ def test_odd_documents(spark, odd, none):
 def test_nothing_to_learn(spark, odd, none):
     model = langid.fit(none, PATH)
     assert model.languages == () and {r.lang_pred for r in langid.predict(odd, model, PATH).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("doc_id", ["7L", "cast(null as long)", "id"])
+def test_rows_of_one_id_are_drawn_like_others(spark, doc_id):
+    rows = spark.range(6000).selectExpr(f"{doc_id} as doc_id", "concat('text ', id) as text", "'en' as lang")
+    languages, drawn = langid._training_rows(rows, F.lit(True), 1500)
+    assert languages == ["en"] and 1300 < drawn.count() < 1700
