@@ -5,11 +5,12 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from querysieve.llm import queries
-from querysieve.llm.collocations import collocations, encoded, framed, lowest_cut, unframed
+from querysieve.llm.collocations import collocations, encoded, framed, lowest_cut, packed, packed_words, unpacked, unpacked_words
 
 
 def by_definition(rows, least, covered=80, top=2000, longest=4):
@@ -39,12 +40,12 @@ def found(frame):
     return sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in frame.collect())
 
 
-@pytest.mark.parametrize("chunk, least, covered, top", [(4_000_000, 3, 80, 2000), (300, 3, 80, 2000), (1, 4, 50, 5)])
-def test_against_counting(spark, make, small_batches, chunk, least, covered, top):
+@pytest.mark.parametrize("chunk, least, covered, top, pairs", [(4_000_000, 3, 80, 2000, 2_000_000), (300, 3, 80, 2000, 20), (1, 4, 50, 5, 2_000_000)])
+def test_against_counting(spark, make, small_batches, chunk, least, covered, top, pairs):
     draw = random.Random(chunk)
     rows = [(draw.choice(["en", "fr", None, "und"]), re.sub(" ", lambda m: draw.choice([" ", " ", " ", "\t", ". ", ",", "\n", "  "]), t).replace("w1", draw.choice(["W1", "É1", "w1"]))) for _, t in make(5, 80, 6)]
     docs = spark.createDataFrame(rows, "lang string, text string")
-    assert found(collocations(docs, least, covered, top, chunk=chunk)) == by_definition(rows, least, covered, top)
+    assert found(collocations(docs, least, covered, top, chunk=chunk, pairs=pairs)) == by_definition(rows, least, covered, top)
 
 
 def test_odd_rows(spark, odd, none):
@@ -56,8 +57,9 @@ def test_odd_rows(spark, odd, none):
 
 def test_words_and_breaks():
     ids, words, counts = encoded([b"A b\x00\tB. a", b"", b"\xc3\x89 , a"])
-    assert [words[int(k)].as_py() if k >= 0 else None for k in ids] == ["a", "b\x00", "b", None, "a", None, None, "É", None, "a"]
-    assert counts.sum() == 6 and list(unframed(framed(ids))) == [k for k, before in zip(ids, [0, *ids]) if k >= 0 or before >= 0]
+    assert [words[int(k)] if k >= 0 else None for k in ids] == [b"a", b"b\x00", b"b", None, b"a", None, None, "É".encode(), None, b"a"]
+    assert unpacked_words(packed_words(words)) == words and unpacked_words(packed_words([])) == [] and list(unpacked(packed(np.array([], int)))) == []
+    assert counts.sum() == 6 and list(unpacked(framed(ids))) == [k for k, before in zip(ids, [0, *ids]) if k >= 0 or before >= 0]
 
 
 def test_products_beyond_64_bits(spark):
