@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querysieve.functions.features import SLOTS
+from querysieve.operators.held import held
 from querysieve.operators.mining import itemsets
 from querysieve.operators.rules import association_rules, first_consequent
 
 
+BROADCAST = 10_000  # kinds of item sets
+
+
 @dataclass(frozen=True)
 class Scenario:
     """What is mined from the training part and what becomes of it: "patterns", "rules" or nothing."""
@@ -60,22 +64,31 @@ def mined_columns(train: DataFrame, scenario: Scenario) -> DataFrame | None:
     return rules.agg(F.array_sort(F.collect_list(columns)).alias("mined"))
 
 
+def kinds_expanded(rows: DataFrame, mined: DataFrame, uses: str) -> DataFrame:
+    """Distinct ``items`` -> ``extra``: 1 or 0 per pattern, or the confidence or 0 per rule; each kind is looked at once."""
+    if uses == "patterns":
+        extra = F.transform("mined", lambda p: holds(p, F.col("items")).cast("float"))
+    else:
+        extra = F.transform("mined", lambda r: F.when(holds_rule(r, F.col("items")), r["confidence"]).otherwise(0.0).cast("float"))
+    # ``mined`` is one row by construction.
+    return held(rows.select("items").distinct().join(F.broadcast(mined)).select("items", extra.alias("extra")))
+
+
 def expand(rows: DataFrame, train: DataFrame, scenario: int) -> DataFrame:
     """Adds ``expanded array<float>``: the eight slots, then 1 or 0 per pattern or the confidence or 0 per rule.
 
-    ``rows`` and ``train`` have the slots and ``items``.  What is mined is one row of at most as many entries as the
-    item dictionary has itemsets, whatever the size of the log, and is broadcast.
+    ``rows`` and ``train`` have the slots and ``items``.  Patterns and rules are tested on kinds of item sets, of which
+    the item dictionary allows a few hundred, and joined back; the kinds are broadcast up to ``BROADCAST`` of them.
     """
     chosen = SCENARIOS[scenario]
     base = F.array(*[F.col(s).cast("float") for s in SLOTS])
     mined = mined_columns(train, chosen)
     if mined is None:
         return rows.withColumn("expanded", base)
-    if chosen.uses == "patterns":
-        extra = F.transform("mined", lambda p: holds(p, F.col("items")).cast("float"))
-    else:
-        extra = F.transform("mined", lambda r: F.when(holds_rule(r, F.col("items")), r["confidence"]).otherwise(0.0).cast("float"))
-    return rows.join(F.broadcast(mined)).withColumn("expanded", F.concat(base, extra)).drop("mined")
+    kinds = kinds_expanded(rows, mined, chosen.uses)
+    kinds = F.broadcast(kinds) if kinds.count() <= BROADCAST else kinds
+    columns = [c for c in rows.columns if c != "expanded"]
+    return rows.join(kinds, "items").withColumn("expanded", F.concat(base, "extra")).select(*columns, "expanded")
 
 
 __all__ = ["SCENARIOS", "Scenario", "expand", "first_consequent", "holds", "holds_rule", "mined_columns"]

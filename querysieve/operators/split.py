@@ -10,19 +10,22 @@ TRAIN_SHARE = 0.8
 DIGITS = 4  # of the hash, counted at once
 
 
-def split(rows: DataFrame, text: str = "raw_sql", key: str = "id", share: float = TRAIN_SHARE) -> DataFrame:
-    """Adds ``is_train``: the ``floor(share x n)`` rows of smallest md5 of text and key.
+def with_place(rows: DataFrame, text: str = "raw_sql", key: str = "id") -> DataFrame:
+    """Adds ``place``, where a row stands in a fixed shuffle that any engine can repeat: the md5 of its text and key."""
+    return rows.withColumn("place", F.md5(F.concat_ws("|", F.coalesce(F.col(text), F.lit("")), F.col(key).cast("string")).cast("binary")))
+
+
+def split_by_place(rows: DataFrame, share: float = TRAIN_SHARE) -> DataFrame:
+    """``place`` -> ``is_train``: the ``floor(share x n)`` rows of the smallest places.
 
-    The order is a fixed shuffle that any engine can repeat.  Where it is cut is found by counting rows by the next
-    ``DIGITS`` hex digits of the hash, only within the group in which the border falls; nothing is sorted or ranked, and
-    rows of one text lie all over the order.  Rows that repeat text and key can't be told apart and stay on one side.
+    Where the order is cut is found by counting rows by the next ``DIGITS`` hex digits, only within the group in which the
+    border falls; nothing is sorted or ranked, and rows of one text lie all over the order.  Rows that repeat text and key
+    can't be told apart and stay on one side.
     """
-    place = F.md5(F.concat_ws("|", F.coalesce(F.col(text), F.lit("")), F.col(key).cast("string")).cast("binary"))
-    hashed = rows.select(place.alias("h"))
     wanted, border = None, ""
     while len(border) < 32:
-        group = F.substring("h", 1, len(border) + DIGITS)
-        counts = sorted(map(tuple, hashed.where(F.col("h").startswith(border)).groupBy(group.alias("g")).agg(F.count("*").alias("n")).collect()))  # 65,536 at most
+        group = F.substring("place", 1, len(border) + DIGITS)
+        counts = sorted(map(tuple, rows.where(F.col("place").startswith(border)).groupBy(group.alias("g")).agg(F.count("*").alias("n")).collect()))  # 65,536 at most
         wanted = int(share * sum(n for _, n in counts)) if wanted is None else wanted
         for g, n in counts:
             if n > wanted:
@@ -34,7 +37,12 @@ def split(rows: DataFrame, text: str = "raw_sql", key: str = "id", share: float
             break
         if not wanted:
             break
-    return rows.withColumn("is_train", place < border)
+    return rows.withColumn("is_train", F.col("place") < border).drop("place")
+
+
+def split(rows: DataFrame, text: str = "raw_sql", key: str = "id", share: float = TRAIN_SHARE) -> DataFrame:
+    """Adds ``is_train``, in exact sizes."""
+    return split_by_place(with_place(rows, text, key), share)
 
 
 def java_shuffled(n: int, seed: int) -> list[int]:

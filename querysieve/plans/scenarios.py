@@ -16,14 +16,14 @@ from querysieve.operators.expand import SCENARIOS, expand
 from querysieve.operators.held import held
 from querysieve.operators.metrics import confusion_metrics
 from querysieve.operators.models import MODELS, predictions, vectors
-from querysieve.operators.split import split
+from querysieve.operators.split import split_by_place, with_place
 from querysieve.plans.corpus import featured, transactions
 
 
 def prepared(rows: DataFrame, parsed: bool = False) -> DataFrame:
     """``rows`` (id, raw_sql, label) -> id, label, slots, items and is_train, computed once for all that reads them."""
-    ready = transactions(featured(split(rows), parsed=parsed))
-    return held(ready.select("id", "label", *SLOTS, "items", "is_train"))
+    ready = transactions(featured(with_place(rows), parsed=parsed))
+    return split_by_place(held(ready.select("id", "label", *SLOTS, "items", "place")))
 
 
 def expanded(ready: DataFrame, scenario: int) -> DataFrame:
