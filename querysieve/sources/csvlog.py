@@ -6,19 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querysieve.operators.importing import first_of_each, new_only, skip_bad_rows
+from querysieve.sources.csvblocks import read_records
 
 
 def read_log(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
-    """``Query`` and ``Label`` of an RFC 4180 file with a header -> raw_sql, label (text) and ``ord`` (file order).
+    """``Query`` and ``Label`` of RFC 4180 files with a header -> raw_sql, label (text) and ``ord`` (file order).
 
     Columns are found by name; quoted fields may hold line breaks and doubled quotes; blank lines are skipped.  ``ord``
     rises within a file in its order, and between files in order of their names.
 
-    A file whose fields may hold line breaks is read by one task; for one large log without any, ``line_breaks=False``
-    lets Spark split it.
+    Files are split whatever their fields hold (``csvblocks``); for a log without line breaks in fields,
+    ``line_breaks=False`` saves the pass that tells how blocks begin.
     """
-    options = {"header": True, "multiLine": line_breaks, "quote": '"', "escape": '"', "encoding": "UTF-8", "enforceSchema": False, "inferSchema": False}
-    rows = spark.read.options(**options).csv(path)
+    if line_breaks:
+        names, records = read_records(spark, path)
+        if names and not {"Query", "Label"} <= set(names):
+            raise ValueError(f"no Query and Label among the columns {names}")
+        at = lambda name: F.get("fields", F.lit(names.index(name) if names else 0))
+        return records.select(F.coalesce(at("Query"), F.lit("")).alias("raw_sql"), at("Label").alias("label"), F.struct("file", "block", "row").alias("ord"))
+    rows = spark.read.options(header=True, quote='"', escape='"', encoding="UTF-8", enforceSchema=False, inferSchema=False).csv(path)
     order = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
     return rows.select(F.coalesce("Query", F.lit("")).alias("raw_sql"), F.col("Label").alias("label"), order.alias("ord"))
 
