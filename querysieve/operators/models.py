@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querysieve.operators import boosting, dualmachine
+from querysieve.operators import bayes, boosting, dualmachine
 
 SEED = 42
 TREE_DEPTH = 12
@@ -102,6 +102,10 @@ def naive_bayes(train: DataFrame):
     return NaiveBayes(modelType="gaussian", weightCol="weight").fit(weighted(train))
 
 
+def precise_bayes(train: DataFrame):
+    return bayes.fit(weighted(train))
+
+
 MODELS: dict[str, Callable] = {
     "random_forest": random_forest,
     "tree": tree,
@@ -110,6 +114,8 @@ MODELS: dict[str, Callable] = {
     "linear_svm": linear_svm,
     "naive_bayes": naive_bayes,
 }
+#: Models besides the six of the grid.
+OTHERS: dict[str, Callable] = {"precise_bayes": precise_bayes}
 
 
 def gaussian_parameters(rows: DataFrame, slots: list[str]) -> DataFrame:

@@ -154,6 +154,41 @@ def naive_bayes(support: float = 0.05) -> str:
     )
 
 
+def precise_bayes(support: float = 0.05) -> str:
+    """The Gaussian model with precisions: values rounded to the mean gap of a slot's distinct values, deviations of a sixth of it at least."""
+    return (
+        f"{rows_with_items(4)}{SPLIT}{mined('train', support)}, columns AS (SELECT items, row_number() OVER () AS at FROM found)"
+        f", long AS (SELECT id, label, is_train, slot, x::FLOAT::DOUBLE AS x FROM ranked CROSS JOIN LATERAL (SELECT unnest({SLOTS!r}) AS slot, unnest([{', '.join(SLOTS)}]) AS x)"
+        " UNION ALL SELECT r.id, r.label, r.is_train, 'p' || c.at, list_has_all(r.items, c.items)::INT::DOUBLE FROM ranked r, columns c)"
+        ", gaps AS (SELECT slot, CASE WHEN count(DISTINCT x) > 1 THEN (max(x) - min(x)) / (count(DISTINCT x) - 1) ELSE 0.01 END AS p FROM long WHERE is_train GROUP BY slot)"
+        ", near AS (SELECT long.*, p, round_even(x / p, 0) * p AS r FROM long JOIN gaps USING (slot))"
+        ", fitted AS (SELECT label AS class, slot, avg(r) AS mean, greatest(stddev_pop(r), any_value(p) / 6) AS sd FROM near WHERE is_train GROUP BY label, slot)"
+        ", prior AS (SELECT label AS class, ln((count(*) + 1) / (sum(count(*)) OVER () + 2)) AS p FROM ranked WHERE is_train GROUP BY label)"
+        ", scored AS (SELECT id, label, class, any_value(prior.p) + sum(-ln(sd) - (r - mean) ** 2 / (2 * sd * sd)) AS s FROM near JOIN fitted USING (slot) JOIN prior USING (class) WHERE NOT is_train GROUP BY id, label, class)"
+        ", said AS (SELECT id, any_value(label) AS label, arg_max(class, s) AS prediction FROM scored GROUP BY id)"
+        f"{metrics_of('said')} SELECT 2 AS scenario, 'precise_bayes' AS model, * FROM metrics"
+    )
+
+
+LEVELS = 7  # more than any itemset of the baskets has at that support
+
+
+def baskets(support: float) -> str:
+    """CTEs: brands of each customer as a bit mask, and ``found`` (items, freq): every candidate counted on all of them."""
+    first = (
+        "WITH bought AS (SELECT DISTINCT o_custkey, regexp_extract(p_brand, '[0-9]+$')::INT AS brand FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"
+        ", tx AS (SELECT o_custkey, bit_or(1::BIGINT << brand) AS mask FROM bought GROUP BY 1), brands AS (SELECT DISTINCT brand FROM bought)"
+        f", least AS (SELECT ceil({support} * count(*) - 1e-9) AS n FROM tx)"
+        ", l1 AS (SELECT 1::BIGINT << brand AS m, brand AS last, [brand] AS items, count(*)::BIGINT AS freq FROM bought GROUP BY ALL HAVING count(*) >= (SELECT n FROM least))"
+    )
+    for k in range(2, LEVELS + 1):
+        first += (
+            f", l{k} AS (SELECT l.m | (1::BIGINT << brand) AS m, brand AS last, list_append(l.items, brand) AS items, count(*)::BIGINT AS freq FROM l{k - 1} l JOIN brands ON brand > l.last"
+            " JOIN tx ON tx.mask & (l.m | (1::BIGINT << brand)) = l.m | (1::BIGINT << brand) GROUP BY ALL HAVING count(*) >= (SELECT n FROM least))"
+        )
+    return f"{first}, found AS ({' UNION ALL '.join(f'SELECT items, freq FROM l{k}' for k in range(1, LEVELS + 1))})"
+
+
 def features_of(table: str, key: str, text: str) -> str:
     return f"WITH normal AS (SELECT {key} AS id, {normalized(text)} AS p FROM {table}), featured AS (SELECT *, {listed(slots())} FROM normal) SELECT id, {ROUNDED} FROM featured"
 
@@ -212,6 +247,9 @@ SQL = {
     "fpgrowth_s4_05": itemsets(4, 0.05),
     "itemset_lines": f"{rows_with_items(3)}{mined('tx', 0.1)} SELECT {text_of('items', ' ')} || ' #SUP: ' || freq AS line FROM found",
     "frequent_patterns": f"{rows_with_items(4)}{mined('tx', 0.1)} SELECT {text_of('items')} AS itemset FROM found",
+    "basket_itemsets": f"{baskets(0.45)} SELECT {text_of('items')} AS itemset, freq FROM found",
+    "basket_eclat": f"{baskets(0.45)} SELECT {text_of('items')} AS itemset, freq FROM found",
+    "basket_rules": f"{baskets(0.45)}{ruled('found', 0.8)} SELECT {SHOWN_RULES} FROM rules",
     "rules_s3_05_60": rules(3, 0.05, 0.6),
     "rules_s3_05_80": rules(3, 0.05, 0.8),
     "rules_s4_10_60": rules(4, 0.1, 0.6),
@@ -232,6 +270,7 @@ SQL = {
         f" CROSS JOIN LATERAL (SELECT unnest({SLOTS!r}) AS slot, unnest([{', '.join(SLOTS)}]) AS x) GROUP BY label, slot"
     ),
     "model_naive_bayes": naive_bayes(),
+    "model_precise_bayes": precise_bayes(),
     "count_all": f"{CORPUS} SELECT count(*)::BIGINT AS n FROM corpus",
     "count_malicious": f"{CORPUS} SELECT count(*)::BIGINT AS n FROM corpus WHERE label = 1",
     "count_benign": f"{CORPUS} SELECT count(*)::BIGINT AS n FROM corpus WHERE label = 0",

@@ -160,6 +160,23 @@ def model(name, spark, sf_dir, scenario: int = 2):
     return _rounded(scenarios.run_scenario(scenarios.prepared(corpus(spark, sf_dir)), scenario, [name]))
 
 
+def _baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``items``: the brands (25 at most) that each customer has bought."""
+    read = lambda name, *columns: spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    bought = read("lineitem", "l_orderkey", "l_partkey").join(read("orders", F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    brands = bought.join(read("part", F.col("p_partkey").alias("l_partkey"), F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("brand")), "l_partkey")
+    return brands.groupBy("o_custkey").agg(F.collect_set("brand").alias("items"))
+
+
+def basket_itemsets(miner, spark, sf_dir):
+    return miner(_baskets(spark, sf_dir), 0.45).select(_text("items").alias("itemset"), "freq")
+
+
+def basket_rules(spark, sf_dir):
+    found = rules.mine_rules(_baskets(spark, sf_dir), 0.45, 0.8)
+    return found.select(_text("antecedent").alias("antecedent"), _text("consequent").alias("consequent"), "support", F.round("confidence", 6).alias("confidence"))
+
+
 def scenario_grid(spark, sf_dir):
     """All seven scenarios with all six models."""
     return _rounded(scenarios.run_all(corpus(spark, sf_dir)))
@@ -200,6 +217,9 @@ QUERIES: dict[str, Query] = {
     "eclat_s4_05": partial(itemsets_of, 4, 0.05, mining.eclat),
     "fpgrowth_s4_05": partial(itemsets_of, 4, 0.05, mining.fp_growth),
     "itemset_lines": itemset_lines,
+    "basket_itemsets": partial(basket_itemsets, mining.itemsets),
+    "basket_eclat": partial(basket_itemsets, mining.eclat),
+    "basket_rules": basket_rules,
     "frequent_patterns": frequent_patterns,
     "rules_s3_05_60": partial(rules_of, 3, 0.05, 0.6, mining.itemsets),
     "rules_s3_05_80": partial(rules_of, 3, 0.05, 0.8, mining.itemsets),
@@ -211,7 +231,7 @@ QUERIES: dict[str, Query] = {
     **{f"expand_{k}": partial(expand_in, k) for k in SCENARIOS},
     "confusion_metrics": confusion_metrics,
     "nb_params": nb_params,
-    **{f"model_{name}": partial(model, name) for name in models.MODELS},
+    **{f"model_{name}": partial(model, name) for name in [*models.MODELS, *models.OTHERS]},
     "scenario_grid": scenario_grid,
     "count_all": partial(count_rows, None),
     "count_malicious": partial(count_rows, 1),

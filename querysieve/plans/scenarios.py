@@ -15,7 +15,7 @@ from querysieve.functions.features import SLOTS
 from querysieve.operators.expand import SCENARIOS, expand
 from querysieve.operators.held import held
 from querysieve.operators.metrics import confusion_metrics
-from querysieve.operators.models import MODELS, predictions, vectors
+from querysieve.operators.models import MODELS, OTHERS, predictions, vectors
 from querysieve.operators.split import split_by_place, with_place
 from querysieve.plans.corpus import featured, transactions
 
@@ -40,7 +40,7 @@ def run_scenario(ready: DataFrame, scenario: int, models: Iterable[str] = MODELS
     train, test = rows.where("is_train"), rows.where("not is_train")
 
     def one(name: str) -> DataFrame:
-        scored = predictions(MODELS[name](train), test).withColumns({"scenario": F.lit(scenario), "model": F.lit(name)})
+        scored = predictions((MODELS | OTHERS)[name](train), test).withColumns({"scenario": F.lit(scenario), "model": F.lit(name)})
         found = confusion_metrics(scored, ["scenario", "model"])
         return found.sparkSession.createDataFrame(found.collect(), found.schema)  # one row; the cached vectors go
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from querysieve.operators import boosting, dualmachine
+from querysieve.operators import bayes, boosting, dualmachine
 
 
 def made(seed, n=160, missing=False):
@@ -149,3 +149,27 @@ def test_nothing_to_learn(spark):
     assert boosting.logit_boost(one).stumps == []
     assert dualmachine.fit(one).transform(one).first().prediction == 1.0
     assert boosting.second_order_trees(one, 2).transform(one).first().prediction == 1.0
+
+
+def test_precise_bayes(spark):
+    x, y, weight = made(9)
+    x, own = x.astype(float), np.repeat(np.arange(len(x)), weight.astype(int))
+    model = bayes.fit(kinds(spark, x, y, weight))
+    rounded, precision = x.copy(), []
+    for k in range(x.shape[1]):
+        v = np.unique(x[:, k])
+        precision.append(np.diff(v).mean() if len(v) > 1 else 0.01)
+        rounded[:, k] = np.rint(x[:, k] / precision[k]) * precision[k]
+    np.testing.assert_allclose(model.precision, precision)
+    scores = []
+    for label in (0, 1):
+        rows = rounded[own][y[own] == label]
+        mean, deviation = rows.mean(axis=0), np.maximum(rows.std(axis=0), np.array(precision) / 6)
+        np.testing.assert_allclose(model.classes[label][1:], [mean, deviation])
+        scores.append(np.log((len(rows) + 1) / (len(own) + 2)) + (-np.log(deviation) - ((rounded - mean) / deviation) ** 2 / 2).sum(axis=1))
+    rows = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "id int, expanded array<double>")
+    got = {r.id: r.prediction for r in model.transform(rows).collect()}
+    assert [got[k] for k in range(len(x))] == (scores[1] > scores[0]).astype(float).tolist()
+    one = spark.createDataFrame([([1.0], 1.0, 2.0)], "expanded array<float>, label double, weight double")
+    assert bayes.fit(one).transform(one).first().prediction == 1.0
+    assert bayes.fit(one.limit(0)).transform(one).first().prediction == 0.0

@@ -42,7 +42,7 @@ def test_parsed_accepts_statements_only(spark, sf_dir):
     assert {r.kind for r in accepted} == {0, 2, 3, 6}
 
 
-@pytest.mark.parametrize("name", ["tree", "naive_bayes", "linear_svm"])
+@pytest.mark.parametrize("name", ["tree", "naive_bayes", "linear_svm", "precise_bayes"])
 def test_models_learn(spark, sf_dir, name):
     row = scenarios.run_scenario(scenarios.prepared(corpus(spark, sf_dir)), 2, [name]).first()
     assert row.tp + row.fp + row.fn + row.tn == 300 and row.accuracy > 70
