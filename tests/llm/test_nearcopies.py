@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from querysieve.llm import nearcopies, simhash
 
@@ -42,7 +43,8 @@ def test_every_similar_pair_shares_a_key():
                     assert made[a] & made[b], (n, rows[a], rows[b])
 
 
-def test_components_of_five_word_similarity(spark):
+@pytest.mark.parametrize("crowd, most_sent", [(nearcopies.CROWD, nearcopies.MOST_SENT), (1, 0)])
+def test_components_of_five_word_similarity(spark, crowd, most_sent):
     """Pairs of 0.8 differ in far more than three bits of a fingerprint; near misses and bridges stay apart or join."""
     rows = corpus(1, [*range(5, 30, 3), *range(30, 400, 37)], lambda n: n // 25 + 1)
     own = [sets(t) for _, t in rows]
@@ -55,7 +57,7 @@ def test_components_of_five_word_similarity(spark):
     wide = [(a, b) for a in range(len(rows)) for b in range(a) if similar(own[a], own[b]) and (simhash.fingerprint(rows[a][1].encode()) ^ simhash.fingerprint(rows[b][1].encode())).bit_count() > 3]
     assert len(wide) > 20
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()} == dict(enumerate(least))
+    assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs, crowd, most_sent).collect()} == dict(enumerate(least))
     assert sorted(r.doc_id for r in simhash.keep_first(docs).collect()) == [k for k, c in enumerate(least) if c == k]
 
 
@@ -77,3 +79,24 @@ def test_one_of_every_group_stays(spark):
     assert got == [(0, c), (3, a), (5, b), (7, "")]
     by = sorted((r.doc_id or 0, r.component_id or 0) for r in nearcopies.near_copies(docs).collect())
     assert by == [(0, 0), (0, 0), (0, 3), (0, 7), (3, 3), (5, 3), (5, 5), (5, 5), (7, 7), (9, 7)]
+
+
+def test_pages_of_one_template(spark, monkeypatch):
+    """600 pages share three quarters of their shingles, and two of them each differ little: those are found, without all pairs."""
+    draw = random.Random(2)
+    template = [f"t{k}" for k in range(150)]
+    rows = []
+    for k in range(300):
+        own = [f"o{draw.randrange(10**9)}" for _ in range(45)]
+        rows += [(2 * k, " ".join(template + own)), (2 * k + 1, " ".join(template + own[:44] + ["other"]))]
+    assert not similar(sets(rows[0][1]), sets(rows[2][1])) and similar(sets(rows[0][1]), sets(rows[1][1]))
+    counted, real = [], nearcopies._close
+
+    def close(frame):
+        counted.append(frame.groupBy("key").count().selectExpr("sum(count * count)").first()[0] or 0)
+        return real(frame)
+
+    monkeypatch.setattr(nearcopies, "_close", close)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()} == {i: i - i % 2 for i, _ in rows}
+    assert sum(counted) < 100 * len(rows)  # 38 keys a page and two pages a key; one key of all pages alone would be 600 a page
