@@ -9,10 +9,11 @@ Best fit decreasing: pieces go by falling size, each into the open sequence with
 it.  Rooms are counted in a segment tree over 0..length, so the search takes log(length) steps however many
 sequences are open.
 
-Scale: pieces are dealt to shards by a hash of the piece and of where its document was read (input partition and row),
-and each shard is packed by itself.  The number of shards follows the bytes of text, so a shard has a bounded size
-whatever the ids and however often a text is repeated; a document of any length is spread over many.  The same input,
-cut into the same partitions, gives the same sequences.
+Scale: pieces are dealt to shards by a hash of what they are (doc_id, text and start) and of which of the equal rows of its
+input partition theirs is, and each shard is packed by itself.  The number of shards follows the bytes of text, so a shard
+has a bounded size whatever the ids and however often a text is repeated; a document of any length is spread over many.
+The order of rows within a partition doesn't matter, so a task that is run again after an executor is lost deals the same
+pieces to the same shards.
 
 Edge cases: null and empty texts have no ids and appear in no sequence; a null doc_id is carried as null; rows that
 repeat a doc_id are packed as often as they occur; of equal sizes the smaller (doc_id, start, ids) goes first, and of
@@ -30,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import tiktoken
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,23 +105,28 @@ def _tokenizer(path: str, pattern: str) -> tiktoken.Encoding:
 def pieces(docs: DataFrame, ranks_path: str, pattern: str, length: int = LENGTH) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, place, start, n, ids (binary, 16-bit little-endian): at most ``length`` ids each.
 
-    ``place`` is the input partition and row that the document was read from.
+    ``place`` tells rows apart: a hash of doc_id, text, input partition and how many equal rows came before in it.
     """
+    if _tokenizer(ranks_path, pattern).max_token_value >= 1 << 16:
+        raise ValueError("ids over 65,535 don't fit 16 bits")
 
     def run(batches):
-        encode, first = _tokenizer(ranks_path, pattern).encode_to_numpy, TaskContext.get().partitionId() << 33
+        encode, partition = _tokenizer(ranks_path, pattern).encode_to_numpy, TaskContext.get().partitionId()
+        seen: dict[bytes, int] = {}
         for batch in slices(batches, 2000):
-            rows, start, ids = [], [], []
-            for row, text in enumerate(as_bytes(batch["text"])):
+            rows, start, ids, places = [], [], [], []
+            for row, (doc_id, text) in enumerate(zip(batch["doc_id"].to_pylist(), as_bytes(batch["text"]))):
+                who = xxhash.xxh3_128_digest(b"%s:%s" % (str(doc_id).encode(), text))
+                seen[who] = times = seen.get(who, -1) + 1
+                places.append(xxhash.xxh64_intdigest(b"%s:%d:%d" % (who, partition, times)) >> 1)
                 own = encode(text.decode("utf-8", "replace"), disallowed_special=()).astype("<u2")
                 for at in range(0, len(own), length):
                     rows.append(row)
                     start.append(at)
                     ids.append(own[at : at + length].tobytes())
             at = np.array(rows, np.int64)
-            columns = [batch["doc_id"].take(pa.array(at)), pa.array(at + first), pa.array(start, pa.int64()), pa.array([len(b) // 2 for b in ids], pa.int32()), pa.array(ids, pa.binary())]
+            columns = [batch["doc_id"].take(pa.array(at)), pa.array(np.array(places, np.int64)[at]), pa.array(start, pa.int64()), pa.array([len(b) // 2 for b in ids], pa.int32()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "start", "n", "ids"])
-            first += batch.num_rows
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, place long, start long, n int, ids binary")
 

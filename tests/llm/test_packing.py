@@ -1,9 +1,11 @@
+import base64
 import random
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from querysieve.llm import packing
 from querysieve.llm.bpe import read_ranks
@@ -36,6 +38,18 @@ def test_equal_rows_are_spread(spark):
     assert len(counts) == 25 and max(counts.values()) < 300 and sum(counts.values()) == 4000
 
 
+def test_order_of_rows_does_not_matter(spark, make, tmp_path):
+    """A task that reads its rows in another order deals and packs alike; other ids than 16-bit ones are refused."""
+    rows = make(7) + make(7)[:20] + [(None, "the same words")] * 5
+    plain = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    packed = lambda docs: sorted(map(repr, packing.pack(packing.pieces(docs, PATH, P.PATTERN, 64), 7, 64).collect()))
+    assert packed(plain) == packed(plain.sortWithinPartitions("text")) == packed(plain.sortWithinPartitions(F.desc("doc_id")))
+    with pytest.raises(ValueError, match="16 bits"):
+        large = [(bytes([b]), b) for b in range(256)] + [(b"ab", 70_000)]
+        (tmp_path / "large").write_text("".join(f"{base64.b64encode(t).decode()} {r}\n" for t, r in large))
+        packing.pieces(plain, str(tmp_path / "large"), P.PATTERN)
+
+
 def unpacked(rows, length):
     parts = {}
     for r in rows:
