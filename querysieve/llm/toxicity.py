@@ -8,7 +8,7 @@ one; words that no example has count in a text's length only.
 
 Every document is compared with all examples: the ``NEIGHBOURS`` most similar ones vote, each with the inverse of its
 distance, and a monotone curve fitted on the examples themselves (each without its own vote) turns the vote into a
-probability.  Neighbours and the words that stand out in toxic examples are returned as evidence.
+probability.  The ``SHOWN`` nearest of them and the words that stand out in toxic examples are returned as evidence.
 
 The index.  Postings of rare words are short and read whole.  Those of common words lie in blocks of ``BLOCK``
 examples, with the largest weight per word and block.  A query adds up what each block could reach at most (its best
@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 from querysieve.llm.common import cut, id_and_text, let_go, slices
 
 SAMPLE = 4_000
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK = 50, 64
+SHOWN = 15  # nearest voters returned as evidence
 COMMON = 1 / 16  # of the examples: words of more are common
 FIRST = 4  # blocks opened to begin with
 QUERIES = 32  # that go together
@@ -185,7 +186,7 @@ class Model:
         for k, (names, terms, weights), (vote, similar, near) in zip(asked, vectors, self.votes([v[1:] for v in vectors])):
             telling = np.flatnonzero(self.space.relevance[terms] >= TELLING)
             telling = telling[np.lexsort((terms[telling], -weights[telling]))[:MOST_TERMS]]
-            out[k] = float(np.interp(vote, *self.knots)), similar, near, [names[t] for t in telling.tolist()]
+            out[k] = float(np.interp(vote, *self.knots)), similar[:SHOWN], near[:SHOWN], [names[t] for t in telling.tolist()]
         return out
 
 
