@@ -273,6 +273,7 @@ def second_order_trees(kinds: DataFrame, rounds: int = 50, depth: int = DEPTH) -
     bins = find_bins(kinds)
     model = Trees(bins)
     rows = held(binned(kinds, bins).withColumn("margin", F.lit(0.0))).persist()
+    cached = [rows]
     try:
         for done in range(rounds):
             tree, open_nodes = [Node(0.0)], [0]
@@ -305,10 +306,12 @@ def second_order_trees(kinds: DataFrame, rounds: int = 50, depth: int = DEPTH) -
                     margin = batch["margin"].to_numpy() + values[place(tree, found, bins)]
                     yield pa.RecordBatch.from_arrays([batch["bins"], batch["label"], batch["weight"], pa.array(margin)], names=["bins", "label", "weight", "margin"])
 
-            before, rows = rows, rows.mapInArrow(add, "bins binary, label double, weight double, margin double")
-            rows = (held(rows) if done % CUT_EVERY == CUT_EVERY - 1 else rows).persist()
-            rows.count()
-            before.unpersist()
+            new = rows.mapInArrow(add, "bins binary, label double, weight double, margin double")
+            cached.append((held(new) if done % CUT_EVERY == CUT_EVERY - 1 else new).persist())
+            rows = cached[-1]
+            while len(cached) > 2:  # the one before is still read when the next round fills the cache
+                cached.pop(0).unpersist()
     finally:
-        rows.unpersist()
+        for c in cached:
+            c.unpersist()
     return model
