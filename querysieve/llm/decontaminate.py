@@ -15,9 +15,10 @@ words, up to 128, and so on doubling), each with its class as stride, so every c
 passage and one very long item doesn't widen the passages of the others.  Copies that are torn further apart than
 that are not one passage, and not found.
 
-Documents are read in place, without a shuffle.  Items are dealt into shards of at most about ``SHARD_BYTES`` of text;
-every shard's index is built in a task and kept in the checkpoint folder; one at a time passes through the driver to
-be broadcast, with one pass over the documents for each, so what is held at once doesn't grow with the benchmark.
+Documents are read once, in place, without a shuffle.  Items are dealt into shards of at most about ``SHARD_BYTES`` of text;
+every shard's index is built in a task and kept in the checkpoint folder; one at a time passes through the driver to be
+broadcast.  A task takes ``ROWS`` documents through all shards, one after another, and lets go of each: what a worker holds
+doesn't grow with the benchmark, what lies on the executors' disks does.
 
 Edge cases: null or empty documents match nothing; items without a word are left out; items of fewer than five
 words are one shingle; words are runs of letters, digits and underscores, lower-cased; repeated rows give repeated
@@ -47,6 +48,7 @@ RANGES, LEAST_RANGE = 128, 4
 LEAST_STRIDE = 64
 QUESTION_WORDS = 13
 SHARD_BYTES = 2 << 20
+ROWS = 2000  # documents a worker holds at once
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=\S)")
 ROUNDING = 1e-9
@@ -250,21 +252,51 @@ def indexes(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[by
 MATCH = "item_id long, score double, overlap double, question_overlap double, answer_overlap double, start_word long"
 
 
+class Shards:
+    """The broadcast indexes; a worker has one of them in memory."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, shard_bytes: int):
+        self.sent = [docs.sparkSession.sparkContext.broadcast(made) for made in indexes(benchmark, shard_bytes)]
+        self.only: list[Index] | None = None
+
+    def opened(self) -> Iterator[list[Index]]:
+        for sent in self.sent:
+            if self.only is not None:
+                yield self.only
+                continue
+            own = pickle.loads(sent.value)
+            vars(sent).pop("_value", None)  # the next use reads it from disk again
+            if len(self.sent) == 1:
+                self.only = own
+            yield own
+
+    def matches(self, texts: list[str | None]) -> list[list[dict]]:
+        """By text the confirmed items."""
+        found: list[list[dict]] = [[] for _ in texts]
+        for own in self.opened():
+            for out, text in zip(found, texts):
+                out += matches(own, text)
+        return found
+
+    def clean(self, texts: list[str | None]) -> list[bool]:
+        """Whether a text holds no item; one that holds one is looked at no further."""
+        good = [True] * len(texts)
+        for own in self.opened():
+            good = [g and not matches(own, text) for g, text in zip(good, texts)]
+        return good
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id and the confirmed item, score, overlaps and passage start: a row per document and item."""
-    rows, out = id_and_text(docs), docs.sparkSession.createDataFrame([], f"doc_id long, {MATCH}")
-    for made in indexes(benchmark, shard_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(made)
+    shards = Shards(docs, benchmark, shard_bytes)
 
-        def run(batches, sent=sent):
-            let_go()
-            own = pickle.loads(sent.value)
-            for batch in batches:
-                found = [{"doc_id": i, **m} for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()) for m in matches(own, t)]
-                yield pa.RecordBatch.from_pylist(found, schema=schema)
+    def run(batches):
+        let_go()
+        for batch in slices(batches, ROWS):
+            found = zip(batch["doc_id"].to_pylist(), shards.matches(batch["text"].to_pylist()))
+            yield pa.RecordBatch.from_pylist([{"doc_id": i, **m} for i, own in found for m in own], schema=schema)
 
-        out = out.union(rows.mapInArrow(run, f"doc_id long, {MATCH}"))
-    return out
+    return id_and_text(docs).mapInArrow(run, f"doc_id long, {MATCH}")
 
 
 schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *((c, pa.float64()) for c in ("score", "overlap", "question_overlap", "answer_overlap")), ("start_word", pa.int64())])
@@ -272,15 +304,11 @@ schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *((c, pa.fl
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` without the rows whose text holds a test item; all columns stay."""
-    at = docs.columns.index("text")
-    for made in indexes(benchmark, shard_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(made)
+    at, shards = docs.columns.index("text"), Shards(docs, benchmark, shard_bytes)
 
-        def run(batches, sent=sent):
-            let_go()
-            own = pickle.loads(sent.value)
-            for batch in slices(batches, 2000):
-                yield batch.filter(pa.array([not matches(own, t) for t in batch.column(at).to_pylist()], pa.bool_()))
+    def run(batches):
+        let_go()
+        for batch in slices(batches, ROWS):
+            yield batch.filter(pa.array(shards.clean(batch.column(at).to_pylist()), pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)

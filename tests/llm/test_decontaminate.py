@@ -54,6 +54,12 @@ def test_finds_whole_and_edited_copies(spark):
     assert want and {(r.doc_id, r.item_id) for r in d.contaminated(rows, bench_df).collect()} == want
     # In shards the same comes out.
     assert {(r.doc_id, r.item_id) for r in d.contaminated(rows, bench_df, shard_bytes=1000).collect()} == want
+    many = d.Shards(rows, bench_df, 100)
+    assert len(many.sent) > 5
+    for found in (d.contaminated(rows, bench_df, 100), d.keep_clean(rows, bench_df, 100)):  # one pass, however many shards
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {(r.doc_id, r.item_id) for r in d.contaminated(rows, bench_df, 100).collect()} == want
+    assert {r.doc_id for r in d.keep_clean(rows, bench_df, 100).collect()} == {r.doc_id for r in rows.collect()} - {i for i, _ in want}
     assert {r.doc_id for r in d.keep_clean(rows, bench_df, 1000).collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
