@@ -1,3 +1,4 @@
+import base64
 import math
 import random
 
@@ -103,3 +104,45 @@ def test_rows_of_one_id_are_drawn_like_others(spark, doc_id):
     rows = spark.range(6000).selectExpr(f"{doc_id} as doc_id", "concat('text ', id) as text", "'en' as lang")
     languages, drawn = langid._training_rows(rows, F.lit(True), 1500)
     assert languages == ["en"] and 1300 < drawn.count() < 1700
+
+
+def test_fit_and_score_by_definition(spark, tmp_path):
+    """Every round over all cuts of every word, and every text's score from its words' sums: no lattice, no trie."""
+    tokens = [b" ", b"a", b"b", b"c", b"ab", b" a", b"bc", b" ab", b"ca"]
+    (tmp_path / "pieces").write_text("".join(f"{base64.b64encode(t).decode()} {k}\n" for k, t in enumerate(tokens)))
+    draw = random.Random(3)
+    rows = [(k, " ".join("".join(draw.choice("ab" if k % 3 else "bca") for _ in range(draw.randint(1, 5))) for _ in range(draw.randint(0, 9))), "xx" if k % 3 else "yy") for k in range(40)]
+    rows += [(50, None, "xx"), (51, "123 !", "yy"), (52, "abc", None)]
+
+    def cuts(b):
+        return [[]] if not b else [[k, *rest] for k, t in enumerate(tokens) if b.startswith(t) for rest in cuts(b[len(t) :])]
+
+    ways = {w: cuts(b" " + w.encode()) for _, t, _ in rows for w in langid.words(t)}
+    languages, n = ["xx", "yy"], len(tokens)
+    p = np.full((n, 2), 1 / n)
+    for _ in range(langid.ROUNDS):
+        c = np.zeros((n, 2))
+        for _, text, lang in rows:
+            for w in langid.words(text) if lang else []:
+                col = languages.index(lang)
+                chances = [np.prod([p[k, col] for k in cut]) for cut in ways[w]]
+                for cut, chance in zip(ways[w], chances):
+                    for k in cut:
+                        c[k, col] += chance / sum(chances)
+        background = (c.sum(axis=1) + 0.01) / (c.sum() + 0.01 * n)
+        c += langid.PRIOR_WEIGHT * background[:, None]
+        p = np.maximum(c / c.sum(axis=0), langid.LEAST)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(docs, str(tmp_path / "pieces"))
+    assert model.languages == ("xx", "yy")
+    np.testing.assert_allclose(model.probabilities, p, rtol=1e-9)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model, str(tmp_path / "pieces")).collect()}
+    for i, text, _ in rows:
+        own = langid.words(text)
+        if not own:
+            assert got[i] == ("und", 0.0)
+            continue
+        total = np.array([sum(math.log(sum(np.prod([p[k, col] for k in cut]) for cut in ways[w])) for w in own) for col in (0, 1)])
+        odds = np.exp((total - total.max()) / math.sqrt(len(own)))
+        best = int(odds.argmax())
+        assert got[i] == (languages[best], pytest.approx(odds[best] / odds.sum()))

@@ -81,3 +81,29 @@ def test_odd_documents(spark, odd, none, tmp_path):
     assert packing.pack_documents(none, PATH, P.PATTERN).count() == 0
     with pytest.raises(ValueError):
         packing.pack_documents(odd, PATH, P.PATTERN, 1 << 17)
+
+
+def test_whole_rows_by_definition(spark, make):
+    """Every column of every sequence: pieces in order of size, doc_id, start and ids, each into the least room, ties to the first."""
+    length, shards = 32, 4
+    rows = make(11) + make(11)[:15] + [(None, "the same words"), (None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    cut = packing.pieces(docs, PATH, P.PATTERN, length)
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("place", "start", "doc_id"), F.lit(shards))).collect()
+    want = []
+    for shard in range(shards):
+        own = sorted((r for r in dealt if r.shard == shard), key=lambda r: (-r.n, -(1 << 63) if r.doc_id is None else r.doc_id, r.start, bytes(r.ids)))
+        sequences = []
+        for r in own:
+            fits = [(length - sum(x.n for x in s), k) for k, s in enumerate(sequences) if sum(x.n for x in s) + r.n <= length]
+            sequences[min(fits)[1]].append(r) if fits else sequences.append([r])
+        for k, s in enumerate(sequences):
+            ids = np.concatenate([np.frombuffer(bytes(r.ids), "<u2") for r in s])
+            ends = [0, *np.cumsum([r.n for r in s]).tolist()]
+            padded = np.zeros(length, "<u2")
+            padded[: len(ids)] = ids
+            positions = np.zeros(length, "<u2")
+            positions[: len(ids)] = np.concatenate([np.arange(r.n) for r in s])
+            want.append((shard, k, len(ids), len(s), [r.doc_id for r in s], [r.start for r in s], ends, padded.tobytes(), positions.tobytes()))
+    got = [tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in packing.pack(cut, shards, length).collect()]
+    assert sorted(got, key=lambda r: r[:2]) == want
