@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags.  The first pass decides on each block alone: what stands in a menu, page
 header, footer, sidebar, form, notice, advert or comment section is boilerplate, as is a block that is mostly links or a
-copyright line; a long block rich in stop words is content; long blocks poor in them, and all short ones, are open.  In
+copyright line; a long block rich in stop words is content; long blocks poor in them, and all short ones, are open (of the
+former only neighbours in the same container count).  In
 the second pass open blocks take the label of their nearest decided neighbours, neighbours of the same container first;
 on a page without decided content open blocks are content.
 Where a page marks its article and that holds content, blocks beside the article are boilerplate, and open blocks in it
@@ -225,11 +226,13 @@ def first_label(block: Block, by_stops: bool) -> bool | None:
         return None
     if not by_stops:  # no stop word on the whole page: another language
         return True if len(block.text) >= LONG else None
+    stops = stop_share(block)
+    return True if stops >= MANY_STOPS or (stops >= FEW_STOPS and len(block.text) >= LONG) else None
+
+
+def stop_share(block: Block) -> float:
     words = WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= MANY_STOPS or (stops >= FEW_STOPS and len(block.text) >= LONG):
-        return True
-    return False if not block.level and stops < FEW_STOPS else None
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
 def labels(found: list[Block]) -> list[bool]:
@@ -247,7 +250,14 @@ def labels(found: list[Block]) -> list[bool]:
         return [said is None for said in first]
     before = nearest(found, first, range(len(found)))
     behind = nearest(found, first, range(len(found) - 1, -1, -1))
-    return [said if said is not None else inherit(b, level, before[k], behind[k]) for k, (b, said) in enumerate(zip(found, first))]
+    out = []
+    for k, (b, said) in enumerate(zip(found, first)):
+        near = [before[k], behind[k]]
+        if said is None and by_stops and not b.level and not b.heading and len(b.text) >= SHORT and stop_share(b) < FEW_STOPS:
+            # Long and without stop words: content only among content of its own container.
+            near = [x if x and x[0] < len(found) else None for x in near]
+        out.append(said if said is not None else inherit(b, level, *near))
+    return out
 
 
 def nearest(found: list[Block], first: list[bool | None], order: range) -> list[tuple[int, bool] | None]:
