@@ -98,5 +98,5 @@ def test_pages_of_one_template(spark, monkeypatch):
 
     monkeypatch.setattr(nearcopies, "_close", close)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()} == {i: i - i % 2 for i, _ in rows}
+    assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs, crowd=64).collect()} == {i: i - i % 2 for i, _ in rows}
     assert sum(counted) < 100 * len(rows)  # 38 keys a page and two pages a key; one key of all pages alone would be 600 a page
