@@ -15,7 +15,9 @@ How it runs:
    fetched, of any other one; the index of their anchor decides on the bytes which windows start elsewhere too.
 3. An index takes the contents of whole anchors, half a MB of bytes at most.  Contents of an anchor with more than
    ``GROUP_BYTES`` (a line in very many surroundings) are dealt out anew: they are texts of their own, whose windows meet
-   by longer anchors (``ANCHORS``; the last is the whole window), so any number of tasks shares them.
+   by longer anchors (``ANCHORS``; the last is the whole window), so any number of tasks shares them.  Whole windows are
+   counted by 128-bit hashes, once per ``PART_BYTES`` of these texts (``_counted``); they have no rows of their own.
+   Contents no window of which has its hash again in the index don't enter the suffix order (``_may_repeat``).
 4. Marks go back to all copies of the content whose 128-bit hash is that of the indexed bytes, and to the texts.
 
 Identity.  A text is known by 88 bits of its SHA-256, whatever its doc_id: equal texts are copies of each other
@@ -41,6 +43,7 @@ LENGTH, ANCHORS = 200, (32, 128, 200)
 SLICE = 1 << 19  # bytes hashed at once
 RUN = 4096  # windows of one content at most
 INDEX_BYTES = GROUP_BYTES = 1 << 18
+PART_BYTES = 1 << 21  # of texts whose whole windows are counted together
 PLACE_BITS = 32  # a place: 28 bits of the text's hash and a byte number
 
 
@@ -308,6 +311,27 @@ def _marked(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["anchor", "content", "check", "marks", "bytes"])
 
 
+def _window_hashes(texts: list[bytes], length: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every window of every text, and which text it is of."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    b = np.frombuffer(b"".join(texts), np.uint8)
+    if len(b) < length:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(b))
+    at = np.flatnonzero(left >= length)
+    return anchor_hashes(b ^ np.uint8(salt), length)[at], np.repeat(np.arange(len(texts)), sizes)[at]
+
+
+def _may_repeat(texts: list[bytes], length: int) -> np.ndarray:
+    """Which texts have a window whose hash stands at another place too: no other one has a match of ``length`` bytes."""
+    h, of = _window_hashes(texts, length) if length >= 8 else (np.zeros(len(texts), np.uint64), np.arange(len(texts)))
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    found = np.zeros(len(texts), bool)
+    found[of[order[np.concatenate((same, [False])) | np.concatenate(([False], same))]] if len(h) else []] = True
+    return found
+
+
 def _indexed(copies: DataFrame, length: int, index_bytes: int) -> DataFrame:
     """anchor, content, check, marks: the windows of each content that match ``length`` bytes of another place.
 
@@ -315,6 +339,7 @@ def _indexed(copies: DataFrame, length: int, index_bytes: int) -> DataFrame:
     """
 
     def mark(group: list[tuple]) -> pa.RecordBatch:
+        group = [g for g, may in zip(group, _may_repeat([g[4] for g in group], length)) if may]
         long = RunIndex([g[4] for g in group]).longest_matches() >= length
         ends = np.cumsum([len(g[4]) for g in group])
         found, before = [], None
@@ -353,6 +378,8 @@ def _indexed(copies: DataFrame, length: int, index_bytes: int) -> DataFrame:
 
 def _finer(large: DataFrame, length: int, anchors: tuple[int, ...], **sizes) -> DataFrame:
     """The same for the contents of large anchors: each is a text, and windows meet by the next longer anchor."""
+    if len(anchors) == 1 and length >= 8:
+        return _counted(large, length)
     texts = cut(_known(large.select(F.struct("anchor", "content").alias("doc"), F.col("bytes").alias("text"))))
     found = repeats(texts, length, anchors, **sizes)
 
@@ -367,6 +394,44 @@ def _finer(large: DataFrame, length: int, anchors: tuple[int, ...], **sizes) ->
     return _with_found(texts, found, FOUND).mapInArrow(run, MARKED).dropDuplicates(["anchor", "content", "check"])
 
 
+def _counted(large: DataFrame, length: int, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The same by counting whole windows: each part of the contents tells every window once, and is told which start elsewhere."""
+    size = large.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
+    parts = F.pmod(F.xxhash64("anchor", "content", "bytes"), F.lit(1 + size // part_bytes)).alias("part")
+    dealt = cut(large.select(parts, "anchor", "content", "bytes"))
+
+    def told(batches):
+        let_go()
+        for batch in slices(batches, 4000):
+            part, texts = batch["part"].to_numpy(), batch["bytes"].to_pylist()
+            for p in np.unique(part).tolist():
+                own = [texts[k] for k in np.flatnonzero(part == p).tolist()]
+                h, again = (_window_hashes(own, length, salt)[0] for salt in (0, 0xA5))
+                order = np.lexsort((again, h))
+                starts = np.flatnonzero(np.concatenate((np.ones(min(len(h), 1), bool), (h[order][1:] != h[order][:-1]) | (again[order][1:] != again[order][:-1]))))
+                times = np.diff(np.append(starts, len(h)))
+                first = order[starts]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), p)), pa.array(h[first].view(np.int64)), pa.array(again[first].view(np.int64)), pa.array(times)], ["part", "h", "again", "times"])
+
+    each = cut(dealt.select("part", "bytes").mapInArrow(told, "part long, h long, again long, times long").groupBy("part", "h", "again").agg(F.sum("times").alias("times")))
+    several = each.groupBy("h", "again").agg(F.sum("times").alias("times"), F.collect_list("part").alias("parts")).where("times > 1")
+    several = several.select(F.explode("parts").alias("part"), "h", "again")
+
+    def run(texts: pa.Table, several: pa.Table) -> pa.Table:
+        known = set(zip(several["h"].to_pylist(), several["again"].to_pylist()))
+        found, data = [], texts["bytes"].to_pylist()
+        (h, of), (again, _) = (_window_hashes(data, length, salt) for salt in (0, 0xA5))
+        hit = np.fromiter((x in known for x in zip(h.view(np.int64).tolist(), again.view(np.int64).tolist())), bool, len(h))
+        ends = np.searchsorted(of, np.arange(len(data) + 1))
+        for k, (anchor, content, b) in enumerate(zip(texts["anchor"].to_pylist(), texts["content"].to_pylist(), data)):
+            if marks := _intervals(hit[ends[k] : ends[k + 1]]):
+                found.append((anchor, content, _check(b), marks, None))
+        return pa.Table.from_batches([_marked(found)])
+
+    marked = dealt.groupBy("part").cogroup(several.groupBy("part")).applyInArrow(run, MARKED)
+    return marked.dropDuplicates(["anchor", "content", "check"])
+
+
 FOUND = ["place", "n", "check", "marks"]
 
 

@@ -98,3 +98,27 @@ def test_strip_keeps_rows_and_columns(spark, odd, none):
     by = {r.doc_id: r for r in got.where("doc_id in (1, 5, 6, 7, 9)").collect()}
     assert by[5].text == by[6].text == "" and by[5].n_chars == 0 and by[1].text is None and by[7].text == "Ünïcödé 😀 漢字 \x00 end"
     assert runindex.strip_repeats(none).count() == 0
+
+
+def test_common_lines_have_no_row_per_window(spark, monkeypatch):
+    """Under the longest anchor windows are counted by part: no join makes a row of each."""
+    draw = random.Random(5)
+    line = "".join(draw.choice("abcdefgh ") for _ in range(3 * SIZE))
+    rows = [(k, f"{draw.random()} {line} {draw.random()}") for k in range(60)] + [(99, line[:SIZE] + "x" * 30), (100, None)]
+    levels, real = [], runindex.repeats
+
+    def repeats(texts, length, anchors, **sizes):
+        levels.append(anchors)
+        return real(texts, length, anchors, **sizes)
+
+    monkeypatch.setattr(runindex, "repeats", repeats)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert ours(df, SIZE, group_bytes=0) == by_definition(rows, SIZE)
+    assert levels == [ANCHORS, ANCHORS[1:]]
+
+
+def test_only_texts_with_a_window_of_equal_hash_are_indexed():
+    shared = bytes(range(60))
+    texts = [b"\xff" * 3 + shared, shared + b"tail", b"no window of this text is found anywhere else, it says", b"short"]
+    assert runindex._may_repeat(texts, SIZE).tolist() == [True, True, False, False]
+    assert runindex._may_repeat([], SIZE).tolist() == []
