@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querysieve.llm import nearcopies
-from querysieve.llm.common import as_bytes, cut, id_and_text, let_go, slices
+from querysieve.llm.common import as_bytes, cut, id_and_text, let_go, shuffle_partitions, slices
 from querysieve.llm.components import components
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
@@ -74,12 +74,14 @@ def _linked(filed: DataFrame, keys: list[str], most_bits: int) -> DataFrame:
 def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """``distinct`` (fp) -> a, b: all pairs that differ in at most three bits (a pair may come more than once)."""
     bits = F.explode(F.sequence(F.lit(0), F.lit(63)))
-    filed = distinct.select("fp", bits.alias("bit")).select("fp", "bit", _without_bit(F.col("fp"), 32, F.col("bit")).alias("key"))
+    # Dealt out by number: by size Spark would make one or two tasks of them, each of which would write 64 rows for one.
+    distinct = distinct.repartition(shuffle_partitions(distinct.sparkSession), "fp")
+    filed = distinct.select("fp", bits.alias("bit")).select("fp", _without_bit(F.col("fp"), 32, F.col("bit")).alias("key"))
     # An aggregate and a join, not a window: counts combine before the shuffle, and Spark can split a crowded key.
     filed = filed.join(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
     few = _linked(filed.where(F.col("n") <= crowded).select("key", "fp"), ["key"], MOST_BITS)
-    # The other half of a crowded key, by its two quarters.
-    other = F.call_function("shiftrightunsigned", F.col("fp"), F.when(F.col("bit") < 32, 32).otherwise(0)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    # The other half of a crowded key (above its 32 bits it holds which bit is left out), by its two quarters.
+    other = F.call_function("shiftrightunsigned", F.col("fp"), F.when(F.col("key") < 1 << 37, 32).otherwise(0)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
     many = filed.where(F.col("n") > crowded).select("key", "fp", other.alias("other"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit2"))
     many = many.select("key", "fp", _without_bit(F.col("other"), 16, F.col("bit2")).alias("key2"))
     return few.union(_linked(many, ["key", "key2"], MOST_BITS))

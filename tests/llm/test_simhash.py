@@ -93,3 +93,9 @@ def test_components_of_random_graphs(spark, seed):
 
 def test_no_links(spark):
     assert components(spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))).count() == 0
+
+
+def test_filing_is_dealt_over_all_partitions(spark):
+    """64 rows are made of each fingerprint: small as the fingerprints are, they aren't left to one or two tasks."""
+    found = simhash.links(spark.createDataFrame([(k * k,) for k in range(50)], "fp long"))
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
