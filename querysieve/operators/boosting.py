@@ -22,6 +22,8 @@ from querysieve.operators.held import held
 MOST_BINS = 64
 TIE = 1e-9  # gains that differ by less, relatively, count as equal: the first column and bin is taken
 CUT_EVERY = 10  # rounds after which the margins are written
+IN_A_TASK = 20_000  # kinds; fewer than that many a core are dealt over fewer tasks
+DIRECT = 4  # tasks whose sums are added up on the driver, without a shuffle
 
 
 @dataclass(frozen=True)
@@ -85,11 +87,18 @@ def binned(kinds: DataFrame, bins: Bins) -> DataFrame:
 Statistics = Callable[[np.ndarray, pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def histograms(rows: DataFrame, bins: Bins, nodes: int, statistics: Statistics) -> np.ndarray:
+def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Held rows over as many partitions as they are worth, and that number: a round is a job, and its tasks cost more than few kinds."""
+    tasks = -(-rows.count() // IN_A_TASK) or 1
+    return (rows.coalesce(tasks) if tasks <= DIRECT else rows), tasks
+
+
+def histograms(rows: DataFrame, bins: Bins, nodes: int, statistics: Statistics, tasks: int = DIRECT + 1) -> np.ndarray:
     """Sums of two statistics by (node, column, bin).
 
     ``statistics`` gives, for the bins of a batch of rows and the batch itself, each row's node (-1: none) and its two
-    values.  A task adds up its rows first; what is shuffled and collected is at most nodes x columns x bins sums.
+    values.  A task adds up its rows first; what is shuffled and collected is at most nodes x columns x bins sums, of up to
+    ``DIRECT`` ``tasks`` as many each and without a shuffle.
     """
     d, width = len(bins.limits), bins.width
 
@@ -107,10 +116,11 @@ def histograms(rows: DataFrame, bins: Bins, nodes: int, statistics: Statistics)
         at = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(t[at]) for t in total)], names=["at", "a", "b"])
 
-    sums = rows.mapInArrow(run, "at long, a double, b double").groupBy("at").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+    sums = rows.mapInArrow(run, "at long, a double, b double")
+    sums = (sums if tasks <= DIRECT else sums.groupBy("at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))).toArrow()
     out = np.zeros((2, nodes * d * width))
     for k, c in enumerate("ab"):
-        out[k, sums["at"].to_numpy()] = sums[c].to_numpy()
+        np.add.at(out[k], sums["at"].to_numpy(), sums[c].to_numpy())
     return out.reshape(2, nodes, d, width)
 
 
@@ -162,7 +172,8 @@ def logit_boost(kinds: DataFrame, rounds: int = 50) -> Stumps:
     """
     bins = find_bins(kinds)
     d, width = len(bins.limits), bins.width
-    rows, model = held(binned(kinds, bins)).persist(), Stumps()
+    rows, tasks = dealt(held(binned(kinds, bins)))
+    rows, model = rows.persist(), Stumps()
     parts = np.zeros((d, width))
     try:
         for _ in range(rounds if d else 0):
@@ -174,7 +185,7 @@ def logit_boost(kinds: DataFrame, rounds: int = 50) -> Stumps:
                 w = batch["weight"].to_numpy() * chance
                 return np.zeros(len(w), np.int64), w, w * z
 
-            w, wz = histograms(rows, bins, 1, statistics)[:, 0]
+            w, wz = histograms(rows, bins, 1, statistics, tasks)[:, 0]
             low = np.cumsum(np.stack([w, wz]), axis=2)
             high = low[:, :, -1:] - low
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -245,6 +256,18 @@ def place(tree: list[Node], found: np.ndarray, bins: Bins) -> np.ndarray:
     return at
 
 
+def _leaf(g: float, h: float) -> Node:
+    return Node(-RATE * float(g / (h + PENALTY)))
+
+
+def _sides(g: np.ndarray, h: np.ndarray, bins: Bins, split: tuple[int, int, bool]) -> list[tuple[float, float]]:
+    """Gradient and hessian of both sides of a split."""
+    k, limit, missing_left = split
+    left = np.arange(g.shape[1]) <= limit
+    left[bins.missing(k)] = missing_left
+    return [(float(g[k, side].sum()), float(h[k, side].sum())) for side in (left, ~left)]
+
+
 def _split(g: np.ndarray, h: np.ndarray, bins: Bins) -> tuple[int, int, bool] | None:
     """Column, bin and side of missing values of the best split of a node's histogram (column, bin), if any gains."""
     total_g, total_h = g[0].sum(), h[0].sum()
@@ -267,17 +290,18 @@ def second_order_trees(kinds: DataFrame, rounds: int = 50, depth: int = DEPTH) -
     """Trees on gradients and hessians of the logistic loss, grown level by level (Chen and Guestrin 2016).
 
     A split gains GL^2/(HL + 1) + GR^2/(HR + 1) - G^2/(H + 1), each side needs a hessian of 1, missing values go to the side
-    that gains more, and a leaf adds -0.1 G/(H + 1).  Rows keep their margin from round to round; it is written every
-    ``CUT_EVERY`` rounds, so that no plan grows.
+    that gains more, and a leaf adds -0.1 G/(H + 1).  What both sides of a split add is known from it, so only nodes that may be
+    split once more are looked at again.  Rows keep their margin from round to round; it is written every ``CUT_EVERY`` rounds,
+    so that no plan grows.
     """
     bins = find_bins(kinds)
     model = Trees(bins)
-    rows = held(binned(kinds, bins).withColumn("margin", F.lit(0.0))).persist()
-    cached = [rows]
+    rows, tasks = dealt(held(binned(kinds, bins).withColumn("margin", F.lit(0.0))))
+    cached = [rows := rows.persist()]
     try:
         for done in range(rounds):
             tree, open_nodes = [Node(0.0)], [0]
-            for level in range(depth + 1):
+            for level in range(max(depth, 1)):
 
                 def statistics(found: np.ndarray, batch: pa.RecordBatch, tree: list[Node] = list(tree), open_nodes: list[int] = list(open_nodes)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                     number = np.full(len(tree), -1)
@@ -285,15 +309,16 @@ def second_order_trees(kinds: DataFrame, rounds: int = 50, depth: int = DEPTH) -
                     p, w = 1 / (1 + np.exp(-batch["margin"].to_numpy())), batch["weight"].to_numpy()
                     return number[place(tree, found, bins)], w * (p - batch["label"].to_numpy()), w * p * (1 - p)
 
-                g, h = histograms(rows, bins, len(open_nodes), statistics)
+                g, h = histograms(rows, bins, len(open_nodes), statistics, tasks)
                 further = []
-                for k, node in enumerate(open_nodes):
-                    value = -RATE * float(g[k, 0].sum() / (h[k, 0].sum() + PENALTY)) if len(bins.limits) else 0.0
-                    split = _split(g[k], h[k], bins) if level < depth and len(bins.limits) else None
+                for k, node in enumerate(open_nodes if len(bins.limits) else []):
+                    value = _leaf(g[k, 0].sum(), h[k, 0].sum()).value
+                    split = _split(g[k], h[k], bins) if level < depth else None
                     tree[node] = Node(value, *split, len(tree), len(tree) + 1) if split else Node(value)
-                    if split:
-                        further += [len(tree), len(tree) + 1]
-                        tree += [Node(0.0), Node(0.0)]
+                    for own in _sides(g[k], h[k], bins, split) if split else []:
+                        if level + 1 < depth and own[1] >= 2 * LEAST_HESSIAN - 1e-9:  # less can't give a hessian of 1 to both sides
+                            further.append(len(tree))
+                        tree.append(_leaf(*own))
                 if not further:
                     break
                 open_nodes = further

@@ -6,7 +6,8 @@ added for the offset.  The dual has one number per kind, between 0 and C x weigh
 Blocks of kinds are worked on side by side (Ma et al. 2015): each task goes over its own numbers again and again, as if w
 changed ``blocks`` times as fast as it alone makes it, and the changes of all blocks are added to w.  Every round deals the
 kinds anew (the same blocks again and again come to no end).  Only w goes out and comes back; a round also gives both
-objectives, whose distance bounds the error and ends the work.
+objectives, whose distance bounds the error and ends the work.  A single block has nobody to wait for: its task looks at
+the objectives itself and goes on from round to round, up to ``VISITS`` of kinds.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ C = 1.0
 GAP = 1e-3  # of the primal objective
 PASSES, MOST_ROUNDS = 30, 200
 IN_A_BLOCK = 50_000  # kinds
+VISITS = 3_000_000  # of kinds, in a row of rounds that one task works on when there is one block
 STATE = "number long, x array<double>, y double, upper double, dual double, change array<double>, loss double"
 STATE_COLUMNS = [c.split()[0] for c in STATE.split(", ")]
 
@@ -91,7 +93,8 @@ def fit(kinds: DataFrame, c: float = C, gap: float = GAP, in_a_block: int = IN_A
     w = np.zeros(len(low) + 1)
     for done in range(1, most_rounds + 1):
         dealt = state.where("y is not null").groupBy(F.pmod(F.xxhash64("number", F.lit(done)), F.lit(blocks)).alias("block"))
-        state = held(dealt.applyInArrow(_round(w, blocks, passes), STATE))
+        together = max(1, min(most_rounds, VISITS // (n * passes))) if blocks == 1 else 1
+        state = held(dealt.applyInArrow(_round(w, blocks, passes, together, gap), STATE))
         told = state.where("y is null").select("dual", "change", "loss").collect()  # a row a block
         # Both objectives at the w that the round began with, which is the sum of dual x y x of all kinds.
         size = float(w @ w) / 2
@@ -103,14 +106,23 @@ def fit(kinds: DataFrame, c: float = C, gap: float = GAP, in_a_block: int = IN_A
     return LinearMachine(weights.tolist(), float(w[-1] - weights @ low), (primal - dual) / primal, done)
 
 
-def _round(w: np.ndarray, blocks: int, passes: int) -> Callable[[pa.Table], pa.Table]:
+def _round(w: np.ndarray, blocks: int, passes: int, together: int = 1, gap: float = GAP) -> Callable[[pa.Table], pa.Table]:
     def ascend(own: pa.Table) -> pa.Table:
         """A block with new duals, and a row of what it changes and its part of the objectives."""
         own = own.select(STATE_COLUMNS).sort_by("number").combine_chunks()
         x = np.asarray(own["x"].combine_chunks().flatten(), float).reshape(-1, len(w))
         y, upper, before = (own[k].to_numpy() for k in ("y", "upper", "dual"))
         loss = float((upper * np.maximum(0, 1 - y * (x @ w))).sum())
-        dual, change = _ascend(x, y, upper, before, w, blocks, passes)
+        dual, change = before, np.zeros(len(w))
+        for k in range(together):
+            if k:  # one block: both objectives are its own
+                at = w + change
+                size = float(at @ at) / 2
+                primal = size + float((upper * np.maximum(0, 1 - y * (x @ at))).sum())
+                if primal - (dual.sum() - size) <= gap * primal:
+                    break
+            dual, more = _ascend(x, y, upper, dual, w + change, blocks, passes)
+            change = change + more
         rows = own.set_column(STATE_COLUMNS.index("dual"), "dual", pa.array(dual))
         told = [None, None, None, None, float(before.sum()), change.tolist(), loss]
         return pa.concat_tables([rows, pa.table([pa.array([v], f.type) for v, f in zip(told, rows.schema)], schema=rows.schema)])

@@ -15,10 +15,13 @@ def _ratio(part: Column, whole: Column) -> Column:
 def confusion_metrics(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``predictions`` (label, prediction; 1 is positive, everything else isn't) -> counts and metrics, per ``by``.
 
+    Rows with a ``weight`` (a whole number) stand for as many.
+
     Accuracy is in percent; a metric without anything to count is 0.
     """
     yes, said = F.col("label") == 1, F.col("prediction") == 1
-    count = lambda which: F.coalesce(F.sum(F.when(which, 1).otherwise(0)), F.lit(0)).cast("long")
+    one = F.col("weight") if "weight" in predictions.columns else F.lit(1)
+    count = lambda which: F.coalesce(F.sum(F.when(which, one).otherwise(0)), F.lit(0)).cast("long")
     found = predictions.groupBy(*(by or [])).agg(count(yes & said).alias("tp"), count(~yes & said).alias("fp"), count(yes & ~said).alias("fn"), count(~yes & ~said).alias("tn"))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     found = found.withColumns({"accuracy": _ratio(tp + tn, tp + fp + fn + tn) * 100, "p1": _ratio(tp, tp + fp), "r1": _ratio(tp, tp + fn), "p0": _ratio(tn, tn + fn), "r0": _ratio(tn, tn + fp)})

@@ -42,10 +42,12 @@ def measured(rows: DataFrame, min_support: float) -> tuple[int, int]:
 def compressed(transactions: DataFrame) -> DataFrame:
     """Distinct non-empty transactions (items ascending) with their number: one scan and shuffle, combined before it.
 
+    Rows with a ``weight`` stand for as many transactions.
     Held, as all miners read it several times.  Empty ones go by their aggregated size: a filter on the items themselves
     would be pushed down to the scan, with the whole chain that computes them.
     """
-    rows = transactions.select(F.array_sort("items").alias("items")).groupBy("items").agg(F.count("*").alias("n"), F.max(F.size("items")).alias("size"))
+    weight = F.col("weight") if "weight" in transactions.columns else F.lit(1)
+    rows = transactions.select(F.array_sort("items").alias("items"), weight.cast("long").alias("n")).groupBy("items").agg(F.sum("n").alias("n"), F.max(F.size("items")).alias("size"))
     return held(rows.where("size > 0").select("items", "n"))
 
 

@@ -31,8 +31,9 @@ def vectors(rows: DataFrame) -> DataFrame:
 
 
 def weighted(rows: DataFrame) -> DataFrame:
-    """Kinds of rows (``expanded`` and ``label``) with their number as ``weight``: one shuffle, combined before it."""
-    kinds = rows.groupBy("expanded", "label").agg(F.count("*").cast("double").alias("weight"))
+    """Kinds of rows (``expanded`` and ``label``) with their number (or the sum of their ``weight``): one shuffle, combined before it."""
+    number = F.sum("weight") if "weight" in rows.columns else F.count("*")
+    kinds = rows.groupBy("expanded", "label").agg(number.cast("double").alias("weight"))
     return kinds.withColumn("features", array_to_vector(F.col("expanded").cast("array<double>")))
 
 
@@ -116,6 +117,8 @@ MODELS: dict[str, Callable] = {
 }
 #: Models besides the six of the grid.
 OTHERS: dict[str, Callable] = {"precise_bayes": precise_bayes}
+#: Models that draw rows, and so take them singly.
+DRAWS = {"random_forest"}
 
 
 def gaussian_parameters(rows: DataFrame, slots: list[str]) -> DataFrame:
@@ -125,4 +128,6 @@ def gaussian_parameters(rows: DataFrame, slots: list[str]) -> DataFrame:
 
 
 def predictions(model, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).select(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+    """label, prediction, and the ``weight`` of rows that have one."""
+    weight = [c for c in rows.columns if c == "weight"]
+    return model.transform(rows).select(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), *weight)

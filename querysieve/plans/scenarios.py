@@ -6,6 +6,7 @@ import time
 from collections.abc import Iterable
 from functools import reduce
 from multiprocessing.pool import ThreadPool
+from threading import Lock
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from querysieve.functions.features import SLOTS
 from querysieve.operators.expand import SCENARIOS, expand
 from querysieve.operators.held import held
 from querysieve.operators.metrics import confusion_metrics
-from querysieve.operators.models import MODELS, OTHERS, predictions, vectors
+from querysieve.operators.models import DRAWS, MODELS, OTHERS, predictions, vectors
 from querysieve.operators.split import split_by_place, with_place
 from querysieve.plans.corpus import featured, transactions
 
@@ -31,16 +32,35 @@ def expanded(ready: DataFrame, scenario: int) -> DataFrame:
     return expand(ready, ready.where("is_train"), scenario)
 
 
-def run_scenario(ready: DataFrame, scenario: int, models: Iterable[str] = MODELS) -> DataFrame:
+def kinds_of(ready: DataFrame) -> DataFrame:
+    """``ready`` -> equal rows as one, with their number as ``weight``: one shuffle, combined before it."""
+    return held(ready.groupBy("label", *SLOTS, "items", "is_train").agg(F.count("*").alias("weight")))
+
+
+#: Held while a model that takes rows singly is fitted: it keeps all of them, so only one does at a time.
+_singly = Lock()
+
+
+def run_scenario(ready: DataFrame, scenario: int, models: Iterable[str] = MODELS, kinds: DataFrame | None = None) -> DataFrame:
     """scenario, model and the confusion metrics on the test part, a row per model.
 
-    Models are fitted side by side: each is a long row of small jobs, which leave most of a cluster idle.
+    ``kinds`` are those of ``ready`` (``kinds_of``), made here unless given.  Mining, expansion, fits and scores work on them, so
+    that only the forest sees rows singly.  Models are fitted side by side: each is a long row of small jobs, which leave most
+    of a cluster idle.
     """
-    rows = vectors(expanded(ready, scenario)).persist()
+    kinds = kinds_of(ready) if kinds is None else kinds
+    known = kinds.where("is_train")
+    rows = vectors(expand(kinds, known, scenario)).persist()
     train, test = rows.where("is_train"), rows.where("not is_train")
 
+    def fitted(name: str):
+        if name not in DRAWS:
+            return (MODELS | OTHERS)[name](train)
+        with _singly:
+            return (MODELS | OTHERS)[name](vectors(expand(ready.where("is_train"), known, scenario)))
+
     def one(name: str) -> DataFrame:
-        scored = predictions((MODELS | OTHERS)[name](train), test).withColumns({"scenario": F.lit(scenario), "model": F.lit(name)})
+        scored = predictions(fitted(name), test).withColumns({"scenario": F.lit(scenario), "model": F.lit(name)})
         found = confusion_metrics(scored, ["scenario", "model"])
         return found.sparkSession.createDataFrame(found.collect(), found.schema)  # one row; the cached vectors go
 
@@ -61,10 +81,16 @@ def feature_time(ready: DataFrame, scenario: int) -> tuple[float, int]:
 
 
 def run_all(rows: DataFrame, models: Iterable[str] = MODELS) -> DataFrame:
-    """Every scenario with every model; scenarios that add nothing have the same rows, so they are run once."""
-    ready, out, plain, models = prepared(rows), None, None, list(models)
-    for number, scenario in SCENARIOS.items():
-        found = run_scenario(ready, number, models) if scenario.uses or plain is None else plain.withColumn("scenario", F.lit(number))
-        plain = found if scenario.uses is None and plain is None else plain
-        out = found if out is None else out.unionByName(found)
-    return out
+    """Every scenario with every model, side by side; scenarios that add nothing have the same rows, so they are run once."""
+    ready, models = prepared(rows), list(models)
+    kinds = kinds_of(ready)
+    plain = [number for number, scenario in SCENARIOS.items() if scenario.uses is None]
+    own = [number for number in SCENARIOS if number not in plain[1:]]
+
+    def one(number: int) -> DataFrame:
+        return run_scenario(ready, number, models, kinds)
+
+    with ThreadPool(len(own)) as pool:
+        found = dict(zip(own, pool.map(inheritable_thread_target(ready.sparkSession)(one), own)))
+    found |= {number: found[plain[0]].withColumn("scenario", F.lit(number)) for number in plain[1:]}
+    return reduce(DataFrame.unionByName, [found[number] for number in SCENARIOS])

@@ -173,3 +173,29 @@ def test_precise_bayes(spark):
     one = spark.createDataFrame([([1.0], 1.0, 2.0)], "expanded array<float>, label double, weight double")
     assert bayes.fit(one).transform(one).first().prediction == 1.0
     assert bayes.fit(one.limit(0)).transform(one).first().prediction == 0.0
+
+
+def test_one_block_takes_few_rounds(spark, monkeypatch):
+    """A single block goes on within its task until the gap is reached; the driver only looks whether it is."""
+    x, y, weight = made(6)
+    started, real = [], dualmachine._round
+    monkeypatch.setattr(dualmachine, "_round", lambda *a: started.append(a[1]) or real(*a))
+    assert dualmachine.fit(kinds(spark, x, y, weight), passes=1).gap <= 1e-3
+    assert len(started) <= 3
+
+
+@pytest.mark.parametrize("direct", [boosting.DIRECT, 0])
+def test_levels_that_cannot_split_are_not_read(spark, monkeypatch, direct):
+    """What the last level's leaves add is known from the splits above; sums are added with a shuffle or without one."""
+    monkeypatch.setattr(boosting, "DIRECT", direct)
+    x, y, weight = made(1)
+    read, real = [], boosting.histograms
+    monkeypatch.setattr(boosting, "histograms", lambda *a: read.append(a[2]) or real(*a))
+    model = boosting.second_order_trees(kinds(spark, x, y, weight), 2, depth=2)
+    assert read == [1, 2, 1, 2] and all(len(t) == 7 for t in model.trees)
+    margin, splits = np.zeros(len(x)), limits(x)
+    for _ in range(2):
+        p = 1 / (1 + np.exp(-margin))
+        leaf = tree_by_rows(x.astype(float), weight * (p - y), weight * p * (1 - p), np.arange(len(x)), 2, splits)
+        margin += [leaf[k] for k in range(len(x))]
+    np.testing.assert_allclose(model.margins(x.astype(float)), margin, atol=1e-9)

@@ -68,6 +68,19 @@ def test_grid_covers_all_scenarios(spark, sf_dir):
     assert all(same[1, m] == same[6, m] == same[7, m] > 70 for m in quick)
 
 
+def test_models_work_on_kinds_of_rows(spark, sf_dir, monkeypatch):
+    """Equal rows are one weighted row, in mining, fits and scores; metrics are those of the rows."""
+    from querysieve.operators import models
+
+    ready, seen, real = scenarios.prepared(corpus(spark, sf_dir)), [], models.MODELS["tree"]
+    monkeypatch.setitem(models.MODELS, "tree", lambda train: seen.append(train) or real(train))
+    found = scenarios.run_scenario(ready, 2, ["tree"]).first()
+    assert seen[0].agg({"weight": "sum"}).first()[0] == ready.where("is_train").count() > 10 * seen[0].count()
+    rows = models.vectors(scenarios.expanded(ready, 2))
+    want = confusion_metrics(models.predictions(real(rows.where("is_train")), rows.where("not is_train"))).first()
+    assert [found[c] for c in METRICS] == pytest.approx(list(want))
+
+
 def test_other_labels_are_refused(spark):
     from querysieve.operators import models
 
