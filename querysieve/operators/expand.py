@@ -64,31 +64,32 @@ def mined_columns(train: DataFrame, scenario: Scenario) -> DataFrame | None:
     return rules.agg(F.array_sort(F.collect_list(columns)).alias("mined"))
 
 
-def kinds_expanded(rows: DataFrame, mined: DataFrame, uses: str) -> DataFrame:
-    """Distinct ``items`` -> ``extra``: 1 or 0 per pattern, or the confidence or 0 per rule; each kind is looked at once."""
+def kinds_expanded(rows: DataFrame, mined: DataFrame, uses: str, per_kind: dict[str, Column] | None = None) -> DataFrame:
+    """Distinct ``items`` -> ``extra``: 1 or 0 per pattern, or the confidence or 0 per rule, and ``per_kind``; each kind is looked at once."""
     if uses == "patterns":
         extra = F.transform("mined", lambda p: holds(p, F.col("items")).cast("float"))
     else:
         extra = F.transform("mined", lambda r: F.when(holds_rule(r, F.col("items")), r["confidence"]).otherwise(0.0).cast("float"))
     # ``mined`` is one row by construction.
-    return held(rows.select("items").distinct().join(F.broadcast(mined)).select("items", extra.alias("extra")))
+    return held(rows.select("items").distinct().join(F.broadcast(mined)).select("items", extra.alias("extra")).withColumns(per_kind or {}))
 
 
-def expand(rows: DataFrame, train: DataFrame, scenario: int) -> DataFrame:
+def expand(rows: DataFrame, train: DataFrame, scenario: int, per_kind: dict[str, Column] | None = None) -> DataFrame:
     """Adds ``expanded array<float>``: the eight slots, then 1 or 0 per pattern or the confidence or 0 per rule.
 
     ``rows`` and ``train`` have the slots and ``items``.  Patterns and rules are tested on kinds of item sets, of which
     the item dictionary allows a few hundred, and joined back; the kinds are broadcast up to ``BROADCAST`` of them.
+    ``per_kind`` are further columns to add, over ``extra`` (what follows the slots): they are worked out once a kind.
     """
-    chosen = SCENARIOS[scenario]
+    chosen, per_kind = SCENARIOS[scenario], per_kind or {}
     base = F.array(*[F.col(s).cast("float") for s in SLOTS])
     mined = mined_columns(train, chosen)
     if mined is None:
-        return rows.withColumn("expanded", base)
-    kinds = kinds_expanded(rows, mined, chosen.uses)
+        return rows.withColumn("extra", F.array().cast("array<float>")).withColumns({"expanded": base, **per_kind}).drop("extra")
+    kinds = kinds_expanded(rows, mined, chosen.uses, per_kind)
     kinds = F.broadcast(kinds) if kinds.count() <= BROADCAST else kinds
     columns = [c for c in rows.columns if c != "expanded"]
-    return rows.join(kinds, "items").withColumn("expanded", F.concat(base, "extra")).select(*columns, "expanded")
+    return rows.join(kinds, "items").withColumn("expanded", F.concat(base, "extra")).select(*columns, "expanded", *per_kind)
 
 
 __all__ = ["SCENARIOS", "Scenario", "expand", "first_consequent", "holds", "holds_rule", "mined_columns"]

@@ -136,9 +136,9 @@ def split_rows(spark, sf_dir):
 
 
 def expand_in(scenario, spark, sf_dir):
-    rows = scenarios.expanded(scenarios.prepared(corpus(spark, sf_dir)), scenario)
-    extra = F.transform(F.slice("expanded", 9, F.greatest(F.size("expanded") - 8, F.lit(0))), lambda x: F.round(x.cast("double") * 1_000_000).cast("long"))
-    return rows.select("id", "is_train", F.size("expanded").cast("long").alias("dims"), _text(extra).alias("extra"))
+    text = _text(F.transform("extra", lambda x: F.round(x.cast("double") * 1_000_000).cast("long")))
+    rows = scenarios.expanded(scenarios.prepared(corpus(spark, sf_dir)), scenario, {"shown": text})
+    return rows.select("id", "is_train", F.size("expanded").cast("long").alias("dims"), F.col("shown").alias("extra"))
 
 
 def _rounded(found: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from multiprocessing.pool import ThreadPool
 from threading import Lock
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querysieve.functions.features import SLOTS
@@ -27,9 +27,9 @@ def prepared(rows: DataFrame, parsed: bool = False) -> DataFrame:
     return split_by_place(held(ready.select("id", "label", *SLOTS, "items", "place")))
 
 
-def expanded(ready: DataFrame, scenario: int) -> DataFrame:
-    """``ready`` from ``prepared`` -> ``expanded`` added; patterns and rules come from the training part only."""
-    return expand(ready, ready.where("is_train"), scenario)
+def expanded(ready: DataFrame, scenario: int, per_kind: dict[str, Column] | None = None) -> DataFrame:
+    """``ready`` from ``prepared`` -> ``expanded`` (and ``per_kind``) added; patterns and rules come from the training part only."""
+    return expand(ready, ready.where("is_train"), scenario, per_kind)
 
 
 def kinds_of(ready: DataFrame) -> DataFrame:

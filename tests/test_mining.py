@@ -184,3 +184,13 @@ def test_expansion(spark):
     assert by(2)[2][8:] == [1.0, 0.0, 0.0] and by(2)[1][8:] == [1.0, 1.0, 1.0]
     assert by(5)[3][8:] == [0.0, 0.0] and by(5)[4][8:] == pytest.approx([2 / 3, 2 / 3])
     assert len(SCENARIOS) == 7
+
+
+def test_extra_text_is_made_once_a_kind(spark):
+    """``per_kind`` columns come from the kinds' side of the join, not from the rows."""
+    rows = spark.createDataFrame([(k, *[float(k % 2)] * 8, [1, 2] if k % 2 else [3]) for k in range(20)], "id long, f0 double, f1 double, f2 double, f3 double, f4 double, f5 double, f6 double, f7 double, items array<int>")
+    for scenario in (1, 2, 4):
+        found = expand(rows, rows, scenario, {"shown": F.array_join(F.col("extra").cast("array<string>"), " ")})
+        assert all(r.shown == " ".join(str(v) for v in r.expanded[8:]) for r in found.collect())
+        top = found.select("id", "shown")._jdf.queryExecution().optimizedPlan().toString()
+        assert scenario == 1 or "array_join" not in top
