@@ -20,7 +20,7 @@ from querysieve.operators.held import held
 
 SUBSETS_UP_TO = 12  # items of a transaction whose subsets are listed: at most 4,095
 IN_ONE_TASK = 1_000_000  # items of a projected table that one task mines
-BROADCAST = 100_000  # candidate itemsets
+BROADCAST = 100_000  # candidate or frequent itemsets
 WORDS = 16  # 64-bit words of a bitmap: a chunk is 1,024 transactions
 
 
@@ -51,6 +51,11 @@ def compressed(transactions: DataFrame) -> DataFrame:
     return held(rows.where("size > 0").select("items", "n"))
 
 
+def sent(few: DataFrame) -> DataFrame:
+    """Held rows, an itemset each, to be joined by items: broadcast up to ``BROADCAST``, else all rows with an item would meet in one task."""
+    return F.broadcast(few) if few.count() <= BROADCAST else few
+
+
 def subsets(items: Column) -> Column:
     """All non-empty subsets of an ascending array, ascending."""
     masks = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size(items)) - 1).cast("int"))
@@ -86,7 +91,7 @@ def _by_frequency(rows: DataFrame, least: int) -> DataFrame:
     numbered = rows.withColumn("tid", F.monotonically_increasing_id())
     single = numbered.select("tid", "n", F.explode("items").alias("item"))
     frequent = single.groupBy("item").agg(F.sum("n").alias("freq")).where(F.col("freq") >= least)
-    placed = single.join(held(frequent), "item").groupBy("tid").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("freq")).alias("place"), "item"))).alias("items"))
+    placed = single.join(sent(held(frequent)), "item").groupBy("tid").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("freq")).alias("place"), "item"))).alias("items"))
     return placed.select(F.col("items.item").alias("items"), "n").groupBy("items").agg(F.sum("n").alias("n"))
 
 
@@ -110,13 +115,13 @@ def projected(rows: DataFrame, least: int, in_one_task: int = IN_ONE_TASK) -> Da
         if single.isEmpty():
             break
         at = tables.select("suffix", "n", "items", F.posexplode("items").alias("at", "item")).where("at > 0")
-        ahead = at.join(single.select("suffix", "item"), ["suffix", "item"], "left_semi")
+        ahead = at.join(sent(single.select("suffix", "item")), ["suffix", "item"], "left_semi")
         deeper = ahead.select(F.array_append("suffix", F.col("item")).alias("suffix"), F.expr("slice(items, 1, at)").alias("items"), "n").groupBy("suffix", "items").agg(F.sum("n").alias("n"))
         deeper = held(deeper)
         sizes = held(deeper.groupBy("suffix").agg((F.sum(F.size("items")) <= in_one_task).alias("fits")))
-        fitting = deeper.join(sizes.where("fits").select("suffix"), "suffix", "left_semi")
+        fitting = deeper.join(sent(sizes.where("fits").select("suffix")), "suffix", "left_semi")
         found = found.unionByName(fitting.groupBy("suffix").applyInArrow(mine, "items array<int>, freq long"))
-        tables = deeper.join(sizes.where("not fits").select("suffix"), "suffix", "left_semi")
+        tables = deeper.join(sent(sizes.where("not fits").select("suffix")), "suffix", "left_semi")
     return found.select(F.array_sort("items").alias("items"), "freq")
 
 
@@ -187,7 +192,7 @@ def eclat(transactions: DataFrame, min_support: float) -> DataFrame:
         longer = held(left.join(right, "head").where("left_tail < right_tail").select("left_items", "right_items", F.array_append("left_items", F.col("right_tail")).alias("items")))
         if not (n := longer.count()):
             break
-        longer = F.broadcast(longer) if n <= BROADCAST else longer  # else a frequent itemset's chunks would meet in one task
+        longer = F.broadcast(longer) if n <= BROADCAST else longer  # as in ``sent``
         one, other = (level.select(F.col("items").alias(f"{side}_items"), "chunk", F.col("bits").alias(f"{side}_bits")) for side in ("left", "right"))
         both = longer.join(one, "left_items").join(other, ["right_items", "chunk"])
         bits = F.zip_with("left_bits", "right_bits", lambda x, y: x.bitwiseAND(y))

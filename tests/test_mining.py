@@ -194,3 +194,13 @@ def test_extra_text_is_made_once_a_kind(spark):
         assert all(r.shown == " ".join(str(v) for v in r.expanded[8:]) for r in found.collect())
         top = found.select("id", "shown")._jdf.queryExecution().optimizedPlan().toString()
         assert scenario == 1 or "array_join" not in top
+
+
+def test_items_do_not_gather_rows(spark):
+    """Rows meet frequent items and suffixes by broadcast: a shuffle by item would send all rows with one to a task."""
+    rows = spark.createDataFrame([([k for k in range(14) if (k * n) % 5 != 1],) for n in range(60)], "items array<int>")
+    plans, real = [], mining.held
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(mining, "held", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+        found = mining.itemsets(rows, 0.5, subsets_up_to=2, in_one_task=50).collect()
+    assert found and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans)
