@@ -13,9 +13,13 @@ the first a/5 + 1; a pair is always in reach of one of the two kinds.
 Order: what many documents of a sample share (a license, a common line) comes last, so that it is a key only of
 documents that consist of it.  The order only decides who is compared, never what is found.
 
-Large groups: who meets in a key is first compared with the least of them only; after that only documents of
-different components are compared, so a group of near copies costs about its size and not its square.  Only pairs
-whose parities (a lower bound of what they differ in) allow 0.8 are compared at all.
+SimHash comes first, where its links are given (``simhash.keep_first``): documents of equal fingerprints, or of fingerprints of
+three differing bits at most, are confirmed and joined, and keys only bring together what three bits can't.
+
+Large groups: who meets in a key is first compared with the least of them only, which then leaves the key; this goes on while
+all pairs in keys are more than the documents, at most ``MOST_STARS`` times.  After that only documents of different components
+are compared, so a group of near copies costs about its size and not its square.  Keys in which the same documents are left
+are one key.  Only pairs whose parities (a lower bound of what they differ in) allow 0.8 are compared at all.
 
 Crowded keys: where more than ``CROWD`` documents of different components are left in a key (pages of one template, say),
 they are filed again, by single shingles in order of how many of them have each: the a/5 + 1 rarest of every set (the prefix
@@ -32,6 +36,8 @@ other of its component has an id; of rows equal in id and text one stays.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -45,9 +51,11 @@ from querysieve.llm.components import components
 SHINGLE, SEED = 5, 42
 LEAST, FEW = 8, 12
 SAMPLE, COMMON = 8_000, 6  # documents looked at for common keys, and of how many of them a key is common
-CROWD = 4096  # documents of different components in a key; up to these, comparing all costs less than filing them again
+CROWD = 64  # documents in a key in which different components are left; beyond they are filed again
+MOST_STARS = 3  # rounds in which who meets in a key is compared with the least only
 MOST_SENT = 500_000  # ids of documents to compare that are broadcast
-BINS = [f"p{k}" for k in range(8)]
+Links = Callable[[DataFrame], DataFrame]  # fp -> a, b: linked fingerprints, a < b
+BINS = [f"p{k}" for k in range(32)]  # 2,048 bins
 LAST = (1 << 63) - 1  # in place of a null doc_id
 NONE = np.empty(0, np.uint64)
 ODD = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
@@ -91,8 +99,14 @@ def keys(found: np.ndarray, common: np.ndarray = NONE) -> np.ndarray:
 
 
 def parity(found: np.ndarray) -> np.ndarray:
-    """Shingles counted in 512 bins, each modulo 2: two sets differ in at least as many shingles as their bins do."""
-    return np.packbits(np.bincount((found & np.uint64(511)).astype(np.int64), minlength=512) & 1 == 1).view(np.int64)
+    """Shingles counted in 64 x ``BINS`` bins, each modulo 2: two sets differ in at least as many shingles as their bins do."""
+    return np.packbits(np.bincount((found & np.uint64(64 * len(BINS) - 1)).astype(np.int64), minlength=64 * len(BINS)) & 1 == 1).view(np.int64)
+
+
+def majority(found: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of shingles: a bit is 1 if it is in over half of the hashes."""
+    ones = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view(np.int64)[0])
 
 
 def _keyed(docs: DataFrame, *carried: Column) -> DataFrame:
@@ -102,7 +116,7 @@ def _keyed(docs: DataFrame, *carried: Column) -> DataFrame:
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
-    """id, th, node, n (shingles) and their parity; equal sets of shingles are one node."""
+    """id, th, node, fp (fingerprint), n (shingles) and their parity; equal sets of shingles are one node."""
 
     def run(batches):
         let_go()
@@ -110,10 +124,10 @@ def _nodes(docs: DataFrame) -> DataFrame:
             found = [shingles(t) for t in as_bytes(batch["text"])]
             nodes = np.array([node_of(f) for f in found], np.uint64).view(np.int64)
             bins = np.array([parity(f) for f in found]).reshape(-1, len(BINS))
-            columns = [nodes, np.array([len(f) for f in found], np.int32), *np.ascontiguousarray(bins.T)]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["th"], *(pa.array(c) for c in columns)], ["id", "th", "node", "n", *BINS])
+            columns = [nodes, np.array([majority(f) for f in found], np.int64), np.array([len(f) for f in found], np.int32), *np.ascontiguousarray(bins.T)]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["th"], *(pa.array(c) for c in columns)], ["id", "th", "node", "fp", "n", *BINS])
 
-    return docs.mapInArrow(run, f"id long, th long, node long, n int, {' long, '.join(BINS)} long")
+    return docs.mapInArrow(run, f"id long, th long, node long, fp long, n int, {' long, '.join(BINS)} long")
 
 
 def _common(docs: DataFrame, rows: int) -> np.ndarray:
@@ -208,27 +222,68 @@ def _close_in_keys(apart: DataFrame, docs: DataFrame, prints: DataFrame, crowd:
         return _close(apart)
     again = cut(apart.join(crowded, "key", "left_semi").drop("key").dropDuplicates(["node"]))
     sets = cut(_sets_of(again.select("node"), docs, prints, most_sent))
-    return _close(apart.join(crowded, "key", "left_anti")).union(_close(cut(_refiled(sets).join(again, "node")))).distinct()
+    refiled = _distinct_keys(_refiled(sets).join(again.select("node", "root"), "node"))
+    return _close(apart.join(crowded, "key", "left_anti")).union(_close(cut(refiled.drop("root").join(again, "node")))).distinct()
+
+
+def _by_fingerprint(each: DataFrame, links: Links, docs: DataFrame, prints: DataFrame, most_sent: int) -> DataFrame:
+    """Confirmed pairs (a, b) whose SimHash fingerprints are equal or linked: one for each node that has any."""
+    named = cut(each.groupBy("fp").agg(F.min("node").alias("least")))
+    same = each.join(named, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    near = links(named.select("fp")).groupBy("b").agg(F.min("a").alias("a"))  # ``a`` is the smaller of a link
+    near = near.join(named.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    pairs = same.union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+    return _confirmed(_possible_pairs(pairs, each), docs, prints, most_sent)
+
+
+def _possible_pairs(pairs: DataFrame, each: DataFrame) -> DataFrame:
+    both = pairs.join(each.alias("x"), F.col("a") == F.col("x.node")).join(each.alias("y"), F.col("b") == F.col("y.node"))
+    return cut(both.where(_possible("x", "y")).select("a", "b"))
+
+
+def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
+    """``met`` (key, node) -> key, node, root: keys in which different components meet, see ``_distinct_keys``."""
+    return _distinct_keys(met.join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+
+
+def _distinct_keys(rooted: DataFrame) -> DataFrame:
+    """Of (key, node, root) the keys in which roots differ, and of keys with the same nodes one.
+
+    Documents that share a passage share all its keys: they are to be compared once.  Sets of nodes are told apart by 128 bits.
+    """
+    members = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in range(2)]
+    told = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), *members)
+    one = told.where("least < most").groupBy("m0", "m1").agg(F.min("key").alias("key")).select("key")
+    return cut(rooted.join(one, "key", "left_semi"))
 
 
-def _rooted(docs: DataFrame, crowd: int = CROWD, most_sent: int = MOST_SENT) -> DataFrame:
+def _rooted(docs: DataFrame, crowd: int = CROWD, most_sent: int = MOST_SENT, links: Links | None = None) -> DataFrame:
     """``docs`` from ``_keyed`` -> id, th and root (of the component); one row per row."""
     prints = cut(_nodes(docs))
-    by_key = Window.partitionBy("key")
-    met = _filed(docs, _common(docs, prints.count())).withColumn("least", F.min("node").over(by_key)).withColumn("most", F.max("node").over(by_key))
-    met = cut(met.where("least < most").select("key", "node", "least"))
+    n = prints.count()
     each = prints.drop("id", "th").dropDuplicates(["node"])
-    first = met.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    first = first.join(each.alias("x"), F.col("a") == F.col("x.node")).join(each.alias("y"), F.col("b") == F.col("y.node"))
-    first = cut(first.where(_possible("x", "y")).select("a", "b"))
-    links = _confirmed(first, docs, prints, most_sent)
+    found = _by_fingerprint(each, links, docs, prints, most_sent) if links else None
+    each, by_key = each.drop("fp"), Window.partitionBy("key")
+    met = _filed(docs, _common(docs, n)).withColumn("least", F.min("node").over(by_key)).withColumn("most", F.max("node").over(by_key))
+    met = cut(met.where("least < most").select("key", "node"))
+    found = found if links else met.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    for _ in range(MOST_STARS):
+        apart = _apart(met, found)
+        pairs = apart.groupBy("key").agg(F.count("*").cast("double").alias("m")).agg(F.sum(F.expr("m * (m - 1) / 2"))).first()[0] or 0
+        if pairs <= n:
+            break
+        first = apart.withColumn("first", F.min(F.struct("node", "root")).over(by_key)).where("node <> first.node")
+        star = first.where("root <> first.root").select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+        found = found.union(_confirmed(_possible_pairs(star, each), docs, prints, most_sent))
+        met = cut(first.select("key", "node"))  # the first of a key has been compared with all others
+    else:
+        apart = _apart(met, found)
     # Who met in a key and is still in different components.
-    roots = met.join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    apart = roots.withColumn("least", F.min("root").over(by_key)).withColumn("most", F.max("root").over(by_key)).where("least < most").select("key", "node", "root").distinct()
-    second = _close_in_keys(cut(apart.join(each, "node")), docs, prints, crowd, most_sent)
-    links = links.union(_confirmed(cut(second.join(first, ["a", "b"], "left_anti")), docs, prints, most_sent))
-    found = prints.join(components(links), "node", "left")
-    return cut(found.select("id", "th", F.coalesce("root", "node").alias("root")))
+    apart = cut(apart.join(each, "node"))
+    second = _close_in_keys(apart, docs, prints, crowd, most_sent)
+    found = found.union(_confirmed(cut(second), docs, prints, most_sent))
+    rows = prints.join(components(found), "node", "left")
+    return cut(rows.select("id", "th", F.coalesce("root", "node").alias("root")))
 
 
 def near_copies(docs: DataFrame, crowd: int = CROWD, most_sent: int = MOST_SENT) -> DataFrame:
@@ -238,10 +293,10 @@ def near_copies(docs: DataFrame, crowd: int = CROWD, most_sent: int = MOST_SENT)
     return found.select(*[F.nullif(F.col(c), F.lit(LAST)).alias(name) for c, name in (("id", "doc_id"), ("component_id", "component_id"))])
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of every component of ``docs``, that of the smallest doc_id; all columns stay."""
+def keep_first(docs: DataFrame, links: Links | None = None) -> DataFrame:
+    """One row of every component of ``docs``, that of the smallest doc_id; all columns stay.  ``links``: see above."""
     keyed = _keyed(docs, F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"))
-    rows = _rooted(keyed.select("id", "th", "text"))
+    rows = _rooted(keyed.select("id", "th", "text"), links=links)
     first = rows.groupBy("root").agg(F.min(F.struct("id", "th")).alias("first"))
     told = cut(rows.join(first, "root").groupBy("id", "th").agg(F.min(F.struct("id", "th") == F.col("first")).alias("stays"), F.count("*").alias("times")))
     kept = keyed.join(told.where("not stays").select("id", "th"), ["id", "th"], "left_anti")

@@ -99,5 +99,5 @@ def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """What the pipeline keeps: see ``nearcopies``, which has a rule of its own (five words, similarity 0.8)."""
-    return nearcopies.keep_first(docs)
+    """What the pipeline keeps: links of five-word fingerprints, and by shingles what else is 0.8 alike (see ``nearcopies``)."""
+    return nearcopies.keep_first(docs, links)

@@ -100,3 +100,30 @@ def test_pages_of_one_template(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in nearcopies.near_copies(docs, crowd=64).collect()} == {i: i - i % 2 for i, _ in rows}
     assert sum(counted) < 100 * len(rows)  # 38 keys a page and two pages a key; one key of all pages alone would be 600 a page
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """The stage's SimHash step: near copies of close fingerprints are joined by their links, confirmed, before any key is."""
+    draw = random.Random(5)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(900)]
+    rows = [(0, " ".join(base)), (1, " ".join(base[:-1])), (2, " ".join(base[1:])), (3, " ".join(f"v{k}" for k in range(300)))]
+    prints = [nearcopies.majority(nearcopies.shingles(t.encode())) % (1 << 64) for _, t in rows]
+    assert all((p ^ prints[0]).bit_count() <= 3 for p in prints[1:3]) and (prints[3] ^ prints[0]).bit_count() > 3
+    linked, confirmed, real, check = [], [], simhash.links, nearcopies._confirmed
+    monkeypatch.setattr(simhash, "links", lambda frame: linked.append(frame.count()) or real(frame))
+    monkeypatch.setattr(nearcopies, "_confirmed", lambda pairs, *a: confirmed.append(pairs.count()) or check(pairs, *a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_first(docs).collect()) == [0, 3]
+    assert linked == [len(set(prints))] and confirmed[0] >= 1 and sum(confirmed[1:]) == 0
+
+
+def test_a_shared_passage_is_one_key(spark, monkeypatch):
+    """Long documents that share most of a long passage, but aren't alike, meet once and not in each of its keys."""
+    draw = random.Random(6)
+    passage = [f"p{k}" for k in range(400)]
+    docs = spark.createDataFrame([(k, " ".join(passage + [f"o{draw.random()}" for _ in range(250)])) for k in range(12)], "doc_id long, text string")
+    rows, real = [], nearcopies._close
+    monkeypatch.setattr(nearcopies, "_close", lambda frame: rows.append(frame.count()) or real(frame))
+    monkeypatch.setattr(nearcopies, "MOST_STARS", 0)
+    assert simhash.keep_first(docs).count() == 12
+    assert sum(rows) < 3 * 12 * 12
