@@ -141,7 +141,7 @@ def _common(docs: DataFrame, rows: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], ["key", "n"])
 
     counted = docs.where(F.pmod(F.xxhash64("id", "th"), F.lit(1 << 20)) < share * (1 << 20)).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return np.sort(np.array([r["key"] for r in counted.where(F.col("n") >= COMMON).select("key").collect()], np.int64).view(np.uint64))
+    return np.sort(np.array([r["key"] for r in cut(counted.where(F.col("n") >= COMMON).select("key")).collect()], np.int64).view(np.uint64))
 
 
 def _filed(docs: DataFrame, common: np.ndarray) -> DataFrame:
