@@ -313,7 +313,8 @@ def _paths(rows: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     asks, has_source = F.col("kind") == ASKS, F.col("id") > F.col("first")
     source = F.when(F.col("kind") == PATH, F.col("source")).when(asks & has_source, F.col("first_doc"))
     there = F.when(F.col("kind") == PATH, F.col("source_place")).when(asks & has_source, F.col("first_place"))
-    met = met.where((~asks | has_source | F.col("several")) & ~F.col("told")).select("id", "doc", "place", "n", source.alias("source"), there.alias("source_place"))
+    # Held: of all segments, the largest shuffle by far, few are left, and its files go before the texts are shuffled.
+    met = cut(met.where((~asks | has_source | F.col("several")) & ~F.col("told")).select("id", "doc", "place", "n", source.alias("source"), there.alias("source_place")))
     # Paths that have their source already are alone under a key of their own.
     meet = Window.partitionBy("key").orderBy("id", "doc", "place")
     edges = _spelled_out(texts, met, k).withColumn("key", F.coalesce("edge", F.xxhash64("doc", "place")))

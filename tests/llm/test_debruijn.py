@@ -106,3 +106,9 @@ def test_query_against_sql(spark, sf_dir):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     theirs = con.execute(queries.ORACLE["op2_debruijn"]).fetchall()
     assert sorted(map(tuple, queries.op2_debruijn(spark, sf_dir).collect())) == sorted(theirs)
+
+
+def test_the_shuffle_of_all_segments_is_over_before_texts_are_shuffled(spark, make):
+    paths = debruijn.repeated_paths(spark.createDataFrame(make(1), "doc_id long, text string"))
+    plan = paths._jdf.queryExecution().analyzed().toString()
+    assert "source_place" in plan and "variants" not in plan and "content" not in plan
