@@ -24,7 +24,8 @@ are one key.  Only pairs whose parities (a lower bound of what they differ in) a
 Crowded keys: where more than ``CROWD`` documents of different components are left in a key (pages of one template, say),
 they are filed again, by single shingles in order of how many of them have each: the a/5 + 1 rarest of every set (the prefix
 filter of Vernica, Carey and Li 2010).  What the template gives comes last there, and only documents that are alike in what
-is their own meet.
+is their own meet.  Keys fill up as a corpus grows; the limit is low, so that about the same share of all documents is filed again
+at any size (with 64, five times the documents had 16 times the shingles to file), each once.
 
 Rows are told apart by doc_id and a 64-bit hash of the text, sets of shingles by one of the set; such hashes are taken as
 equal without comparing texts.
@@ -51,7 +52,7 @@ from querysieve.llm.components import components
 SHINGLE, SEED = 5, 42
 LEAST, FEW = 8, 12
 SAMPLE, COMMON = 8_000, 6  # documents looked at for common keys, and of how many of them a key is common
-CROWD = 64  # documents in a key in which different components are left; beyond they are filed again
+CROWD = 4  # documents in a key in which different components are left; beyond they are filed again
 MOST_STARS = 3  # rounds in which who meets in a key is compared with the least only
 MOST_SENT = 500_000  # ids of documents to compare that are broadcast
 Links = Callable[[DataFrame], DataFrame]  # fp -> a, b: linked fingerprints, a < b
@@ -186,16 +187,16 @@ def _possible(x: str, y: str) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * sum(differ[1:], differ[0]) <= n + m)
 
 
-def _sets_of(wanted: DataFrame, docs: DataFrame, prints: DataFrame, most_sent: int) -> DataFrame:
+def _sets_of(wanted: DataFrame, docs: DataFrame, each: DataFrame, most_sent: int) -> DataFrame:
     """node, hashes of the wanted nodes; up to ``most_sent`` ids are broadcast, beyond the texts are shuffled."""
-    ids = cut(prints.groupBy("node").agg(F.min(F.struct("id", "th")).alias("one")).join(wanted, "node").select("one.*").distinct())
+    ids = cut(each.join(wanted, "node", "left_semi").select("id", "th"))
     ids = F.broadcast(ids) if ids.count() <= most_sent else ids
-    return _sets(docs.join(ids, ["id", "th"], "left_semi")).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return _sets(docs.join(ids, ["id", "th"], "left_semi")).dropDuplicates(["node"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, prints: DataFrame, most_sent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, each: DataFrame, most_sent: int) -> DataFrame:
     """The pairs (a, b) of similarity 0.8 or more."""
-    sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs, prints, most_sent)
+    sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs, each, most_sent)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
     return cut(both.where(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b"))
 
@@ -215,25 +216,25 @@ def _close(rows: DataFrame) -> DataFrame:
     return x.join(y, [F.col("x.key") == F.col("y.key"), close]).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def _close_in_keys(apart: DataFrame, docs: DataFrame, prints: DataFrame, crowd: int, most_sent: int) -> DataFrame:
+def _close_in_keys(apart: DataFrame, docs: DataFrame, each: DataFrame, crowd: int, most_sent: int) -> DataFrame:
     """Pairs that meet in a key; who meets in a crowded one is filed again first."""
     crowded = cut(apart.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > crowd).select("key"))
     if crowded.isEmpty():
         return _close(apart)
     again = cut(apart.join(crowded, "key", "left_semi").drop("key").dropDuplicates(["node"]))
-    sets = cut(_sets_of(again.select("node"), docs, prints, most_sent))
+    sets = cut(_sets_of(again.select("node"), docs, each, most_sent))
     refiled = _distinct_keys(_refiled(sets).join(again.select("node", "root"), "node"))
     return _close(apart.join(crowded, "key", "left_anti")).union(_close(cut(refiled.drop("root").join(again, "node")))).distinct()
 
 
-def _by_fingerprint(each: DataFrame, links: Links, docs: DataFrame, prints: DataFrame, most_sent: int) -> DataFrame:
+def _by_fingerprint(each: DataFrame, links: Links, docs: DataFrame, most_sent: int) -> DataFrame:
     """Confirmed pairs (a, b) whose SimHash fingerprints are equal or linked: one for each node that has any."""
     named = cut(each.groupBy("fp").agg(F.min("node").alias("least")))
     same = each.join(named, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     near = links(named.select("fp")).groupBy("b").agg(F.min("a").alias("a"))  # ``a`` is the smaller of a link
     near = near.join(named.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
     pairs = same.union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
-    return _confirmed(_possible_pairs(pairs, each), docs, prints, most_sent)
+    return _confirmed(_possible_pairs(pairs, each), docs, each, most_sent)
 
 
 def _possible_pairs(pairs: DataFrame, each: DataFrame) -> DataFrame:
@@ -241,9 +242,15 @@ def _possible_pairs(pairs: DataFrame, each: DataFrame) -> DataFrame:
     return cut(both.where(_possible("x", "y")).select("a", "b"))
 
 
-def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
+def _joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Components ``roots`` (node, root) joined by ``pairs`` (a, b) -> node, root; held."""
+    return cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(pairs)))
+
+
+def _apart(met: DataFrame, roots: DataFrame, most_sent: int) -> DataFrame:
     """``met`` (key, node) -> key, node, root: keys in which different components meet, see ``_distinct_keys``."""
-    return _distinct_keys(met.join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    roots = F.broadcast(roots) if roots.count() <= most_sent else roots
+    return _distinct_keys(met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
 
 
 def _distinct_keys(rooted: DataFrame) -> DataFrame:
@@ -261,28 +268,29 @@ def _rooted(docs: DataFrame, crowd: int = CROWD, most_sent: int = MOST_SENT, lin
     """``docs`` from ``_keyed`` -> id, th and root (of the component); one row per row."""
     prints = cut(_nodes(docs))
     n = prints.count()
-    each = prints.drop("id", "th").dropDuplicates(["node"])
-    found = _by_fingerprint(each, links, docs, prints, most_sent) if links else None
-    each, by_key = each.drop("fp"), Window.partitionBy("key")
+    each = cut(prints.dropDuplicates(["node"]))  # with the id and hash of a row of each
+    roots = each.select("node", F.col("node").alias("root")).limit(0)
+    if links:
+        roots = _joined(roots, _by_fingerprint(each, links, docs, most_sent))
+    bare, by_key = each.drop("id", "th", "fp"), Window.partitionBy("key")
     met = _filed(docs, _common(docs, n)).withColumn("least", F.min("node").over(by_key)).withColumn("most", F.max("node").over(by_key))
     met = cut(met.where("least < most").select("key", "node"))
-    found = found if links else met.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     for _ in range(MOST_STARS):
-        apart = _apart(met, found)
+        apart = _apart(met, roots, most_sent)
         pairs = apart.groupBy("key").agg(F.count("*").cast("double").alias("m")).agg(F.sum(F.expr("m * (m - 1) / 2"))).first()[0] or 0
         if pairs <= n:
             break
         first = apart.withColumn("first", F.min(F.struct("node", "root")).over(by_key)).where("node <> first.node")
         star = first.where("root <> first.root").select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
-        found = found.union(_confirmed(_possible_pairs(star, each), docs, prints, most_sent))
+        roots = _joined(roots, _confirmed(_possible_pairs(star, bare), docs, each, most_sent))
         met = cut(first.select("key", "node"))  # the first of a key has been compared with all others
     else:
-        apart = _apart(met, found)
+        apart = _apart(met, roots, most_sent)
     # Who met in a key and is still in different components.
-    apart = cut(apart.join(each, "node"))
-    second = _close_in_keys(apart, docs, prints, crowd, most_sent)
-    found = found.union(_confirmed(cut(second), docs, prints, most_sent))
-    rows = prints.join(components(found), "node", "left")
+    apart = cut(apart.join(bare, "node"))
+    second = cut(_close_in_keys(apart, docs, each, crowd, most_sent))
+    roots = _joined(roots, _confirmed(second, docs, each, most_sent))
+    rows = prints.select("id", "th", "node").join(F.broadcast(roots) if roots.count() <= most_sent else roots, "node", "left")
     return cut(rows.select("id", "th", F.coalesce("root", "node").alias("root")))
 
 

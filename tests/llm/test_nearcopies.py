@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from querysieve.llm import nearcopies, simhash
+from querysieve.llm.components import components
 
 
 def sets(text):
@@ -127,3 +128,42 @@ def test_a_shared_passage_is_one_key(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "MOST_STARS", 0)
     assert simhash.keep_first(docs).count() == 12
     assert sum(rows) < 3 * 12 * 12
+
+
+def test_refiling_grows_with_the_documents(spark, monkeypatch):
+    """Passages that 20 of 160 documents share, and 100 of 800: five times the documents, no more than that to file again."""
+    monkeypatch.setattr(nearcopies, "MOST_STARS", 0)
+    filed, real = [], nearcopies._refiled
+
+    def refiled(sets):
+        filed[-1] += sets.selectExpr("sum(size(hashes))").first()[0] or 0
+        return real(sets)
+
+    monkeypatch.setattr(nearcopies, "_refiled", refiled)
+    for members in (20, 100):
+        draw = random.Random(7)
+        texts = [" ".join([f"p{group}_{k}" for k in range(60)] + [f"o{draw.randrange(10**9)}" for _ in range(30)]) for group in range(8) for _ in range(members)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        filed.append(0)
+        assert simhash.keep_first(docs).count() == len(texts)
+    assert 0 < filed[1] <= 6 * filed[0]
+
+
+def test_few_links_make_few_tasks(spark):
+    """A round of components has a dozen shuffles: of few links each must not make a task for every shuffle partition."""
+    key, tracker = "spark.sql.shuffle.partitions", spark.sparkContext.statusTracker()
+    before = spark.conf.get(key)
+    links = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long").coalesce(1)
+    spark.conf.set(key, "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("few", "few links")
+    try:
+        found = components(links).collect()
+        stages = {s for job in tracker.getJobIdsForGroup("few") for s in tracker.getJobInfo(job).stageIds}
+        made = sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(tuple(r) for r in found) == [(k, 0) for k in range(61)]
+    assert made < 400
