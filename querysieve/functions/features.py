@@ -26,14 +26,19 @@ def count_text(text: Column, part: str) -> Column:
     return F.coalesce((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part), F.lit(0.0)).cast("double")
 
 
+def count_where(text: Column, part: str, pattern: str) -> Column:
+    """Matches of a pattern that takes the fixed string ``part``: most strings don't hold it, which is seen without the pattern."""
+    return F.when(~F.contains(text, F.lit(part)), F.lit(0.0)).otherwise(F.regexp_count(text, F.lit(pattern)).cast("double"))
+
+
 def count_word(text: Column, word: str) -> Column:
-    return F.regexp_count(text, F.lit(f"(?<!{WORD}){word}(?!{WORD})")).cast("double")
+    return count_where(text, word, f"(?<!{WORD}){word}(?!{WORD})")
 
 
 def count_sign(text: Column, sign: str, boundary: str = "compat") -> Column:
     if boundary not in ("compat", "literal"):
         raise ValueError(f"boundary is compat or literal, not {boundary!r}")
-    return F.regexp_count(text, F.lit(f"(?<={WORD}){sign}(?={WORD})" if boundary == "compat" else sign)).cast("double")
+    return count_where(text, sign, f"(?<={WORD}){sign}(?={WORD})" if boundary == "compat" else sign)
 
 
 def utf16_length(text: Column) -> Column:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from querysieve.functions.features import SLOTS, count_sign, features, with_features
+from querysieve.functions.features import SLOTS, count_sign, count_where, features, with_features
 from querysieve.functions.items import items, with_label_item
 from querysieve.functions.sqltext import recognised
 from querysieve.functions.text import normalized
@@ -102,3 +102,14 @@ def test_recogniser(spark, text, expected):
 def test_recogniser_in_spark(spark):
     rows = spark.createDataFrame([("select 1",), ("x'",), (None,)], "raw string").select(recognised(normalized(F.col("raw"))).alias("s"))
     assert [r.s for r in rows.collect()] == ["SELECT 1", None, None]
+
+
+def test_patterns_run_only_where_they_can_match(spark):
+    """The same counts as by the pattern alone, nulls included; the plan looks for the fixed part first."""
+    texts = [None, "", "OR", "xOR OR,OR or", "FORM", "a'b 'c", "--", "a--b#c#d", "SELECTéSELECT", "1OR1"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    word = "[A-Za-z0-9_]"
+    for part, pattern in [("OR", f"(?<!{word})OR(?!{word})"), ("SELECT", f"(?<!{word})SELECT(?!{word})"), ("'", f"(?<={word})'(?={word})"), ("--", "--"), ("#", f"(?<={word})#(?={word})")]:
+        both = rows.select(count_where(F.col("t"), part, pattern).alias("a"), F.regexp_count("t", F.lit(pattern)).cast("double").alias("b"))
+        assert both.where("not a <=> b").count() == 0
+        assert "Contains" in both._jdf.queryExecution().optimizedPlan().toString()
