@@ -68,17 +68,22 @@ def _linked(filed: DataFrame, keys: list[str], most_bits: int) -> DataFrame:
     a, b = filed.alias("a"), filed.alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
     close = (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= most_bits)
-    return a.join(b, [*same, close]).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    return a.join(b.hint("merge"), [*same, close]).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """``distinct`` (fp) -> a, b: all pairs that differ in at most three bits (a pair may come more than once)."""
+    """``distinct`` (fp) -> a, b: all pairs that differ in at most three bits (a pair may come more than once).
+
+    Spark takes rows of an explode for as few as went in, so by size it would broadcast 64 rows for each of up to some 600,000
+    fingerprints from the driver: the joins are told to be merge joins.
+    """
     bits = F.explode(F.sequence(F.lit(0), F.lit(63)))
-    # Dealt out by number: by size Spark would make one or two tasks of them, each of which would write 64 rows for one.
-    distinct = distinct.repartition(shuffle_partitions(distinct.sparkSession), "fp")
+    # Dealt out by number: by size Spark would make one or two tasks of them, each of which would write 64 rows for one.  By a
+    # hash of its own: it drops a repartition by the column by which an aggregate has just dealt the rows.
+    distinct = distinct.repartition(shuffle_partitions(distinct.sparkSession), F.xxhash64("fp"))
     filed = distinct.select("fp", bits.alias("bit")).select("fp", _without_bit(F.col("fp"), 32, F.col("bit")).alias("key"))
     # An aggregate and a join, not a window: counts combine before the shuffle, and Spark can split a crowded key.
-    filed = filed.join(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    filed = filed.join(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").hint("merge"), "key")
     few = _linked(filed.where(F.col("n") <= crowded).select("key", "fp"), ["key"], MOST_BITS)
     # The other half of a crowded key (above its 32 bits it holds which bit is left out), by its two quarters.
     other = F.call_function("shiftrightunsigned", F.col("fp"), F.when(F.col("key") < 1 << 37, 32).otherwise(0)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))

@@ -99,3 +99,13 @@ def test_filing_is_dealt_over_all_partitions(spark):
     """64 rows are made of each fingerprint: small as the fingerprints are, they aren't left to one or two tasks."""
     found = simhash.links(spark.createDataFrame([(k * k,) for k in range(50)], "fp long"))
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filed_fingerprints_are_not_broadcast(spark):
+    """Spark sizes 64 rows of a fingerprint as one, so that it would take the filed ones for small enough to send out."""
+    prints = spark.range(1000).groupBy(F.xxhash64("id").alias("fp")).agg(F.count("*").alias("n")).select("fp")
+    found = simhash.links(prints)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "BroadcastExchange" not in plan
+    assert "REPARTITION_BY_NUM" in plan  # also of what an aggregate has dealt by fingerprint
