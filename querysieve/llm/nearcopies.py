@@ -205,7 +205,8 @@ def _refiled(sets: DataFrame) -> DataFrame:
     """key, node: the rarest a/5 + 1 shingles of every set, by how many of these sets have each."""
     single = sets.select("node", F.explode("hashes").alias("key"))
     counts = single.groupBy("key").agg(F.count("*").alias("times"))
-    ranked = single.join(counts, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("times", "key"))).alias("ranked"))
+    # A merge join by name: Spark sizes exploded rows as the sets they come from, which could be few enough to broadcast.
+    ranked = single.join(counts.hint("merge"), "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("times", "key"))).alias("ranked"))
     return ranked.select("node", F.explode(F.expr("slice(ranked, 1, size(ranked) div 5 + 1)")).alias("x")).select(F.col("x.key").alias("key"), "node")
 
 

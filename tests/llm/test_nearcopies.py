@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from querysieve.llm import nearcopies, simhash
 from querysieve.llm.components import components
@@ -167,3 +168,12 @@ def test_few_links_make_few_tasks(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert sorted(tuple(r) for r in found) == [(k, 0) for k in range(61)]
     assert made < 400
+
+
+def test_shingles_filed_again_are_not_broadcast(spark):
+    sets = spark.range(100).select(F.col("id").alias("node"), F.sequence("id", F.col("id") + 50).alias("hashes"))
+    found = nearcopies._refiled(sets)
+    assert found.count() == 100 * 11
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "BroadcastExchange" not in plan
