@@ -6,7 +6,6 @@ import time
 from collections.abc import Iterable
 from functools import reduce
 from multiprocessing.pool import ThreadPool
-from threading import Lock
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
@@ -16,7 +15,7 @@ from querysieve.functions.features import SLOTS
 from querysieve.operators.expand import SCENARIOS, expand
 from querysieve.operators.held import held
 from querysieve.operators.metrics import confusion_metrics
-from querysieve.operators.models import DRAWS, MODELS, OTHERS, predictions, vectors
+from querysieve.operators.models import MODELS, OTHERS, predictions, vectors
 from querysieve.operators.split import split_by_place, with_place
 from querysieve.plans.corpus import featured, transactions
 
@@ -37,15 +36,11 @@ def kinds_of(ready: DataFrame) -> DataFrame:
     return held(ready.groupBy("label", *SLOTS, "items", "is_train").agg(F.count("*").alias("weight")))
 
 
-#: Held while a model that takes rows singly is fitted: it keeps all of them, so only one does at a time.
-_singly = Lock()
-
-
 def run_scenario(ready: DataFrame, scenario: int, models: Iterable[str] = MODELS, kinds: DataFrame | None = None) -> DataFrame:
     """scenario, model and the confusion metrics on the test part, a row per model.
 
-    ``kinds`` are those of ``ready`` (``kinds_of``), made here unless given.  Mining, expansion, fits and scores work on them, so
-    that only the forest sees rows singly.  Models are fitted side by side: each is a long row of small jobs, which leave most
+    ``kinds`` are those of ``ready`` (``kinds_of``), made here unless given.  Mining, expansion, fits and scores work on them; none
+    sees rows singly.  Models are fitted side by side: each is a long row of small jobs, which leave most
     of a cluster idle.
     """
     kinds = kinds_of(ready) if kinds is None else kinds
@@ -53,14 +48,8 @@ def run_scenario(ready: DataFrame, scenario: int, models: Iterable[str] = MODELS
     rows = vectors(expand(kinds, known, scenario)).persist()
     train, test = rows.where("is_train"), rows.where("not is_train")
 
-    def fitted(name: str):
-        if name not in DRAWS:
-            return (MODELS | OTHERS)[name](train)
-        with _singly:
-            return (MODELS | OTHERS)[name](vectors(expand(ready.where("is_train"), known, scenario)))
-
     def one(name: str) -> DataFrame:
-        scored = predictions(fitted(name), test).withColumns({"scenario": F.lit(scenario), "model": F.lit(name)})
+        scored = predictions((MODELS | OTHERS)[name](train), test).withColumns({"scenario": F.lit(scenario), "model": F.lit(name)})
         found = confusion_metrics(scored, ["scenario", "model"])
         return found.sparkSession.createDataFrame(found.collect(), found.schema)  # one row; the cached vectors go
 

@@ -1,9 +1,9 @@
-"""The boosted models and the linear machine against plain numpy on the rows themselves."""
+"""The boosted models, the forest and the linear machine against plain numpy on the rows themselves."""
 
 import numpy as np
 import pytest
 
-from querysieve.operators import bayes, boosting, dualmachine
+from querysieve.operators import bayes, boosting, dualmachine, forest
 
 
 def made(seed, n=160, missing=False):
@@ -199,3 +199,63 @@ def test_levels_that_cannot_split_are_not_read(spark, monkeypatch, direct):
         leaf = tree_by_rows(x.astype(float), weight * (p - y), weight * p * (1 - p), np.arange(len(x)), 2, splits)
         margin += [leaf[k] for k in range(len(x))]
     np.testing.assert_allclose(model.margins(x.astype(float)), margin, atol=1e-9)
+
+
+@pytest.mark.parametrize("cells, direct, missing", [(2_000_000, 4, False), (60, 0, True)])
+def test_forest_grows_as_by_rows(spark, monkeypatch, cells, direct, missing):
+    """Every split is the best of the columns drawn; all nodes of a level at once or few, sums with a shuffle or without."""
+    monkeypatch.setattr(forest, "CELLS", cells)
+    monkeypatch.setattr(forest, "DIRECT", direct)
+    monkeypatch.setattr(forest, "merged", lambda tree, totals: tree)
+    x, y, weight = made(4, missing=missing)
+    x, depth, seed = x.astype(float), 3, 5
+    model = forest.fit(kinds(spark, x, y, weight), 3, depth, seed)
+    of, number = model.bins.of(x), {}
+    for k in range(len(x)):
+        number[of[k].tobytes(), float(y[k])] = number.get((of[k].tobytes(), float(y[k])), 0.0) + weight[k]
+    found, label = np.array([list(b) for b, _ in number]), np.array([c for _, c in number])
+    drawn = np.array([forest.draws(b, c, w, 3, seed) for (b, c), w in number.items()])
+
+    def impurity(times):
+        n = times.sum()
+        return 2 * times[label == 1].sum() * times[label == 0].sum() / n if n else 0.0
+
+    def check(tree, at, t, times, level):
+        node, n = tree[at], times.sum()
+        gains = {}
+        for c in forest.columns_of(t, at, x.shape[1], seed):
+            for b in range(len(model.bins.limits[c])):
+                left = times * (found[:, c] <= b)
+                if 0 < left.sum() < n:
+                    gains[c, b] = impurity(times) - impurity(left) - impurity(times - left)
+        if node.column < 0:
+            assert level == depth or max(gains.values(), default=0) <= 1e-9 * n
+            assert node.value == pytest.approx(times[label == 1].sum() / n)
+            return 1
+        assert gains[node.column, node.bin] == pytest.approx(max(gains.values()))
+        left = times * (found[:, node.column] <= node.bin)
+        return check(tree, node.left, t, left, level + 1) + check(tree, node.right, t, times - left, level + 1)
+
+    leaves = [check(tree, 0, t, drawn[:, t], 0) for t, tree in enumerate(model.trees)]
+    assert min(leaves) > 2 and len(set(leaves)) + len({tree[0].column for tree in model.trees}) > 2
+    assert ((model.shares(x) > 0.5) == y).mean() > 0.6
+
+
+def test_forest_draws_kinds_as_rows():
+    """A kind of w rows is drawn as the sum of w rows would be: mean and variance are w."""
+    got = forest.draws(b"\1\2", 1.0, 40.0, 20_000, 1)
+    assert got.mean() == pytest.approx(40, rel=0.01) and got.var() == pytest.approx(40, rel=0.05)
+    assert (forest.draws(b"\1\2", 0.0, 40.0, 100, 1) != got[:100]).any()
+
+
+def test_forest_takes_back_splits_that_say_the_same():
+    tree = [boosting.Node(0.7, 0, 0, left=1, right=2), boosting.Node(0.6, 1, 0, left=3, right=4), boosting.Node(1.0), boosting.Node(0.9), boosting.Node(0.1)]
+    assert forest.merged(tree, [np.array([3, 7])] * 5) == tree
+    tree[4] = boosting.Node(0.8)
+    assert forest.merged(tree, [np.array([3, 7])] * 5)[0] == boosting.Node(0.7)
+
+
+def test_forest_of_little(spark):
+    one = kinds(spark, np.ones((3, 2), np.float32), np.ones(3), np.ones(3))
+    assert {r.prediction for r in forest.fit(one, 5).transform(one).collect()} == {1.0}
+    assert forest.fit(one.limit(0), 5).transform(one.limit(0)).count() == 0

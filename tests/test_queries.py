@@ -81,6 +81,16 @@ def test_models_work_on_kinds_of_rows(spark, sf_dir, monkeypatch):
     assert [found[c] for c in METRICS] == pytest.approx(list(want))
 
 
+def test_forest_works_on_kinds_of_rows_too(spark, sf_dir, monkeypatch):
+    from querysieve.operators import models
+
+    ready, seen, real = scenarios.prepared(corpus(spark, sf_dir)), [], models.MODELS["random_forest"]
+    monkeypatch.setitem(models.MODELS, "random_forest", lambda train: seen.append((train.count(), train.columns)) or real(train, 10))
+    found = scenarios.run_scenario(ready, 2, ["random_forest"]).first()
+    assert "weight" in seen[0][1] and seen[0][0] < ready.where("is_train").count() / 10
+    assert found.tp + found.fp + found.fn + found.tn == 300 and found.accuracy > 70
+
+
 def test_other_labels_are_refused(spark):
     from querysieve.operators import models
 
